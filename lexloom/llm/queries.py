@@ -53,3 +53,23 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
        sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
 FROM seen GROUP BY doc_id
 """
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.ngram_join import near_duplicate_components
+
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_ngram_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v WHERE r.c < e.y)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.c, documents.doc_id)::BIGINT AS component_id
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) k ON k.v = documents.doc_id
+"""
