@@ -73,3 +73,41 @@ r AS (SELECT doc_id AS v, doc_id AS c FROM n UNION SELECT e.y, r.c FROM r JOIN e
 SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.c, documents.doc_id)::BIGINT AS component_id
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) k ON k.v = documents.doc_id
 """
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op10_sql() -> str:
+    from lexloom.llm.decontaminate import PUNCTUATION, SHARE, UNITS, WIDTH
+
+    space = r"[\x20\x09-\x0D]"
+    name = r"""'([^.!?:\s] )\p{Lu}[^\s.!?:,;"()]*', '\1<name>', 'g'"""
+    marked = f"regexp_replace(regexp_replace(text, {name}), {name})"
+    marked = f"regexp_replace({marked}, '(^|{space})[$€£#(+-]?[0-9][^\\x20\\x09-\\x0D]*', '\\1<num>', 'g')"
+    marked = f"regexp_replace({marked}, '(<num>{space}+)(?:{'|'.join(UNITS)})({space[:-1]}.,;:!?)]|$)', '\\1<unit>\\2', 'g')"
+    bare = lambda x: f"translate({x}, '{PUNCTUATION.replace(chr(39), chr(39) * 2)}', '')"
+    words = lambda x: f"string_split_regex(regexp_replace({x}, '^{space}+|{space}+$', '', 'g'), '{space}+')"
+    return rf"""
+WITH b AS (SELECT item_id, {words(f'lower({marked})')} AS c0, {words('text')} AS raw FROM benchmark WHERE regexp_matches(text, '[^\x20\x09-\x0D]')),
+d AS (SELECT doc_id, {words(f'lower({marked})')} AS c0, {words('text')} AS raw FROM documents WHERE text IS NOT NULL),
+bc AS (SELECT item_id, raw, list_transform(c0, lambda x: {bare('x')}) AS c FROM b),
+dc AS (SELECT doc_id, raw, list_transform(c0, lambda x: {bare('x')}) AS c FROM d),
+bw AS (SELECT item_id, i AS bpos, least(len(c), {WIDTH}) AS w, c[i:i+least(len(c), {WIDTH})-1] AS k, raw[i:i+least(len(c), {WIDTH})-1] AS braw FROM (SELECT *, unnest(range(1, len(c) - least(len(c), {WIDTH}) + 2)) AS i FROM bc)),
+bk AS (SELECT * FROM bw WHERE len(list_filter(k, lambda x: starts_with(x, '<'))) * 2 <= w),
+dw AS (SELECT doc_id, p, w, c[p:p+w-1] AS k, raw[p:p+w-1] AS draw FROM (SELECT *, unnest(range(1, len(c) - w + 2)) AS p FROM dc, (SELECT DISTINCT w FROM bk))),
+hit AS (SELECT doc_id, item_id, bpos, p - bpos AS line, k, braw, draw FROM dw JOIN bk USING (k)),
+slot AS (SELECT DISTINCT doc_id, item_id, line, {bare('b')} AS bv, {bare('v')} AS dv FROM (SELECT doc_id, item_id, line, unnest(k) AS x, unnest(braw) AS b, unnest(draw) AS v FROM hit) WHERE starts_with(x, '<')),
+wrong AS (SELECT doc_id, item_id, line FROM slot GROUP BY ALL HAVING count(*) <> count(DISTINCT bv) OR count(*) <> count(DISTINCT dv)),
+n AS (SELECT doc_id, item_id, max(n) AS n FROM (SELECT doc_id, item_id, line, count(DISTINCT bpos) AS n FROM hit ANTI JOIN wrong USING (doc_id, item_id, line) GROUP BY ALL) GROUP BY ALL),
+found AS (SELECT doc_id, item_id, n FROM n JOIN (SELECT item_id, count(*) AS a FROM bk GROUP BY 1) USING (item_id) WHERE n >= a * {SHARE}),
+v AS (SELECT doc_id, list(item_id ORDER BY item_id) AS items, sum(n) AS n FROM found GROUP BY 1)
+SELECT documents.doc_id, v.doc_id IS NOT NULL AS contaminated, coalesce(items, []::BIGINT[]) AS items, coalesce(n, 0)::BIGINT AS n_windows FROM documents LEFT JOIN v ON v.doc_id = documents.doc_id
+"""
+
+
+ORACLES["op10_decontaminate"] = _op10_sql()
