@@ -111,3 +111,17 @@ SELECT documents.doc_id, v.doc_id IS NOT NULL AS contaminated, coalesce(items, [
 
 
 ORACLES["op10_decontaminate"] = _op10_sql()
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.sentencepiece_codec import encode
+
+    return encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents")).drop("words_by_label")
