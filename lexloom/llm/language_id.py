@@ -236,3 +236,24 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
         model = train(docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND NOT held_out"))
     asked = docs.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return asked.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, words_by_label array<bigint>")
+
+
+def _keep(model: Model, least: float):
+    predict = _predict(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = pa.RecordBatch.from_arrays(
+                [pa.array(range(batch.num_rows), pa.int64()), pa.array([False] * batch.num_rows), batch.column("text"), batch.column("__lettered")], ["doc_id", "held_out", "text", "lettered"]
+            )
+            good = np.concatenate([np.zeros(0, bool)] + [(np.array(b.column("lang_pred").to_pylist(), object) != "und") & (b.column("score").to_numpy() >= least) for b in predict(iter([asked]))])
+            yield batch.drop_columns(["__lettered"]).filter(pa.array(good.astype(bool)))
+
+    return run
+
+
+def keep_identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
+    """The rows whose language is found with a score of `least` or more, all columns as they are; no row is moved."""
+    known = pick(documents, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = train(known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))))
+    return documents.withColumn("__lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(_keep(model, least), documents.schema)

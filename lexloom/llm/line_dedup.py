@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,3 +174,24 @@ def remove_repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, bits
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     late = repeated_lines(documents, least, bits)
     return docs.join(late, "doc_id", "left").mapInArrow(_drop(least), "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string")
+
+
+def _replace(least: int):
+    drop = _drop(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.concat_arrays([x.column("kept") for x in drop(iter([batch]))]) if batch.num_rows else batch.column("text")
+            null = batch.column("text").is_null()
+            text = pc.if_else(null, pa.nulls(batch.num_rows, pa.string()), kept.cast(pa.string()))
+            names = [n for n in batch.schema.names if n != "late"]
+            yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names)
+
+    return run
+
+
+def with_lines_removed(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int = BLOOM_BITS) -> DataFrame:
+    """The rows with the repeated lines taken out of their text and n_chars (where there is one) set anew; no row is dropped."""
+    late = repeated_lines(documents, least, bits)
+    clean = documents.join(late, "doc_id", "left").select(*documents.columns, "late").mapInArrow(_replace(least), documents.schema)
+    return clean.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else clean
