@@ -156,3 +156,38 @@ SELECT h.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10)
   sum(size + CASE WHEN opens THEN CASE WHEN sys THEN s0 ELSE 0 END + CASE h.h WHEN 2 THEN z1 + z2 WHEN 1 THEN z1 ELSE 0 END ELSE 0 END)::BIGINT AS formatted_chars
 FROM h JOIN r ON r.conv_id = h.conv_id AND r.i = h.i GROUP BY h.conv_id
 """
+
+
+@query
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.topk_search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+ORACLES["op3_topk_search"] = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.shared import scratch_path
+    from lexloom.llm.warc import plan_records, read_archives, summarise, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(plan_records(table(spark, sf_dir, "pages")), path)
+    return summarise(read_archives(spark, path))
+
+
+ORACLES["op4_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS best FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + (i // 8) * 10, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < best THEN best END AS refers_to FROM d
+"""
