@@ -191,3 +191,10 @@ d AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha1(t)
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + (i // 8) * 10, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
   CASE WHEN page_id < best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < best THEN best END AS refers_to FROM d
 """
+
+
+@query
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.html_extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
