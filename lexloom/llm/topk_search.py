@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.shared import pick, settle
 
-PIVOTS, QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 16, 1024, 8192, 512
+PIVOTS, QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 16, 512, 4096, 1024
+#: Tasks that share the candidates of one block of queries; within a task the best so far carry over from block to block.
+SHARES = 2
 
 
 def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -72,43 +74,64 @@ def _pack(name: str, block: int, pivots: np.ndarray | None):
     return run
 
 
-def nearest(q: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, norms: np.ndarray, table: np.ndarray, to_pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, scores) of the k best candidates of one block and how many were evaluated."""
-    own = float(q @ q)
-    low = np.abs(table - to_pivots).max(axis=1) if table.shape[1] else np.zeros(len(ids))
-    bound = (own + norms - np.maximum(low - 1e-6, 0) ** 2) / 2 + 1e-6
-    order = np.argsort(-bound, kind="stable")
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+def upper_bounds(q: np.ndarray, norms_q: np.ndarray, norms: np.ndarray, to_pivots: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Largest possible inner product of each query with each candidate, from the pivot that tells most."""
+    apart = np.zeros((len(norms_q), len(norms)))
+    for p in range(table.shape[1]):
+        np.maximum(apart, np.abs(to_pivots[:, p, None] - table[None, :, p]), out=apart)
+    return (norms_q[:, None] + norms[None, :] - np.maximum(apart - 1e-6, 0) ** 2) / 2 + 1e-6
+
+
+class Best:
+    """The k best (id, score) of one query so far."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0)
+
+    def least(self) -> float:
+        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        good = scores >= self.least()
+        ids, scores = np.r_[self.ids, ids[good]], np.r_[self.scores, scores[good]]
+        top = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[top], scores[top]
+
+
+def meet(best: Best, q: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> int:
+    """Evaluate one block's candidates in the order of their bounds until none left can be among the best; returns how many were."""
+    left = np.flatnonzero((bound >= best.least()) & (ids != q_id))
+    left = left[np.argsort(-bound[left])]
     done = 0
-    while done < len(order):
-        if len(best) >= k and bound[order[done]] < best[k - 1]:
-            break
-        part = order[done : done + CHUNK]
-        if len(best) >= k:
-            part = part[bound[part] >= best[k - 1]]
-        done += CHUNK
-        part = part[ids[part] != q_id]
-        all_ids, score = np.r_[best_ids, ids[part]], np.r_[best, x[part] @ q]
-        top = np.lexsort((all_ids, -score))[:k]
-        best_ids, best = all_ids[top], score[top]
-    return best_ids, best, done
+    while done < len(left) and bound[left[done]] >= best.least():
+        part = left[done : done + (CHUNK if done else CHUNK // 4)]
+        best.add(ids[part], x[part] @ q)
+        done += len(part)
+    return done
 
 
 def _search(k: int, pivots: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, list[Best]]] = {}  # blocks of queries met in this task
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
-                x, q = np.frombuffer(row["x"], "<i4").reshape(len(ids), dim).astype(float), np.frombuffer(row["q_x"], "<i4").reshape(len(q_ids), dim).astype(float)
+                ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["x"], "<i4").reshape(-1, dim).astype(float)
                 table = np.frombuffer(row["table"], np.float64).reshape(len(ids), -1)
-                norms = (x * x).sum(axis=1)
-                out = []
-                for i in range(len(q_ids)):
-                    to = np.sqrt(((q[i] - pivots) ** 2).sum(axis=1)) if table.shape[1] else np.zeros(0)
-                    found, score, _ = nearest(q[i], int(q_ids[i]), ids, x, norms, table, to, k)
-                    out.append((np.full(len(found), q_ids[i]), found, score.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                key = (dim, row["q_block"])
+                if key not in found:
+                    q_ids = np.frombuffer(row["q_ids"], "<i8")
+                    found[key] = q_ids, np.frombuffer(row["q_x"], "<i4").reshape(-1, dim).astype(float), [Best(k) for _ in q_ids]
+                q_ids, q, best = found[key]
+                to = np.sqrt(((q[:, None, :] - pivots[None]) ** 2).sum(axis=2)) if table.shape[1] else np.zeros((len(q), 0))
+                norms, norms_q = (x * x).sum(axis=1), (q * q).sum(axis=1)
+                for lo in range(0, len(q), 64):
+                    bound = upper_bounds(q[lo : lo + 64], norms_q[lo : lo + 64], norms, to[lo : lo + 64], table)
+                    for i in range(len(bound)):
+                        meet(best[lo + i], q[lo + i], int(q_ids[lo + i]), ids, x, bound[i])
+        for q_ids, _, best in found.values():
+            ids = np.concatenate([np.full(len(b.ids), i) for i, b in zip(q_ids, best, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.concatenate([b.ids for b in best])), pa.array(np.concatenate([b.scores for b in best]).astype(np.int64))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -124,7 +147,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     blocks = settle(base.mapInArrow(_pack("block", CANDIDATE_BLOCK, pivots), shape.format("block")), "candidate-blocks")
     asked = settle(usable(queries, scale).mapInArrow(_pack("q_block", QUERY_BLOCK, None), shape.format("q_block")), "query-blocks").select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
     # every block of queries meets every block of candidates of its length: blocks, not rows, are paired
-    met = blocks.join(asked, "dim").repartition("block", "q_block")
+    met = blocks.join(asked, "dim").withColumn("share", F.pmod(F.xxhash64("block"), F.lit(SHARES))).repartition("q_block", "share")
     found = met.mapInArrow(_search(k, pivots), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
