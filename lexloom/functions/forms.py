@@ -99,8 +99,8 @@ def moved_grades(pairs: Column, pos_summary: Column, word: Column) -> Column:
         )
         return F.when(p["slot"] == "s", new).otherwise(p["slot"])
 
-    moved = F.transform(pairs, lambda p: F.struct(slot(p).alias("slot"), p["form"].alias("form"), (slot(p) != p["slot"]).alias("moved")))
-    ordered = F.concat(F.filter(moved, lambda p: ~p["moved"]), F.filter(moved, lambda p: p["moved"]))
+    placed = F.transform(pairs, lambda p: F.struct(p["slot"].alias("old"), slot(p).alias("slot"), p["form"].alias("form")))
+    ordered = F.concat(F.filter(placed, lambda p: p["slot"] == p["old"]), F.filter(placed, lambda p: p["slot"] != p["old"]))
     return F.array_distinct(F.transform(ordered, lambda p: F.struct(p["slot"].alias("slot"), p["form"].alias("form"))))
 
 

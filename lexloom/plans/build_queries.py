@@ -126,8 +126,8 @@ def regular_inflection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 's' WHEN 'N' THEN '3' ELSE 'p' END AS slot, '(x) ' || l_linestatus || ' ,' || l_linestatus || (l_quantity::INT % 3) AS v FROM lineitem),
-f AS (SELECT l_orderkey, slot, l_linenumber * 10 + j AS o, trim(string_split(substr(v, 5), ',')[j]) AS form FROM i, (SELECT unnest([1, 2]) AS j)),
+    """WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, slot || ':' || v) AS rn FROM (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 's' WHEN 'N' THEN '3' ELSE 'p' END AS slot, '(x) ' || l_linestatus || ' ,' || l_linestatus || (floor(l_quantity)::INT % 3) AS v FROM lineitem)),
+f AS (SELECT l_orderkey, slot, rn * 10 + j AS o, trim(string_split(substr(v, 5), ',')[j]) AS form FROM i, (SELECT unnest([1, 2]) AS j)),
 d AS (SELECT l_orderkey, slot, form, min(o) AS o FROM f GROUP BY ALL),
 s AS (SELECT l_orderkey, string_agg(slot || ':' || form, '/' ORDER BY CASE slot WHEN '3' THEN 0 WHEN 'p' THEN 1 ELSE 2 END, o) AS exchange, count(*) AS n FROM d GROUP BY 1) SELECT l_orderkey, exchange, n::INT AS n_forms FROM s"""
 )
@@ -145,7 +145,7 @@ GRADED = "(b = '' OR f = b || '{e}' OR (b LIKE '%e' AND f = b || '{t}') OR (b LI
 
 @query(
     f"""WITH {LEX}, e AS (SELECT word AS b, n % 2 = 0 AS g, unnest(['better', word || 'er', word || 's', word || 'est', left(word, -1) || 'est']) AS f, unnest(range(5)) AS i FROM lex),
-m AS (SELECT b, i, f, CASE WHEN f = 'better' THEN 'c' WHEN g AND f LIKE '%er' AND {GRADED.format(e="er", t="r")} THEN 'c' WHEN g AND f LIKE '%est' AND {GRADED.format(e="est", t="st")} THEN 'sup' ELSE 's' END AS slot FROM e),
+m AS (SELECT b, i, f, CASE WHEN f IN ('more', 'less', 'better', 'worse', 'farther', 'further') THEN 'c' WHEN f IN ('most', 'least', 'best', 'worst', 'farthest', 'furthest') THEN 'sup' WHEN g AND f LIKE '%er' AND {GRADED.format(e="er", t="r")} THEN 'c' WHEN g AND f LIKE '%est' AND {GRADED.format(e="est", t="st")} THEN 'sup' ELSE 's' END AS slot FROM e),
 u AS (SELECT b, slot, f, min(i) AS i FROM m GROUP BY ALL)
 SELECT b AS word, string_agg(slot || ':' || f, '/' ORDER BY CASE slot WHEN 's' THEN 0 WHEN 'c' THEN 1 ELSE 2 END, i) AS exchange FROM u GROUP BY b"""
 )
