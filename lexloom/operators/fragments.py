@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import bracket_han, display, meaning_key, qualified, split_outside_brackets, without_brackets, without_long_brackets
@@ -42,33 +42,38 @@ def one_value(values: Column) -> Column:
     return F.when(F.size(distinct) == 1, distinct[0])
 
 
-def meaning_items(records: Column) -> Column:
-    """records: array of (text, qualifier, countability) in sense order -> array of (text, countability).
+def meaning_items(df: DataFrame, records: str, out: str = "items") -> DataFrame:
+    """records: array of (text, qualifier, countability) in sense order -> `out`: array of (text, countability).
 
     A single record is shown whole.  Otherwise the first record's first two fragments are the primary item, filled up from
     later records; every later record then adds its first fragment not used yet (one that says more than 存在 if qualified).
+    Steps are columns of their own, so that none is evaluated again inside a lambda.
     """
     item = lambda text, count: F.struct(text.alias("text"), count.alias("countability"))
-    only = F.array(item(qualified(records[0]["text"], records[0]["qualifier"]), records[0]["countability"]))
-    each = F.transform(records, lambda r: F.struct(r["qualifier"].alias("qualifier"), r["countability"].alias("countability"), unique_fragments(r["text"]).alias("fragments")))
-    head = F.slice(each[0]["fragments"], 1, 2)
-    head_keys = F.transform(head, lambda f: f["key"])
-    later = F.slice(each, 2, F.greatest(F.size(each) - 1, F.lit(0)))
-    spare = F.transform(F.flatten(F.transform(later, lambda r: F.transform(r["fragments"], lambda f: F.struct(f["text"].alias("text"), f["key"].alias("key"), r["countability"].alias("countability"))))), lambda f: f)
-    spare = F.filter(spare, lambda f: ~F.array_contains(head_keys, f["key"]))
-    extra = F.when((F.size(head) > 0) & (F.size(head) < 2), F.slice(spare, 1, 1)).otherwise(F.slice(spare, 1, 0))
-    texts = F.concat(F.transform(head, lambda f: f["text"]), F.transform(extra, lambda f: f["text"]))
-    counts = F.concat(F.array(each[0]["countability"]), F.transform(extra, lambda f: f["countability"]))
-    primary = F.when(F.size(head) > 0, F.array(item(qualified(F.array_join(texts, ","), each[0]["qualifier"]), one_value(counts)))).otherwise(F.slice(only, 1, 0))
-    used = F.concat(head_keys, F.transform(extra, lambda f: f["key"]))
-    start = F.struct(used.alias("used"), F.slice(only, 1, 0).alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
+    none = F.array().cast("array<struct<text:string,countability:string>>")
+    flat = lambda r: F.transform(r["fragments"], lambda f: F.struct(f["text"].alias("text"), f["key"].alias("key"), r["countability"].alias("countability")))
+    df = df.withColumn("__each", F.transform(records, lambda r: F.struct(r["qualifier"].alias("qualifier"), r["countability"].alias("countability"), unique_fragments(r["text"]).alias("fragments"))))
+    df = df.withColumns({"__head": F.slice(F.col("__each")[0]["fragments"], 1, 2), "__later": F.slice("__each", F.lit(2), F.greatest(F.size("__each") - 1, F.lit(0)))})
+    df = df.withColumn("__keys", F.transform("__head", lambda f: f["key"]))
+    df = df.withColumn("__spare", F.filter(F.flatten(F.transform("__later", flat)), lambda f: ~F.array_contains(F.col("__keys"), f["key"])))
+    short = (F.size("__head") > 0) & (F.size("__head") < 2)
+    df = df.withColumn("__extra", F.when(short, F.slice("__spare", 1, 1)).otherwise(F.slice("__spare", 1, 0)))
+    texts = F.concat(F.transform("__head", lambda f: f["text"]), F.transform("__extra", lambda f: f["text"]))
+    counts = F.concat(F.array(F.col("__each")[0]["countability"]), F.transform("__extra", lambda f: f["countability"]))
+    df = df.withColumn("__first", F.when(F.size("__head") > 0, F.array(item(qualified(F.array_join(texts, ","), F.col("__each")[0]["qualifier"]), one_value(counts)))).otherwise(none))
+    start = F.struct(F.concat("__keys", F.transform("__extra", lambda f: f["key"])).alias("used"), none.alias("out"))
+
+    def choose(s: Column, r: Column) -> Column:
         left = F.filter(r["fragments"], lambda f: ~F.array_contains(s["used"], f["key"]))
         telling = F.filter(left, lambda f: f["key"] != "存在")
-        chosen = F.when((F.coalesce(r["qualifier"], F.lit("")) != "") & (F.size(telling) > 0), telling[0]).otherwise(left[0])
-        more = F.struct(F.concat(s["used"], F.array(chosen["key"])).alias("used"), F.concat(s["out"], F.array(item(qualified(chosen["text"], r["qualifier"]), r["countability"]))).alias("out"))
-        return F.when(F.size(left) > 0, more).otherwise(s)
+        plain = F.coalesce(r["qualifier"], F.lit("")) == ""
+        return F.coalesce(F.when(~plain, F.try_element_at(telling, F.lit(1))), F.try_element_at(left, F.lit(1)))
+
+    def step(s: Column, r: Column) -> Column:
+        picked = F.transform(F.array(choose(s, r)), lambda c: F.when(c.isNotNull(), F.struct(F.concat(s["used"], F.array(c["key"])).alias("used"), F.concat(s["out"], F.array(item(qualified(c["text"], r["qualifier"]), r["countability"]))).alias("out"))).otherwise(s))
+        return picked[0]
 
-    rest = F.aggregate(later, start, step, lambda s: s["out"])
-    return F.when(F.size(records) == 1, only).otherwise(F.concat(primary, rest))
+    rest = F.aggregate("__later", start, step, lambda s: s["out"])
+    only = F.array(item(qualified(F.col(records)[0]["text"], F.col(records)[0]["qualifier"]), F.col(records)[0]["countability"]))
+    df = df.withColumn(out, F.when(F.size(records) == 1, only).otherwise(F.concat("__first", rest)))
+    return df.drop("__each", "__head", "__later", "__keys", "__spare", "__extra", "__first")
