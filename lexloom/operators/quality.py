@@ -76,6 +76,11 @@ def suite(entries: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+def file_name(path: Column) -> Column:
+    """Name of a shard file, told apart by its shard: `w-part-0.json` of `shard=w/part-0.json`."""
+    return F.concat(F.regexp_replace(F.regexp_extract(path, "shard=([^/]*)/[^/]*$", 1), "$", "-"), F.element_at(F.split(path, "/"), -1))
+
+
 def check_manifest(manifest: DataFrame, pack_type: str) -> DataFrame:
     """rule, ok for a one-row manifest: required strings, type, date, positive counts, files."""
     text = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
@@ -95,6 +100,6 @@ def check_manifest(manifest: DataFrame, pack_type: str) -> DataFrame:
 def check_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """name, exists, size_ok, sha_ok of each declared file.  listing: path, content (binaryFile)."""
     declared = manifest.select(F.explode("files").alias("f")).select("f.*")
-    have = listing.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.length("content").alias("have_size"), F.sha2("content", 256).alias("have_sha"))
+    have = listing.select(file_name(F.col("path")).alias("name"), F.length("content").alias("have_size"), F.sha2("content", 256).alias("have_sha"))
     df = declared.join(have, "name", "left")
     return df.select("name", F.col("have_size").isNotNull().alias("exists"), F.coalesce(F.col("have_size") == F.col("size"), F.lit(False)).alias("size_ok"), F.coalesce(F.col("have_sha") == F.col("sha256"), F.lit(False)).alias("sha_ok"))

@@ -286,3 +286,15 @@ def json_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and values of the events' JSON properties."""
     each = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string, string>")).alias("k", "v"))
     return each.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+
+
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '<a href=')) AS n_links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs, trim(regexp_replace(regexp_extract(html, '<li><a href="[^"]*">([^<]*)</a>', 1), '\s+', ' ', 'g')) AS first_link FROM pages"""
+)
+def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and paragraphs of the shredded pages."""
+    from lexloom.sources.markup import first_text, inside, shred, with_tag
+
+    pages = shred(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
+    nodes = F.col("nodes")
+    return pages.select("page_id", F.size(with_tag(nodes, "a")).cast("long").alias("n_links"), F.size(with_tag(nodes, "p")).cast("long").alias("n_paragraphs"), first_text(inside(with_tag(nodes, "a"), with_tag(nodes, "li"))).alias("first_link"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import squeeze
-from lexloom.operators.quality import shard
+from lexloom.operators.quality import file_name, shard
 
 FIELDS = ["word", "phonetic", "translation", "pos", "exchange"]
 EMPTY = "word string, phonetic string, translation string, pos string, exchange string"
@@ -76,7 +76,7 @@ def write_shards(df: DataFrame, path: str, rule: str = "first_char") -> None:
 def write_manifest(spark: SparkSession, path: str, shards: str, pack_type: str, metrics: dict[str, int], version: str = "1") -> DataFrame:
     """One JSON row with counts and name, size and SHA-256 of every shard file under `shards`."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(shards)
-    listed = files.select(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size")).alias("f"))
+    listed = files.select(F.struct(file_name(F.col("path")).alias("name"), F.sha2("content", 256).alias("sha256"), F.length("content").cast("long").alias("size")).alias("f"))
     df = listed.agg(F.sort_array(F.collect_list("f")).alias("files"), F.count("*").cast("int").alias("shardCount"))
     df = df.select(F.lit(version).alias("schemaVersion"), F.lit(version).alias("dataVersion"), F.lit(version).alias("pipelineVersion"), F.lit(pack_type).alias("packType"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generatedAt"), "shardCount", *[F.lit(v).alias(k) for k, v in metrics.items()], "files")
     df.coalesce(1).write.mode("overwrite").json(path)
