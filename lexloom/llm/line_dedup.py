@@ -181,10 +181,11 @@ def _replace(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = pa.concat_arrays([x.column("kept") for x in drop(iter([batch]))]) if batch.num_rows else batch.column("text")
+            asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column("__late")], ["doc_id", "text", "late"])
+            kept = pa.concat_arrays([x.column("kept") for x in drop(iter([asked]))]) if batch.num_rows else batch.column("text")
             null = batch.column("text").is_null()
             text = pc.if_else(null, pa.nulls(batch.num_rows, pa.string()), kept.cast(pa.string()))
-            names = [n for n in batch.schema.names if n != "late"]
+            names = [n for n in batch.schema.names if n != "__late"]
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names)
 
     return run
@@ -192,6 +193,6 @@ def _replace(least: int):
 
 def with_lines_removed(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int = BLOOM_BITS) -> DataFrame:
     """The rows with the repeated lines taken out of their text and n_chars (where there is one) set anew; no row is dropped."""
-    late = repeated_lines(documents, least, bits)
-    clean = documents.join(late, "doc_id", "left").select(*documents.columns, "late").mapInArrow(_replace(least), documents.schema)
+    late = repeated_lines(documents, least, bits).select("doc_id", F.col("late").alias("__late"))
+    clean = documents.join(late, "doc_id", "left").select(*documents.columns, "__late").mapInArrow(_replace(least), documents.schema)
     return clean.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else clean

@@ -142,7 +142,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
     drawn = base.select("v", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h").limit(PIVOTS).collect()
     dims = [len(r["v"]) for r in drawn]
     dim = max(set(dims), key=dims.count) if dims else 0
-    pivots = np.array([r["v"] for r in drawn if len(r["v"]) == dim], float).reshape(-1, dim)
+    used = [r["v"] for r in drawn if len(r["v"]) == dim]
+    pivots = np.array(used, float).reshape(len(used), dim)
     shape = "dim int, {} long, ids binary, x binary, table binary"
     blocks = settle(base.mapInArrow(_pack("block", CANDIDATE_BLOCK, pivots), shape.format("block")), "candidate-blocks")
     asked = settle(usable(queries, scale).mapInArrow(_pack("q_block", QUERY_BLOCK, None), shape.format("q_block")), "query-blocks").select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
