@@ -241,3 +241,41 @@ def forward_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def plural_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = forms_of(slot_forms(F.col("exchange")), "s")
     return derived_entries(spark, sf_dir).select("word", F.array_join(forms, ",").alias("plurals")).where("plurals <> ''")
+
+
+def final_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build; a third kind of words (their number of occurrences divides by five) has a link from the word with an x."""
+    from lexloom.operators.relate import final_entries as build
+
+    words = lex(spark, sf_dir)
+    entries = derived_entries(spark, sf_dir).withColumn("translation", F.concat(F.lit("n. a\nv. b\nadj. "), "word"))
+    links = words.where("n % 5 = 0").select(F.concat("word", F.lit("x")).alias("word"), F.col("word").alias("target"), (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"))
+    return build(entries, links)
+
+
+@query(
+    f"""WITH {ROWS}, l AS (SELECT word || 'x' AS word FROM lex WHERE n % 5 = 0 AND word || 'x' NOT IN (SELECT word FROM lex)),
+m AS (SELECT DISTINCT form FROM rows_ WHERE form NOT IN (SELECT word FROM lex) AND form NOT IN (SELECT word FROM l))
+SELECT 'standalone' AS entry_kind, (SELECT count(*) FROM lex) AS n UNION ALL SELECT 'alias', (SELECT count(*) FROM l) UNION ALL SELECT 'inflection', (SELECT count(*) FROM m)"""
+)
+def entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return final_entries(spark, sf_dir).groupBy("entry_kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LEX} SELECT word AS word, word AS target FROM lex WHERE false")
+def dangling_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Navigable relations of the final entries without an entry: there are none."""
+    from lexloom.operators.relate import dangling
+
+    return dangling(final_entries(spark, sf_dir))
+
+
+@query(
+    f"""WITH {ROWS}, m AS (SELECT form, arg_min(base, (ord, phase, seq)) AS owner, arg_min(label, (ord, phase, seq)) AS label FROM (SELECT base, label, form, max(phase) AS phase, arg_max(ord, phase) AS ord, arg_max(seq, phase) AS seq FROM rows_ GROUP BY ALL)
+WHERE form NOT IN (SELECT word FROM lex) AND form NOT IN (SELECT word || 'x' FROM lex WHERE n % 5 = 0) GROUP BY form)
+SELECT form AS word, ent.word AS linked_word, label, CASE label WHEN '复数' THEN list_filter(string_split(ent.pos, '/'), lambda p: p LIKE 'n:%')[1] WHEN '比较级' THEN 'adj:50' WHEN '最高级' THEN 'adj:50' ELSE list_filter(string_split(ent.pos, '/'), lambda p: p LIKE 'v:%')[1] END AS pos,
+CASE label WHEN '复数' THEN 'n. a' WHEN '比较级' THEN 'adj. ' || ent.word WHEN '最高级' THEN 'adj. ' || ent.word ELSE 'v. b' END AS translation FROM m JOIN ent ON ent.word = m.owner"""
+)
+def materialised_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = final_entries(spark, sf_dir).where("entry_kind = 'inflection'")
+    return made.select("word", "linked_word", F.col("relations")[0]["label"].alias("label"), "pos", "translation")

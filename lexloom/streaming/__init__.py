@@ -1,0 +1 @@
+"""The reference has no unbounded input; there are no streaming operators."""

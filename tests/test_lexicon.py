@@ -119,3 +119,22 @@ def test_packs(spark, tmp_path):
     assert {r["word"] for r in read_pack(spark, str(tmp_path), "ecd").where("shard = 'w'").collect()} == {"walk"}
     assert read_pack(spark, f"{tmp_path}/nowhere", "ecd").isEmpty()
     assert [one(spark, shard(F.lit(w))) for w in ("walk", "#t", "ς", "")] == ["w", "#", "σ", "_"]
+
+
+def test_final_entries(spark):
+    from lexloom.operators.relate import dangling, final_entries
+
+    rows = [("walk", "v:67/n:33", "v. 行走\nn. 步行", "3:walks/p:walked/d:walked/i:walking"), ("go", "v:100", "v. 去", "p:went/d:gone"), ("went", "v:100", "v. x", ""), ("leaf", "n:100", "n. 叶", "s:leaves"), ("leave", "v:86/n:14", "v. 离开\nn. 假", "3:leaves"), ("found", "v:100", "v. 建立", ""), ("find", "v:100", "v. 找", "p:found")]
+    entries_ = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "word string, pos string, translation string, exchange string, ord long")
+    links = spark.createDataFrame([("walking", "walk", 0), ("Walked", "walk", 1), ("leaves", "leaf", 2), ("wlk", "walk", 3), ("none", "nowhere", 4), ("go", "walk", 5)], "word string, target string, ord long")
+    got = {r["word"]: r for r in final_entries(entries_.repartition(3), links).collect()}
+    assert dangling(final_entries(entries_, links)).isEmpty()
+    walk = [(r["type"], r["label"], r["target"]) for r in got["walk"]["relations"]]
+    assert walk[:4] == [("inflection", "第三人称单数", "walks"), ("inflection", "过去式", "walked"), ("inflection", "过去分词", "walked"), ("inflection", "现在分词", "walking")]
+    assert got["walking"]["entry_kind"] == "inflection" and got["walking"]["translation"] == "v. 行走" and got["walking"]["exchange"] == "i:walking"
+    assert got["Walked"]["pos"] == "v:67" and [(r["label"], r["primary"]) for r in got["Walked"]["relations"]] == [("过去式", True), ("过去分词", None)]
+    assert {(r["target"], r["label"]) for r in got["leaves"]["relations"]} == {("leaf", "复数"), ("leave", "第三人称单数")} and got["leaves"]["display_word"] == "leaf"
+    assert got["wlk"]["entry_kind"] == "alias" and got["wlk"]["relations"] == [] and got["wlk"]["linked_word"] == "walk"
+    assert got["went"]["relations"][0]["type"] == "origin" and got["went"]["relations"][1]["target"] == "gone"
+    assert [(r["type"], r["target"]) for r in got["found"]["relations"]] == [("xref", "find")]
+    assert got["gone"]["entry_kind"] == "inflection" and got["gone"]["linked_word"] == "go" and "none" not in got
