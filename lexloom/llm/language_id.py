@@ -27,6 +27,8 @@ from lexloom.llm.shared import pick
 
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 BUCKETS, SEGMENT, STEPS, RATE, DECAY = 1 << 16, 64, 12, 0.5, 1e-4
+#: Bytes of text labelled together; a word's features take some 80 bytes for each of its own.
+PREDICT_BYTES = 3 << 17
 _U = np.uint64
 
 
@@ -181,7 +183,7 @@ def _predict(model: Model):
         k = len(model.labels)
         for batch in batches:
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-            for lo, hi, raw, at in tb.chunks(batch.column("text")):
+            for lo, hi, raw, at in tb.chunks(batch.column("text"), PREDICT_BYTES):
                 w = word_features(raw, at)
                 names, scores, words = ["und"] * (hi - lo), [0.0] * (hi - lo), [[0] * k] * (hi - lo)
                 if k and len(w.of):
@@ -235,7 +237,7 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     if model is None:
         model = train(docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND NOT held_out"))
     asked = docs.select("doc_id", "held_out", "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    return asked.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, words_by_label array<bigint>")
+    return asked.mapInArrow(tb.bounded(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, words_by_label array<bigint>")
 
 
 def _keep(model: Model, least: float):
@@ -256,4 +258,4 @@ def keep_identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows whose language is found with a score of `least` or more, all columns as they are; no row is moved."""
     known = pick(documents, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
     model = train(known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))))
-    return documents.withColumn("__lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(_keep(model, least), documents.schema)
+    return documents.withColumn("__lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tb.bounded(_keep(model, least)), documents.schema)

@@ -157,13 +157,13 @@ def repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int =
     """doc_id, late: the key hashes that a smaller document holds, of each document that has some."""
     spark = documents.sparkSession
     docs = pick(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    filters = docs.mapInArrow(_fill(bits, least), "block int, once binary, again binary")
-    merged = filters.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block int, again binary")
+    filters = docs.mapInArrow(tb.bounded(_fill(bits, least)), "block int, once binary, again binary")
+    merged = filters.repartition("block").sortWithinPartitions("block").mapInArrow(tb.bounded(_merge), "block int, again binary")
     packed = np.zeros(bits // 8, np.uint8)
     for block, data in merged.collect():  # bits / 8 bytes at most
         packed[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(data, np.uint8)
     again = spark.sparkContext.broadcast(packed.tobytes())
-    suspects = settle(docs.mapInArrow(_suspect(again, bits, least), "doc_id long, h1 long, h2 long"), "suspect-lines")
+    suspects = settle(docs.mapInArrow(tb.bounded(_suspect(again, bits, least)), "doc_id long, h1 long, h2 long"), "suspect-lines")
     first = settle(suspects.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-lines")
     late = suspects.join(first, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
     return settle(late, "late-lines")
@@ -173,7 +173,7 @@ def remove_repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, bits
     """doc_id, n_lines, n_dropped, kept (lines left, joined by \\n), kept_sha256 of every document."""
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     late = repeated_lines(documents, least, bits)
-    return docs.join(late, "doc_id", "left").mapInArrow(_drop(least), "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string")
+    return docs.join(late, "doc_id", "left").mapInArrow(tb.bounded(_drop(least)), "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string")
 
 
 def _replace(least: int):
@@ -194,5 +194,5 @@ def _replace(least: int):
 def with_lines_removed(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int = BLOOM_BITS) -> DataFrame:
     """The rows with the repeated lines taken out of their text and n_chars (where there is one) set anew; no row is dropped."""
     late = repeated_lines(documents, least, bits).select("doc_id", F.col("late").alias("__late"))
-    clean = documents.join(late, "doc_id", "left").select(*documents.columns, "__late").mapInArrow(_replace(least), documents.schema)
+    clean = documents.join(late, "doc_id", "left").select(*documents.columns, "__late").mapInArrow(tb.bounded(_replace(least)), documents.schema)
     return clean.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else clean

@@ -32,7 +32,7 @@ from lexloom.llm.shared import join_small, pick, settle
 
 WORDS, PERCENT = 5, 75
 #: Shingles of one block of nodes; shingles of one fragment (sets the number of fragments); fragments of one overlap count.
-BLOCK_SHINGLES, FRAGMENT_SHINGLES, LEAST_FRAGMENTS, PARTS = 1 << 20, 1 << 20, 64, 8
+BLOCK_SHINGLES, FRAGMENT_SHINGLES, LEAST_FRAGMENTS, PARTS = 1 << 19, 1 << 20, 64, 8
 #: Nodes of one side of a block pair in step 4.
 GROUP_BLOCK = 4096
 _U = np.uint64
@@ -323,7 +323,7 @@ def components(edges: DataFrame, ids: DataFrame) -> DataFrame:
 def near_duplicate_components(documents: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included) of every document."""
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = settle(docs.mapInArrow(_sets(k), "doc_id long, n_shingles long, node binary"), "sets")
+    sets = settle(docs.mapInArrow(tb.bounded(_sets(k)), "doc_id long, n_shingles long, node binary"), "sets")
     ids = settle(sets.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     fragments = max(LEAST_FRAGMENTS, total // FRAGMENT_SHINGLES)
@@ -332,10 +332,10 @@ def near_duplicate_components(documents: DataFrame, k: int = WORDS, percent: int
     def of(nodes: DataFrame) -> DataFrame:
         return join_small(texts, nodes.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("node").alias("nodes")), ["doc_id"], "inner")
 
-    cut = of(ids).mapInArrow(_cut(k, fragments), "part int, block long, kind int, payload binary")
-    counted = cut.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(_count_fragment, "block long, kind int, payload binary")
-    able = settle(counted.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_survive(percent), "node binary").distinct(), "able")
-    nodes = settle(of(able.join(ids, "node")).mapInArrow(_expand(k), "node binary, n int, parity binary, parts array<array<bigint>>").dropDuplicates(["node"]), "able-sets")
+    cut = of(ids).mapInArrow(tb.bounded(_cut(k, fragments)), "part int, block long, kind int, payload binary")
+    counted = cut.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(tb.bounded(_count_fragment), "block long, kind int, payload binary")
+    able = settle(counted.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(tb.bounded(_survive(percent)), "node binary").distinct(), "able")
+    nodes = settle(of(able.join(ids, "node")).mapInArrow(tb.bounded(_expand(k)), "node binary, n int, parity binary, parts array<array<bigint>>").dropDuplicates(["node"]), "able-sets")
 
     held = nodes.select("node", "n", F.explode(F.flatten("parts")).alias("h"))
     often = settle(held.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
@@ -355,7 +355,7 @@ def near_duplicate_components(documents: DataFrame, k: int = WORDS, percent: int
     rows = placed.join(mixed, "h").join(nodes.select("node", "parity"), "node").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"b1": F.least("mine", "o"), "b2": F.greatest("mine", "o")})
     dealt = rows.select("h", "node", "comp", "n", "parity", "mine", "b1", "b2").repartition("h", "b1", "b2").sortWithinPartitions("h", "b1", "b2")
-    more = dealt.mapInArrow(_cross(percent), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
+    more = dealt.mapInArrow(tb.bounded(_cross(percent)), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.union(settle(_verified(settle(more, "cross-pairs"), nodes, percent), "cross-links"))
     comps = components(links, ids)
 

@@ -196,10 +196,10 @@ def remove_repeated_passages(documents: DataFrame, width: int = 50) -> DataFrame
     """doc_id, n_words, n_removed, kept (words left, joined by one space), kept_sha256 of every document."""
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    keys = settle(known.mapInArrow(_reveal(width), "doc_id long, h1 long"), "symbols")
+    keys = settle(known.mapInArrow(tb.bounded(_reveal(width)), "doc_id long, h1 long"), "symbols")
     common = settle(keys.groupBy("h1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1"), "shared-symbols")
     shared = settle(keys.join(common, "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("shared")), "symbols-by-document")
-    found = settle(known.join(shared, "doc_id").mapInArrow(_suspects(width), "doc_id long, h1 long, h2 long"), "windows")
+    found = settle(known.join(shared, "doc_id").mapInArrow(tb.bounded(_suspects(width)), "doc_id long, h1 long, h2 long"), "windows")
     first = settle(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-windows")
     late = found.join(first, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
-    return docs.join(settle(late, "late-windows"), "doc_id", "left").mapInArrow(_clean(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return docs.join(settle(late, "late-windows"), "doc_id", "left").mapInArrow(tb.bounded(_clean(width)), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
