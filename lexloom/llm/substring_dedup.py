@@ -7,6 +7,7 @@ inside equal passages agree except near their ends.  For each symbol that is lef
 depends are tracked (its context): wherever the same words stand, the same symbol stands.  So a window of `width` words
 that holds a whole context has a known symbol, and two equal windows hold the same symbols.
 
+0. A text that a smaller document holds as a whole (MD5 of the text) needs no search: all its windows start there.
 1. Symbols (and, for the few windows that hold no context, the window itself) are grouped over all documents; those
    of one document only are dropped, and with them every window that holds one.
 2. The windows left over are compared exactly (128 bits of their word sequence) and the smallest document of each
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import textblocks as tb
-from lexloom.llm.shared import pick, settle
+from lexloom.llm.shared import join_small, pick, settle
 
 #: A symbol of so many words is joined no further; rounds of joining.
 GROWN_WORDS, ROUNDS = 12, 8
@@ -152,11 +153,16 @@ def _suspects(width: int):
 def _clean(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late = batch.column("late")
+            late, copies = batch.column("late"), batch.column("copies")
             for lo, hi, raw, at in tb.chunks(batch.column("text")):
                 doc = _Parsed(raw, at, width)
                 removed = np.zeros(len(doc.symbols) + 1, np.int64)
-                some = [k for k in range(hi - lo) if late[lo + k].is_valid]
+                for k in range(hi - lo):
+                    a, b = doc.offsets[k], doc.offsets[k + 1]
+                    if b - a >= width and copies[lo + k].is_valid and len(copies[lo + k]) and hashlib.md5(raw[at[k] : at[k + 1]].tobytes()).digest() in copies[lo + k].as_py():
+                        removed[a] += 1
+                        removed[b] -= 1
+                some = [k for k in range(hi - lo) if late[lo + k].is_valid and len(late[lo + k])]
                 if some:
                     one, two = tb.windows(doc.symbols, width, 1), tb.windows(doc.symbols, width, 2)
                 for k in some:
@@ -192,14 +198,24 @@ def _clean(width: int):
     return run
 
 
+def _copies(known: DataFrame) -> DataFrame:
+    """doc_id, key: the texts (by MD5) that a document of smaller id holds as a whole; their windows all start there too."""
+    keyed = known.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
+    first = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "copied-texts")
+    return settle(keyed.join(first, "key").where("doc_id > a").select("doc_id", "key").distinct(), "copies")
+
+
 def remove_repeated_passages(documents: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words left, joined by one space), kept_sha256 of every document."""
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    keys = settle(known.mapInArrow(tb.bounded(_reveal(width)), "doc_id long, h1 long"), "symbols")
+    copies = _copies(known)
+    own = join_small(known.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))), copies, ["doc_id", "key"], "left_anti").select("doc_id", "text")
+    keys = settle(own.mapInArrow(tb.bounded(_reveal(width)), "doc_id long, h1 long"), "symbols")
     common = settle(keys.groupBy("h1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1"), "shared-symbols")
     shared = settle(keys.join(common, "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("shared")), "symbols-by-document")
-    found = settle(known.join(shared, "doc_id").mapInArrow(tb.bounded(_suspects(width)), "doc_id long, h1 long, h2 long"), "windows")
+    found = settle(own.join(shared, "doc_id").mapInArrow(tb.bounded(_suspects(width)), "doc_id long, h1 long, h2 long"), "windows")
     first = settle(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-windows")
-    late = found.join(first, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
-    return docs.join(settle(late, "late-windows"), "doc_id", "left").mapInArrow(tb.bounded(_clean(width)), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    late = found.join(first, ["h1", "h2"]).where("doc_id > a").select("doc_id", F.struct("h1", "h2").alias("w"), F.lit(None).cast("binary").alias("key"))
+    gone = late.union(copies.select("doc_id", F.lit(None).cast("struct<h1:bigint,h2:bigint>"), "key")).groupBy("doc_id").agg(F.collect_set("w").alias("late"), F.collect_set("key").alias("copies"))
+    return docs.join(settle(gone, "late-windows"), "doc_id", "left").mapInArrow(tb.bounded(_clean(width)), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
