@@ -145,3 +145,12 @@ def plural_stems(word: Column) -> Column:
     es = F.when(word.endswith("es"), F.concat(F.array(_cut(word, 2)), y)).otherwise(none)
     stems = F.concat(F.array(_cut(word, 1)), es)
     return F.when(word.endswith("s") & ~word.endswith("ss"), F.array_distinct(F.filter(stems, lambda x: x != ""))).otherwise(none)
+
+
+def moved_grades_at_lookup(pairs: Column, pos_summary: Column) -> Column:
+    """The lookup's safety net: forms of slot s in -er and -est go to c and sup on their looks, for adjectives and adverbs."""
+    graded = F.coalesce(pos_summary, F.lit("")).rlike("adj:|adv:")
+    slot = lambda p: F.when((p["slot"] == "s") & graded, F.when(F.lower(p["form"]).endswith("est"), "sup").when(F.lower(p["form"]).endswith("er"), "c").otherwise("s")).otherwise(p["slot"])
+    placed = F.transform(pairs, lambda p: F.struct(p["slot"].alias("old"), slot(p).alias("slot"), p["form"].alias("form")))
+    ordered = F.concat(F.filter(placed, lambda p: p["slot"] == p["old"]), F.filter(placed, lambda p: p["slot"] != p["old"]))
+    return F.array_distinct(F.transform(ordered, lambda p: F.struct(p["slot"].alias("slot"), p["form"].alias("form"))))

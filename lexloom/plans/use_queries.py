@@ -298,3 +298,36 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = shred(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
     nodes = F.col("nodes")
     return pages.select("page_id", F.size(with_tag(nodes, "a")).cast("long").alias("n_links"), F.size(with_tag(nodes, "p")).cast("long").alias("n_paragraphs"), first_text(inside(with_tag(nodes, "a"), with_tag(nodes, "li"))).alias("first_link"))
+
+
+@query(
+    f"""WITH {LEX}, e AS (SELECT word, '[/' || left(word, 3) || '/]' AS ph, CASE WHEN n % 4 = 0 THEN '' ELSE 'n. ' || word || chr(10) || ' plain ' END AS t FROM lex)
+SELECT word, left(word, 3) AS phonetic, CASE WHEN t = '' THEN 'n.:' || word || '|v.:' || word ELSE 'n.:' || word || '|释义:plain' END AS parts, '过去式:' || word || 'ed' AS exchanges FROM e"""
+)
+def secondary_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result rows of a secondary dictionary made of the word list."""
+    from lexloom.operators.results import secondary_results
+
+    words = lex(spark, sf_dir)
+    text = F.when(F.col("n") % 4 == 0, "").otherwise(F.concat(F.lit("n. "), "word", F.lit("\n plain ")))
+    entries = words.select("word", F.concat(F.lit("[/"), F.expr("left(word, 3)"), F.lit("/]")).alias("phonetic"), text.alias("translation"), F.lit("n v").alias("pos"), F.concat(F.lit("p:"), "word", F.lit("ed/zz:x/q")).alias("exchange"))
+    joined = lambda c, a, b: F.array_join(F.transform(c, lambda x: F.concat(x[a], F.lit(":"), x[b])), "|")
+    return secondary_results(entries).select("word", "phonetic", joined("parts", "part", "meaning").alias("parts"), joined("exchanges", "name", "word").alias("exchanges"))
+
+
+@query(
+    """SELECT lang, CASE WHEN lang IN ('de', 'en', 'es', 'fr') THEN lang ELSE 'auto' END AS code, count(*) AS n FROM documents GROUP BY ALL"""
+)
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.operators.results import language_code
+
+    return table(spark, sf_dir, "documents").groupBy("lang", language_code(F.col("lang")).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LEX} SELECT word AS root, '= to ' || word || '，' || '成长' AS meaning FROM lex WHERE length(word) BETWEEN 1 AND 20")
+def root_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions written from the word list and read again."""
+    from lexloom.operators.etymology import root_definitions as read
+
+    words = lex(spark, sf_dir)
+    return read(words.select(F.concat(F.lit("词根 -"), "word", F.lit("- = to "), "word", F.lit(", 表示“成长，长大起来”")).alias("root_text"))).select("root", "meaning")

@@ -138,3 +138,22 @@ def test_final_entries(spark):
     assert got["went"]["relations"][0]["type"] == "origin" and got["went"]["relations"][1]["target"] == "gone"
     assert [(r["type"], r["target"]) for r in got["found"]["relations"]] == [("xref", "find")]
     assert got["gone"]["entry_kind"] == "inflection" and got["gone"]["linked_word"] == "go" and "none" not in got
+
+
+def test_results(spark):
+    from lexloom.functions.forms import moved_grades_at_lookup
+    from lexloom.operators import etymology, results
+
+    answers = spark.createDataFrame([(1, '{"ec":{"word":[{"ukphone":"/wɔːk/","trs":[{"pos":"v.","tran":"走"},{"tr":[{"l":{"i":["步","行"]}}]}]}]}}'), (2, '{"ee":{"word":{"phone":"x","trs":[{"pos":"n.","tr":[{"tran":"a walk"}]}]}}}'), (3, "{}"), (4, None)], "query_id long, body string")
+    rows = [tuple(r) for r in results.provider_rows(answers).orderBy("query_id", "i").collect()]
+    assert rows == [(1, "wɔːk", "v.", "走", 0), (1, "wɔːk", "释义", "步行", 1), (2, "x", "n.", "a walk", 0)]
+    assert one(spark, results.without_variants(F.array(*map(F.lit, ["travelled", "Traveled", "labelling"])))) == ["Traveled", "labelling"]
+    assert one(spark, results.language_code(F.lit("zh-Hant"))) == "zh-CHS"
+    assert one(spark, serialise(moved_grades_at_lookup(slot_forms(F.lit("s:bigger/s:biggest/s:bigs")), F.lit("adj:100")))) == "s:bigs/c:bigger/sup:biggest"
+    assert [tuple(x) for x in one(spark, etymology.quoted_glosses(F.lit('from L. portare "carry", see "x", port "gate"')))] == [("portare", "carry"), ("port", "gate")]
+    assert one(spark, etymology.described_meaning(F.lit("= short, 表示“短，缩短”"))) == "短，缩短"
+    kind = "array<struct<type:string,target:string,label:string,direction:string>>"
+    asked = spark.createDataFrame([(1, "inflection", "", [("origin", "leave", "第三人称单数", "outgoing"), ("origin", "leaf", "复数", "outgoing")])], f"query_id long, entry_kind string, translation string, relations {kind}")
+    sources = spark.createDataFrame([("leaf", [("n.", "叶", "countable"), ("n.", "水", "uncountable"), ("v.", "翻", None)]), ("leave", [("v.", "离开", None)])], "word string, details array<struct<pos:string,text:string,countability:string>>")
+    got = [(r["part"], r["meanings"]) for r in results.grouped_source_parts(asked, sources).orderBy("i").collect()]
+    assert got == [("[leaf 的复数]", ["叶"]), ("[leave 的第三人称单数]", ["离开"])]
