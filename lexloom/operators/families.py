@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators.stages import settle
+
 # Derivational affixes.
 SUFFIXES = "ness nesses ment ments tion tions sion sions ity ities er ers or ors ist ists ism isms ful less ous ious ive able ible al ic ly y ize ise en ify th dom ship hood age".split()
 PREFIXES = "un re dis over under mis out pre post".split()
@@ -49,6 +51,7 @@ def root_groups(words: DataFrame) -> DataFrame:
 
 def family_edges(words: DataFrame, existing: DataFrame) -> DataFrame:
     """owner, target: each word with the first word of its stem group, unless that edge is there (a star spans the family; all pairs follow from membership)."""
+    words = settle(words.select("word"), "family-words")
     star = family_members(words).join(stem_groups(words).select("stem", "first"), "stem").where("word <> first").select(F.col("first").alias("owner"), F.col("word").alias("target")).distinct()
     return star.join(existing.select("owner", "target"), ["owner", "target"], "left_anti")
 

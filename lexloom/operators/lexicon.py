@@ -91,7 +91,7 @@ def inflection_rows(entries: DataFrame) -> DataFrame:
     phase 1: exchange slots and, for nouns with an unchanged plural, regular third-person forms as plurals; phase 2: plurals
     inferred for nouns that tell none.
     """
-    each = _exploded(entries)
+    each = settle(_exploded(entries), "forms")
     free = ~F.array_contains("surface.blocked", F.lower("form"))
     told = each.where(free & ((F.col("slot") != "s") | F.col("surface.allowed")))
     told = told.select("base", "form", slot_label(F.col("pos"), F.col("slot")).alias("label"), F.lit("exchange").alias("source"), F.lit(1).alias("phase"), "ord", "seq").where("label IS NOT NULL")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.forms import forms_of, is_regular, moved_grades, plural_of, serialise, slot_forms
 from lexloom.operators import lexicon
+from lexloom.operators.stages import settle
 from lexloom.operators.words import first_wins, word_list
 from lexloom.plans.registry import LEX, query, table
 
@@ -21,12 +22,13 @@ def lex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derived_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries made of the word list: part of speech by frequency, forms that are in the list themselves."""
-    words = lex(spark, sf_dir).select("word", (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"), "n")
+    words = settle(lex(spark, sf_dir).select("word", (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"), "n"), "words")
     wanted = words.select(F.col("word").alias("base"), F.posexplode(F.array(*[F.struct(F.lit(s).alias("slot"), F.concat("word", F.lit(e)).alias("form")) for s, e in SUFFIXES])).alias("i", "x"))
     known = wanted.select("base", "i", "x.slot", "x.form").join(words.select(F.col("word").alias("form")), "form")
     forms = known.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("i", F.concat("slot", F.lit(":"), "form").alias("t")))).alias("f"))
     pos = F.when(F.col("n") % 3 == 0, "n:60/v:40").when(F.col("n") % 3 == 1, "adj:50/n:50").otherwise("v:100")
-    return words.join(forms, words["word"] == forms["base"], "left").select("word", pos.alias("pos"), F.coalesce(F.array_join("f.t", "/"), F.lit("")).alias("exchange"), "ord")
+    entries = words.join(forms, words["word"] == forms["base"], "left").select("word", pos.alias("pos"), F.coalesce(F.array_join("f.t", "/"), F.lit("")).alias("exchange"), "ord")
+    return settle(entries, "entries")  # a stage table of the build: read many times
 
 
 ENTRIES = (
