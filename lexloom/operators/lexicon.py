@@ -167,3 +167,11 @@ def propagate_families(entries: DataFrame) -> DataFrame:
     owners = entries.where("size(family) > 0").select("family", "ord", F.explode("family").alias("member"))
     first = owners.groupBy(F.lower("member").alias("k")).agg(F.min_by("family", "ord").alias("given"))
     return entries.join(first, F.lower("word") == first["k"], "left").select("word", "ord", F.when(F.size("family") > 0, F.col("family")).otherwise(F.col("given")).alias("family"))
+
+
+def stripped_parents(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """word, parent: the word without the s of -ings, without -ing or without -s, the first that is a key.  words: word; keys: key."""
+    cut = lambda n: F.substring(F.col("word"), F.lit(1), F.length("word") - n)
+    tries = F.array_compact(F.array(*[F.when(F.col("word").endswith(end), cut(n)) for end, n in (("ings", 1), ("ing", 3), ("s", 1))]))
+    each = words.select("word", F.posexplode(tries).alias("i", "key"))
+    return each.join(keys.select("key").distinct(), "key").groupBy("word").agg(F.min_by("key", "i").alias("parent"))

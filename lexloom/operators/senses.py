@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.pos import literal_map, normal_pos, valid_pos
+from lexloom.functions.pos import family_pos, literal_map, normal_pos, valid_pos
 from lexloom.functions.text import display
 from lexloom.operators.fragments import meaning_items
 from lexloom.sources.markup import first_text, inside, outside, shred, texts, with_class, with_tag
@@ -13,7 +13,8 @@ from lexloom.sources.markup import first_text, inside, outside, shred, texts, wi
 # Verb form names of the markup with their slots and labels.
 FORM_SLOTS = {"thirdps": "3", "past": "p", "pastpart": "d", "ptpp": "d", "prespart": "i"}
 FORM_LABELS = {"root": "原形", "thirdps": "第三人称单数", "past": "过去式", "pastpart": "过去分词", "ptpp": "过去分词", "prespart": "现在分词"}
-CORE_CLASSES = ["ox3000", "ox5000", "ox3ksym_a1", "ox3ksym_a2", "ox5ksym_b2"]
+CORE_CLASSES = ["ox3ksym_a1", "ox3ksym_a2", "ox3ksym_b1", "ox3ksym_b2", "ox3ksym_c1"]
+REFERENCES = {"ptof": "过去式", "ppof": "过去分词", "ptppof": "过去式和过去分词", "presptof": "现在分词", "thirdpsof": "第三人称单数", "plof": "复数", "singof": "单数", "comparof": "比较级", "defat": "相应形式"}
 
 
 def phonetic(nodes: Column, block: str) -> Column:
@@ -45,8 +46,19 @@ def countability(nodes: Column, sense: Column) -> Column:
 
 
 def sense_text(nodes: Column, sense: Column) -> Column:
+    """First Chinese text of the definition; old-fashioned senses say so at the end."""
     own = _below(nodes, sense)
-    return display(first_text(inside(with_tag(own, "chn"), with_tag(own, "deft"))))
+    text = display(first_text(inside(with_tag(own, "chn"), with_tag(own, "deft"))))
+    labels = F.lower(F.array_join(texts(inside(with_class(own, "lb"), with_class(own, "labels"))), " "))
+    return F.when((text != "") & labels.rlike("old-fashioned|老式用法"), F.concat(text, F.lit(" [老式用法]"))).otherwise(text)
+
+
+def reference_text(nodes: Column) -> Column:
+    """`X 的过去式` and the like, for an entry whose only content is a cross-reference; empty if there is none."""
+    xref = F.try_element_at(with_class(nodes, "xrefs"), F.lit(1))
+    word = first_text(with_class(_below(nodes, xref), "xh"))
+    kind = F.element_at(literal_map(REFERENCES), F.element_at(xref["attrs"], "xt"))
+    return F.coalesce(F.when(word != "", F.concat(word, F.lit(" 的"), kind)), F.lit(""))
 
 
 def exchange(nodes: Column) -> Column:
@@ -80,14 +92,25 @@ def verb_forms(nodes: Column) -> Column:
 
 
 def word_family(nodes: Column) -> Column:
-    """Array of (word, pos) of the structured family list."""
-    items = inside(with_class(nodes, "p"), with_class(nodes, "wordfamily"))
-    one = lambda p: F.struct(first_text(with_class(_below(nodes, p), "wfw")).alias("word"), normal_pos(first_text(with_class(_below(nodes, p), "wfp"))).alias("pos"))
-    return F.array_distinct(F.filter(F.transform(items, one), lambda x: x["word"] != ""))
+    """Array of (word, pos), distinct: listed members of the family box, else `word noun` pairs in its text."""
+    box = F.filter(nodes, lambda n: F.arrays_overlap(n["cls"], F.array(F.lit("wordfamily"), F.lit("word_family"))) | (F.element_at(n["attrs"], "unbox") == "wordfamily"))
+    box = F.filter(box, lambda n: F.lower(n["text"]).contains("word family"))
+
+    def listed(p: Column) -> Column:
+        own = _below(nodes, p)
+        said = F.try_element_at(with_class(own, "wfp"), F.lit(1))
+        return F.struct(display(first_text(with_class(own, "wfw"))).alias("word"), family_pos(F.coalesce(F.element_at(said["attrs"], "wfp"), said["text"], F.lit(""))).alias("pos"))
+
+    items = F.filter(F.transform(inside(with_class(nodes, "p"), box), listed), lambda x: (x["word"] != "") & (x["pos"] != ""))
+    pattern = r"(?i)\b([A-Za-z][A-Za-z'-]*)\b\s+(noun|verb|adjective|adverb|n|v|adj|adv)\b"
+    text = F.regexp_replace(F.array_join(texts(box), " "), r"[（(]\s*[≠=].*?[）)]", " ")
+    free = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("word"), F.transform(F.regexp_extract_all(text, F.lit(pattern), 2), family_pos).alias("pos"))
+    free = F.filter(free, lambda x: F.lower(x["word"]) != "word")
+    return F.array_distinct(F.when(F.size(items) > 0, items).otherwise(free))
 
 
 def phrasal_names(nodes: Column) -> Column:
-    return F.array_distinct(F.filter(texts(inside(with_tag(nodes, "a"), with_class(nodes, "phrasal_verb_links"))), lambda x: x != ""))
+    return F.filter(texts(inside(with_class(nodes, "xh"), with_class(nodes, "phrasal_verb_links"))), lambda x: x != "")
 
 
 def phrasal_key(name: Column) -> Column:
@@ -95,7 +118,8 @@ def phrasal_key(name: Column) -> Column:
 
 
 def cefr_levels(nodes: Column) -> Column:
-    return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.transform(nodes, lambda n: F.element_at(n["attrs"], "cefr"))))), ",")
+    levels = F.transform(F.filter(nodes, lambda n: (n["tag"] == "li") & F.array_contains(n["cls"], "sense")), lambda n: F.element_at(n["attrs"], "cefr"))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(levels, lambda x: x != ""))), ",")
 
 
 def core_word(nodes: Column) -> Column:
@@ -103,29 +127,39 @@ def core_word(nodes: Column) -> Column:
 
 
 def audio(nodes: Column) -> Column:
-    links = F.filter(F.transform(nodes, lambda n: F.element_at(n["attrs"], "href")), lambda h: h.startswith("sound://"))
+    links = F.filter(F.transform(with_class(inside(with_tag(nodes, "a"), with_class(nodes, "phons_br")), "sound"), lambda n: F.element_at(n["attrs"], "href")), lambda h: h.startswith("sound://"))
     return F.replace(F.coalesce(F.try_element_at(links, F.lit(1)), F.lit("")), F.lit("sound://"), F.lit(""))
 
 
 def idioms(nodes: Column) -> Column:
-    return F.array_distinct(F.transform(with_class(nodes, "idm"), lambda n: F.regexp_replace(n["text"], r"\s*\|\s*", " | ")))
+    groups = inside(with_class(nodes, "idm-g"), with_class(nodes, "idioms"))
+    said = F.transform(groups, lambda g: F.regexp_replace(first_text(with_class(_below(nodes, g), "idm")), r"\s*\|\s*", " | "))
+    return F.array_distinct(F.filter(said, lambda x: x != ""))
+
+
+def wide_row(nodes: Column) -> Column:
+    """The old wide dictionary's fields that come from one body alone: phonetic, tag, oxford, exchange, audio, idioms."""
+    heard = F.coalesce(F.nullif(phonetic(nodes, "phons_br"), F.lit("")), phonetic(nodes, "phons_n_am"))
+    return F.struct(heard.alias("phonetic"), cefr_levels(nodes).alias("tag"), core_word(nodes).alias("oxford"), exchange(nodes).alias("exchange"), audio(nodes).alias("audio"), idioms(nodes).alias("idioms"))
 
 
-def meanings(entries: DataFrame) -> DataFrame:
-    """key, pos, items: sense records of every entry root with a valid part of speech, in source order.  entries: key, nodes."""
-    roots = entries.select("key", "nodes", F.explode(with_class(F.col("nodes"), "entry")).alias("root"))
+def meanings(entries: DataFrame, entry_class: str = "entry") -> DataFrame:
+    """key, pos, items: sense records of every entry root (elements of `entry_class`) with a valid part of speech, in source order.  entries: key, nodes."""
+    roots = entries.select("key", "nodes", F.explode(with_class(F.col("nodes"), entry_class)).alias("root"))
     roots = roots.withColumn("own", F.filter("nodes", lambda n: F.array_contains(n["up"], F.col("root.i")))).withColumn("pos", normal_pos(first_text(with_class(F.col("own"), "pos")))).where(valid_pos(F.col("pos")))
     own = F.col("own")
     records = F.transform(core_senses(own), lambda s: F.struct(sense_text(own, s).alias("text"), qualifier(own, s).alias("qualifier"), countability(own, s).alias("countability")))
-    each = roots.select("key", "pos", F.col("root.i").alias("at"), F.filter(records, lambda r: r["text"] != "").alias("records"))
+    roots = roots.withColumns({"told": F.filter(records, lambda r: r["text"] != ""), "other": reference_text(own)})
+    other = F.array(F.struct(F.col("other").alias("text"), F.lit("").alias("qualifier"), F.lit(None).cast("string").alias("countability")))
+    each = roots.select("key", "pos", F.col("root.i").alias("at"), F.when(F.size("told") > 0, F.col("told")).otherwise(F.filter(other, lambda r: r["text"] != "")).alias("records"))
     grouped = each.groupBy("key", "pos").agg(F.min("at").alias("at"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "records"))), lambda x: x["records"])).alias("records"))
     return meaning_items(grouped.where(F.size("records") > 0), "records").select("key", "pos", "at", "items")
 
 
-def normalise_entries(lookup: DataFrame) -> DataFrame:
+def normalise_entries(lookup: DataFrame, entry_class: str = "entry") -> DataFrame:
     """word, phonetics, translation, pos, exchange, verb_forms, family: one row a key whose markup has meanings.  Adjective meanings end in 的."""
     entries = shred(lookup.select("key", "body", "ord"), "body")
-    told = meanings(entries.select("key", "nodes"))
+    told = meanings(entries.select("key", "nodes"), entry_class)
     ending = lambda t: F.array_join(F.transform(F.split(t, "；"), lambda x: F.when(x.endswith("的"), x).otherwise(F.concat(x, F.lit("的")))), "；")
     items = F.transform("items", lambda x: F.when(F.col("pos") == "adj", ending(x["text"])).otherwise(x["text"]))
     line = F.concat("pos", F.lit(". "), F.array_join(items, "；"))

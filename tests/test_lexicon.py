@@ -56,6 +56,12 @@ def test_links(spark):
     assert lexicon.build_lookup(raw).where("key = 'walk'").first()["body"] == "body"
 
 
+def test_stripped_parents(spark):
+    words = spark.createDataFrame([("walkings",), ("walking",), ("cats",), ("dog",)], "word string")
+    got = lexicon.stripped_parents(words, spark.createDataFrame([("walking",), ("walk",), ("cat",)], "key string"))
+    assert {tuple(r) for r in got.collect()} == {("walkings", "walking"), ("walking", "walk"), ("cats", "cat")}
+
+
 def test_relations(spark):
     rows = lexicon.inflection_rows(entries(spark, [("leaf", "n:100", "s:leaves"), ("leave", "v:86/n:14", "3:leaves"), ("script", "n:83/v:17", "3:scripts")]))
     parents = {(r["form"], r["base"], r["label"]) for r in lexicon.parents_of(rows).collect()}
@@ -81,6 +87,15 @@ def test_markup(spark):
     lookup = spark.createDataFrame([("walk", ENTRY, 0), ("none", None, 1)], "key string, body string, ord long")
     r = senses.normalise_entries(lookup).collect()
     assert [(x["word"], x["translation"], x["pos"], x["exchange"]) for x in r] == [("walk", "v. 行走", "v:100", "p:walked")]
+    more = '<div class="entry"><span class="pos">noun</span><span class="phons_br"><a class="sound" href="sound://w.mp3"></a><span class="phon">/w/</span></span><li class="sense" cefr="b1"><span class="labels"><span class="lb">old-fashioned</span></span><span class="grammar">[countable]</span><deft><chn>甲，乙</chn></deft></li><div class="idioms"><div class="idm-g"><span class="idm">a|b</span></div></div><div class="wordfamily">Word Family <span class="p"><b class="wfw">walker</b><i class="wfp">noun</i></span></div></div>'
+    other = '<div class="entry"><span class="pos">verb</span><div class="xrefs" xt="ptof"><span class="xh">see</span></div></div>'
+    got = {x["word"]: x for x in senses.normalise_entries(spark.createDataFrame([("a", more, 0), ("b", other, 1)], "key string, body string, ord long")).collect()}
+    assert got["a"]["translation"] == "n. 甲,乙 [老式用法]" and got["a"]["phonetic"] == "w" and [tuple(f) for f in got["a"]["family"]] == [("walker", "noun")]
+    assert got["b"]["translation"] == "v. see 的过去式"
+    from lexloom.sources.markup import shred
+
+    wide = shred(spark.createDataFrame([(more,)], "body string"), "body").select(senses.wide_row(F.col("nodes")).alias("w")).first()["w"]
+    assert (wide["tag"], wide["oxford"], wide["audio"], wide["idioms"]) == ("b1", 0, "w.mp3", ["a | b"])
 
 
 def test_fragments(spark):
