@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import textblocks as tb
 from lexloom.llm.shared import pick, settle
 
-BLOOM_BITS, PROBES, BLOCK_BITS = 1 << 25, 4, 1 << 16
+BLOOM_BITS, PROBES, BLOCK_BITS = 1 << 24, 4, 1 << 16
 MIN_KEY_CHARS = 10
 _U = np.uint64
 

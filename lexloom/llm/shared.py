@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; a side is counted before it is (16 bytes a row at most: 16 MB).
 BROADCAST_ROWS = 1_000_000
+BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with the operator's own."""
+    """Only the named columns, so that extra columns can't clash with the operator's own.
+
+    Also sees to it that a batch handed to Python has BATCH_ROWS rows at most: documents are long, and both sides hold a whole batch.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 

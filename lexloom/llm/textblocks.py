@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once: bounds the memory of a task (about 60 bytes of scratch per text byte).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: Words longer than this are hashed by blake2b instead of the vectorised hash.
 LONG_WORD = 4096
 
