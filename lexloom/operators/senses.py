@@ -138,9 +138,9 @@ def idioms(nodes: Column) -> Column:
 
 
 def wide_row(nodes: Column) -> Column:
-    """The old wide dictionary's fields that come from one body alone: phonetic, tag, oxford, exchange, audio, idioms."""
+    """The old wide dictionary's fields that come from one body alone: phonetic, tag, core, exchange, audio, idioms."""
     heard = F.coalesce(F.nullif(phonetic(nodes, "phons_br"), F.lit("")), phonetic(nodes, "phons_n_am"))
-    return F.struct(heard.alias("phonetic"), cefr_levels(nodes).alias("tag"), core_word(nodes).alias("oxford"), exchange(nodes).alias("exchange"), audio(nodes).alias("audio"), idioms(nodes).alias("idioms"))
+    return F.struct(heard.alias("phonetic"), cefr_levels(nodes).alias("tag"), core_word(nodes).alias("core"), exchange(nodes).alias("exchange"), audio(nodes).alias("audio"), idioms(nodes).alias("idioms"))
 
 
 def meanings(entries: DataFrame, entry_class: str = "entry") -> DataFrame:

@@ -95,7 +95,7 @@ def test_markup(spark):
     from lexloom.sources.markup import shred
 
     wide = shred(spark.createDataFrame([(more,)], "body string"), "body").select(senses.wide_row(F.col("nodes")).alias("w")).first()["w"]
-    assert (wide["tag"], wide["oxford"], wide["audio"], wide["idioms"]) == ("b1", 0, "w.mp3", ["a | b"])
+    assert (wide["tag"], wide["core"], wide["audio"], wide["idioms"]) == ("b1", 0, "w.mp3", ["a | b"])
 
 
 def test_fragments(spark):
