@@ -4,7 +4,7 @@ language_id     documents without a language (no letter, null text) or with a sc
 line_dedup      lines that a document of smaller id holds are taken out; the documents stay (a text may become empty)
 ngram_join      of each group of near duplicates (five words, Jaccard 0.75) the document of smallest id stays
 decontaminate   documents that hold a benchmark item go
-sentencepiece   doc_id, n_tokens, scores of the best segmentations and digests of ids and decoded text
+sentencepiece   doc_id, n_tokens, scores and ids of the best segmentations, decoded text, and digests of ids and decoded text
 
 The stages but the last return the columns of `documents`.  SQL can't express the first and the last; tests/llm checks the
 stages against brute force.
@@ -45,7 +45,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs, with_ids=False)
+    return encode(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -117,7 +117,7 @@ ORACLES["op10_decontaminate"] = _op10_sql()
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.sentencepiece_codec import encode
 
-    return encode(table(spark, sf_dir, "documents"), with_ids=False)
+    return encode(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -9,9 +9,9 @@ spaces stand for U+2581.  No piece has a space after another character, so the l
   of score UNKNOWN and is written as byte pieces, as is a literal U+2581, so every text decodes to itself.
 * Backward: A* from the end of a unit.  The forward scores are exact heuristics, so segmentations come out best first.
   The N best of a text change at most N - 1 units, those of smallest loss, so only these are searched; their losses are
-  merged best first.
+  merged best first, and each choice gives the ids of a whole text: those of the chosen units, the best ids elsewhere.
 
-Null text: null tokens and scores.  Empty text: no token, one segmentation of score 0.
+Null text: null tokens, scores and segmentations.  Empty text: no token, one segmentation of score 0.
 """
 
 from __future__ import annotations
@@ -224,12 +224,12 @@ class Pieces:
         return self.bytes[place]
 
 
-def _best_sums(losses: list[list[int]], n: int) -> list[int]:
-    """The n smallest sums of one loss of each list (each sorted, from 0)."""
+def _best_sums(losses: list[list[int]], n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The n smallest sums of one loss of each list (each sorted, from 0), and the place taken in each list."""
     heap, seen, out = [(0, (0,) * len(losses))], {(0,) * len(losses)}, []
     while heap and len(out) < n:
         total, at = heapq.heappop(heap)
-        out.append(total)
+        out.append((total, at))
         for i, k in enumerate(at):
             if k + 1 < len(losses[i]):
                 new = (*at[:i], k + 1, *at[i + 1 :])
@@ -250,10 +250,15 @@ def _spaced(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_chunk(pieces: Pieces, raw: np.ndarray, at: np.ndarray, n_best: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
     """Ids of all texts one after another, their offsets, and the n best scores of each text."""
+    return segment_chunk(pieces, raw, at, n_best)[:3]
+
+
+def segment_chunk(pieces: Pieces, raw: np.ndarray, at: np.ndarray, n_best: int) -> tuple[np.ndarray, np.ndarray, list[list[int]], np.ndarray, np.ndarray]:
+    """What encode_chunk returns, then the ids of all n best segmentations, text by text and best first, and the offsets of each segmentation."""
     data, edge = _spaced(raw, at)
     n = len(data)
     if n == 0:
-        return np.zeros(0, np.int32), np.zeros(len(at), np.int64), [[0] for _ in range(len(at) - 1)]
+        return np.zeros(0, np.int32), np.zeros(len(at), np.int64), [[0] for _ in range(len(at) - 1)], np.zeros(0, np.int32), np.zeros(len(at), np.int64)
     mark = np.zeros(n + 1, bool)
     mark[edge] = True
     space, line = data == 32, data == 10
@@ -298,26 +303,41 @@ def encode_chunk(pieces: Pieces, raw: np.ndarray, at: np.ndarray, n_best: int) -
     c = count[of]
     whole = flat[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(offset[of], c)]
     unit_edge = np.searchsorted(start, edge)
-    ends = np.r_[0, np.cumsum(c)][unit_edge]
+    token_at = np.r_[0, np.cumsum(c)]
+    ends = token_at[unit_edge]
     sums = np.r_[0, np.cumsum(score[of])]
     losses = loss[of]
-    lists: dict[int, list[int]] = {}
+    lists: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     scores: list[list[int]] = []
+    parts, sizes = [], []
     for k in range(len(at) - 1):
         a, b = unit_edge[k], unit_edge[k + 1]
         top = int(sums[b] - sums[a])
         mine = losses[a:b]
-        few = np.argpartition(mine, n_best - 2)[: n_best - 1] if 1 < n_best <= len(mine) else np.arange(len(mine))
-        options = []
+        few = np.sort(np.argpartition(mine, n_best - 2)[: n_best - 1]) if 1 < n_best <= len(mine) else np.arange(len(mine))
+        options, places = [], []
         for x in few:
             u = int(of[a + x])
             if mine[x] < np.iinfo(np.int64).max:
                 if u not in lists:
                     found = pieces.n_best(data[u_start[u] : u_start[u] + u_size[u]].tobytes(), n_best)
-                    lists[u] = [found[0][0] - s for s, _ in found]
+                    own = tuple(flat[offset[u] : offset[u + 1]].tolist())  # of equal scores the forward pass may have taken another
+                    rest = [(s, i) for s, i in found if i != own][: n_best - 1]
+                    lists[u] = [0, *(found[0][0] - s for s, _ in rest)], [np.array(i, np.int32) for _, i in [(0, own), *rest]]
                 options.append(lists[u])
-        scores.append([top - x for x in _best_sums(options, n_best)])
-    return whole, ends, scores
+                places.append(int(a + x))
+        best = _best_sums([x for x, _ in options], n_best)
+        scores.append([top - x for x, _ in best])
+        for _, chosen in best:
+            done, length = int(ends[k]), int(ends[k + 1] - ends[k])
+            for place, (_, ids), choice in zip(places, options, chosen, strict=True):
+                if choice:
+                    parts += [whole[done : token_at[place]], ids[choice]]
+                    done = int(token_at[place + 1])
+                    length += len(ids[choice]) - len(ids[0])
+            parts.append(whole[done : ends[k + 1]])
+            sizes.append(length)
+    return whole, ends, scores, np.concatenate(parts), np.r_[0, np.cumsum(np.array(sizes, np.int64))]
 
 
 def _encode(path: str, n_best: int, with_ids: bool):
@@ -326,7 +346,7 @@ def _encode(path: str, n_best: int, with_ids: bool):
         for batch in batches:
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             for lo, hi, raw, at in tb.chunks(batch.column("text"), ENCODE_BYTES):
-                ids, cut, scores = encode_chunk(pieces, raw, at, n_best)
+                ids, cut, scores, every, every_cut = segment_chunk(pieces, raw, at, n_best)
                 back = pieces.decode(ids)
                 size = pieces.size[ids]
                 spaced = np.r_[0, np.cumsum(size)][cut]
@@ -344,17 +364,19 @@ def _encode(path: str, n_best: int, with_ids: bool):
                 names = ["doc_id", "n_tokens", "ids_sha256", "scores", "decoded_sha256", "round_trip"]
                 if with_ids:
                     columns += [pa.array([None if g else ids[cut[k] : cut[k + 1]] for k, g in enumerate(gone)], pa.list_(pa.int32())), pa.array([None if g else t.decode() for t, g in zip(texts, gone, strict=True)], pa.string())]
-                    names += ["ids", "decoded"]
+                    each = pa.ListArray.from_arrays(pa.array(every_cut, pa.int32()), pa.array(every, pa.int32()))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, scores)]), pa.int32()), each, mask=pa.array(gone)))
+                    names += ["ids", "decoded", "segmentations"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
 def encode(documents: DataFrame, path: str | None = None, n_best: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, scores (of the n best segmentations), decoded_sha256, round_trip; ids and decoded text if asked for."""
+    """doc_id, n_tokens, ids_sha256, scores (of the n best segmentations), decoded_sha256, round_trip; with_ids: ids, decoded text and segmentations (ids of each of the n best, in the order of scores)."""
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, scores array<bigint>, decoded_sha256 string, round_trip boolean"
-    return docs.mapInArrow(tb.bounded(_encode(path or model_path(), n_best, with_ids)), schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return docs.mapInArrow(tb.bounded(_encode(path or model_path(), n_best, with_ids)), schema + (", ids array<int>, decoded string, segmentations array<array<int>>" if with_ids else ""))
 
 
 def _decode(path: str):

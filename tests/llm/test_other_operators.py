@@ -108,6 +108,25 @@ def test_n_best_against_all_segmentations(pieces, text):
     assert (scores[0][0], tuple(ids.tolist())) in every
 
 
+def test_all_n_best_segmentations_come_back(spark, pieces, tmp_path):
+    from lexloom.llm.queries import QUERIES
+
+    texts = ["hello", "the cat sat", "a\nb", "éè", "🎉 ok", "aaaa", "日本x", "aa aa bb aa", "", None, "x" * 60 + " y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in QUERIES["op6_sentencepiece"](spark, str(tmp_path)).collect():
+        text, many = texts[r["doc_id"]], r["segmentations"]
+        if text is None:
+            assert many is None and r["decoded"] is None
+            continue
+        assert r["decoded"] == text and many[0] == r["ids"] and len(many) == len(r["scores"]) == len(set(map(tuple, many)))
+        for ids in many:
+            assert pieces.decode(np.array(ids, np.int64)).tobytes()[1:].decode() == text
+        if text and len(text) < 12:
+            every = segmentations(pieces, (" " + text).encode())
+            assert r["scores"] == sorted((x for x, _ in every), reverse=True)[: codec.N_BEST]
+            assert all((x, tuple(ids)) in every for x, ids in zip(r["scores"], many, strict=True))
+
+
 def test_codec_round_trip(spark):
     rng = random.Random(6)
     texts = ["", None, " ", "  two  ", "▁lit▁eral ▁", "\n\n", "\t\r\x00", "x" * 300, "🎉" * 60, " ".join("".join(rng.choice("abcé日\n▁ .") for _ in range(9)) for _ in range(50))]
