@@ -1,20 +1,25 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
 Numbers, names and units become typed placeholders (`<num>`, `<name>`, `<unit>`), the rest is lower-cased and loses its
-punctuation.  Windows of `width` canonical words of every text are hash-joined with the windows of the benchmark items
+punctuation; a run of one placeholder is one word, so a name of two words stands for a name of one.  Windows of `width` canonical words of every text are hash-joined with the windows of the benchmark items
 (an item with fewer words is one window of its own).  A hit is then checked word by word, and the values in its slots
 must agree over all hits of an item on one alignment: one benchmark value stands for one value of the text and the other
 way round, as in a question whose numbers or names were changed throughout.  A text is contaminated by an item if the
-consistent hits cover at least `share` of the item's windows.
+consistent hits cover at least `share` of the item's windows: on one alignment or, where words were put in or left out, on
+alignments at most the item's length apart whose hits are in the item's order and whose slots agree (from each alignment
+the largest others are added first).
+
+Windows with more placeholders than words (of the given text) say too little for that: they are compared by their exact
+values, and count beside the others.  An item is also found by its other windows alone, so a copy with new values is too.
 
 A number is a word that starts with a digit (after one of $ € £ # ( + -); a unit is a word of UNITS after a number; a
 name is a capitalised word after a space and a word that ends no sentence.  Null or blank texts and items match nothing.
-Rows with one id share their hits; a null id has none.  Windows with more placeholders than words are not used.
+Rows with one id share their hits; a null id has none.  n_windows are those of the best alignment or, if no single one is enough, of the best chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm.shared import join_small, pick, settle, small_enough
@@ -39,6 +44,41 @@ def canonical(text: Column) -> Column:
     return F.transform(_words(F.lower(marked)), lambda w: F.translate(w, PUNCTUATION, ""))
 
 
+def _goes_on(words: Column, i: Column) -> Column:
+    """Whether the word at i (from 0) is the same placeholder as the one before it."""
+    return F.get(words, i).startswith("<") & (i > 0) & (F.get(words, i) == F.get(words, i - 1))
+
+
+def _tokens(df: DataFrame) -> DataFrame:
+    """canon with runs of one placeholder as one word, vals (what each stands for, without punctuation), low (in lower case), sizes (given words)."""
+    df = df.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("canon")), lambda i: ~_goes_on(F.col("canon"), i - 1)))
+    df = df.withColumn("sizes", F.transform("starts", lambda i, j: F.coalesce(F.get("starts", j + 1), F.size("canon") + 1) - i))
+    df = df.withColumn("vals", F.transform("starts", lambda i, j: F.array_join(F.transform(F.slice("raw", i, F.get("sizes", j)), lambda x: F.translate(x, PUNCTUATION, "")), " ")))
+    df = df.withColumn("low", F.transform("vals", lambda x: F.lower(x)))
+    return df.withColumn("canon", F.transform("starts", lambda i: F.get("canon", i - 1))).drop("starts", "raw")
+
+
+def _agree(pairs: Column) -> Column:
+    values = lambda field: F.size(F.array_distinct(F.transform(pairs, lambda z: z[field])))
+    return (values("b") == F.size(pairs)) & (values("d") == F.size(pairs))
+
+
+def _chains(lines: DataFrame, most: int) -> DataFrame:
+    """doc_id, item_id, hits of each alignment together with those near it that are in order and agree with it."""
+    near = Window.partitionBy("doc_id", "item_id").orderBy("line").rangeBetween(-most, most)
+    df = lines.withColumn("near", F.collect_list(F.struct((-F.col("n")).alias("least"), "line", "length", "hits", "pairs")).over(near))
+    df = df.withColumn("near", F.sort_array(F.filter("near", lambda m: (m["line"] != F.col("line")) & (F.abs(m["line"] - F.col("line")) <= F.col("length")))))
+    placed = lambda hits, line: F.transform(hits, lambda h: F.struct(h["bpos"].alias("bpos"), h["exact"].alias("exact"), (h["bpos"] + line).alias("pos")))
+
+    def add(state: Column, m: Column) -> Column:
+        in_order = lambda h: F.forall(state["hits"], lambda a: F.signum(a["bpos"] - h["bpos"]) == F.signum(a["pos"] - h["pos"]))
+        new = F.struct(F.concat(state["hits"], F.filter(placed(m["hits"], m["line"]), in_order)).alias("hits"), F.array_distinct(F.concat(state["pairs"], m["pairs"])).alias("pairs"))
+        return F.when(_agree(new["pairs"]) & (F.size(new["hits"]) > F.size(state["hits"])), new).otherwise(state)
+
+    start = F.struct(placed(F.col("hits"), F.col("line")).alias("hits"), F.col("pairs").alias("pairs"))
+    return df.select("doc_id", "item_id", F.aggregate("near", start, add, lambda state: state["hits"]).alias("hits"))
+
+
 def _hashes(words: Column, width: int) -> Column:
     """Hashes of all windows, by start."""
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width))))
@@ -50,42 +90,62 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = pick(benchmark, "item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw"))
-    items = items.withColumn("w", F.least(F.size("canon"), F.lit(width)))
+    items = _tokens(items).withColumn("w", F.least(F.size("canon"), F.lit(width)))
     at = F.explode(F.sequence(F.lit(1), F.size("canon") - F.col("w") + 1)).alias("bpos")
-    cut = items.select("item_id", "w", "canon", "raw", at).select("item_id", "w", "bpos", F.slice("canon", F.col("bpos"), F.col("w")).alias("bwords"), F.slice("raw", F.col("bpos"), F.col("w")).alias("braw"))
-    cut = cut.where(F.size(F.filter("bwords", lambda x: x.startswith("<"))) * 2 <= F.col("w")).dropDuplicates(["item_id", "bpos", "bwords"])
+    part = lambda c: F.slice(c, F.col("bpos"), F.col("w"))
+    cut = items.select("*", at).select("item_id", F.size("canon").alias("length"), "w", "bpos", part("canon").alias("kinds"), part("vals").alias("bvals"), part("low").alias("low"), part("sizes").alias("sizes"))
+    slot_words = F.aggregate(F.zip_with("kinds", "sizes", lambda k, n: F.when(k.startswith("<"), n).otherwise(0)), F.lit(0), lambda x, y: x + y)
+    cut = cut.withColumn("exact", slot_words * 2 > F.aggregate("sizes", F.lit(0), lambda x, y: x + y))
+    cut = cut.withColumn("bwords", F.when(F.col("exact"), F.col("low")).otherwise(F.col("kinds"))).drop("low", "sizes").dropDuplicates(["item_id", "bpos", "bwords"])
     windows = settle(cut.withColumn("h", F.xxhash64("bwords")), "benchmark-windows")
-    wanted = windows.select("h", "w").distinct()
+    wanted = windows.select("h", "w", "exact").distinct()
     wanted = settle(wanted, "benchmark-hashes")
     near = F.broadcast(wanted) if small_enough(wanted) else wanted
 
-    widths = [r[0] for r in wanted.select("w").distinct().collect()]  # at most `width` values
+    kinds = [tuple(r) for r in wanted.select("w", "exact").distinct().collect()]  # at most 2 * `width` values
     found = None
-    for w in widths or [width]:
-        own = texts.select("doc_id", canonical(F.col("text")).alias("canon"))  # a column of its own: used in a lambda below
-        own = own.select("doc_id", F.posexplode(_hashes(F.col("canon"), w)).alias("pos", "h"))
-        own = own.join(near.where(F.col("w") == w).select("h"), "h").select("doc_id", "pos", "h", F.lit(w).alias("w"))
+    for w, exact in sorted(kinds) or [(width, False)]:
+        own = texts.select("doc_id", canonical(F.col("text")).alias("canon"), *([_words(F.col("text")).alias("raw")] if exact else []))  # columns of their own: used in lambdas below
+        if exact:
+            own = _tokens(own).select("doc_id", F.col("low").alias("words"))
+        else:
+            own = own.select("doc_id", F.filter("canon", lambda x, i: ~(x.startswith("<") & (i > 0) & (x == F.get("canon", i - 1)))).alias("words"))
+        own = own.select("doc_id", F.posexplode(_hashes(F.col("words"), w)).alias("pos", "h"))
+        own = own.join(near.where((F.col("w") == w) & (F.col("exact") == exact)).select("h"), "h").select("doc_id", "pos", "h", F.lit(w).alias("w"), F.lit(exact).alias("exact"))
         found = own if found is None else found.union(own)
     found = settle(found, "hits")
 
-    hits = found.join(windows, ["h", "w"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "item_id", "bpos", "bwords", "braw")).alias("hits"))
+    hits = found.join(windows, ["h", "w", "exact"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "exact", "item_id", "length", "bpos", "kinds", "bwords", "bvals")).alias("hits"))
     some = join_small(texts, found.select("doc_id").distinct(), ["doc_id"], "left_semi")
-    both = some.select("doc_id", canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw")).join(hits, "doc_id")
+    both = _tokens(some.select("doc_id", canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw"))).join(hits, "doc_id")
 
     def slots(x: Column) -> Column:
-        zipped = F.arrays_zip(x["bwords"].alias("kind"), x["braw"].alias("b"), F.slice(F.col("raw"), x["pos"] + 1, x["w"]).alias("d"))
-        used = F.filter(zipped, lambda z: z["kind"].startswith("<"))
-        bare = lambda v: F.translate(v, PUNCTUATION, "")
-        return F.transform(used, lambda z: F.struct(bare(z["b"]).alias("b"), bare(z["d"]).alias("d")))
+        zipped = F.arrays_zip(x["kinds"].alias("kind"), x["bvals"].alias("b"), F.slice(F.col("vals"), x["pos"] + 1, x["w"]).alias("d"))
+        used = F.filter(zipped, lambda z: z["kind"].startswith("<") & ~x["exact"])
+        return F.transform(used, lambda z: F.struct(z["b"].alias("b"), z["d"].alias("d")))
 
-    true = F.filter("hits", lambda x: F.slice(F.col("canon"), x["pos"] + 1, x["w"]) == x["bwords"])
-    checked = both.select("doc_id", F.explode(F.transform(true, lambda x: F.struct(x["item_id"].alias("item_id"), x["bpos"].alias("bpos"), (x["pos"] - x["bpos"]).alias("line"), slots(x).alias("slots")))).alias("x"))
+    true = F.filter("hits", lambda x: F.slice(F.when(x["exact"], F.col("low")).otherwise(F.col("canon")), x["pos"] + 1, x["w"]) == x["bwords"])
+    checked = both.select("doc_id", F.explode(F.transform(true, lambda x: F.struct(x["item_id"].alias("item_id"), x["length"].alias("length"), x["bpos"].alias("bpos"), x["exact"].alias("exact"), (x["pos"] - x["bpos"]).alias("line"), slots(x).alias("slots")))).alias("x"))
     pairs = F.array_distinct(F.flatten(F.collect_list("x.slots")))
-    lines = checked.groupBy("doc_id", "x.item_id", "x.line").agg(F.size(F.collect_set("x.bpos")).alias("n"), pairs.alias("pairs"))
-    values = lambda field: F.size(F.array_distinct(F.transform("pairs", lambda z: z[field])))
-    lines = lines.where((values("b") == F.size("pairs")) & (values("d") == F.size("pairs")))
-    whole = windows.groupBy("item_id").agg(F.countDistinct("bpos").alias("all"))
-    kept = lines.groupBy("doc_id", "item_id").agg(F.max("n").alias("n")).join(whole, "item_id").where(F.col("n") >= F.col("all") * share)
+    lines = checked.groupBy("doc_id", "x.item_id", "x.line").agg(F.max("x.length").alias("length"), F.collect_set(F.struct("x.bpos", "x.exact")).alias("hits"), pairs.alias("pairs"))
+    lines = settle(lines.where(_agree(F.col("pairs"))).withColumn("n", F.size("hits")), "alignments")
+    plain = lambda c: F.countDistinct(F.when(~F.col("exact"), F.col(c)))
+    whole = settle(windows.groupBy("item_id").agg(F.countDistinct("bpos").alias("all"), plain("bpos").alias("all_plain"), F.max("length").alias("most")), "item-windows")
+
+    def enough(df: DataFrame) -> DataFrame:
+        """The rows whose hits cover the share, and how many they are."""
+        n = lambda hits: F.size(F.array_distinct(F.transform(hits, lambda h: h["bpos"])))
+        df = df.withColumn("n", n(F.col("hits"))).withColumn("n_plain", n(F.filter("hits", lambda h: ~h["exact"]))).join(F.broadcast(whole) if small_enough(whole) else whole, "item_id")
+        by_plain = (F.col("all_plain") > 0) & (F.col("n_plain") >= F.col("all_plain") * share)
+        df = df.where(by_plain | (F.col("n") >= F.col("all") * share))
+        return df.select("doc_id", "item_id", F.when(by_plain, F.col("n_plain")).otherwise(F.col("n")).alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias("n"))
+
+    alone = settle(enough(lines), "one-alignment")
+    open_ = lines.join(alone, ["doc_id", "item_id"], "left_anti")
+    several = open_.groupBy("doc_id", "item_id").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.count("*").alias("lines")).where("lines > 1")
+    open_ = open_.join(enough(several).select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")  # the others lack hits on all alignments together
+    most = whole.agg(F.max("most")).first()[0] or 0
+    kept = alone.unionByName(enough(_chains(open_, most)))
     verdict = settle(kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("n").alias("n_windows")), "contaminated")
     joined = join_small(docs.select("doc_id"), verdict, ["doc_id"], "left")
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce(F.col("n_windows").cast("long"), F.lit(0).cast("long")).alias("n_windows"))

@@ -147,6 +147,29 @@ def test_contamination(spark):
     assert {r["contaminated"] for r in contamination(documents(spark, rows), items.limit(0)).collect()} == {False}
 
 
+def test_contamination_of_split_and_slot_heavy_copies(spark):
+    body = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(38)]
+    named = [*body[:19], "Anna", *body[19:]]
+    often = " ".join(f"{a} {b} {c} Paris" for a, b, c in zip(body[::3], body[1::3], body[2::3], strict=False))
+    lists, title = "Add 17, 24, 36, 58, 91 and 105.", "Which Town Of Old France Was Named After Its Third Queen?"
+    items = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(named).replace("worda", "termb")), (3, lists), (4, title), (5, often.replace("word", "note"))], "item_id long, text string")
+    second = " ".join(named).replace("worda", "termb")
+    rows = [
+        (1, " ".join([*body[:19], "inserted", *body[19:]])),
+        (2, second.replace("Anna", "Maria Luisa")),
+        (3, f"Some text. {lists} More text."),
+        (4, f"And so: {title} Who knows."),
+        (5, often.replace("word", "note").replace("Paris", "New York")),
+        (6, " ".join([*body[19:], "swapped", *body[:19]])),  # out of order
+        (7, "Add 5 and 7. Add 1, 2 and 3."),
+        (8, "Which Road Did Tom Take?"),
+        (9, " ".join(body[:19])),
+        (10, " ".join([*body[:15], "one", *body[15:30], "two", "three", *body[30:]])),
+    ]
+    got = {r["doc_id"]: r["items"] for r in contamination(documents(spark, rows).repartition(3), items).collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 6: [], 7: [], 8: [], 9: [], 10: [1]}
+
+
 def test_forward_backward():
     import itertools
 
