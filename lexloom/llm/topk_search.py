@@ -14,10 +14,12 @@ don't meet.  Ties go to the smaller id; a query's own id is left out.  A repeate
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _pack(name: str, block: int, pivots: np.ndarray | None):
-    """Blocks of vectors of one length: ids, values and, for candidates, the pivot table."""
+    """Blocks of vectors of one length: a key of its own, ids, values and, for candidates, the pivot table."""
+    numbers = [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -66,8 +69,12 @@ def _pack(name: str, block: int, pivots: np.ndarray | None):
         held[dim] = [(ids[most:], x[most:])] if len(ids) > most else []
         ids, x = ids[:most], x[:most]
         table = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2)) if pivots is not None and pivots.shape[1] == dim else np.zeros((len(ids), 0))
+        # ids may be repeated, also in other blocks: the partition and the number of the block are part of its key
+        numbers[0] += 1
+        said = f"{TaskContext.get().partitionId()} {numbers[0]} {dim} ".encode() + ids.astype("<i8").tobytes() + x.astype("<i4").tobytes()
+        key = int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array([dim], pa.int32()), pa.array([int(ids.min())], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<i4").tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())],
+            [pa.array([dim], pa.int32()), pa.array([key], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<i4").tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())],
             ["dim", name, "ids", "x", "table"],
         )
 

@@ -34,6 +34,21 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
+def test_top_k_with_repeated_queries_in_several_blocks(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=4).tolist() for i in range(20)}
+    frame = lambda ids, n: spark.createDataFrame(spark.sparkContext.parallelize([(i, vectors[i]) for i in ids], n), "vec_id long, embedding array<double>")
+    asked = [0, 4, 8], [0, 12, 16]
+    ints = {i: np.floor(64 * np.array(v)) for i, v in vectors.items()}
+    want = []
+    for q in sorted({*asked[0], *asked[1]}):
+        times = sum(q in x for x in asked)
+        others = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q for _ in range(times))[:5]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(others)]
+    got = topk_search.top_k(frame(range(20), 1), frame([*asked[0], *asked[1]], 2), 5).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK_CHARS", 5)
     monkeypatch.setattr(warc, "FILE_RECORDS", 3)
