@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 HAN = "[一-鿿]"
 QUOTES = '["“”]'
-SKIPPED = "see also related nom gen pp prp v n adj adv".split()
+# Words that are no root before a quoted gloss.
+SKIPPED = ["see", "also", "related", "nom", "gen", "pp", "prp", "v", "n", "adj", "adv"]
 
 
 def _found(text: Column, pattern: str) -> Column:

@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from lexloom.operators.stages import settle
 
 # Derivational affixes.
-SUFFIXES = "ness nesses ment ments tion tions sion sions ity ities er ers or ors ist ists ism isms ful less ous ious ive able ible al ic ly y ize ise en ify th dom ship hood age".split()
-PREFIXES = "un re dis over under mis out pre post".split()
-MORE_PREFIXES = "un re dis over under mis out pre post de in im il ir non anti counter sub super inter trans pro con".split()
-MORE_SUFFIXES = "tion tions sion sions ment ments ness nesses ity ities er ers or ors ist ists ism isms age dom ship hood th ive ous ious ful less able ible al ic y ly en ize ise ify".split()
+SUFFIXES = [
+    "ness", "nesses", "ment", "ments", "tion", "tions", "sion", "sions", "ity", "ities", "er", "ers", "or", "ors", "ist", "ists",
+    "ism", "isms", "ful", "less", "ous", "ious", "ive", "able", "ible", "al", "ic", "ly", "y", "ize", "ise", "en",
+    "ify", "th", "dom", "ship", "hood", "age",
+]
+PREFIXES = [
+    "un", "re", "dis", "over", "under", "mis", "out", "pre", "post",
+]
+MORE_PREFIXES = [
+    "un", "re", "dis", "over", "under", "mis", "out", "pre", "post", "de", "in", "im", "il", "ir", "non", "anti",
+    "counter", "sub", "super", "inter", "trans", "pro", "con",
+]
+MORE_SUFFIXES = [
+    "tion", "tions", "sion", "sions", "ment", "ments", "ness", "nesses", "ity", "ities", "er", "ers", "or", "ors", "ist", "ists",
+    "ism", "isms", "age", "dom", "ship", "hood", "th", "ive", "ous", "ious", "ful", "less", "able", "ible", "al", "ic",
+    "y", "ly", "en", "ize", "ise", "ify",
+]
 
 
 def stems(word: Column) -> Column:

@@ -50,19 +50,24 @@ def alias_targets(raw: DataFrame) -> DataFrame:
 
 
 def resolve_chains(lookup: DataFrame) -> DataFrame:
-    """key, target: the entry at the end of a chain of links.  Pointers double each round; chains that end nowhere or in a circle are dropped."""
+    """key, target: the entry at the end of a chain of links; chains that end nowhere or lead into a circle are dropped.
+
+    Pointers double each round: after round n every open key points 2^n links ahead.  On a chain with an end some key comes
+    to its end in every round, so once the open keys get no fewer only those of circles are left.
+    """
     own = lookup.where(~F.col("is_link")).select(F.col("key").alias("end"))
-    hops = settle(lookup.where("is_link").select("key", link_target(F.col("body")).alias("target")).where("key <> target"), "links")
-    done = None
-    while True:
-        ended = hops.join(own, hops["target"] == own["end"], "left_semi")
-        done = settle(ended if done is None else done.unionByName(ended), "resolved")
-        rest = hops.join(own, hops["target"] == own["end"], "left_anti")
-        ahead = hops.select(F.col("key").alias("mid"), F.col("target").alias("next"))
-        after = settle(rest.join(ahead, rest["target"] == ahead["mid"]).select("key", F.col("next").alias("target")).where("key <> target").unionByName(rest.join(done.select(F.col("key").alias("mid"), F.col("target").alias("next")), rest["target"] == F.col("mid")).select("key", F.col("next").alias("target"))).distinct(), "links")
-        if after.isEmpty() or after.exceptAll(hops).isEmpty():
-            return done.distinct()
-        hops = after
+    hops = lookup.where("is_link").select("key", link_target(F.col("body")).alias("target"))
+    hops = settle(hops.join(own, hops["target"] == own["end"], "left").select("key", "target", F.col("end").isNotNull().alias("ended")), "links")
+    open_ = hops.where("NOT ended").count()
+    while open_:
+        ahead = hops.select(F.col("key").alias("mid"), F.col("target").alias("next"), F.col("ended").alias("over"))
+        moved = hops.where("NOT ended").join(ahead, F.col("target") == F.col("mid")).select("key", F.col("next").alias("target"), F.col("over").alias("ended"))
+        hops = settle(hops.where("ended").unionByName(moved), "links")
+        left = hops.where("NOT ended").count()
+        if left == open_:
+            break
+        open_ = left
+    return hops.where("ended").select("key", "target")
 
 
 def resolve_links(raw: DataFrame) -> DataFrame:

@@ -84,6 +84,19 @@ def link_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.resolve_links(words.select((F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"), F.col("word").alias("key"), body.alias("body")))
 
 
+@query(
+    """WITH RECURSIVE c AS (SELECT c_custkey AS k, CASE c_custkey % 16 WHEN 3 THEN c_custkey - 2 WHEN 8 THEN c_custkey - 4 WHEN 14 THEN c_custkey - 5 ELSE c_custkey + 1 END AS t, c_custkey % 16 = 0 AS own FROM customer),
+r AS (SELECT k, t FROM c WHERE NOT own UNION SELECT r.k, c.t FROM r JOIN c ON c.k = r.t WHERE NOT c.own)
+SELECT r.k::VARCHAR AS word, r.t::VARCHAR AS target FROM r JOIN c ON c.k = r.t WHERE c.own"""
+)
+def link_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as links in blocks of sixteen: circles of three, five and six with a way in, and one chain to an entry; the last one may end nowhere."""
+    k = F.col("c_custkey")
+    target = F.when(k % 16 == 3, k - 2).when(k % 16 == 8, k - 4).when(k % 16 == 14, k - 5).otherwise(k + 1)
+    body = F.when(k % 16 == 0, "own").otherwise(F.concat(F.lit(lexicon.LINK), target.cast("string")))
+    return lexicon.resolve_links(table(spark, sf_dir, "customer").select(k.alias("ord"), k.cast("string").alias("key"), body.alias("body")))
+
+
 @query(
     r"""WITH t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents WHERE lang = 'en'))
 SELECT word, doc_id, pos::INT AS pos FROM t QUALIFY row_number() OVER (PARTITION BY lower(word) ORDER BY doc_id, pos) = 1"""

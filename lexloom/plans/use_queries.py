@@ -48,14 +48,14 @@ def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decompose_sql() -> str:
-    rows = [(k, i, p.replace("_", " ").split("=")) for k, v in roots.COMPOUNDS.items() for i, p in enumerate(v.split(" "))]
+    rows = [(k, i, p) for k, v in roots.COMPOUNDS.items() for i, p in enumerate(v)]
     rows += [(k, 0, (k, v)) for k, v in roots.PREFIXES.items() if k not in roots.COMPOUNDS]
     rows += [(k, 0, (k, v)) for k, v in roots.SUFFIXES.items() if k not in roots.COMPOUNDS and k not in roots.PREFIXES]
     values = ", ".join(f"('{k}', {i}, '{p[0]}', '{p[1]}')" for k, i, p in rows)
     return f"""WITH {LEX}, kb AS (SELECT * FROM (VALUES {values}) AS t(clean, i, part, meaning)),
 c AS (SELECT word, unnest([left(word, 2) || '-', left(word, 3) || '-', '-' || right(word, 3), '-' || right(word, 4)]) AS component FROM lex WHERE length(word) > 4),
 u AS (SELECT DISTINCT word, component, trim(component, '-') AS clean FROM c)
-SELECT word, component, coalesce(i, 0)::INT AS i, coalesce(part, component) AS part, CASE WHEN u.clean IN ('in', 'im', 'il', 'ir') AND word IN {listed(roots.INTO_WORDS)} AND starts_with(word, u.clean) THEN '进入' ELSE coalesce(meaning, '') END AS meaning FROM u LEFT JOIN kb ON kb.clean = u.clean"""
+SELECT word, component, coalesce(i, 0)::INT AS i, coalesce(part, component) AS part, CASE WHEN {" OR ".join(f"(u.clean = '{k}' AND word IN {listed(v)})" for k, v in roots.INTO_WORDS.items())} THEN '进入' ELSE coalesce(meaning, '') END AS meaning FROM u LEFT JOIN kb ON kb.clean = u.clean"""
 
 
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,10 @@ def test_links(spark):
     raw = spark.createDataFrame([(0, "walk", "body"), (1, "walked", link + "walk"), (2, "w3", link + "walked"), (3, "a", link + "b"), (4, "b", link + "a"), (5, "c", link + "c"), (6, "d", link + "none"), (7, "w4", link + "w3"), (8, "w5", link + "w4"), (9, "walk", link + "x")], "ord long, key string, body string")
     assert {tuple(r) for r in lexicon.resolve_links(raw).collect()} == {("walked", "walk"), ("w3", "walk"), ("w4", "walk"), ("w5", "walk")}
     assert lexicon.build_lookup(raw).where("key = 'walk'").first()["body"] == "body"
+    circle = lambda n, name: [(f"{name}{i}", f"{name}{(i + 1) % n}") for i in range(n)]
+    pairs = [*circle(3, "x"), *circle(5, "y"), *circle(6, "z"), ("in", "tail"), ("tail", "y2"), *[(f"c{i}", f"c{i + 1}") for i in range(9)]]
+    lookup = spark.createDataFrame([(k, link + t, True) for k, t in pairs] + [("c9", "end", False)], "key string, body string, is_link boolean")
+    assert {tuple(r) for r in lexicon.resolve_chains(lookup).collect()} == {(f"c{i}", "c9") for i in range(9)}
 
 
 def test_stripped_parents(spark):
