@@ -5,11 +5,15 @@ pivot, computed once.  For a query the triangle inequality gives a lower bound o
 pivot; the largest one bounds the inner product from above, (|q|^2 + |x|^2 - d^2) / 2.  Candidates are evaluated in the
 order of their bounds until the k-th score found is above the next bound, so the answer is exact.
 
-Queries against all rows go in blocks: a block of queries meets a block of candidates in one task, keeps its k best and
-the k best of all blocks are merged.  Pivots are a bounded sample (PIVOTS rows by hash) and only steer the order.
+Pivots are rows of a bounded sample (SAMPLE rows by hash), each the farthest from those chosen before; they only steer the
+order.  Candidates and their table stay where they are, in blocks.  The queries go to them in turns: a turn is at most
+TURN_BYTES of query vectors, broadcast; a task keeps the k best of each query over all its blocks, and those of all tasks
+are merged.  The driver holds the sizes of the query blocks (a number for each BLOCK_BYTES) and one turn.
 
 Vectors that are null or hold null or non-finite components take no part, nor does a null id; vectors of different length
-don't meet.  Ties go to the smaller id; a query's own id is left out.  A repeated row is a candidate once for each time.
+don't meet.  Ties go to the smaller id; a query's own id is left out.  A repeated row is a candidate once for each time and
+asks once; queries of one id with different vectors share the id's k places.  Components and scores are exact over the whole
+range of a long and stop at its ends.
 """
 
 from __future__ import annotations
@@ -23,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.shared import pick, settle
+from lexloom.llm.shared import pick, scratch_path, settle
 
-PIVOTS, QUERY_BLOCK, CANDIDATE_BLOCK, CHUNK = 16, 512, 4096, 1024
-#: Tasks that share the candidates of one block of queries; within a task the best so far carry over from block to block.
-SHARES = 2
+PIVOTS, SAMPLE = 64, 1024
+#: Rows and bytes of a block of vectors, bytes of the queries of one turn, candidates evaluated at once.
+BLOCK_ROWS, BLOCK_BYTES, TURN_BYTES, CHUNK = 2048, 1 << 20, 1 << 24, 512
+_LONG = (1 << 63) - 1
+FOUND = "query_id long, vec_id long, score long"
 
 
 def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -40,122 +46,180 @@ def usable(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of one length as float64 (exact for the integers here)."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+    """Rows of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), -1)
 
 
-def _pack(name: str, block: int, pivots: np.ndarray | None):
-    """Blocks of vectors of one length: a key of its own, ids, values and, for candidates, the pivot table."""
-    numbers = [0]
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distance of each row to each pivot, pivot by pivot, as float32."""
+    x = x.astype(float)
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots]).astype(np.float32) if len(pivots) else np.zeros((0, len(x)), np.float32)
+
+
+def _pack(pivots: np.ndarray | None):
+    """Blocks of vectors of one length: a key of its own, bytes, ids, values and, for candidates, the pivot table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        number = 0
+
+        def close(dim: int, most: int) -> pa.RecordBatch:
+            nonlocal number
+            ids, x = np.concatenate([i for i, _ in held[dim]]), np.concatenate([p for _, p in held[dim]])
+            held[dim] = [(ids[most:], x[most:])] if len(ids) > most else []
+            ids, x, number = ids[:most], x[:most], number + 1
+            table = distances(x, pivots) if pivots is not None and pivots.shape[1] == dim else np.zeros((0, len(ids)), np.float32)
+            # ids may be repeated, also in other blocks: the partition and the number of the block are part of its key
+            said = f"{TaskContext.get().partitionId()} {number} {dim} ".encode() + ids.tobytes() + x.tobytes()
+            key = int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
+            cells = [[dim], [key], [8 * (len(ids) + x.size)], [ids.tobytes()], [x.tobytes()], [table.tobytes()]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds, strict=True)], ["dim", "block", "size", "ids", "x", "table"])
+
         for batch in batches:
             ids, v = batch.column("vec_id").to_numpy(), batch.column("v")
             size = np.diff(v.offsets.to_numpy())
-            for dim in np.unique(size):
+            for dim in np.unique(size).tolist():
                 at = np.flatnonzero(size == dim)
-                part = _matrix(v.take(pa.array(at))) if dim else np.zeros((len(at), 0))
-                held.setdefault(int(dim), []).append((ids[at], part))
-                while sum(len(i) for i, _ in held[int(dim)]) >= block:
-                    yield close(int(dim), held, block)
+                held.setdefault(dim, []).append((ids[at], _matrix(v.take(pa.array(at))) if dim else np.zeros((len(at), 0), np.int64)))
+                most = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(8 * dim, 1)))
+                while sum(len(i) for i, _ in held[dim]) >= most:
+                    yield close(dim, most)
         for dim in list(held):
             while held[dim]:
-                yield close(dim, held, block)
-
-    def close(dim: int, held: dict, most: int) -> pa.RecordBatch:
-        ids, x = np.concatenate([i for i, _ in held[dim]]), np.concatenate([p for _, p in held[dim]])
-        held[dim] = [(ids[most:], x[most:])] if len(ids) > most else []
-        ids, x = ids[:most], x[:most]
-        table = np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2)) if pivots is not None and pivots.shape[1] == dim else np.zeros((len(ids), 0))
-        # ids may be repeated, also in other blocks: the partition and the number of the block are part of its key
-        numbers[0] += 1
-        said = f"{TaskContext.get().partitionId()} {numbers[0]} {dim} ".encode() + ids.astype("<i8").tobytes() + x.astype("<i4").tobytes()
-        key = int.from_bytes(hashlib.blake2b(said, digest_size=8).digest(), "little", signed=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([dim], pa.int32()), pa.array([key], pa.int64()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([x.astype("<i4").tobytes()], pa.binary()), pa.array([table.tobytes()], pa.binary())],
-            ["dim", name, "ids", "x", "table"],
-        )
+                yield close(dim, BLOCK_ROWS)
 
     return run
 
 
-def upper_bounds(q: np.ndarray, norms_q: np.ndarray, norms: np.ndarray, to_pivots: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Largest possible inner product of each query with each candidate, from the pivot that tells most."""
-    apart = np.zeros((len(norms_q), len(norms)))
-    for p in range(table.shape[1]):
-        np.maximum(apart, np.abs(to_pivots[:, p, None] - table[None, :, p]), out=apart)
-    return (norms_q[:, None] + norms[None, :] - np.maximum(apart - 1e-6, 0) ** 2) / 2 + 1e-6
+_SHAPE = "dim int, block long, size long, ids binary, x binary, table binary"
+
+
+def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n different rows, each the farthest from those before it."""
+    if not len(sample):
+        return sample
+    chosen, away = [0], ((sample - sample[0]) ** 2).sum(axis=1)
+    while len(chosen) < n and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
+
+
+def upper_bounds(to_pivots: np.ndarray, norm_q: float, norms: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Largest possible inner product of one query with each candidate, from the pivot that tells most; rounding errors are allowed for."""
+    top = (norm_q + norms) * (0.5 + 1e-9)
+    if not len(table):
+        return top + 1e-6
+    apart = np.abs(table - to_pivots[:, None])
+    apart = apart.max(axis=0).astype(float) - 1e-6 * (np.sqrt(norm_q) + np.sqrt(norms) + float(to_pivots.max()))
+    return top - np.maximum(apart, 0) ** 2 / 2 + 1e-6
 
 
 class Best:
     """The k best (id, score) of one query so far."""
 
     def __init__(self, k: int):
-        self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0)
+        self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def least(self) -> float:
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+        return float(self.scores[-1]) if len(self.scores) == self.k else -np.inf
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        good = scores >= self.least()
-        ids, scores = np.r_[self.ids, ids[good]], np.r_[self.scores, scores[good]]
+        if len(self.scores) == self.k:
+            good = scores >= self.scores[-1]
+            ids, scores = ids[good], scores[good]
+        ids, scores = np.r_[self.ids, ids], np.r_[self.scores, scores]
         top = np.lexsort((ids, -scores))[: self.k]
         self.ids, self.scores = ids[top], scores[top]
 
 
-def meet(best: Best, q: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> int:
+def products(x: np.ndarray, q: np.ndarray, small: bool) -> np.ndarray:
+    """Inner products as long: in floating point where all sums stay under 2^53, else by exact integers."""
+    if small:
+        return (x.astype(float, copy=False) @ q.astype(float)).astype(np.int64)
+    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(row, q, strict=True)), -_LONG), _LONG) for row in x], np.int64)
+
+
+def meet(best: Best, q: np.ndarray, q_id: int, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, small: bool) -> int:
     """Evaluate one block's candidates in the order of their bounds until none left can be among the best; returns how many were."""
     left = np.flatnonzero((bound >= best.least()) & (ids != q_id))
     left = left[np.argsort(-bound[left])]
     done = 0
     while done < len(left) and bound[left[done]] >= best.least():
-        part = left[done : done + (CHUNK if done else CHUNK // 4)]
-        best.add(ids[part], x[part] @ q)
+        part = left[done : done + CHUNK]
+        best.add(ids[part], products(x[part], q, small))
         done += len(part)
     return done
 
 
-def _search(k: int, pivots: np.ndarray):
+def _search(k: int, pivots: np.ndarray, asked):
+    """asked: broadcast list of (dim, ids, values) of the blocks of queries of this turn."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, list[Best]]] = {}  # blocks of queries met in this task
+        turn = []
+        for dim, ids, x in asked.value:
+            q = np.frombuffer(x, np.int64).reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), np.int64)
+            turn.append((dim, np.frombuffer(ids, np.int64), q, (q.astype(float) ** 2).sum(axis=1), distances(q, pivots).T if pivots.shape[1] == dim else np.zeros((len(q), 0), np.float32), [Best(k) for _ in range(len(q))]))
         for batch in batches:
             for row in batch.to_pylist():
-                dim = row["dim"]
-                ids, x = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["x"], "<i4").reshape(-1, dim).astype(float)
-                table = np.frombuffer(row["table"], np.float64).reshape(len(ids), -1)
-                key = (dim, row["q_block"])
-                if key not in found:
-                    q_ids = np.frombuffer(row["q_ids"], "<i8")
-                    found[key] = q_ids, np.frombuffer(row["q_x"], "<i4").reshape(-1, dim).astype(float), [Best(k) for _ in q_ids]
-                q_ids, q, best = found[key]
-                to = np.sqrt(((q[:, None, :] - pivots[None]) ** 2).sum(axis=2)) if table.shape[1] else np.zeros((len(q), 0))
-                norms, norms_q = (x * x).sum(axis=1), (q * q).sum(axis=1)
-                for lo in range(0, len(q), 64):
-                    bound = upper_bounds(q[lo : lo + 64], norms_q[lo : lo + 64], norms, to[lo : lo + 64], table)
-                    for i in range(len(bound)):
-                        meet(best[lo + i], q[lo + i], int(q_ids[lo + i]), ids, x, bound[i])
-        for q_ids, _, best in found.values():
+                ids = np.frombuffer(row["ids"], np.int64)
+                x = np.frombuffer(row["x"], np.int64).reshape(len(ids), row["dim"])
+                table = np.frombuffer(row["table"], np.float32).reshape(-1, len(ids))
+                norms = (x.astype(float) ** 2).sum(axis=1)
+                widest = float(norms.max())
+                for dim, q_ids, q, norms_q, to, best in turn:
+                    if dim == row["dim"]:
+                        for i in range(len(q_ids)):
+                            small = widest * norms_q[i] < 2.0**104
+                            values = x if not small else _as_float(row, x)
+                            meet(best[i], q[i], int(q_ids[i]), ids, values, upper_bounds(to[i], norms_q[i], norms, table), small)
+        for _, q_ids, _, _, _, best in turn:
             ids = np.concatenate([np.full(len(b.ids), i) for i, b in zip(q_ids, best, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.concatenate([b.ids for b in best])), pa.array(np.concatenate([b.scores for b in best]).astype(np.int64))], ["query_id", "vec_id", "score"])
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(np.concatenate([b.ids for b in best])), pa.array(np.concatenate([b.scores for b in best]))], ["query_id", "vec_id", "score"])
 
     return run
 
 
+def _as_float(row: dict, x: np.ndarray) -> np.ndarray:
+    """The block as float64, made once."""
+    if "float" not in row:
+        row["float"] = x.astype(float)
+    return row["float"]
+
+
+def _turns(sizes: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """First and last key of consecutive blocks of queries with at most TURN_BYTES together (one block at least)."""
+    first = last = None
+    total = 0
+    for key, size in sorted(sizes):
+        if first is not None and total + size > TURN_BYTES:
+            yield first, last
+            first, total = None, 0
+        first, last, total = key if first is None else first, key, total + size
+    if first is not None:
+        yield first, last
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k largest inner products of each query with the other rows."""
+    spark = vectors.sparkSession
     base = usable(vectors, scale)
-    drawn = base.select("v", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h").limit(PIVOTS).collect()
-    dims = [len(r["v"]) for r in drawn]
+    drawn = [r["v"] for r in base.select("v", F.xxhash64("vec_id", F.lit(3)).alias("h")).orderBy("h").limit(SAMPLE).collect()]  # SAMPLE rows at most
+    dims = [len(v) for v in drawn]
     dim = max(set(dims), key=dims.count) if dims else 0
-    used = [r["v"] for r in drawn if len(r["v"]) == dim]
-    pivots = np.array(used, float).reshape(len(used), dim)
-    shape = "dim int, {} long, ids binary, x binary, table binary"
-    blocks = settle(base.mapInArrow(_pack("block", CANDIDATE_BLOCK, pivots), shape.format("block")), "candidate-blocks")
-    asked = settle(usable(queries, scale).mapInArrow(_pack("q_block", QUERY_BLOCK, None), shape.format("q_block")), "query-blocks").select("dim", "q_block", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-    # every block of queries meets every block of candidates of its length: blocks, not rows, are paired
-    met = blocks.join(asked, "dim").withColumn("share", F.pmod(F.xxhash64("block"), F.lit(SHARES))).repartition("q_block", "share")
-    found = met.mapInArrow(_search(k, pivots), "query_id long, vec_id long, score long")
+    sample = [v for v in drawn if len(v) == dim]
+    pivots = farthest_first(np.array(sample, float).reshape(len(sample), dim), PIVOTS)
+    blocks = settle(base.mapInArrow(_pack(pivots), _SHAPE), "candidate-blocks")
+    asked = settle(usable(queries, scale).distinct().mapInArrow(_pack(None), _SHAPE), "query-blocks")
+    path = scratch_path(spark, "turns")
+    spark.createDataFrame([], FOUND).write.parquet(path)
+    for first, last in _turns([(r["block"], r["size"]) for r in asked.select("block", "size").collect()]):
+        held = asked.where(F.col("block").between(first, last)).select("dim", "ids", "x").collect()  # TURN_BYTES at most
+        turn = spark.sparkContext.broadcast([(r["dim"], bytes(r["ids"]), bytes(r["x"])) for r in held])
+        blocks.mapInArrow(_search(k, pivots, turn), FOUND).write.mode("append").parquet(path)
+        turn.destroy()
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.read.schema(FOUND).parquet(path).withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

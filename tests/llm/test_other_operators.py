@@ -16,8 +16,8 @@ from lexloom.llm.html_extract import common_lines, main_text
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 30)
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(topk_search, "TURN_BYTES", 1000)
     monkeypatch.setattr(topk_search, "CHUNK", 8)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(120)] + [(200 + i, [0.5] * 6) for i in range(40)]
@@ -34,25 +34,36 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk_search.top_k(df.limit(0), df.limit(0)).collect() == []
 
 
-def test_top_k_with_repeated_queries_in_several_blocks(spark):
+def test_top_k_with_repeated_rows_in_several_blocks(spark):
     rng = np.random.default_rng(5)
     vectors = {i: rng.normal(size=4).tolist() for i in range(20)}
     frame = lambda ids, n: spark.createDataFrame(spark.sparkContext.parallelize([(i, vectors[i]) for i in ids], n), "vec_id long, embedding array<double>")
-    asked = [0, 4, 8], [0, 12, 16]
     ints = {i: np.floor(64 * np.array(v)) for i, v in vectors.items()}
     want = []
-    for q in sorted({*asked[0], *asked[1]}):
-        times = sum(q in x for x in asked)
-        others = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q for _ in range(times))[:5]
+    for q in (0, 4, 8, 12, 16):
+        others = sorted((-int(ints[q] @ v), i) for i, v in ints.items() if i != q for _ in range(1 + (i < 3)))[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(others)]
-    got = topk_search.top_k(frame(range(20), 1), frame([*asked[0], *asked[1]], 2), 5).collect()
+    got = topk_search.top_k(frame([*range(20), 0, 1, 2], 3), frame([0, 4, 8, 0, 12, 16], 2), 5).collect()
     assert sorted(map(tuple, got)) == want
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(20, [1e8, 2.0]), (1, [1.0, 1.0]), (2, [3e12, -7.0]), (3, [-3e12, 5.0]), (40, [1e9, 1e9]), (4, [1e300, 0.0]), (5, [0.25, -0.5])]
+    ints = {i: [int(min(max(int(np.floor(64 * c)), -(1 << 63)), (1 << 63) - 1)) for c in v] for i, v in rows}
+    score = lambda a, b: min(max(sum(x * y for x, y in zip(ints[a], ints[b], strict=True)), -((1 << 63) - 1)), (1 << 63) - 1)
+    want = []
+    for q in (20, 40):
+        for r, (s, i) in enumerate(sorted((-score(q, i), i) for i in ints if i != q)):
+            want.append((q, r + 1, i, -s))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 20 = 0"), 20).collect())) == sorted(want)
+
+
 def test_warc(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "CHUNK_CHARS", 5)
     monkeypatch.setattr(warc, "FILE_RECORDS", 3)
-    rows = [(1, "http://a/x", "short"), (2, "http://a/y", "é" * 23), (3, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb"), (4, None, None), (5, "", ""), (6, "v", "é" * 23), (7, "w\r\nx", "é" * 23), (None, "n", "short"), (1, "again", "short"), (8, "z", "\n" * 12)]
+    long_ = "".join(chr(97 + i % 26) for i in range(31))
+    rows = [(11, "r", long_), (11, "r", long_), (11, "s", "other" + long_), (None, "t", long_), (None, "t", long_), (12, "q", "é" * 23 + "x"), (1, "http://a/x", "short"), (2, "http://a/y", "é" * 23), (3, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb"), (4, None, None), (5, "", ""), (6, "v", "é" * 23), (7, "w\r\nx", "é" * 23), (None, "n", "short"), (1, "again", "short"), (8, "z", "\n" * 12)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("chunk", F.lit("clash")).withColumn("digest", F.lit(1))
     warc.write_archives(warc.plan_records(df), f"{tmp_path}/w")
     got = warc.summarise(warc.read_archives(spark, f"{tmp_path}/w")).collect()
