@@ -4,21 +4,20 @@ Each page is cut into blocks (lines of text between block tags).  Blocks in navi
 scripts, styles, notices, adverts and reader comments (by tag, role, class or id) are marked as boilerplate; blocks in an
 `article` or `main` element are marked as content.
 
-For the blocks that are neither, pages are compared: pages of a host are ordered by URL path and each is paired with the
-page before it (the first with the page after it).  Their lines, as hashes, are aligned by a longest common subsequence,
-and shared lines are deleted as template text.  Lines inside `article` or `main` are kept even if shared: copies of an
-article stand next to each other by URL, and differencing alone would delete both.  Where a page has an `article` or
-`main`, undecided blocks outside it are dropped as well; without one the undecided lines that are not shared are the text.
+For the blocks that are neither, pages are compared: pages of a host are ordered by URL path, and each is aligned with the
+page before it or, if that one is a copy of it (COPY of its lines are shared), with the page after it.  Lines, as hashes, are
+aligned by a longest common subsequence, and shared lines are deleted as template text; a page between two copies loses
+none.  What is left of the undecided lines is text where the page has no `article` or `main`, or where it is longer than
+what stands in them (a teaser); lines inside `article` or `main` are kept even if shared.
 
 Null or empty html: empty text.  A null URL has no host and no partner.  Rows with one id are told apart by their html.
+Very long pages: the alignment takes lines x lines / 64 steps and the square root of that in memory.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +40,8 @@ MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|bann
 #: Start tags that end an open element of the kind.
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 CONTENT, UNDECIDED, BOILERPLATE = 2, 1, 0
+#: Share of a page's undecided lines that make another page a copy of it.
+COPY = 0.8
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -103,27 +104,47 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
+def _steps(vector: int, masks: dict[int, int], lines: list[int], full: int) -> list[int]:
+    """Bit vectors of the alignment after each further line: bit i is 0 where the i-th line of the other page makes the subsequence longer."""
+    out = []
+    for x in lines:
+        hit = vector & masks[x]
+        vector = ((vector + hit) | (vector - hit)) & full
+        out.append(vector)
+    return out
+
+
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Indices in a of a longest common subsequence with b: longest increasing chain of matches (Hunt and Szymanski)."""
-    places = defaultdict(list)
-    for j, x in enumerate(b):
-        places[x].append(j)
-    tails: list[int] = []
-    links: list[tuple[int, tuple | None]] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(tails, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                links.append(link)
+    """Indices in a of a longest common subsequence with b (bit-parallel; only every so many vectors are held, the others are made again)."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    both = set(a[head : len(a) - tail]) & set(b[head : len(b) - tail])
+    mine = [i for i in range(head, len(a) - tail) if a[i] in both]
+    other = [x for x in b[head : len(b) - tail] if x in both]
+    masks: dict[int, int] = {}
+    for i, at in enumerate(mine):
+        masks[a[at]] = masks.get(a[at], 0) | 1 << i
+    full, stride = (1 << len(mine)) - 1, int(len(other) ** 0.5) + 1
+    starts = [full]
+    for lo in range(0, len(other), stride):
+        starts.append(_steps(starts[-1], masks, other[lo : lo + stride], full)[-1])
+    found, i = [], len(mine)
+    for k in range(len(starts) - 2, -1, -1):
+        rows = [starts[k], *_steps(starts[k], masks, other[k * stride : (k + 1) * stride], full)]
+        j = len(rows) - 1
+        while i and j:
+            if rows[j] >> (i - 1) & 1:
+                i -= 1
+            elif not rows[j - 1] >> (i - 1) & 1:
+                j -= 1
             else:
-                tails[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+                i, j = i - 1, j - 1
+                found.append(mine[i])
+    return [*range(head), *found[::-1], *range(len(a) - tail, len(a))]
 
 
 def _shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +182,7 @@ def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """key, other: the page before each page of its host by URL path (the next one for the first).  pages: key, host, path.
+    """key, other, place: the pages before (0) and after (1) each page of its host by URL path.  pages: key, host, path.
 
     The order is cut into ranges, so a host of any size is spread; the ends of the ranges (two rows each) are then joined.
     """
@@ -175,22 +196,39 @@ def neighbours(pages: DataFrame) -> DataFrame:
         seen = tails[r["part"]]
     joined = placed.join(F.broadcast(placed.sparkSession.createDataFrame(fixed, "key long, fix long")), "key", "left").select("host", "path", "key", F.coalesce("before", "fix").alias("other"))
     joined = settle(joined, "url-pairs")
-    back = joined.where("other IS NOT NULL").select(F.col("other").alias("key"), F.col("key").alias("next"))
-    firsts = joined.where("other IS NULL").select("key").join(back, "key").select("key", F.col("next").alias("other"))
-    return joined.where("other IS NOT NULL").select("key", "other").unionByName(firsts)
+    joined = joined.where("other IS NOT NULL")
+    return joined.select("key", "other", F.lit(0).alias("place")).unionByName(joined.select(F.col("other").alias("key"), F.col("key").alias("other"), F.lit(1).alias("place")))
+
+
+def template_lines(mine: list[int], others: list[list[int]]) -> set[int]:
+    """Indices of the lines shared with the first other page that is no copy."""
+    for theirs in others:
+        shared = common_lines(mine, theirs)
+        if len(shared) < COPY * len(mine):
+            return set(shared)
+    return set()
+
+
+def kept_lines(marks: list[int], texts: list[str], shared: set[int]) -> list[str]:
+    """Texts of content and, where they count, of undecided blocks that aren't shared (numbered among the undecided ones)."""
+    free = -1
+    main, rest, either = [], [], []
+    for mark, text in zip(marks, texts, strict=True):
+        free += mark == UNDECIDED
+        if mark == CONTENT:
+            main.append(text)
+            either.append(text)
+        elif mark == UNDECIDED and free not in shared:
+            rest.append(text)
+            either.append(text)
+    return main if main and sum(map(len, main)) >= sum(map(len, rest)) else either
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for marks, blocks_, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("marks", "texts", "lines", "other_lines")), strict=True):
-            shared = set(common_lines(mine, theirs)) if theirs else set()
-            landmark, free, kept = CONTENT in marks, -1, []
-            for mark, text in zip(marks, blocks_, strict=True):
-                free += mark == UNDECIDED
-                if mark == CONTENT or (mark == UNDECIDED and not landmark and free not in shared):
-                    kept.append(text)
-            texts.append("\n".join(kept))
+        for marks, blocks_, mine, others in zip(*(batch.column(c).to_pylist() for c in ("marks", "texts", "lines", "others")), strict=True):
+            texts.append("\n".join(kept_lines(marks, blocks_, template_lines(mine, [o["lines"] for o in others or []]))))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -204,7 +242,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     parts = F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]+)([^?#]*)", 1), F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]+)([^?#]*)", 2)
     urls = keyed.where("url IS NOT NULL").select("key", F.lower(parts[0]).alias("host"), parts[1].alias("path")).where("host <> ''").dropDuplicates(["key"])
     pairs = neighbours(urls)
-    lines = keyed.select(F.col("key").alias("other"), F.col("lines").alias("other_lines")).dropDuplicates(["other"])
-    partner = pairs.dropDuplicates(["key"]).join(lines, "other").select("key", "other_lines")
+    lines = keyed.where(F.size("lines") > 0).select(F.col("key").alias("other"), F.col("lines").alias("other_lines")).dropDuplicates(["other"])
+    partner = pairs.dropDuplicates(["key", "place"]).join(lines, "other").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", F.col("other_lines").alias("lines")))).alias("others"))  # two at most
     out = shredded.join(partner, "key", "left").mapInArrow(_assemble, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

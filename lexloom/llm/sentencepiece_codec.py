@@ -136,18 +136,23 @@ class Pieces:
         return best, into
 
     def n_best(self, unit: bytes, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The n best (score, ids) by A* from the end; ties by the ids read from the end."""
+        """The n best (score, ids) by A* from the end; of equal ones the one nearer to the start goes on first.  A step knows the step behind it, so nothing is copied."""
         best, into = self.forward(unit)
-        heap, out = [(-best[-1], (), len(unit), 0)], []
+        steps: list[tuple[int, int, int, int]] = []  # (step behind it or -1, start, end, id)
+        heap, out = [(-best[-1], len(unit), -1, 0)], []
         while heap and len(out) < n:
-            _, tail, at, done = heapq.heappop(heap)
+            _, at, last, done = heapq.heappop(heap)
             if at == 0:
-                out.append((done, tuple(i for step in reversed(tail) for i in step)))
+                ids: list[int] = []
+                while last >= 0:
+                    last, start, end, ident = steps[last]
+                    ids += [ident] if ident >= 0 else [int(self.byte_id[b]) for b in unit[start:end]]
+                out.append((done, tuple(ids)))
                 continue
             for start, score, ident in into[at]:
                 if best[start] > int(_NONE):
-                    step = (ident,) if ident >= 0 else tuple(int(self.byte_id[b]) for b in unit[start:at])
-                    heapq.heappush(heap, (-(best[start] + score + done), (*tail, step), start, done + score))
+                    steps.append((last, start, at, ident))
+                    heapq.heappush(heap, (-(best[start] + score + done), start, len(steps) - 1, done + score))
         return out
 
     def solve(self, units: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

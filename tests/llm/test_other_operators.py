@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from lexloom.llm import sentencepiece_codec as codec
 from lexloom.llm import textblocks as tb
 from lexloom.llm import topk_search, warc
 from lexloom.llm.chat_format import BUDGET, digests, format_conversations, read_back
-from lexloom.llm.html_extract import common_lines, main_text
+from lexloom.llm.html_extract import COPY, common_lines, main_text
 
 
 def test_top_k_against_brute_force(spark, monkeypatch):
@@ -106,6 +107,61 @@ def test_common_lines():
         assert len(got) == longest and got == sorted(set(got))
 
 
+def test_common_lines_of_long_pages():
+    began = time.perf_counter()
+    assert len(common_lines([1, 2] * 3000, [2, 1] * 3000)) == 5999
+    assert common_lines(list(range(20_000)), list(range(10_000, 30_000))) == list(range(10_000, 20_000))
+    assert time.perf_counter() - began < 20
+
+
+def test_main_text_against_brute_force(spark):
+    """Pages as lists of (mark, line), written as html; partners and longest common subsequences by plain search."""
+    rng = random.Random(8)
+    wrap = {0: "<nav>{}</nav>", 1: "<div>{}</div>", 2: "<article>{}</article>"}
+    pages = []
+    for i in range(60):
+        blocks = [(rng.choice((0, 1, 1, 1)), f"template {rng.randrange(4)}") for _ in range(rng.randrange(4))] + [(1, f"line {rng.randrange(40)}") for _ in range(rng.randrange(5))]
+        if i % 4 == 0:
+            blocks.insert(rng.randrange(len(blocks) + 1), (2, rng.choice(("short", "a long article that says more than all else on this page, by far and away, so the rest goes"))))
+        if i % 7 == 3:
+            blocks = list(pages[-1][3])
+        host = f"h{rng.randrange(3)}" if i % 9 else None
+        pages.append((i, host, f"/p{rng.randrange(1000):04d}/{i:02d}", blocks))
+
+    def lcs(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for x in range(len(a)):
+            for y in range(len(b)):
+                t[x + 1][y + 1] = t[x][y] + 1 if a[x] == b[y] else max(t[x][y + 1], t[x + 1][y])
+        return t[-1][-1]
+
+    undecided = {i: [t for m, t in b if m == 1] for i, _, _, b in pages}
+    order = {h: sorted((path, i) for i, host, path, _ in pages if host == h) for h in ("h0", "h1", "h2")}
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame([(i, f"http://{h}{path}" if h else None, "<body>" + "".join(wrap[m].format(t) for m, t in b) + "</body>") for i, h, path, b in pages], "page_id long, url string, html string").repartition(5)).collect()}
+    decided = 0
+    for i, host, path, blocks in pages:
+        near = []
+        if host:
+            at = order[host].index((path, i))
+            near = [order[host][k][1] for k in (at - 1, at + 1) if 0 <= k < len(order[host])]
+        mine, shared = undecided[i], 0
+        for j in near:
+            if undecided[j]:
+                shared = lcs(mine, undecided[j])
+                if shared < COPY * len(mine):
+                    break
+                shared = 0
+        main = [t for m, t in blocks if m == 2]
+        text = got[i].split("\n") if got[i] else []
+        if main and sum(map(len, main)) >= sum(map(len, text)) - sum(map(len, main)) and text == main:
+            continue
+        decided += shared > 0
+        assert len(text) == len(main) + len(mine) - shared
+        left = iter(t for m, t in blocks if m)
+        assert all(t in left for t in text)  # in page order
+    assert decided > 5
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return codec.Pieces.load(codec.model_path())
@@ -196,3 +252,12 @@ def test_chat(spark):
         tokens = sum(len(p.split("\n", 1)[1].split()) + 1 for p in parts)
         assert len(parts) - w["context_turns"] == 1 or tokens <= BUDGET + 5 * len(parts)
     assert digests(read_back(format_conversations(df.limit(0)))).collect() == []
+
+
+def test_very_long_unit(spark, pieces):
+    began = time.perf_counter()
+    for unit in (b"a" * 20_000, b" " + b"abcdefgh" * 2500):
+        found = pieces.n_best(unit, 4)
+        assert len(found) == 4 and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+        assert all(pieces.decode(np.array(ids, np.int64)).tobytes() == unit for _, ids in found)
+    assert time.perf_counter() - began < 30
