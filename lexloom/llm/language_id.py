@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import textblocks as tb
-from lexloom.llm.shared import pick
+from lexloom.llm.shared import fresh, pick
 
 SAMPLE_DOCS, SAMPLE_CHARS = 150, 20_000
 BUCKETS, SEGMENT, STEPS, RATE, DECAY = 1 << 16, 64, 12, 0.5, 1e-4
@@ -240,16 +240,16 @@ def identify(documents: DataFrame, model: Model | None = None) -> DataFrame:
     return asked.mapInArrow(tb.bounded(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, words_by_label array<bigint>")
 
 
-def _keep(model: Model, least: float):
+def _keep(model: Model, least: float, lettered: str):
     predict = _predict(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = pa.RecordBatch.from_arrays(
-                [pa.array(range(batch.num_rows), pa.int64()), pa.array([False] * batch.num_rows), batch.column("text"), batch.column("__lettered")], ["doc_id", "held_out", "text", "lettered"]
+                [pa.array(range(batch.num_rows), pa.int64()), pa.array([False] * batch.num_rows), batch.column("text"), batch.column(lettered)], ["doc_id", "held_out", "text", "lettered"]
             )
             good = np.concatenate([np.zeros(0, bool)] + [(np.array(b.column("lang_pred").to_pylist(), object) != "und") & (b.column("score").to_numpy() >= least) for b in predict(iter([asked]))])
-            yield batch.drop_columns(["__lettered"]).filter(pa.array(good.astype(bool)))
+            yield batch.drop_columns([lettered]).filter(pa.array(good.astype(bool)))
 
     return run
 
@@ -258,4 +258,5 @@ def keep_identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows whose language is found with a score of `least` or more, all columns as they are; no row is moved."""
     known = pick(documents, "doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id").cast("long"))
     model = train(known.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))))
-    return documents.withColumn("__lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tb.bounded(_keep(model, least)), documents.schema)
+    name = fresh(documents, "lettered")
+    return documents.withColumn(name, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(tb.bounded(_keep(model, least, name)), documents.schema)

@@ -1,10 +1,12 @@
 """Removal of lines that repeat across documents.
 
-Two Bloom filters of a fixed size (`bits`, a parameter) are filled over all lines: one with the keys seen, one with the
-keys seen again.  Each task fills its own pair, the pairs meet block by block (what two tasks have both seen counts as
-seen again), and the merged "again" filter, `bits / 8` bytes whatever the input, goes to every executor.  Only keys that
-it holds are shuffled, as 128-bit hashes, to be confirmed exactly and to find the smallest document of each.  With more
-lines than the filter can tell apart more keys are shuffled and the result is the same.
+Two Bloom filters are filled over all lines: one with the keys seen, one with the keys seen again.  The filters are cut into
+blocks of BLOCK_BITS bits, all probes of a key lie in one block, and there is a block for each BLOCK_KEYS lines counted, so
+the filters stay as sharp at any size.  Tasks send the probes of their distinct keys; where a block is merged, a key whose
+probes are all set already counts as seen again.  If the merged "again" blocks take MOST_BYTES or less together, they go to
+every executor and each line is tested where it stands; beyond that the hashes of the lines go to the blocks.  Only keys that
+the filter holds are shuffled, as 128-bit hashes with their documents, to be confirmed exactly and to find the smallest
+document of each.
 
 Null or empty text: one empty line.  A null id never matches and keeps its lines; repeated rows with one id count as one document.
 """
@@ -21,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import textblocks as tb
-from lexloom.llm.shared import pick, settle
+from lexloom.llm.shared import fresh, join_small, pick, settle
 
-BLOOM_BITS, PROBES, BLOCK_BITS = 1 << 24, 4, 1 << 16
+BLOCK_BITS, PROBES, BLOCK_KEYS, MOST_BYTES = 1 << 16, 4, 1 << 13, 1 << 26
+#: Distinct keys of a task that are sent together.
+SENT_KEYS = 1 << 18
 MIN_KEY_CHARS = 10
 _U = np.uint64
 
@@ -53,72 +57,137 @@ class _Lines:
         self.h1, self.h2 = tb.span_hashes(low, a, b, 1), tb.span_hashes(low, a, b, 2)
 
 
-def _places(h1: np.ndarray, h2: np.ndarray, bits: int) -> np.ndarray:
-    return np.stack([(h1 + _U(k) * (h2 | _U(1))) >> _U(7) for k in range(PROBES)]).astype(np.int64) & (bits - 1)
+def _blocks(h1: np.ndarray, blocks: int) -> np.ndarray:
+    """Block of each key: the high half of its first hash, scaled."""
+    return (((h1 >> _U(32)) * _U(blocks)) >> _U(32)).astype(np.int64)
 
 
-def _fill(bits: int, least: int):
+def _probes(h2: np.ndarray) -> np.ndarray:
+    """Bits of each key inside its block: the four quarters of its second hash."""
+    return np.ascontiguousarray(h2).view(np.uint16).reshape(-1, PROBES)
+
+
+def _distinct(ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return np.unique(np.rec.fromarrays([h1, h2, ids]))
+
+
+def _cells(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive counts[i] rows of data as one binary value each."""
+    edges = np.r_[0, np.cumsum(counts)] * data.dtype.itemsize * (data.shape[1] if data.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def _fill(blocks: int, least: int):
+    """block, once, again: probes of the distinct keys of a task, and of those that it has seen in two documents."""
+
+    def sent(parts: list[np.ndarray]) -> pa.RecordBatch:
+        own = np.unique(np.concatenate(parts))  # by key, then document
+        head = np.flatnonzero(np.r_[True, (own["f0"][1:] != own["f0"][:-1]) | (own["f1"][1:] != own["f1"][:-1])])
+        several = np.diff(np.r_[head, len(own)]) > 1
+        block, probes = _blocks(own["f0"][head], blocks), _probes(own["f1"][head])  # keys are sorted by first hash, so by block
+        found, start = np.unique(block, return_index=True)
+        counts, more = np.diff(np.r_[start, len(block)]), np.add.reduceat(several, start)
+        return pa.RecordBatch.from_arrays([pa.array(found), _cells(probes, counts), _cells(probes[several], more)], ["block", "once", "again"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, bool), np.zeros(bits, bool)
+        parts: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, _, raw, at in tb.chunks(batch.column("text")):
                 x = _Lines(raw, at, least)
-                if not len(x.line):
-                    continue
-                own = np.unique(np.rec.fromarrays([x.h1, x.h2, ids[lo + x.row[x.line]]]))
-                new = np.r_[True, (own.f0[1:] != own.f0[:-1]) | (own.f1[1:] != own.f1[:-1])]
-                places = _places(own.f0, own.f1, bits)
-                twice = ~new | once[places].all(axis=0)
-                again[places[:, twice].ravel()] = True
-                once[places.ravel()] = True
-        once, again = np.packbits(once), np.packbits(again)
-        size = BLOCK_BITS // 8
-        blocks = [k for k in range(len(once) // size) if once[k * size : (k + 1) * size].any()]
-        if blocks:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(blocks, pa.int32()), *[pa.array([x[k * size : (k + 1) * size].tobytes() for k in blocks], pa.binary()) for x in (once, again)]],
-                ["block", "once", "again"],
-            )
+                if len(x.line):
+                    parts.append(_distinct(ids[lo + x.row[x.line]], x.h1, x.h2))
+                if sum(map(len, parts)) >= SENT_KEYS:
+                    yield sent(parts)
+                    parts = []
+        if parts:
+            yield sent(parts)
 
     return run
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block: one pair of filters is held at a time."""
-    block = once = again = None
+    """Rows come sorted by block: one pair of blocks is held at a time."""
+    block, once, again = None, np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
     out: list[tuple[int, bytes]] = []
+
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([a for _, a in out], pa.binary())], ["block", "again"])
+
     for batch in batches:
         for k, o, a in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            o, a = np.frombuffer(o.as_buffer(), np.uint8), np.frombuffer(a.as_buffer(), np.uint8)
-            if k == block:
-                again, once = again | a | (once & o), once | o
-            else:
-                if block is not None:
-                    out.append((block, again.tobytes()))
-                block, once, again = k, o, a
-    if block is not None:
-        out.append((block, again.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([a for _, a in out], pa.binary())], ["block", "again"])
-
-
-def _suspect(again, bits: int, least: int):
+            if k != block:
+                if again.any():
+                    out.append((block, np.packbits(again).tobytes()))
+                block = k
+                once[:] = again[:] = False
+            o, a = np.frombuffer(o.as_buffer(), np.uint16).reshape(-1, PROBES), np.frombuffer(a.as_buffer(), np.uint16)
+            again[o[once[o].all(axis=1)].ravel()] = True
+            once[o.ravel()] = True
+            again[a] = True
+        if len(out) >= 64:
+            yield rows()
+            out = []
+    if again.any():
+        out.append((block, np.packbits(again).tobytes()))
+    if out:
+        yield rows()
+
+
+def _held(again: np.ndarray, at: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether all probes are set in the blocks that begin at byte `at`."""
+    probes = _probes(h2)
+    return ((again[at[:, None] + (probes >> 3)] >> (7 - (probes & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+_SUSPECT = "doc_id long, h1 long, h2 long"
+
+
+def _suspect(again, blocks: int, least: int):
+    """Lines whose keys the filter holds.  again: broadcast place of each block (-1: no key) and the blocks one after another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, data = np.frombuffer(again.value[0], np.int32), np.frombuffer(again.value[1], np.uint8)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, _, raw, at in tb.chunks(batch.column("text")):
                 x = _Lines(raw, at, least)
-                if not len(x.line):
-                    continue
-                places = _places(x.h1, x.h2, bits)
-                hit = ((np.frombuffer(again.value, np.uint8)[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1).all(axis=0)
-                if hit.any():
-                    own = np.unique(np.rec.fromarrays([ids[lo + x.row[x.line[hit]]], x.h1[hit], x.h2[hit]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.f0), pa.array(own.f1.view(np.int64)), pa.array(own.f2.view(np.int64))], ["doc_id", "h1", "h2"])
+                place = places[_blocks(x.h1, blocks)].astype(np.int64)
+                maybe = np.flatnonzero(place >= 0)
+                hit = maybe[_held(data, place[maybe] * (BLOCK_BITS // 8), x.h2[maybe])] if len(maybe) else maybe
+                if len(hit):
+                    own = _distinct(ids[lo + x.row[x.line[hit]]], x.h1[hit], x.h2[hit])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.f2), pa.array(own.f0.view(np.int64)), pa.array(own.f1.view(np.int64))], ["doc_id", "h1", "h2"])
 
     return run
 
 
+def _keyed(blocks: int, least: int):
+    """block, keys: document and hashes of the lines of a chunk, for a filter too large to be sent to every executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for lo, _, raw, at in tb.chunks(batch.column("text")):
+                x = _Lines(raw, at, least)
+                if len(x.line):
+                    own = _distinct(ids[lo + x.row[x.line]], x.h1, x.h2)
+                    found, start = np.unique(_blocks(own.f0, blocks), return_index=True)
+                    rows = np.stack([own.f2, own.f0.view(np.int64), own.f1.view(np.int64)], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), _cells(rows, np.diff(np.r_[start, len(own)]))], ["block", "keys"])
+
+    return run
+
+
+def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for keys, again in zip(batch.column("keys"), batch.column("again"), strict=True):
+            rows = np.frombuffer(keys.as_buffer(), np.int64).reshape(-1, 3)
+            held = rows[_held(np.frombuffer(again.as_buffer(), np.uint8), np.zeros(len(rows), np.int64), rows[:, 2])]
+            if len(held):
+                yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(3)], ["doc_id", "h1", "h2"])
+
+
 def _drop(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,46 +222,53 @@ def _drop(least: int):
     return run
 
 
-def repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int = BLOOM_BITS) -> DataFrame:
+def repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, block_keys: int = BLOCK_KEYS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, late: the key hashes that a smaller document holds, of each document that has some."""
     spark = documents.sparkSession
     docs = pick(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
-    filters = docs.mapInArrow(tb.bounded(_fill(bits, least)), "block int, once binary, again binary")
-    merged = filters.repartition("block").sortWithinPartitions("block").mapInArrow(tb.bounded(_merge), "block int, again binary")
-    packed = np.zeros(bits // 8, np.uint8)
-    for block, data in merged.collect():  # bits / 8 bytes at most
-        packed[block * BLOCK_BITS // 8 : (block + 1) * BLOCK_BITS // 8] = np.frombuffer(data, np.uint8)
-    again = spark.sparkContext.broadcast(packed.tobytes())
-    suspects = settle(docs.mapInArrow(tb.bounded(_suspect(again, bits, least)), "doc_id long, h1 long, h2 long"), "suspect-lines")
+    lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    blocks = lines // block_keys + 1
+    filled = docs.mapInArrow(tb.bounded(_fill(blocks, least)), "block long, once binary, again binary")
+    merged = settle(filled.repartition("block").sortWithinPartitions("block").mapInArrow(tb.bounded(_merge), "block long, again binary"), "again-filter")
+    if (merged.count() * BLOCK_BITS // 8) + 4 * blocks <= most_bytes:
+        held = merged.collect()  # most_bytes at most
+        places = np.full(blocks, -1, np.int32)
+        places[[r["block"] for r in held]] = np.arange(len(held))
+        again = spark.sparkContext.broadcast((places.tobytes(), b"".join(bytes(r["again"]) for r in held)))
+        tested = docs.mapInArrow(tb.bounded(_suspect(again, blocks, least)), _SUSPECT)
+    else:
+        tested = docs.mapInArrow(tb.bounded(_keyed(blocks, least)), "block long, keys binary").join(merged, "block").mapInArrow(tb.bounded(_tested), _SUSPECT)
+    suspects = settle(tested, "suspect-lines")
     first = settle(suspects.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-lines")
-    late = suspects.join(first, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
+    late = join_small(suspects, first, ["h1", "h2"], "inner").where("doc_id > a").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("late"))
     return settle(late, "late-lines")
 
 
-def remove_repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int = BLOOM_BITS) -> DataFrame:
+def remove_repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, block_keys: int = BLOCK_KEYS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (lines left, joined by \\n), kept_sha256 of every document."""
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    late = repeated_lines(documents, least, bits)
+    late = repeated_lines(documents, least, block_keys, most_bytes)
     return docs.join(late, "doc_id", "left").mapInArrow(tb.bounded(_drop(least)), "doc_id long, n_lines long, n_dropped long, kept string, kept_sha256 string")
 
 
-def _replace(least: int):
+def _replace(least: int, late: str):
     drop = _drop(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column("__late")], ["doc_id", "text", "late"])
+            asked = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), batch.column(late)], ["doc_id", "text", "late"])
             kept = pa.concat_arrays([x.column("kept") for x in drop(iter([asked]))]) if batch.num_rows else batch.column("text")
             null = batch.column("text").is_null()
             text = pc.if_else(null, pa.nulls(batch.num_rows, pa.string()), kept.cast(pa.string()))
-            names = [n for n in batch.schema.names if n != "__late"]
+            names = [n for n in batch.schema.names if n != late]
             yield pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names)
 
     return run
 
 
-def with_lines_removed(documents: DataFrame, least: int = MIN_KEY_CHARS, bits: int = BLOOM_BITS) -> DataFrame:
+def with_lines_removed(documents: DataFrame, least: int = MIN_KEY_CHARS) -> DataFrame:
     """The rows with the repeated lines taken out of their text and n_chars (where there is one) set anew; no row is dropped."""
-    late = repeated_lines(documents, least, bits).select("doc_id", F.col("late").alias("__late"))
-    clean = documents.join(late, "doc_id", "left").select(*documents.columns, "__late").mapInArrow(tb.bounded(_replace(least)), documents.schema)
+    name = fresh(documents, "late")
+    late = repeated_lines(documents, least).select("doc_id", F.col("late").alias(name))
+    clean = documents.join(late, "doc_id", "left").select(*documents.columns, name).mapInArrow(tb.bounded(_replace(least, name)), documents.schema)
     return clean.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else clean

@@ -80,14 +80,14 @@ def _sets(k: int):
 
 
 def _own(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[bytes, np.ndarray]]:
-    """(node, sorted hashes) of the rows whose set is one of the nodes that their id stands for."""
+    """(node, sorted hashes) of the rows whose set is the node that their id stands for (told by its first eight bytes)."""
     for batch in batches:
-        asked = batch.column("nodes")
+        asked = batch.column("asked").to_numpy()
         for lo, hi, raw, at in tb.chunks(batch.column("text")):
             h, cut = shingle_sets(raw, at, k)
             for i in range(hi - lo):
                 node = _node(h[cut[i] : cut[i + 1]])
-                if node is not None and node in asked[lo + i].as_py():
+                if node is not None and int.from_bytes(node[:8], "big", signed=True) == asked[lo + i]:
                     yield node, h[cut[i] : cut[i + 1]]
 
 
@@ -105,7 +105,7 @@ def _cut(k: int, fragments: int):
         held = np.bincount(of[several[group]], minlength=len(sets)).astype(np.uint32)
         first = np.flatnonzero(new)
         h, of = h[first], of[first]
-        part = ((h >> _U(48)) % _U(fragments)).astype(np.int64)
+        part = (((h >> _U(32)) * _U(fragments)) >> _U(32)).astype(np.int64)  # by the high half: fragments are ranges of the order
         ident = int.from_bytes(hashlib.blake2b(b"".join(nodes), digest_size=8).digest(), "little", signed=True)
         yield int(ident % fragments), ident, 0, np.uint32(len(nodes)).tobytes() + b"".join(nodes) + size.tobytes() + held.tobytes()
         order = np.lexsort((of, several, part))
@@ -330,7 +330,8 @@ def near_duplicate_components(documents: DataFrame, k: int = WORDS, percent: int
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     def of(nodes: DataFrame) -> DataFrame:
-        return join_small(texts, nodes.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_set("node").alias("nodes")), ["doc_id"], "inner")
+        head = F.conv(F.hex(F.substring("node", 1, 8)), 16, -10).cast("long")
+        return join_small(texts, nodes.select(F.col("rep").alias("doc_id"), head.alias("asked")).distinct(), ["doc_id"], "inner")
 
     cut = of(ids).mapInArrow(tb.bounded(_cut(k, fragments)), "part int, block long, kind int, payload binary")
     counted = cut.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(tb.bounded(_count_fragment), "block long, kind int, payload binary")

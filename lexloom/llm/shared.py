@@ -8,9 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast; a side is counted before it is (16 bytes a row at most: 16 MB).
+#: Rows of a side that may be broadcast; a side is counted before it is (ids and fixed-width keys, 64 bytes a row at most: 64 MB).
 BROADCAST_ROWS = 1_000_000
-BATCH_ROWS, _BATCH = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,20 +40,21 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with the operator's own.
-
-    Also sees to it that a batch handed to Python has BATCH_ROWS rows at most: documents are long, and both sides hold a whole batch.
-    """
-    conf = df.sparkSession.conf
-    if int(conf.get(_BATCH, "10000")) > BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    """Only the named columns, so that extra columns can't clash with the operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as df has such a column."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast the right side if its counted rows are within the bound; else an ordinary join."""
-    return left.join(F.broadcast(right) if small_enough(right) else right, on, how)
+    return left.join(F.broadcast(right) if small_enough(right, rows) else right, on, how)

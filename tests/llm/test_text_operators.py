@@ -79,8 +79,8 @@ def test_lines_against_brute_force(spark):
         all_ = (t or "").split("\n")
         kept = [x for x in all_ if i is None or len(key(x)) < 10 or first[key(x)] == i]
         expected.append((i, len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    for bits in (1 << 16, 1 << 20):  # a filter that is too small only shuffles more
-        got = remove_repeated_lines(documents(spark, rows).repartition(4), bits=bits).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    for keys, most in ((8192, 1 << 26), (1, 1 << 26), (3, 0)):  # one block; many; a filter that isn't sent to the executors
+        got = remove_repeated_lines(documents(spark, rows).repartition(4), block_keys=keys, most_bytes=most).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
         assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
     clean = with_lines_removed(documents(spark, rows))
     assert clean.columns == documents(spark, []).columns and clean.count() == len(rows)
