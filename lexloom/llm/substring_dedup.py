@@ -1,20 +1,23 @@
 """Removal of long passages that repeat across documents, found by recompression.
 
-Every text becomes a string of word symbols.  Rounds rename it: first maximal runs of one word, then pairs of
-neighbours, a pair being joined when a bit of its first symbol says "left" and a bit of its second says "right".
-Names are hashes of what they stand for, so they are the same in all documents without any exchange, and the symbols
-inside equal passages agree except near their ends.  For each symbol that is left the words on which its existence
-depends are tracked (its context): wherever the same words stand, the same symbol stands.  So a window of `width` words
-that holds a whole context has a known symbol, and two equal windows hold the same symbols.
-
-0. A text that a smaller document holds as a whole (MD5 of the text) needs no search: all its windows start there.
-1. Symbols (and, for the few windows that hold no context, the window itself) are grouped over all documents; those
-   of one document only are dropped, and with them every window that holds one.
-2. The windows left over are compared exactly (128 bits of their word sequence) and the smallest document of each
-   is found.  A window in a larger document loses its words.
-
-Null or empty text: no words, nothing removed.  A null id never matches and is returned unchanged.  Repeated rows with
-one id count as one document; each row is cleaned by itself.
+Every text becomes a string of word symbols.  Recompression renames it: first maximal runs of one symbol, then pairs of
+neighbours, a pair being joined when a bit of its first symbol says "left" and a bit of its second says "right".  Names are
+hashes of what they stand for, so equal passages get equal symbols except near their ends.
+
+1. In each text symbols are grown to GROWN_WORDS words.  For each the words on which its existence depends are tracked (its
+   context): wherever the same words stand, the same symbol stands.  Symbols (and, for the few windows of `width` words that
+   hold no context, the window itself) are grouped over all documents.  A window is left only if all its symbols are shared;
+   the words of such windows are the regions in which repeats can be, and from here on only regions move.
+2. Rounds of recompression rename the regions, each to symbols about four times as long (ROUND_WORDS).  After each round the
+   names are grouped over all documents in a table of symbols: what one document alone holds is no symbol of the next round.
+   A symbol carries a second hash of the words that it expands to, which is compared along with its name.  All windows inside
+   a symbol of at least `width` words that a smaller document has too are repeated: its words go.
+3. The windows that lie in no such symbol (across their borders, or in passages too short for one) are compared exactly, and
+   the smallest document of each is found.  A window in a larger document loses its words.
+
+Words are told apart by 64-bit hashes, symbols and windows by 128 bits made of these.  Null or empty text: no words, nothing
+removed.  A null id never matches and is returned unchanged.  Repeated rows with one id count as one document; each row is
+cleaned by itself.  Texts of any length are worked on whole; their regions travel as rows of REGION_WORDS words at most.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ from pyspark.sql import functions as F
 from lexloom.llm import textblocks as tb
 from lexloom.llm.shared import join_small, pick, settle
 
-#: A symbol of so many words is joined no further; rounds of joining.
-GROWN_WORDS, ROUNDS = 12, 8
+#: A symbol of so many words is joined no further in the texts, and in the rounds over the regions; passes of joining in each.
+GROWN_WORDS, ROUND_WORDS, ROUNDS = 12, (24, 96, 384, 1536), 8
+REGION_WORDS = 1 << 16
 _FAR = 1 << 40
 _U = np.uint64
 
@@ -98,6 +102,57 @@ class _Parsed:
         return np.r_[names[useful], whole], np.r_[first[useful], bare], np.r_[last[useful], bare]
 
 
+class Level:
+    """Symbols of many regions one after another: name, hash of the words they stand for, region, first word and end."""
+
+    def __init__(self, names: np.ndarray, said: np.ndarray, of: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.names, self.said, self.of, self.start, self.end = names, said, of, start, end
+
+    def _next(self) -> np.ndarray:
+        """Whether the next symbol follows at once in the same region."""
+        return np.r_[(self.of[1:] == self.of[:-1]) & (self.start[1:] == self.end[:-1]), False] if len(self.of) else np.zeros(0, bool)
+
+    def runs(self) -> Level:
+        """Maximal runs of one symbol get one name."""
+        follows = self._next()
+        same = np.r_[False, follows[:-1] & (self.names[1:] == self.names[:-1])] if len(follows) else follows
+        head = np.flatnonzero(~same)
+        count = np.diff(np.r_[head, len(self.names)])
+        last = head + count - 1
+        names, said = self.names[head].copy(), self.said[head].copy()
+        long_ = np.flatnonzero(count > 1)
+        names[long_] = tb.mix(names[long_] + count[long_].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        more, size = count[long_] - 1, (self.end - self.start)[head[long_]]
+        power = tb.powers(2, int(size.max(initial=0)) + 1)[0][size] if len(long_) else np.zeros(0, np.uint64)
+        unit = said[long_].copy()
+        while len(long_) and more.any():
+            on = more > 0
+            said[long_[on]] = said[long_[on]] * power[on] + unit[on]
+            more = more - on
+        return Level(names, said, self.of[head], self.start[head], self.end[last])
+
+    def pairs(self, words: int, turn: int) -> Level:
+        """One pass: neighbours under `words` words are joined where their bits say left and right."""
+        free = self.end - self.start < words
+        left = (tb.mix(self.names + _U(turn * 0x1234567 + 1)) & _U(1)).astype(bool)
+        first = self._next() & free & left & np.r_[free[1:] & ~left[1:], False] if len(free) else free
+        i = np.flatnonzero(first)
+        names, said, end = self.names.copy(), self.said.copy(), self.end.copy()
+        names[i] = tb.mix(names[i] * _U(3) + tb.mix(names[i + 1] + _U(77)))
+        size = self.end[i + 1] - self.start[i + 1]
+        said[i] = said[i] * tb.powers(2, int(size.max(initial=0)) + 1)[0][size] + self.said[i + 1]
+        end[i] = self.end[i + 1]
+        stay = np.ones(len(names), bool)
+        stay[i + 1] = False
+        return Level(names[stay], said[stay], self.of[stay], self.start[stay], end[stay])
+
+    def grown(self, words: int, turn: int) -> Level:
+        level = self.runs()
+        for k in range(ROUNDS):
+            level = level.pairs(words, turn * ROUNDS + k)
+        return level
+
+
 def _flat(ids: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     names = ["doc_id", "h1", "h2"]
     return pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(c.view(np.int64)) for c in columns]], names[: 1 + len(columns)])
@@ -118,12 +173,15 @@ def _reveal(width: int):
     return run
 
 
-def _suspects(width: int):
-    """Windows all of whose keys are shared, once per document."""
+_REGION = "doc_id long, text_key long, first int, words array<bigint>"
+
+
+def _regions(width: int):
+    """Runs of words that lie in windows all of whose keys are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
             shared = batch.column("shared")
             for lo, hi, raw, at in tb.chunks(batch.column("text")):
                 doc = _Parsed(raw, at, width)
@@ -136,86 +194,145 @@ def _suspects(width: int):
                 cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 for k in range(hi - lo):
                     mine = order[cut[k] : cut[k + 1]]
-                    if len(mine) and shared[lo + k].is_valid:
-                        have = shared[lo + k].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                        ok[mine] = np.isin(key[mine], have)
+                    if len(mine):
+                        ok[mine] = np.isin(key[mine], shared[lo + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 n = len(doc.symbols)
                 good = np.bincount(first[ok], minlength=n + 2)[: n + 2] - np.bincount(last[ok] + 1, minlength=n + 2)[: n + 2]
                 bad = np.bincount(first[~ok], minlength=n + 2)[: n + 2] - np.bincount(last[~ok] + 1, minlength=n + 2)[: n + 2]
                 at_ = np.flatnonzero(doc.real & (np.cumsum(good)[:n] > 0) & (np.cumsum(bad)[:n] == 0))
-                if len(at_):
-                    found = np.unique(np.rec.fromarrays([doc.row[at_], tb.windows(doc.symbols, width, 1)[at_], tb.windows(doc.symbols, width, 2)[at_]]))
-                    yield _flat(ids[lo + found.f0], found.f1, found.f2)
+                if not len(at_):
+                    continue
+                new = np.r_[True, (at_[1:] >= at_[:-1] + width) | (doc.row[at_[1:]] != doc.row[at_[:-1]])]
+                start, end = at_[new], at_[np.r_[new[1:], True]] + width
+                rows = []
+                for a, b in zip(start.tolist(), end.tolist(), strict=True):  # parts of a long region share the words of one window
+                    rows += [(c, min(b, c + REGION_WORDS)) for c in range(a, max(b - width, a) + 1, REGION_WORDS - width + 1)]
+                a, b = np.array(rows).T
+                of = doc.row[a]
+                place = np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+                words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(b - a)], pa.int32()), pa.array(doc.symbols[place].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + of]), pa.array(keys[lo + of]), pa.array((a - doc.offsets[of]).astype(np.int32)), words], ["doc_id", "text_key", "first", "words"])
+
+    return run
+
+
+_LEVEL = "doc_id long, text_key long, names array<bigint>, said array<bigint>, starts array<int>, ends array<int>"
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+
+def _grow(words: int, turn: int):
+    """One round over regions (turn 0: their words) or over the symbols of the round before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column("names" if turn else "words")
+            offsets = given.offsets.to_numpy() - given.offsets[0].as_py()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            names = given.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            if turn:
+                said = batch.column("said").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                start, end = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("starts", "ends"))
+            else:
+                said = tb.mix(names ^ _U(0x5DEECE66D))
+                start = np.arange(len(names)) - offsets[of] + batch.column("first").to_numpy()[of]
+                end = start + 1
+            level = Level(names, said, of, start, end).grown(words, turn)
+            cut = np.searchsorted(level.of, np.arange(batch.num_rows + 1))
+            columns = [_lists(level.names.view(np.int64), cut), _lists(level.said.view(np.int64), cut), _lists(level.start.astype(np.int32), cut), _lists(level.end.astype(np.int32), cut)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], ["doc_id", "text_key", "names", "said", "starts", "ends"])
 
     return run
 
 
-def _clean(width: int):
+def covered(regions: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, start, end: symbols of at least `width` words that a smaller document holds too, found round by round."""
+    ids = ["doc_id", "text_key"]
+    level, found = regions, None
+    for turn, words in enumerate(ROUND_WORDS):
+        level = settle(level.mapInArrow(tb.bounded(_grow(words, turn)), _LEVEL), f"round-{turn}")
+        each = level.select(*ids, F.explode(F.arrays_zip("names", "said", "starts", "ends")).alias("s")).select(*ids, "s.names", "s.said", "s.starts", "s.ends")
+        symbols = settle(each.groupBy("names", "said").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), f"symbols-{turn}")
+        held = settle(join_small(each, symbols, ["names", "said"], "inner"), f"held-{turn}")
+        own = held.where((F.col("least") < F.col("doc_id")) & (F.col("ends") - F.col("starts") >= width)).select(*ids, F.col("starts").alias("start"), F.col("ends").alias("end"))
+        found = own if found is None else found.unionByName(own)
+        if turn + 1 < len(ROUND_WORDS):
+            s = F.sort_array(F.collect_set(F.struct("starts", "ends", "names", "said")))
+            level = held.groupBy(*ids).agg(s.alias("s")).select(*ids, *[F.col(f"s.{c}").alias(c) for c in ("names", "said", "starts", "ends")])
+    return found
+
+
+def _windows(width: int):
+    """Hashes of the windows of a region that lie in none of the given spans."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            late, copies = batch.column("late"), batch.column("copies")
-            for lo, hi, raw, at in tb.chunks(batch.column("text")):
-                doc = _Parsed(raw, at, width)
-                removed = np.zeros(len(doc.symbols) + 1, np.int64)
-                for k in range(hi - lo):
-                    a, b = doc.offsets[k], doc.offsets[k + 1]
-                    if b - a >= width and copies[lo + k].is_valid and len(copies[lo + k]) and hashlib.md5(raw[at[k] : at[k + 1]].tobytes()).digest() in copies[lo + k].as_py():
-                        removed[a] += 1
-                        removed[b] -= 1
-                some = [k for k in range(hi - lo) if late[lo + k].is_valid and len(late[lo + k])]
-                if some:
-                    one, two = tb.windows(doc.symbols, width, 1), tb.windows(doc.symbols, width, 2)
-                for k in some:
-                    a, b = doc.offsets[k], doc.offsets[k + 1] - width + 1
-                    pairs = late[lo + k].values
-                    gone = pairs.field(0).to_numpy().view(np.uint64), pairs.field(1).to_numpy().view(np.uint64)
-                    mine = np.isin(one[a:b], gone[0])
-                    if mine.any():
-                        known = set(zip(gone[0].tolist(), gone[1].tolist(), strict=True))
-                        for i in a + np.flatnonzero(mine):
-                            if (int(one[i]), int(two[i])) in known:
-                                removed[i] += 1
-                                removed[i + width] -= 1
-                gone_word = np.cumsum(removed)[: len(doc.symbols)] > 0
-                text = raw.tobytes()
-                kept, spans = [], []
-                for k in range(hi - lo):
-                    a, b = doc.offsets[k], doc.offsets[k + 1]
-                    stay = a + np.flatnonzero(~gone_word[a:b])
-                    kept.append(b" ".join([text[s:e] for s, e in zip(doc.starts[stay].tolist(), doc.ends[stay].tolist(), strict=True)]))
-                    spans.append((int(b - a), int(b - a - len(stay))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo),
-                        pa.array([x for x, _ in spans], pa.int64()),
-                        pa.array([x for _, x in spans], pa.int64()),
-                        pa.array(kept, pa.binary()).cast(pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-                    ],
-                    ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
-                )
+            ids, keys, firsts = (batch.column(c).to_numpy() for c in ("doc_id", "text_key", "first"))
+            for i, (words, spans) in enumerate(zip(batch.column("words"), batch.column("spans"), strict=True)):
+                symbols = words.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                open_ = np.ones(len(symbols) - width + 1, bool)
+                if spans.is_valid:
+                    a, b = (spans.values.field(c).to_numpy() - firsts[i] for c in ("start", "end"))
+                    for x, y in zip(np.maximum(a, 0).tolist(), (b - width + 1).tolist(), strict=True):
+                        if y > x:
+                            open_[x:y] = False
+                at = np.flatnonzero(open_)
+                if len(at):
+                    one, two = tb.windows(symbols, width, 1)[at], tb.windows(tb.mix(symbols ^ _U(0x5DEECE66D)), width, 2)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), keys[i])), pa.array((at + firsts[i]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "text_key", "start", "h1", "h2"])
 
     return run
 
 
-def _copies(known: DataFrame) -> DataFrame:
-    """doc_id, key: the texts (by MD5) that a document of smaller id holds as a whole; their windows all start there too."""
-    keyed = known.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    first = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "copied-texts")
-    return settle(keyed.join(first, "key").where("doc_id > a").select("doc_id", "key").distinct(), "copies")
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column("spans")
+        for lo, hi, raw, at in tb.chunks(batch.column("text")):
+            starts, ends, offsets = tb.words(raw, at)
+            removed = np.zeros(len(starts) + 1, np.int64)
+            for k in range(hi - lo):
+                if spans[lo + k].is_valid:
+                    a, b = (spans[lo + k].values.field(c).to_numpy() + offsets[k] for c in ("start", "end"))
+                    np.add.at(removed, a, 1)
+                    np.add.at(removed, b, -1)
+            gone_word = np.cumsum(removed)[: len(starts)] > 0
+            text = raw.tobytes()
+            kept, counts = [], []
+            for k in range(hi - lo):
+                a, b = offsets[k], offsets[k + 1]
+                stay = a + np.flatnonzero(~gone_word[a:b])
+                kept.append(b" ".join([text[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist(), strict=True)]))
+                counts.append((int(b - a), int(b - a - len(stay))))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(lo, hi - lo),
+                    pa.array([x for x, _ in counts], pa.int64()),
+                    pa.array([x for _, x in counts], pa.int64()),
+                    pa.array(kept, pa.binary()).cast(pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                ],
+                ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
+            )
+
+
+def _by_text(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def remove_repeated_passages(documents: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words left, joined by one space), kept_sha256 of every document."""
-    docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    copies = _copies(known)
-    own = join_small(known.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))), copies, ["doc_id", "key"], "left_anti").select("doc_id", "text")
-    keys = settle(own.mapInArrow(tb.bounded(_reveal(width)), "doc_id long, h1 long"), "symbols")
+    keys = settle(known.select("doc_id", "text").mapInArrow(tb.bounded(_reveal(width)), "doc_id long, h1 long"), "symbols")
     common = settle(keys.groupBy("h1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1"), "shared-symbols")
-    shared = settle(keys.join(common, "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("shared")), "symbols-by-document")
-    found = settle(own.join(shared, "doc_id").mapInArrow(tb.bounded(_suspects(width)), "doc_id long, h1 long, h2 long"), "windows")
-    first = settle(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-windows")
-    late = found.join(first, ["h1", "h2"]).where("doc_id > a").select("doc_id", F.struct("h1", "h2").alias("w"), F.lit(None).cast("binary").alias("key"))
-    gone = late.union(copies.select("doc_id", F.lit(None).cast("struct<h1:bigint,h2:bigint>"), "key")).groupBy("doc_id").agg(F.collect_set("w").alias("late"), F.collect_set("key").alias("copies"))
-    return docs.join(settle(gone, "late-windows"), "doc_id", "left").mapInArrow(tb.bounded(_clean(width)), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    shared = settle(join_small(keys, common, ["h1"], "inner").groupBy("doc_id").agg(F.collect_set("h1").alias("shared")), "symbols-by-document")
+    regions = settle(known.join(shared, "doc_id").mapInArrow(tb.bounded(_regions(width)), _REGION), "regions")
+    symbols = settle(covered(regions, width), "repeated-symbols")
+    open_ = regions.join(_by_text(symbols), ["doc_id", "text_key"], "left")
+    windows = settle(open_.mapInArrow(tb.bounded(_windows(width)), "doc_id long, text_key long, start int, h1 long, h2 long"), "windows")
+    first = settle(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-windows")
+    late = join_small(windows, first, ["h1", "h2"], "inner").where("doc_id > a").select("doc_id", "text_key", "start", (F.col("start") + width).alias("end"))
+    gone = settle(_by_text(symbols.unionByName(late)), "repeated-spans")
+    return docs.join(gone, ["doc_id", "text_key"], "left").mapInArrow(tb.bounded(_clean), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

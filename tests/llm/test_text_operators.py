@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import line_dedup, ngram_join
+from lexloom.llm import line_dedup, ngram_join, substring_dedup
 from lexloom.llm.decontaminate import contamination
 from lexloom.llm.language_id import fit, forward_backward, identify, keep_identified
 from lexloom.llm.line_dedup import remove_repeated_lines, with_lines_removed
@@ -41,9 +41,13 @@ def some_texts(seed, n=40):
     return rows + [(n, rows[3][1]), (n + 1, rows[0][1]), (n + 2, None), (n + 3, ""), (n + 4, "\n \t"), (None, rows[0][1]), (5, rows[5][1])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_passages_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "region"), [(1, 1 << 16), (2, 20)])
+def test_passages_against_brute_force(spark, monkeypatch, seed, region):
+    monkeypatch.setattr(substring_dedup, "REGION_WORDS", region)
+    monkeypatch.setattr(substring_dedup, "ROUND_WORDS", (8, 16, 32))
     rows, width = some_texts(seed), 8
+    long_ = " ".join(f"l{k * k % 97}" for k in range(400))
+    rows += [(60, long_), (61, "start " + long_ + " end"), (61, long_ + " other row"), (62, " ".join(long_.split()[100:300]))]
     first = {}
     for i, t in rows:
         w = words(t)
@@ -62,6 +66,28 @@ def test_passages_against_brute_force(spark, seed):
     assert remove_repeated_passages(documents(spark, []), width).collect() == []
 
 
+def test_symbols_of_long_repeats_span_windows(spark):
+    """A long passage in three documents is found as symbols of 50 words and more, not only by its windows."""
+    rng = random.Random(4)
+    passage = [f"p{rng.randrange(5000)}" for _ in range(3000)]
+    rows = [(i, " ".join([f"o{i}x{k}" for k in range(40)] + passage[: 3000 - i] + [f"e{i}x{k}" for k in range(40)])) for i in range(3)]
+    seen = {}
+    settle = substring_dedup.settle
+
+    def kept(df, name):
+        seen[name] = settle(df, name)
+        return seen[name]
+
+    substring_dedup.settle = kept
+    try:
+        got = {r["doc_id"]: r["n_removed"] for r in remove_repeated_passages(documents(spark, rows)).collect()}
+    finally:
+        substring_dedup.settle = settle
+    assert got == {0: 0, 1: 2999, 2: 2998}
+    longest = seen["repeated-symbols"].selectExpr("max(end - start) AS n", "sum(end - start) AS all").first()
+    assert longest["n"] > 300 and seen["windows"].where("doc_id > 0").count() < 3000
+
+
 def test_lines_against_brute_force(spark):
     rng = random.Random(3)
     lines = [f"  Common LINE number {i} \t" for i in range(6)] + ["short", "", "ÄÖ line with umlauts", "x" * 9, "x" * 10]
