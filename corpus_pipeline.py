@@ -1,7 +1,7 @@
 """The training-corpus pipeline: five stages, each on all that its predecessor kept.
 
 language_id     documents without a language (no letter, null text) or with a score under 0.4 go
-line_dedup      lines that a document of smaller id holds are taken out; the documents stay (a text may become empty)
+line_dedup      lines that a document of smaller id holds are taken out; documents of which no text is left go
 ngram_join      of each group of near duplicates (five words, Jaccard 0.75) the document of smallest id stays
 decontaminate   documents that hold a benchmark item go
 sentencepiece   doc_id, n_tokens, scores and ids of the best segmentations, decoded text, and digests of ids and decoded text
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.llm.decontaminate import contamination
 from lexloom.llm.language_id import keep_identified
@@ -31,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_lines_removed(docs)
+    return with_lines_removed(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
