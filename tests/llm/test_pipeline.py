@@ -21,9 +21,9 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
         seen.append({r["doc_id"]: r["text"] for r in docs.collect()})
     given = dict(rows)
     assert seen[0] == {i: t for i, t in given.items() if t and re.search("[a-z]", t)}
-    assert seen[1].keys() == seen[0].keys() and seen[1][36] == given[36].split("\n")[1] and seen[1][35] == given[35] and seen[1][31] == ""
+    assert seen[1].keys() == seen[0].keys() - {31} and seen[1][36] == given[36].split("\n")[1] and seen[1][35] == given[35]
     assert seen[2].keys() == seen[1].keys() - {30}
     assert seen[3].keys() == seen[2].keys() - {32}
     last = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert last.keys() == seen[3].keys() and all(r["round_trip"] for r in last.values())
+    assert last.keys() == seen[3].keys() and all(r["round_trip"] and r["decoded"] == seen[3][i] and len(r["ids"]) == r["n_tokens"] for i, r in last.items())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontaminate", "sentencepiece"]
