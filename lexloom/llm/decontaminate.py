@@ -50,10 +50,14 @@ def _goes_on(words: Column, i: Column) -> Column:
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """canon with runs of one placeholder as one word, vals (what each stands for, without punctuation), low (in lower case), sizes (given words)."""
+    """canon with runs of one placeholder as one word, vals (what each stands for, without punctuation), low (in lower case), sizes (given words).
+
+    canon and raw have to be columns of a table: what a lambda takes from outside is evaluated again for each element otherwise.
+    """
     df = df.withColumn("starts", F.filter(F.sequence(F.lit(1), F.size("canon")), lambda i: ~_goes_on(F.col("canon"), i - 1)))
-    df = df.withColumn("sizes", F.transform("starts", lambda i, j: F.coalesce(F.get("starts", j + 1), F.size("canon") + 1) - i))
-    df = df.withColumn("vals", F.transform("starts", lambda i, j: F.array_join(F.transform(F.slice("raw", i, F.get("sizes", j)), lambda x: F.translate(x, PUNCTUATION, "")), " ")))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("canon") + 1))
+    df = df.withColumn("sizes", F.zip_with("starts", ends, lambda i, j: j - i))
+    df = df.withColumn("vals", F.zip_with("starts", "sizes", lambda i, n: F.array_join(F.transform(F.slice("raw", i, n), lambda x: F.translate(x, PUNCTUATION, "")), " ")))
     df = df.withColumn("low", F.transform("vals", lambda x: F.lower(x)))
     return df.withColumn("canon", F.transform("starts", lambda i: F.get("canon", i - 1))).drop("starts", "raw")
 
@@ -90,7 +94,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = pick(benchmark, "item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     items = items.select(F.col("item_id").cast("long").alias("item_id"), canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw"))
-    items = _tokens(items).withColumn("w", F.least(F.size("canon"), F.lit(width)))
+    items = _tokens(settle(items, "benchmark-words")).withColumn("w", F.least(F.size("canon"), F.lit(width)))
     at = F.explode(F.sequence(F.lit(1), F.size("canon") - F.col("w") + 1)).alias("bpos")
     part = lambda c: F.slice(c, F.col("bpos"), F.col("w"))
     cut = items.select("*", at).select("item_id", F.size("canon").alias("length"), "w", "bpos", part("canon").alias("kinds"), part("vals").alias("bvals"), part("low").alias("low"), part("sizes").alias("sizes"))
@@ -117,7 +121,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     hits = found.join(windows, ["h", "w", "exact"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "exact", "item_id", "length", "bpos", "kinds", "bwords", "bvals")).alias("hits"))
     some = join_small(texts, found.select("doc_id").distinct(), ["doc_id"], "left_semi")
-    both = _tokens(some.select("doc_id", canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw"))).join(hits, "doc_id")
+    words = settle(some.select("doc_id", canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw")), "texts-with-hits")
+    both = _tokens(words).join(hits, "doc_id")
 
     def slots(x: Column) -> Column:
         zipped = F.arrays_zip(x["kinds"].alias("kind"), x["bvals"].alias("b"), F.slice(F.col("vals"), x["pos"] + 1, x["w"]).alias("d"))
@@ -147,5 +152,5 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     most = whole.agg(F.max("most")).first()[0] or 0
     kept = alone.unionByName(enough(_chains(open_, most)))
     verdict = settle(kept.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.sum("n").alias("n_windows")), "contaminated")
-    joined = join_small(docs.select("doc_id"), verdict, ["doc_id"], "left")
+    joined = join_small(docs.select("doc_id"), verdict, ["doc_id"], "left", rows=50_000)  # rows with lists of items
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce(F.col("n_windows").cast("long"), F.lit(0).cast("long")).alias("n_windows"))
