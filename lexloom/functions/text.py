@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,19 +45,31 @@ def qualified(text: Column, qualifier: Column) -> Column:
     return F.when((F.coalesce(qualifier, F.lit("")) == "") | shown.startswith("(") | shown.startswith("（"), shown).otherwise(F.concat(F.lit("("), qualifier, F.lit(")"), shown))
 
 
-def split_outside_brackets(text: Column, delimiters: str = ",;，；") -> Column:
-    """Pieces between delimiters at bracket depth 0, trimmed, empty ones dropped.  An unmatched closing bracket counts for nothing."""
-    first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("depth"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a column that a lambda takes from outside would be evaluated again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bracketed(text: Column, delimiters: str) -> Column:
+    """Places (from 1) of the delimiters at bracket depth 0.  An unmatched closing bracket counts for nothing."""
+    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("cuts"))
 
     def step(s: Column, c: Column) -> Column:
         depth = F.when(c.isin("(", "（"), s["depth"] + 1).when(c.isin(")", "）"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
         cut = F.lit(delimiters).contains(c) & (s["depth"] == 0)
-        done = F.when(cut, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        now = F.when(cut, F.lit("")).otherwise(F.concat(s["now"], c))
-        return F.struct(done.alias("done"), now.alias("now"), depth.alias("depth"))
+        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when(cut, F.concat(s["cuts"], F.array(s["i"] + 1))).otherwise(s["cuts"]).alias("cuts"))
+
+    return F.aggregate(F.split(text, ""), first, step, lambda s: s["cuts"])
+
+
+def split_outside_brackets(text: Column, delimiters: str = ",;，；") -> Column:
+    """Pieces between delimiters at bracket depth 0, trimmed, empty ones dropped.  Only a text with brackets is walked through."""
+
+    def cut(t: Column) -> Column:
+        pieces = lambda cuts: F.zip_with(F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.length(t) + 1)), lambda a, b: F.substring(t, a + 1, b - a - 1))
+        return F.when(t.rlike("[()（）]"), let(_bracketed(t, delimiters), pieces)).otherwise(F.split(t, f"[{delimiters}]"))
 
-    pieces = F.aggregate(F.split(F.coalesce(text, F.lit("")), ""), first, step, lambda s: F.concat(s["done"], F.array(s["now"])))
-    return F.filter(F.transform(pieces, _ends), lambda p: p != "")
+    return F.filter(F.transform(let(F.coalesce(text, F.lit("")), cut), _ends), lambda p: p != "")
 
 
 def _ends(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import bracket_han, display, meaning_key, qualified, split_outside_brackets, without_brackets, without_long_brackets
+from lexloom.functions.text import bracket_han, display, let, meaning_key, qualified, split_outside_brackets, without_brackets, without_long_brackets
 
 MOST_HAN = 7
 
@@ -16,24 +16,23 @@ def unique_fragments(text: Column) -> Column:
     A key met more than once loses its brackets if any bracket under it has more than seven Han characters; a single
     fragment loses only such brackets (and stays whole if nothing else is left).
     """
-    pieces = F.filter(F.transform(split_outside_brackets(text), display), lambda p: p != "")
+    pieces = F.transform(split_outside_brackets(text), display)
     long_ = lambda p: F.coalesce(F.array_max(bracket_han(p)), F.lit(0)) > MOST_HAN
     keyed = F.filter(F.transform(pieces, lambda p: F.struct(p.alias("text"), meaning_key(p).alias("key"), long_(p).alias("long"))), lambda x: x["key"] != "")
-    first = F.struct(F.array().cast("array<struct<text:string,key:string,n:int,long:boolean>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        known = F.exists(s["out"], lambda o: o["key"] == x["key"])
-        more = lambda o: F.when(o["key"] == x["key"], F.struct(o["text"].alias("text"), o["key"].alias("key"), (o["n"] + 1).alias("n"), (o["long"] | x["long"]).alias("long"))).otherwise(o)
-        new = F.array(F.struct(x["text"].alias("text"), x["key"].alias("key"), F.lit(1).alias("n"), x["long"].alias("long")))
-        return F.struct(F.when(known, F.transform(s["out"], more)).otherwise(F.concat(s["out"], new)).alias("out"))
+    def shown(own: Column, several: Column) -> Column:
+        some = without_long_brackets(own)
+        return F.when(several, F.trim(without_brackets(own))).otherwise(F.when(some == "", own).otherwise(some))
 
-    merged = F.aggregate(keyed, first, step, lambda s: s["out"])
+    def merged(items: Column) -> Column:
+        def first(keys: Column, key: Column) -> Column:
+            own = F.element_at(items, F.array_position(keys, key).cast("int"))["text"]
+            told = F.when(F.exists(items, lambda x: x["long"] & (x["key"] == key)), shown(own, F.size(F.filter(keys, lambda k: k == key)) > 1)).otherwise(own)
+            return F.struct(told.alias("text"), meaning_key(told).alias("key"))
 
-    def shown(o: Column) -> Column:
-        some = without_long_brackets(o["text"])
-        return F.when(~o["long"], o["text"]).when(o["n"] > 1, F.trim(without_brackets(o["text"]))).otherwise(F.when(some == "", o["text"]).otherwise(some))
+        return let(F.transform(items, lambda x: x["key"]), lambda keys: F.transform(F.array_distinct(keys), lambda key: first(keys, key)))
 
-    return F.transform(merged, lambda o: F.struct(shown(o).alias("text"), meaning_key(shown(o)).alias("key")))
+    return let(keyed, merged)
 
 
 def one_value(values: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.pos import literal_map
+from lexloom.functions.text import let
 
 # Display order of morphology labels and the priority of parts of speech.
 LABEL_ORDER = ["原形", "复数", "第三人称单数", "过去式", "过去分词", "现在分词", "比较级", "最高级"]
@@ -40,8 +41,8 @@ def back_relation(relations: Column) -> Column:
 
 def distinct_by(items: Column, key) -> Column:
     """Order kept, the first of each key."""
-    numbered = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.filter(numbered, lambda a: ~F.exists(numbered, lambda b: (b["k"] == a["k"]) & (b["i"] < a["i"]))), lambda a: a["x"])
+    first = lambda xs: let(F.transform(xs, key), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    return let(items, first)
 
 
 def children(relations: Column) -> Column:

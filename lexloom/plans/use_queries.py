@@ -209,38 +209,80 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT conv_id AS text_id, count(*) AS n, bool_and(length(text) < 1500) AS ok, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id) SELECT text_id, text FROM l WHERE ok"""
+    """WITH l AS (SELECT conv_id AS text_id, count(*) AS n, bool_and(turn % 5 <> 4) AND count(*) FILTER (text IS NULL) = 0 AS ok, string_agg(text, chr(10) ORDER BY turn, text) FILTER (length(text) % 7 <> 0) AS text, count(*) FILTER (length(text) % 7 <> 0) AS have FROM conversations GROUP BY conv_id)
+SELECT text_id, text FROM l WHERE ok AND have = n"""
 )
 def segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as pieces of a conversation; one of 1500 characters or more counts as failed."""
+    """Turns as pieces of a conversation; every fifth failed, and pieces whose length divides by seven are missing."""
     turns = table(spark, sf_dir, "conversations")
-    pieces = turns.select(F.col("conv_id").alias("text_id"), F.col("turn").alias("i"), "text", (F.length("text") < 1500).alias("ok"))
+    pieces = turns.where("length(text) % 7 <> 0").select(F.col("conv_id").alias("text_id"), F.col("turn").alias("i"), "text", (F.col("turn") % 5 != 4).alias("ok"))
     return views.reassemble(pieces, turns.groupBy(F.col("conv_id").alias("text_id")).agg(F.count("*").alias("n")))
 
 
+def fragments_sql(source: str, keys: str) -> str:
+    """CTEs that cut the texts `line` of source (told apart by `keys`) into unique fragments: frag(keys, key, x, j), x as shown.
+
+    The bracket depth before a character is the running sum of +1 and -1, held at 0: sum - least(0, running minimum).
+    """
+    return rf"""chr_ AS (SELECT {keys}, unnest(range(1, length(line) + 1)) AS p, unnest(string_split(line, '')) AS c FROM {source} WHERE regexp_matches(line, '[()（）]')),
+dep AS (SELECT *, sum(CASE WHEN c IN ('(', '（') THEN 1 WHEN c IN (')', '）') THEN -1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY p) AS s FROM chr_),
+cut AS (SELECT {keys}, p, c, s - least(0, min(s) OVER (PARTITION BY {keys} ORDER BY p)) AS d FROM dep),
+num AS (SELECT {keys}, p, c, coalesce(sum(CASE WHEN d = 0 AND c IN (',', ';', '，', '；') THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS j, d FROM cut),
+walk AS (SELECT {keys}, j::BIGINT AS j, string_agg(c, '' ORDER BY p) FILTER (NOT (d = 0 AND c IN (',', ';', '，', '；'))) AS x FROM num GROUP BY {keys}, j),
+piece AS (SELECT {keys}, unnest(string_split_regex(line, '[,;，；]')) AS x, unnest(range(len(string_split_regex(line, '[,;，；]')))) AS j FROM {source} WHERE NOT regexp_matches(line, '[()（）]')
+  UNION ALL SELECT {keys}, x, j FROM walk),
+shown AS (SELECT {keys}, j, trim(regexp_replace(translate(x, '［］【】｛｝（），;', '[][]{{}}(),；'), '\s+', ' ', 'g')) AS x FROM piece WHERE x IS NOT NULL AND trim(x) <> ''),
+keyed AS (SELECT {keys}, j, x, regexp_replace(trim(regexp_replace(regexp_replace(x, '[（(].*?[）)]', '', 'g'), '\s+', ' ', 'g')), '[，,；;、\s]+', '', 'g') AS key,
+  coalesce(list_max(list_transform(regexp_extract_all(x, '[（(](.*?)[）)]', 1), lambda y: length(regexp_replace(y, '[^一-鿿]', '', 'g')))), 0) > 7 AS long FROM shown WHERE x <> ''),
+uni AS (SELECT {keys}, key, min(j) AS j, arg_min(x, j) AS x, count(*) AS n, bool_or(long) AS long FROM keyed WHERE key <> '' GROUP BY {keys}, key),
+frag AS (SELECT {keys}, key, j, CASE WHEN NOT long THEN x WHEN n > 1 THEN trim(regexp_replace(x, '[（(].*?[）)]', '', 'g')) ELSE coalesce(nullif(
+  list_reduce(list_prepend(x, list_filter(regexp_extract_all(x, '[（(][^）)]*[）)]'), lambda y: length(regexp_replace(y, '[^一-鿿]', '', 'g')) > 7)), lambda t, y: replace(t, y, '')), ''), x) END AS x FROM uni)"""
+
+
 @query(
-    r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, i, unnest(string_split_regex(line, '[,;，；]')) AS x, unnest(range(len(string_split_regex(line, '[,;，；]')))) AS j FROM l WHERE NOT regexp_matches(line, '[()（）［］【】｛｝]') AND length(line) < 400),
-q AS (SELECT doc_id, i, j, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x FROM p), k AS (SELECT doc_id, i, j, x, regexp_replace(x, '[，,；;、\s]+', '', 'g') AS key FROM q WHERE x <> ''),
-f AS (SELECT doc_id, i, x, j FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, i, key ORDER BY j) = 1)
-SELECT doc_id, i::INT AS i, count(*)::INT AS n, string_agg(x, '|' ORDER BY j) AS fragments FROM f GROUP BY doc_id, i"""
+    f"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN replace(replace(line, 'th', '(th'), 'er', 'er)') ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+{fragments_sql("l", "doc_id, i")}
+SELECT doc_id, i::INT AS i, count(*)::INT AS n, md5(string_agg(x, '|' ORDER BY j)) AS fragments FROM frag GROUP BY doc_id, i"""
 )
 def meaning_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of the lines (under 400 characters, without brackets, for the SQL's sake) of the documents."""
+    """Fragments of all lines of the documents; in every third line pieces are bracketed, unbalanced and nested as they come."""
     lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.where(~F.col("line").rlike("[()（）［］【】｛｝]") & (F.length("line") < 400))
+    marked = F.replace(F.replace("line", F.lit("th"), F.lit("(th")), F.lit("er"), F.lit("er)"))
+    lines = lines.select("doc_id", "i", F.when(F.col("i") % 3 == 1, marked).otherwise(F.col("line")).alias("line"))
     df = lines.select("doc_id", "i", fragments.unique_fragments(F.col("line")).alias("f")).where(F.size("f") > 0)
-    return df.select("doc_id", "i", F.size("f").alias("n"), F.array_join("f.text", "|").alias("fragments"))
+    return df.select("doc_id", "i", F.size("f").alias("n"), F.md5(F.array_join("f.text", "|").cast("binary")).alias("fragments"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE r AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '[.\n]+'), lambda s: trim(s) <> '') AS ss FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT conv_id, turn, unnest(ss) AS line, unnest(range(1, len(ss) + 1)) AS k FROM r),
+q AS (SELECT conv_id, turn, k, line, CASE WHEN k % 3 = 2 THEN '口' ELSE '' END AS q, CASE k % 4 WHEN 0 THEN NULL WHEN 1 THEN 'countable' ELSE 'both' END AS c FROM l),
+{fragments_sql("l", "conv_id, turn, k")},
+rec AS (SELECT conv_id, turn, k, any_value(q) AS q, any_value(c) AS c, coalesce(list(struct_pack(t := x, key := key) ORDER BY j) FILTER (key IS NOT NULL), []) AS f FROM q LEFT JOIN frag USING (conv_id, turn, k) GROUP BY conv_id, turn, k),
+n AS (SELECT conv_id, turn, count(*) AS n FROM q GROUP BY ALL),
+head AS (SELECT conv_id, turn, q, c, f[1:2] AS h FROM rec WHERE k = 1),
+spare AS (SELECT conv_id, turn, arg_min(t, (k, p)) AS t, arg_min(key, (k, p)) AS key, arg_min(coalesce(c, ''), (k, p)) AS c FROM (SELECT conv_id, turn, k, c, unnest(f).t AS t, unnest(f).key AS key, unnest(range(len(f))) AS p FROM rec WHERE k > 1) x
+  WHERE NOT EXISTS (SELECT 1 FROM head WHERE head.conv_id = x.conv_id AND head.turn = x.turn AND len(h) > 0 AND h[1].key = x.key) GROUP BY conv_id, turn),
+first AS (SELECT head.conv_id, head.turn, q, head.c, h, len(h) = 1 AND spare.key IS NOT NULL AS more, spare.t, spare.key, nullif(spare.c, '') AS sc FROM head LEFT JOIN spare USING (conv_id, turn)),
+start AS (SELECT conv_id, turn, list_transform(h, lambda y: y.key) || CASE WHEN more THEN [key] ELSE [] END AS used,
+  CASE WHEN len(h) = 0 THEN [] ELSE [struct_pack(t := array_to_string(list_transform(h, lambda y: y.t) || CASE WHEN more THEN [t] ELSE [] END, ','), q := q,
+    c := CASE WHEN NOT more OR sc IS NULL THEN c WHEN c IS NULL OR c = sc THEN sc END)] END AS out FROM first),
+go AS (SELECT conv_id, turn, 1 AS k, used, out FROM start
+  UNION ALL SELECT go.conv_id, go.turn, rec.k::INT, CASE WHEN p IS NULL THEN used ELSE used || [p.key] END, CASE WHEN p IS NULL THEN out ELSE out || [struct_pack(t := p.t, q := rec.q, c := rec.c)] END
+  FROM go JOIN (SELECT * FROM rec) rec ON rec.conv_id = go.conv_id AND rec.turn = go.turn AND rec.k = go.k + 1, LATERAL (SELECT list_filter(rec.f, lambda y: NOT list_contains(go.used, y.key))[1] AS p))
+SELECT go.conv_id, go.turn, len(items)::INT AS n, md5(array_to_string(list_transform(items, lambda y: y.t || '/' || coalesce(y.c, '')), '；')) AS meaning FROM
+  (SELECT go.conv_id, go.turn, list_transform(CASE WHEN n.n = 1 THEN [struct_pack(t := q.line, q := q.q, c := q.c)] ELSE out END, lambda y: struct_pack(c := y.c, t := CASE WHEN y.q = '' OR starts_with(trim(y.t), '(') THEN '' ELSE '(' || y.q || ')' END || trim(regexp_replace(translate(y.t, '［］【】｛｝（），;', '[][]{{}}(),；'), '\s+', ' ', 'g')))) AS items
+   FROM go JOIN n ON n.conv_id = go.conv_id AND n.turn = go.turn AND n.n = go.k JOIN q ON q.conv_id = go.conv_id AND q.turn = go.turn AND q.k = 1) go"""
+)
 def meaning_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of a turn as senses of one entry."""
+    """Sentences of a turn as senses of one entry, with qualifiers and countability by their place."""
     turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     senses = F.filter(F.split("text", r"[.\n]+"), lambda s: F.trim(s) != "")
-    records = F.transform(senses, lambda s: F.struct(s.alias("text"), F.lit("").alias("qualifier"), F.lit(None).cast("string").alias("countability")))
+    kind = lambda i: F.when((i + 1) % 4 == 1, "countable").when((i + 1) % 4 == 0, None).otherwise("both")
+    records = F.transform(senses, lambda s, i: F.struct(s.alias("text"), F.when((i + 1) % 3 == 2, "口").otherwise("").alias("qualifier"), kind(i).alias("countability")))
     df = fragments.meaning_items(turns.withColumn("records", records).where(F.size("records") > 0), "records")
-    return df.select("conv_id", "turn", F.size("items").alias("n"), F.array_join("items.text", "；").alias("meaning"))
+    told = F.transform("items", lambda x: F.concat(x["text"], F.lit("/"), F.coalesce(x["countability"], F.lit(""))))
+    return df.select("conv_id", "turn", F.size("items").alias("n"), F.md5(F.array_join(told, "；").cast("binary")).alias("meaning"))
 
 
 @query(f"WITH {LEX} SELECT left(word, 1) AS shard, count(*) AS n FROM lex GROUP BY 1")
