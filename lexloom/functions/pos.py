@@ -55,7 +55,8 @@ def allowed_pos(labels: Column) -> Column:
 
 
 def family_pos(raw: Column) -> Column:
-    return F.coalesce(F.element_at(literal_map(FAMILY_POS), F.lower(F.trim(raw))), F.lower(F.trim(raw)))
+    plain = F.replace(F.lower(F.trim(raw)), F.lit("."), F.lit(""))
+    return F.coalesce(F.element_at(literal_map(FAMILY_POS), plain), plain)
 
 
 def has_pos(summary: Column, *keys: str) -> Column:

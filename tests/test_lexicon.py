@@ -96,10 +96,8 @@ def test_markup(spark):
     got = {x["word"]: x for x in senses.normalise_entries(spark.createDataFrame([("a", more, 0), ("b", other, 1)], "key string, body string, ord long")).collect()}
     assert got["a"]["translation"] == "n. 甲,乙 [老式用法]" and got["a"]["phonetic"] == "w" and [tuple(f) for f in got["a"]["family"]] == [("walker", "noun")]
     assert got["b"]["translation"] == "v. see 的过去式"
-    from lexloom.sources.markup import shred
-
-    wide = shred(spark.createDataFrame([(more,)], "body string"), "body").select(senses.wide_row(F.col("nodes")).alias("w")).first()["w"]
-    assert (wide["tag"], wide["core"], wide["audio"], wide["idioms"]) == ("b1", 0, "w.mp3", ["a | b"])
+    wide = senses.wide_rows(spark.createDataFrame([("a", more, 0)], "key string, body string, ord long")).first()
+    assert (wide["tag"], wide["oxford"], wide["audio"], wide["idioms"]) == ("b1", 0, "w.mp3", "a | b")
 
 
 def test_fragments(spark):
