@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import let
+from lexloom.operators import roots
+from lexloom.operators.stages import settle
+from lexloom.sources.markup import first_text, inside, shred, with_class, with_tag
+
 HAN = "[一-鿿]"
 QUOTES = '["“”]'
 # Words that are no root before a quoted gloss.
@@ -68,3 +73,130 @@ def etymology_sections(html: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"(?U)\s+", " "))
     section = F.trim(F.regexp_extract(plain, r"词源[:：]?\s*(.*?)(?=词根记忆|$)", 1))
     return F.struct(section.alias("etymology"), F.trim(F.regexp_extract(section, r"[（(]([^）)]*\+[^）)]*)[）)]", 1)).alias("breakdown"))
+
+
+def read_mindmap(pages: DataFrame) -> DataFrame:
+    """word, nodes (array of topic, describe): child nodes of mind maps that are root components.  pages: word, html (a JSON array of nodes in it); words of more than 60 characters are skipped."""
+    kind = "array<struct<id:string,parentid:string,topic:string,describe:string>>"
+    found = F.from_json(F.regexp_extract("html", r"(?s)(\[\s*\{.*?\}\s*\])", 1), kind)
+    df = pages.where(F.length(F.trim("word")).between(1, 60)).select(F.lower(F.trim("word")).alias("word"), F.coalesce(found, F.array().cast(kind)).alias("all"))
+    own = F.filter("all", lambda n: n["parentid"].isNotNull() & is_root_component(F.col("word"), F.coalesce(n["topic"], F.lit(""))))
+    return df.select("word", F.transform(own, lambda n: F.struct(F.trim(n["topic"]).alias("topic"), F.trim(F.coalesce(n["describe"], F.lit(""))).alias("describe"))).alias("nodes")).where(F.size("nodes") > 0)
+
+
+def read_etymology(pages: DataFrame) -> DataFrame:
+    """word, etymology, breakdown: the sections of etymology pages.  pages: word, html."""
+    return pages.select(F.lower(F.trim("word")).alias("word"), etymology_sections(F.col("html")).alias("s")).select("word", "s.*").where("etymology <> '' OR breakdown <> ''")
+
+
+def tree_components(pages: DataFrame) -> DataFrame:
+    """word, level1, level2 (arrays of components), own (text of the page's root section): one row an etymology block with a tree, in order.  pages: page, html."""
+    df = settle(shred(pages.select("page", "html"), "html"), "trees")
+    blocks = df.select("page", "nodes", F.explode(with_class(F.col("nodes"), "etymology")).alias("b"))
+    blocks = blocks.select("page", F.col("b.i").alias("at"), F.filter("nodes", lambda n: F.array_contains(n["up"], F.col("b.i"))).alias("own"))
+    own = F.col("own")
+    tree = F.filter(own, lambda n: F.exists(n["cls"], lambda c: c.contains("treePart")))
+    level = lambda k: F.filter(tree, lambda n: F.exists(n["cls"], lambda c: c.contains(f"etymology_{k}")))
+
+    def components(word: Column, parts: Column) -> Column:
+        """Roots, then affixes, of each part in turn; the word itself is none."""
+
+        def of(part: Column) -> Column:
+            inner = F.filter(with_tag(own, "span"), lambda n: F.array_contains(n["up"], part["i"]))
+            told = lambda name: F.filter(F.transform(with_class(inner, name), lambda n: F.trim(n["text"])), lambda t: t != "")
+            return F.concat(F.filter(told("rootWord"), lambda t: F.lower(t) != word), told("affixWord"))
+
+        return F.flatten(F.transform(parts, of))
+
+    head = F.filter(with_class(own, "rootWord"), lambda n: F.exists(level(0), lambda p: F.array_contains(n["up"], p["i"])))
+    sections = F.filter(with_class(own, "wordSection"), lambda s: F.exists(with_class(own, "title"), lambda t: F.array_contains(t["up"], s["i"]) & t["text"].contains("词根词缀")))
+    section = F.slice(sections, 1, 1)
+    blocks = blocks.withColumn("word", F.lower(F.trim(first_text(head)))).withColumn("section", first_text(inside(with_class(own, "sectionCont"), section)))
+    word = F.col("word")
+    blocks = blocks.withColumns({"level1": components(word, level(1)), "level2": components(word, level(2))})
+    return blocks.where("word <> '' AND length(word) <= 60 AND size(level1) > 0").select("page", "at", "word", "level1", "level2", "section")
+
+
+def choose_components(level1: Column, level2: Column, resolved: Column) -> Column:
+    """Level 1; where it has one root (`resolved` false: without a meaning of its own) the components of level 2 and the suffixes that they lack; each once."""
+    single = (F.size(F.filter(level1, lambda c: ~c.startswith("-"))) == 1) & ~resolved & (F.size(level2) > 0)
+    fine = let(F.transform(level2, roots.bare), lambda low: F.concat(level2, F.filter(level1, lambda c: c.startswith("-") & ~F.array_contains(low, roots.bare(c)))))
+    return F.array_distinct(F.when(single, fine).otherwise(level1))
+
+
+def word_roots(pages: DataFrame, root_map: DataFrame) -> DataFrame:
+    """word, roots (array of root, meaning), breakdown of the first tree of each word.  pages: page, html; root_map: root, meaning, ord.
+
+    A component's meaning is the one of the word's own root section, else that of the map.
+    """
+    trees = tree_components(pages)
+    first = trees.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("page", "at"))).where("rn = 1").drop("rn", "page", "at")
+    lone = F.try_element_at(F.filter("level1", lambda c: ~c.startswith("-")), F.lit(1))
+    first = settle(first.withColumn("lone", roots.bare(lone)), "first-trees")
+    known = root_map.select(F.regexp_replace("root", "-$", "").alias("lone")).distinct().withColumn("resolved", F.lit(True))
+    chosen = choose_components(F.col("level1"), F.col("level2"), F.coalesce("resolved", F.lit(False)))
+    each = settle(first.join(known, "lone", "left").select("word", "section", F.posexplode(chosen).alias("i", "component")), "components")
+    local = root_definitions(first.where("section <> ''").select("word", "section"), "section").select("word", "root", "meaning")
+    local = roots.match_components_by("word", each.select("word", "component"), local.withColumn("ord", F.lit(0)))
+    common = roots.match_components(each, root_map)
+    df = each.join(local.withColumnRenamed("meaning", "own"), ["word", "component"], "left").join(common, "component", "left")
+    df = df.withColumn("meaning", F.coalesce(F.nullif("own", F.lit("")), "meaning", F.lit("")))
+    return _regrouped(df.select("word", "i", F.col("component").alias("root"), "meaning"))
+
+
+def _regrouped(parts: DataFrame) -> DataFrame:
+    """word, roots, breakdown from rows (word, i, root, meaning)."""
+    df = parts.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "root", "meaning"))), lambda x: F.struct(x["root"].alias("root"), x["meaning"].alias("meaning"))).alias("roots"))
+    told = F.transform("roots", lambda r: F.when(r["meaning"] != "", F.concat(r["root"], F.lit("（"), r["meaning"], F.lit("）"))).otherwise(r["root"]))
+    return df.select("word", "roots", F.array_join(told, " + ").alias("breakdown"))
+
+
+def _decomposed(parts: DataFrame) -> DataFrame:
+    """parts (word, i, piece, gloss) with `subs`: array of (part, meaning) of the piece as a known compound or affix, else the piece without a meaning."""
+    found = roots.decompose(parts.select("word", F.col("piece").alias("component")).distinct()).groupBy("word", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "part", "meaning"))), lambda x: F.struct(x["part"].alias("part"), x["meaning"].alias("meaning"))).alias("subs"))
+    return parts.join(found.withColumnRenamed("component", "piece"), ["word", "piece"])
+
+
+def _expanded(rows: DataFrame, shown) -> DataFrame:  # noqa: ANN001
+    """Compounds become their parts; another piece keeps its gloss or takes the known meaning.  shown: how a root is written (part, piece, whether of a compound)."""
+    many = F.size("subs") > 1
+    one = F.array(F.struct(F.col("piece").alias("part"), F.when(F.col("gloss") != "", F.col("gloss")).otherwise(F.col("subs")[0]["meaning"]).alias("meaning")))
+    df = rows.select("word", "i", "piece", many.alias("many"), F.posexplode(F.when(many, F.col("subs")).otherwise(one)).alias("j", "p"))
+    return _regrouped(df.select("word", F.struct("i", "j").alias("i"), shown(F.col("p.part"), F.col("word"), F.col("many")).alias("root"), F.col("p.meaning").alias("meaning")))
+
+
+def from_morphemes(rows: DataFrame) -> DataFrame:
+    """word, etymology, roots, breakdown.  rows: word, morphemes (array of piece, gloss), origin."""
+    each = rows.select("word", F.posexplode("morphemes").alias("i", "m")).select("word", "i", F.trim(F.coalesce("m.piece", F.lit(""))).alias("piece"), F.trim(F.coalesce("m.gloss", F.lit(""))).alias("gloss")).where("piece <> ''")
+    built = _expanded(_decomposed(each), lambda part, word, many: roots.shown_component(part, part))
+    told = rows.select("word", F.nullif("origin", F.lit("")).alias("etymology")).join(built, "word", "left")
+    return told.where("etymology IS NOT NULL OR roots IS NOT NULL").select("word", "etymology", "roots", "breakdown")
+
+
+def from_mindmap(rows: DataFrame) -> DataFrame:
+    """word, roots, breakdown.  rows: word, nodes (array of topic, describe).  A known affix has its known meaning, another node the shortened one of its description."""
+    topic = F.col("n.topic")
+    piece = F.when(topic.endswith("-") & ~topic.startswith("-"), F.regexp_replace(topic, "-+$", "")).otherwise(topic)
+    each = rows.select("word", F.posexplode("nodes").alias("i", "n")).where("trim(n.topic) <> ''").select("word", "i", piece.alias("piece"), roots.shorten(described_meaning(F.coalesce("n.describe", F.lit("")))).alias("gloss"))
+    df = _decomposed(each)
+    first = F.col("subs")[0]["meaning"]
+    return _regrouped(df.select("word", "i", F.col("piece").alias("root"), F.when(first != "", first).otherwise(F.col("gloss")).alias("meaning")))
+
+
+def from_sections(rows: DataFrame) -> DataFrame:
+    """word, etymology, roots, breakdown.  rows: word, etymology, breakdown (a sum of roots, meanings in brackets, with an arrow at its end).
+
+    Without a sum the quoted glosses of the etymology are the roots.
+    """
+    arrow = F.trim(F.regexp_extract("breakdown", r"((?:->|→)[^＋+]*)$", 1))
+    df = settle(rows.select("word", "etymology", F.coalesce("breakdown", F.lit("")).alias("sum"), F.when(F.col("breakdown") != "", arrow).otherwise("").alias("arrow")), "sections")
+    body = F.expr("left(sum, length(sum) - length(arrow))")
+    parts = df.where("sum <> ''").select("word", F.posexplode(F.split(body, "[＋+]")).alias("i", "p")).where("trim(p) <> ''")
+    parts = parts.select("word", "i", F.trim(F.regexp_replace("p", r"[(（][^)）]*[)）]", "")).alias("piece"), F.regexp_extract("p", r"[(（]([^)）]+)[)）]", 1).alias("gloss")).where("piece <> ''")
+    ending = lambda part, word, many: F.when(~many & (part == "ent") & word.endswith("ence"), "-ence").when(~many & (part == "ant") & word.endswith("ance"), "-ance").otherwise(part)
+    summed = _expanded(_decomposed(parts), ending).withColumn("kind", F.lit("sum"))
+    quoted = df.where("sum = '' AND etymology <> ''").select("word", F.posexplode(quoted_glosses(F.col("etymology"))).alias("i", "g")).select("word", "i", F.col("g.root").alias("root"), F.col("g.meaning").alias("meaning"))
+    built = summed.unionByName(_regrouped(quoted).withColumn("kind", F.lit("quoted")))
+    df = df.join(built, "word", "left").where("etymology <> '' OR roots IS NOT NULL")
+    line = F.when((F.col("kind") == "sum") & (F.col("arrow") != ""), F.concat("breakdown", F.lit(" "), "arrow")).otherwise(F.col("breakdown"))
+    return df.select("word", F.nullif("etymology", F.lit("")).alias("etymology"), "roots", line.alias("breakdown"))

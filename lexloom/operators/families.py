@@ -45,6 +45,11 @@ def root_of(word: Column) -> Column:
     return F.when(rest.endswith("id"), F.regexp_replace(rest, "id$", "is")).when(rest.endswith("ed"), F.regexp_replace(rest, "ed$", "e")).when(rest.endswith("ing"), F.regexp_replace(rest, "ing$", "e")).otherwise(rest)
 
 
+def primary_pos(summary: Column) -> Column:
+    """The first part of speech of n:50/v:50."""
+    return F.substring_index(F.coalesce(summary, F.lit("")), ":", 1)
+
+
 def stem_groups(words: DataFrame) -> DataFrame:
     """stem, n, first: stems of at least two words."""
     each = words.select("word", F.explode(stems(F.col("word"))).alias("stem"))

@@ -94,7 +94,7 @@ def inflection_rows(entries: DataFrame) -> DataFrame:
     """base, form, label, source, phase, ord, seq: all inflections told by an entry or derived from it, in order of creation.
 
     phase 1: exchange slots and, for nouns with an unchanged plural, regular third-person forms as plurals; phase 2: plurals
-    inferred for nouns that tell none.
+    inferred for nouns that tell none (where the entries have `details`, not for those whose noun senses are all uncountable).
     """
     each = settle(_exploded(entries), "forms")
     free = ~F.array_contains("surface.blocked", F.lower("form"))
@@ -106,10 +106,20 @@ def inflection_rows(entries: DataFrame) -> DataFrame:
     third = third.select("base", "form", F.lit(PLURAL).alias("label"), F.lit("derived").alias("source"), F.lit(1).alias("phase"), "ord", (F.col("seq") + 100_000).alias("seq"))
     pairs = slot_forms(F.col("exchange"))
     silent = entries.where(has_pos(F.col("pos"), "n") & (F.size(forms_of(pairs, "s")) == 0))
+    if "details" in entries.columns:
+        senses = F.flatten(F.transform(F.filter(F.coalesce("details", F.array()), lambda p: p["pos"] == "n."), lambda p: p["details"]))
+        silent = silent.where(~F.coalesce((F.size(senses) > 0) & F.forall(senses, lambda d: F.coalesce(d["countability"], F.lit("")) == "uncountable"), F.lit(False)))
     guessed = silent.select(F.lower("word").alias("base"), plural_of(F.col("word")).alias("form"), F.lit(PLURAL).alias("label"), F.lit("derived").alias("source"), F.lit(2).alias("phase"), "ord", F.lit(0).alias("seq"))
     return told.unionByName(third).unionByName(guessed.where("form IS NOT NULL AND form <> base"))
 
 
+def blocked_forms(entries: DataFrame) -> DataFrame:
+    """base, forms: lower-case forms in slot s that are no plurals, in order, of the entries that have some."""
+    pairs = slot_forms(F.col("exchange"))
+    each = entries.select(F.lower("word").alias("base"), F.explode(surface_plurals(pairs, F.col("pos"))["blocked"]).alias("form"))
+    return each.groupBy("base").agg(F.sort_array(F.collect_set("form")).alias("forms"))
+
+
 def edges_of(rows: DataFrame) -> DataFrame:
     """One edge for each (owner, label, target); a later equal edge takes the place of an earlier one."""
     kept = rows.groupBy("base", "label", "form").agg(F.max(F.struct("phase", "ord", "seq", "source")).alias("last"))

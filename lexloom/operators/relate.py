@@ -97,6 +97,22 @@ def materialised(standalone: DataFrame, known: DataFrame) -> DataFrame:
     return first.select(F.col("target").alias("word"), *[c.alias(n) for n, c in cut.items()], F.lit("inflection").alias("entry_kind"), F.col("word").alias("display_word"), F.col("word").alias("linked_word"), origin.alias("relations"))
 
 
+def materialised_minimal(entries: DataFrame) -> DataFrame:
+    """The least entry for each outgoing inflection of a standalone entry without an entry: its parent's sound and parts of speech, `X 的label` and the way back.  The first owner (by `ord`) wins."""
+    known = entries.select(F.lower("word").alias("form")).distinct()
+    each = entries.where("entry_kind = 'standalone'").select("ord", "word", "pos", "phonetic", "phonetic_us", F.posexplode("relations").alias("i", "r")).where("r.type = 'inflection' AND r.direction = 'outgoing'")
+    each = each.withColumn("form", F.lower("r.target")).join(known, "form", "left_anti")
+    first = each.groupBy("form").agg(F.min_by(F.struct("word", "pos", "phonetic", "phonetic_us", "r.target", "r.label"), F.struct("ord", "i")).alias("o")).select("o.*")
+    empty = F.lit("")
+    told = F.concat("word", F.lit(" 的"), F.coalesce("label", empty))
+    return first.select(F.col("target").alias("word"), F.lit("inflection").alias("entry_kind"), F.coalesce("phonetic", empty).alias("phonetic"), F.coalesce("phonetic_us", empty).alias("phonetic_us"), told.alias("translation"), "pos", empty.alias("exchange"), F.col("word").alias("linked_word"), F.array(edge("origin", F.col("word"), F.lit(ROOT_LABEL), primary=F.lit(True))).alias("relations"))
+
+
+def without_phrasal_verbs(entries: DataFrame) -> DataFrame:
+    """Derived entries carry no phrasal verbs."""
+    return entries.withColumn("phrasal_verbs", F.slice("phrasal_verbs", 1, 0))
+
+
 def final_entries(entries: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """All entries with kind, display word and relations.  entries: word, pos, translation, exchange, ord; links: word, target, ord."""
     rows = settle(lexicon.inflection_rows(entries), "inflections")

@@ -277,14 +277,6 @@ def entry_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final_entries(spark, sf_dir).groupBy("entry_kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {LEX} SELECT word AS word, word AS target FROM lex WHERE false")
-def dangling_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigable relations of the final entries without an entry: there are none."""
-    from lexloom.operators.relate import dangling
-
-    return dangling(final_entries(spark, sf_dir))
-
-
 @query(
     f"""WITH {ROWS}, m AS (SELECT form, arg_min(base, (ord, phase, seq)) AS owner, arg_min(label, (ord, phase, seq)) AS label FROM (SELECT base, label, form, max(phase) AS phase, arg_max(ord, phase) AS ord, arg_max(seq, phase) AS seq FROM rows_ GROUP BY ALL)
 WHERE form NOT IN (SELECT word FROM lex) AND form NOT IN (SELECT word || 'x' FROM lex WHERE n % 5 = 0) GROUP BY form)

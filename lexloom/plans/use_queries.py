@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import han_punctuation, repair_lines, segments
 from lexloom.operators import families, fragments, quality, roots, views
 from lexloom.operators.lexicon import edges_of, inflection_rows
-from lexloom.plans.build_queries import ENTRIES, ROWS, derived_entries, lex
+from lexloom.plans.build_queries import ROWS, derived_entries, lex
 from lexloom.plans.registry import LEX, query, table
 
 
@@ -305,15 +305,6 @@ def build_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.build_metrics(entries, edges_of(inflection_rows(entries)))
 
 
-@query(
-    f"""WITH {ENTRIES} SELECT rule, n AS violations FROM (SELECT 'word_not_empty' AS rule, count(*) FILTER (trim(word) = '') AS n FROM ent UNION ALL SELECT 'key_is_lower', count(*) FILTER (word <> lower(word)) FROM ent
-UNION ALL SELECT 'pos_not_blank', count(*) FILTER (trim(pos) = '') FROM ent UNION ALL SELECT 'pos_format', count(*) FILTER (NOT regexp_full_match(pos, '[a-z+]+:\\d+(/[a-z+]+:\\d+)*')) FROM ent
-UNION ALL SELECT 'exchange_format', 0 UNION ALL SELECT 'letters_only', count(*) FILTER (NOT regexp_full_match(word, '[a-z'' -]+')) FROM ent)"""
-)
-def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.suite(derived_entries(spark, sf_dir))
-
-
 @query(f"WITH {LEX}, w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS k FROM benchmark) SELECT count(lex.word) AS found, count(*) - count(lex.word) AS missing, count(*) AS total FROM w LEFT JOIN lex ON lex.word = w.k")
 def list_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the benchmark items in the lexicon."""
