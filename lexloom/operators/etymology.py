@@ -177,7 +177,8 @@ def from_mindmap(rows: DataFrame) -> DataFrame:
     """word, roots, breakdown.  rows: word, nodes (array of topic, describe).  A known affix has its known meaning, another node the shortened one of its description."""
     topic = F.col("n.topic")
     piece = F.when(topic.endswith("-") & ~topic.startswith("-"), F.regexp_replace(topic, "-+$", "")).otherwise(topic)
-    each = rows.select("word", F.posexplode("nodes").alias("i", "n")).where("trim(n.topic) <> ''").select("word", "i", piece.alias("piece"), roots.shorten(described_meaning(F.coalesce("n.describe", F.lit("")))).alias("gloss"))
+    gloss = let(described_meaning(F.coalesce("n.describe", F.lit(""))), lambda m: roots.shorten(m))  # noqa: PLW0108  (a second parameter would be the index)
+    each = rows.select("word", F.posexplode("nodes").alias("i", "n")).where("trim(n.topic) <> ''").select("word", "i", piece.alias("piece"), gloss.alias("gloss"))
     df = _decomposed(each)
     first = F.col("subs")[0]["meaning"]
     return _regrouped(df.select("word", "i", F.col("piece").alias("root"), F.when(first != "", first).otherwise(F.col("gloss")).alias("meaning")))

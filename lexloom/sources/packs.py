@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,11 +18,18 @@ EMPTY = "word string, phonetic string, translation string, pos string, exchange
 
 
 def read_raw_entries(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
-    """ord, key, body.  A source without `ord` is numbered by file and place in it."""
+    """ord, key, body.  A source without `ord` is numbered by file name and place in the file, however Spark packs the files."""
     df = spark.read.format(kind).load(path) if kind == "parquet" else spark.read.schema("ord long, key string, body string").format(kind).load(path)
-    if "ord" not in df.columns:
-        df = df.withColumn("ord", F.monotonically_increasing_id())
-    return df.select("ord", "key", "body")
+    if "ord" in df.columns and (kind == "parquet" or not df.where("ord IS NOT NULL").isEmpty()):
+        return df.select("ord", "key", "body")
+    placed = df.select("key", "body", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("m"))
+    blocks = placed.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("m").alias("first")).collect()  # a row for each part of a file that one task reads
+    starts, total = [], 0
+    for r in sorted(blocks, key=lambda r: (r["file"], r["block"])):
+        starts.append((r["file"], r["block"], total - r["first"]))
+        total += r["n"]
+    shift = F.broadcast(spark.createDataFrame(starts, "file string, block long, shift long"))
+    return placed.join(shift, ["file", "block"]).select((F.col("m") + F.col("shift")).alias("ord"), "key", "body")
 
 
 def read_lexicon_table(df: DataFrame) -> DataFrame:
@@ -45,9 +56,9 @@ def read_lexicon(spark: SparkSession, table: DataFrame | None = None, csv: str |
 MORPHEMES = "entries map<string, struct<morphemes: array<struct<piece: string, gloss: string>>, etymologyOrigin: string>>"
 
 
-def read_morphemes(spark: SparkSession, path: str) -> DataFrame:
-    """word, morphemes, origin of JSON chunks; malformed files are skipped, the last file (by name) wins."""
-    df = spark.read.schema(MORPHEMES).option("multiLine", True).option("mode", "PERMISSIVE").json(path).select("*", "_metadata.file_path")
+def read_morphemes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """word, morphemes, origin of JSON chunks (a file each, or a line each without multi_line); malformed ones are skipped, the last file (by name) wins."""
+    df = spark.read.schema(MORPHEMES).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path).select("*", "_metadata.file_path")
     df = df.where("entries IS NOT NULL").select("file_path", F.explode("entries").alias("word", "e"))
     df = df.where((F.size("e.morphemes") > 0) | (F.coalesce("e.etymologyOrigin", F.lit("")) != ""))
     w = Window.partitionBy("word").orderBy(F.col("file_path").desc())
@@ -61,16 +72,64 @@ def read_map_shards(spark: SparkSession, path: str, value: str) -> DataFrame:
     return df.groupBy("word").agg(F.min_by("entry", "file_path").alias("entry"))
 
 
-def read_root_glossary(spark: SparkSession, path: str, column: str = "词根词缀") -> DataFrame:
-    """root of a CSV (a byte-order mark in the header is dropped); empty and `nan` keys are skipped."""
+def read_root_glossary(spark: SparkSession, path: str, column: str = "词根词缀", allowed: list[str] | None = None) -> DataFrame:
+    """root of a CSV (a byte-order mark in the header is dropped); empty and `nan` keys are skipped, and those not in the list of allowed ones if there is one."""
     df = spark.read.csv(path, header=True)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    return df.select(squeeze(F.col(column)).alias("root")).where("root IS NOT NULL AND root <> '' AND lower(root) <> 'nan'").distinct()
+    df = df.select(squeeze(F.col(column)).alias("root")).where("root IS NOT NULL AND root <> '' AND lower(root) <> 'nan'").distinct()
+    return df if allowed is None else df.where(F.col("root").isin(*allowed))
+
+
+#: Rows of one shard file at most.
+FILE_ROWS = 100_000
+
+
+def _sharded(df: DataFrame, rule: str) -> DataFrame:
+    """With the shard, ranges of (shard, word) together and in order: a large shard is spread over tasks."""
+    return df.where("word <> ''").withColumn("shard", shard(F.col("word"), rule)).repartitionByRange("shard", "word").sortWithinPartitions("shard", "word")
 
 
 def write_shards(df: DataFrame, path: str, rule: str = "first_char") -> None:
-    """Rows as JSON lines under shard=...; a rule of quality.shard chooses the shard."""
-    df.withColumn("shard", shard(F.col("word"), rule)).repartition("shard").write.mode("overwrite").partitionBy("shard").json(path)
+    """Rows with a word, in order, as JSON lines under shard=...; a rule of quality.shard chooses the shard.  Nothing is written of an empty table."""
+    if not df.isEmpty():
+        _sharded(df, rule).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").json(path)
+
+
+def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON object for each run of rows with a shard; a new one begins after FILE_ROWS rows."""
+    last, n, number = None, 0, 0
+    for batch in batches:
+        lines: list[tuple[str, int, str]] = []
+        for name, word, entry in zip(batch.column("shard").to_pylist(), batch.column("word").to_pylist(), batch.column("entry").to_pylist(), strict=True):
+            if name != last or n == FILE_ROWS:
+                if last is not None:
+                    lines.append((last, number, "}"))
+                last, n, number = name, 0, number + 1
+                lines.append((name, number, "{"))
+            lines.append((name, number, f"{',' if n else ''}{json.dumps(word, ensure_ascii=False)}:{entry}"))
+            n += 1
+        yield _lines(lines)
+    if last is not None:
+        yield _lines([(last, number, "}")])
+
+
+def _lines(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+    names, numbers, lines = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(lines, pa.string())], ["shard", "part", "value"])
+
+
+def write_shard_objects(df: DataFrame, path: str, rule: str = "first_char") -> None:
+    """Files that hold one JSON object each, {word: entry, ...} in order of words, under shard=.../part=...; an entry is the row without nulls.  Nothing is written of an empty table."""
+    if df.isEmpty():
+        return
+    rows = _sharded(df, rule).select("shard", "word", F.to_json(F.struct(*df.columns)).alias("entry"))
+    rows.mapInArrow(_objects, "shard string, part int, value string").write.mode("overwrite").partitionBy("shard", "part").text(path)
+
+
+def read_shard_objects(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """shard, key (word in lower case), word, entry of the files that write_shard_objects has written; a filter on the shard prunes folders."""
+    df = spark.read.text(path, wholetext=True).select("shard", F.explode(F.from_json("value", f"map<string, {value}>")).alias("word", "entry"))
+    return df.select(F.col("shard").cast("string").alias("shard"), F.lower("word").alias("key"), "word", "entry")
 
 
 def write_manifest(spark: SparkSession, path: str, shards: str, pack_type: str, metrics: dict[str, int], version: str = "1") -> DataFrame:
@@ -83,6 +142,11 @@ def write_manifest(spark: SparkSession, path: str, shards: str, pack_type: str,
     return spark.read.json(path)
 
 
+def lookup_packs(spark: SparkSession, root: str, kinds: dict[str, str]) -> dict[str, DataFrame]:
+    """The packs of a folder by name: a missing one is an empty table.  kinds: folder -> type, such as main, secondary, supplement."""
+    return {name: read_pack(spark, f"{root}/{name}", kind) for name, kind in kinds.items()}
+
+
 def read_pack(spark: SparkSession, path: str, pack_type: str, schema: str = EMPTY) -> DataFrame:
     """Rows of a pack under `path` (shards/, manifest/) if its manifest is there and of the type; else no rows.  A filter on `shard` prunes folders."""
     try:
