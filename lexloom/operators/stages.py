@@ -20,13 +20,24 @@ def shared_root(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this application."""
+    return f"{shared_root(spark)}/lexloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a stage to the shared folder and read it again, which also cuts the lineage of loops."""
-    path = f"{shared_root(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write a stage to the shared folder and read it again: computed once, a lost executor costs no recomputation, and the lineage of loops is cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete all tables that this application has settled.  For the end of a job: results that were not written anywhere else are gone."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lexloom/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_stage(df: DataFrame, root: str, name: str, version: int = 0) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}/v={version}")
 

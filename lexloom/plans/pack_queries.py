@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +13,6 @@ from lexloom.sources import packs
 FIVE = "struct<word:string,phonetic:string,translation:string,pos:string,exchange:string>"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    return f"{stages.shared_root(spark)}/packs/{name}-{uuid.uuid4().hex}"
-
-
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five fields of the words; a few words begin with a sign or a capital."""
     w, n = F.col("word"), F.col("n")
@@ -32,7 +26,7 @@ FLAT = LEX + ", f AS (SELECT n, word AS w, CASE WHEN n % 7 = 0 THEN '#' || word
 @query(f"WITH {FLAT} SELECT left(word, 1) AS shard, lower(word) AS key, word, CASE WHEN n % 2 = 0 THEN '/' || w || '/' END AS phonetic, 't' || chr(10) || '\"q\" ' || n AS translation FROM f")
 def pack_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as JSON objects by first character, read back whole."""
-    path = folder(spark, "objects")
+    path = stages.scratch_path(spark, "objects")
     packs.write_shard_objects(flat(spark, sf_dir), path)
     return packs.read_shard_objects(spark, path, FIVE).select("shard", "key", "word", "entry.phonetic", "entry.translation")
 
@@ -40,7 +34,7 @@ def pack_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FLAT} SELECT CASE WHEN n % 7 = 0 THEN '_' ELSE lower(left(word, 1)) END AS shard, word, 't' || chr(10) || '\"q\" ' || n AS translation FROM f UNION ALL SELECT 'none', 'secondary', '0'")
 def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pack of rows with its manifest, and a pack that isn't there (no rows)."""
-    path = folder(spark, "rows")
+    path = stages.scratch_path(spark, "rows")
     rows = flat(spark, sf_dir).unionByName(flat(spark, sf_dir).select(F.lit("").alias("word"), *packs.FIELDS[1:]))  # rows without a word aren't written
     packs.write_shards(rows, f"{path}/main/shards", "letter")
     packs.write_manifest(spark, f"{path}/main/manifest", f"{path}/main/shards", "words", {"entryCount": rows.where("word <> ''").count(), "danglingNavigableTargets": 0})
@@ -55,7 +49,7 @@ unnest([1, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, (SELECT count(DISTINCT CASE WHEN n % 7
 )
 def pack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of a manifest, and its files after one declaration was given another name, one another size and one another digest."""
-    path = folder(spark, "checks")
+    path = stages.scratch_path(spark, "checks")
     packs.write_shards(flat(spark, sf_dir).coalesce(1), f"{path}/shards", "letter")
     spark.range(1).count()
     manifest = packs.write_manifest(spark, f"{path}/manifest", f"{path}/shards", "words", {"entryCount": 1, "danglingNavigableTargets": 0})
@@ -73,7 +67,7 @@ def pack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LEX} SELECT word AS key, CASE WHEN n % 3 = 0 THEN -n ELSE n END AS n, word = 'the' AS asked FROM lex UNION ALL SELECT word || '+', 0, false FROM lex WHERE n % 3 = 0")
 def stage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stage table, an upsert of old and new keys (the last by `ord` wins), and a point lookup."""
-    root = folder(spark, "stage")
+    root = stages.scratch_path(spark, "stage")
     words = lex(spark, sf_dir).select(F.col("word").alias("key"), "n", F.lit(0).alias("ord"))
     stages.write_stage(words, root, "words")
     some = words.where("n % 3 = 0")
@@ -87,7 +81,7 @@ def stage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS ord, c_custkey::VARCHAR AS key, c_name AS body FROM customer UNION ALL SELECT (SELECT count(*) FROM customer) + o_orderkey_rank, key, body FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS o_orderkey_rank, 'o' || o_orderkey AS key, o_orderstatus AS body FROM orders)")
 def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw entries of several CSV files without an order column, numbered by file and place."""
-    path = folder(spark, "raw")
+    path = stages.scratch_path(spark, "raw")
     none = F.lit(None).cast("string").alias("ord")
     one = table(spark, sf_dir, "customer").orderBy("c_custkey").select(none, F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("body"))
     two = table(spark, sf_dir, "orders").repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select(none, F.concat(F.lit("o"), "o_orderkey").alias("key"), F.col("o_orderstatus").alias("body"))
@@ -101,7 +95,7 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV dictionary, morpheme chunks of which the last file wins (one is malformed), and a root glossary with a list of allowed keys."""
-    path = folder(spark, "sources")
+    path = stages.scratch_path(spark, "sources")
     words = stages.settle(lex(spark, sf_dir).select("word", "n"), "source-words")
     text = F.when(F.col("n") % 4 == 0, " ").when(F.col("n") % 4 == 1, F.concat(F.lit("t"), "n"))
     words.where("n % 4 < 3").select(F.upper("word").alias("word"), F.lit("p").alias("phonetic"), text.alias("translation"), F.lit("n").alias("tag"), F.lit("").alias("exchange")).write.csv(f"{path}/csv", header=True, escape='"')

@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from lexloom.functions.forms import is_regular, moved_grades, plural_of, plural_stems, serialise, slot_forms, slot_label
@@ -174,3 +176,20 @@ def test_results(spark):
     sources = spark.createDataFrame([("leaf", [("n.", "叶", "countable"), ("n.", "水", "uncountable"), ("v.", "翻", None)]), ("leave", [("v.", "离开", None)])], "word string, details array<struct<pos:string,text:string,countability:string>>")
     got = [(r["part"], r["meanings"]) for r in results.grouped_source_parts(asked, sources).orderBy("i").collect()]
     assert got == [("[leaf 的复数]", ["叶"]), ("[leave 的第三人称单数]", ["离开"])]
+
+
+def test_cleared_stages(spark):
+    from lexloom.operators import stages
+
+    held = stages.settle(spark.range(3), "some")
+    assert held.count() == 3 and len(held.inputFiles()) > 0
+    files = held.inputFiles()
+    root = stages.shared_root(spark)
+    spark.conf.set("spark.checkpoint.dir", root + "/other")  # tables of other tests stay
+    try:
+        kept = stages.settle(spark.range(2), "none")
+        path = kept.inputFiles()[0].replace("file:", "")
+        stages.clear_stages(spark)
+        assert not os.path.exists(path) and os.path.exists(files[0].replace("file:", ""))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", root)
