@@ -178,18 +178,13 @@ def test_results(spark):
     assert got == [("[leaf 的复数]", ["叶"]), ("[leave 的第三人称单数]", ["离开"])]
 
 
-def test_cleared_stages(spark):
+def test_cleared_stages(spark, monkeypatch):
     from lexloom.operators import stages
 
     held = stages.settle(spark.range(3), "some")
-    assert held.count() == 3 and len(held.inputFiles()) > 0
-    files = held.inputFiles()
+    kept = held.inputFiles()[0].replace("file:", "")
     root = stages.shared_root(spark)
-    spark.conf.set("spark.checkpoint.dir", root + "/other")  # tables of other tests stay
-    try:
-        kept = stages.settle(spark.range(2), "none")
-        path = kept.inputFiles()[0].replace("file:", "")
-        stages.clear_stages(spark)
-        assert not os.path.exists(path) and os.path.exists(files[0].replace("file:", ""))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", root)
+    monkeypatch.setattr(stages, "shared_root", lambda spark: root + "/other")  # tables of other tests stay
+    path = stages.settle(spark.range(2), "none").inputFiles()[0].replace("file:", "")
+    stages.clear_stages(spark)
+    assert not os.path.exists(path) and os.path.exists(kept)
