@@ -22,10 +22,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import bloom
 from lexloom.llm import textblocks as tb
+from lexloom.llm.bloom import BLOCK_BITS, BLOCK_KEYS, MOST_BYTES, PROBES
 from lexloom.llm.shared import fresh, join_small, pick, settle
 
-BLOCK_BITS, PROBES, BLOCK_KEYS, MOST_BYTES = 1 << 16, 4, 1 << 13, 1 << 26
 #: Distinct keys of a task that are sent together.
 SENT_KEYS = 1 << 18
 MIN_KEY_CHARS = 10
@@ -57,16 +58,6 @@ class _Lines:
         self.h1, self.h2 = tb.span_hashes(low, a, b, 1), tb.span_hashes(low, a, b, 2)
 
 
-def _blocks(h1: np.ndarray, blocks: int) -> np.ndarray:
-    """Block of each key: the high half of its first hash, scaled."""
-    return (((h1 >> _U(32)) * _U(blocks)) >> _U(32)).astype(np.int64)
-
-
-def _probes(h2: np.ndarray) -> np.ndarray:
-    """Bits of each key inside its block: the four quarters of its second hash."""
-    return np.ascontiguousarray(h2).view(np.uint16).reshape(-1, PROBES)
-
-
 def _distinct(ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return np.unique(np.rec.fromarrays([h1, h2, ids]))
 
@@ -84,7 +75,7 @@ def _fill(blocks: int, least: int):
         own = np.unique(np.concatenate(parts))  # by key, then document
         head = np.flatnonzero(np.r_[True, (own["f0"][1:] != own["f0"][:-1]) | (own["f1"][1:] != own["f1"][:-1])])
         several = np.diff(np.r_[head, len(own)]) > 1
-        block, probes = _blocks(own["f0"][head], blocks), _probes(own["f1"][head])  # keys are sorted by first hash, so by block
+        block, probes = bloom.block_of(own["f0"][head], blocks), bloom.probes(own["f1"][head])  # keys are sorted by first hash, so by block
         found, start = np.unique(block, return_index=True)
         counts, more = np.diff(np.r_[start, len(block)]), np.add.reduceat(several, start)
         return pa.RecordBatch.from_arrays([pa.array(found), _cells(probes, counts), _cells(probes[several], more)], ["block", "once", "again"])
@@ -112,7 +103,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[int, bytes]] = []
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([a for _, a in out], pa.binary())], ["block", "again"])
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([a for _, a in out], pa.binary())], ["block", "bits"])
 
     for batch in batches:
         for k, o, a in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
@@ -134,27 +125,18 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def _held(again: np.ndarray, at: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    """Whether all probes are set in the blocks that begin at byte `at`."""
-    probes = _probes(h2)
-    return ((again[at[:, None] + (probes >> 3)] >> (7 - (probes & 7)).astype(np.uint8)) & 1).all(axis=1)
-
-
 _SUSPECT = "doc_id long, h1 long, h2 long"
 
 
 def _suspect(again, blocks: int, least: int):
-    """Lines whose keys the filter holds.  again: broadcast place of each block (-1: no key) and the blocks one after another."""
+    """Lines whose keys the filter (broadcast) holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, data = np.frombuffer(again.value[0], np.int32), np.frombuffer(again.value[1], np.uint8)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, _, raw, at in tb.chunks(batch.column("text")):
                 x = _Lines(raw, at, least)
-                place = places[_blocks(x.h1, blocks)].astype(np.int64)
-                maybe = np.flatnonzero(place >= 0)
-                hit = maybe[_held(data, place[maybe] * (BLOCK_BITS // 8), x.h2[maybe])] if len(maybe) else maybe
+                hit = bloom.test(again.value, bloom.block_of(x.h1, blocks), x.h2)
                 if len(hit):
                     own = _distinct(ids[lo + x.row[x.line[hit]]], x.h1[hit], x.h2[hit])
                     yield pa.RecordBatch.from_arrays([pa.array(own.f2), pa.array(own.f0.view(np.int64)), pa.array(own.f1.view(np.int64))], ["doc_id", "h1", "h2"])
@@ -172,7 +154,7 @@ def _keyed(blocks: int, least: int):
                 x = _Lines(raw, at, least)
                 if len(x.line):
                     own = _distinct(ids[lo + x.row[x.line]], x.h1, x.h2)
-                    found, start = np.unique(_blocks(own.f0, blocks), return_index=True)
+                    found, start = np.unique(bloom.block_of(own.f0, blocks), return_index=True)
                     rows = np.stack([own.f2, own.f0.view(np.int64), own.f1.view(np.int64)], axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(found), _cells(rows, np.diff(np.r_[start, len(own)]))], ["block", "keys"])
 
@@ -181,9 +163,9 @@ def _keyed(blocks: int, least: int):
 
 def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for keys, again in zip(batch.column("keys"), batch.column("again"), strict=True):
+        for keys, again in zip(batch.column("keys"), batch.column("bits"), strict=True):
             rows = np.frombuffer(keys.as_buffer(), np.int64).reshape(-1, 3)
-            held = rows[_held(np.frombuffer(again.as_buffer(), np.uint8), np.zeros(len(rows), np.int64), rows[:, 2])]
+            held = rows[bloom.held(np.frombuffer(again.as_buffer(), np.uint8), np.zeros(len(rows), np.int64), rows[:, 2])]
             if len(held):
                 yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(3)], ["doc_id", "h1", "h2"])
 
@@ -229,12 +211,9 @@ def repeated_lines(documents: DataFrame, least: int = MIN_KEY_CHARS, block_keys:
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     blocks = lines // block_keys + 1
     filled = docs.mapInArrow(tb.bounded(_fill(blocks, least)), "block long, once binary, again binary")
-    merged = settle(filled.repartition("block").sortWithinPartitions("block").mapInArrow(tb.bounded(_merge), "block long, again binary"), "again-filter")
-    if (merged.count() * BLOCK_BITS // 8) + 4 * blocks <= most_bytes:
-        held = merged.collect()  # most_bytes at most
-        places = np.full(blocks, -1, np.int32)
-        places[[r["block"] for r in held]] = np.arange(len(held))
-        again = spark.sparkContext.broadcast((places.tobytes(), b"".join(bytes(r["again"]) for r in held)))
+    merged = settle(filled.repartition("block").sortWithinPartitions("block").mapInArrow(tb.bounded(_merge), "block long, bits binary"), "again-filter")
+    if bloom.fits(merged, blocks, most_bytes):
+        again = spark.sparkContext.broadcast(bloom.packed(merged, blocks))
         tested = docs.mapInArrow(tb.bounded(_suspect(again, blocks, least)), _SUSPECT)
     else:
         tested = docs.mapInArrow(tb.bounded(_keyed(blocks, least)), "block long, keys binary").join(merged, "block").mapInArrow(tb.bounded(_tested), _SUSPECT)
