@@ -6,16 +6,20 @@ hashes of what they stand for, so equal passages get equal symbols except near t
 
 1. In each text symbols are grown to GROWN_WORDS words.  For each the words on which its existence depends are tracked (its
    context): wherever the same words stand, the same symbol stands.  Symbols (and, for the few windows of `width` words that
-   hold no context, the window itself) are grouped over all documents.  A window is left only if all its symbols are shared;
-   the words of such windows are the regions in which repeats can be, and from here on only regions move.
+   hold no context, the window itself) are grouped over all documents, and with them the largest symbol of each text, its
+   whole word sequence: a text whose largest symbol a smaller document has too is covered by it.  Of the other texts a window
+   is left only if all its symbols are shared; the words of such windows are the regions in which repeats can be, and from
+   here on only regions move.
 2. Rounds of recompression rename the regions, each to symbols about four times as long (ROUND_WORDS).  After each round the
    names are grouped over all documents in a table of symbols: what one document alone holds is no symbol of the next round.
    A symbol carries a second hash of the words that it expands to, which is compared along with its name.  All windows inside
    a symbol of at least `width` words that a smaller document has too are repeated: its words go.
 3. The windows that lie in no such symbol (across their borders, or in passages too short for one) are compared exactly, and
-   the smallest document of each is found.  A window in a larger document loses its words.
+   the smallest document of each is found.  A Bloom filter of the repeated ones (sent to every executor while it is small)
+   keeps the others where they are.  A window in a larger document loses its words.
 
-Words are told apart by 64-bit hashes, symbols and windows by 128 bits made of these.  Null or empty text: no words, nothing
+Words are told apart by 64-bit hashes, symbols of regions by 128 bits and windows by 96 bits made of these, whole texts and
+the symbols of step 1 by 63.  Null or empty text: no words, nothing
 removed.  A null id never matches and is returned unchanged.  Repeated rows with one id count as one document; each row is
 cleaned by itself.  Texts of any length are worked on whole; their regions travel as rows of REGION_WORDS words at most.
 """
@@ -30,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import bloom
 from lexloom.llm import textblocks as tb
-from lexloom.llm.shared import join_small, pick, settle
+from lexloom.llm.shared import pick, settle
 
 #: A symbol of so many words is joined no further in the texts, and in the rounds over the regions; passes of joining in each.
 GROWN_WORDS, ROUND_WORDS, ROUNDS = 12, (24, 96, 384, 1536), 8
@@ -99,7 +104,19 @@ class _Parsed:
         # a key outside every real window (short documents) can reveal nothing
         seen = np.r_[0, np.cumsum(self.real)]
         useful = seen[np.minimum(last + 1, n)] > seen[np.minimum(first, n)]
-        return np.r_[names[useful], whole], np.r_[first[useful], bare], np.r_[last[useful], bare]
+        return np.r_[names[useful], whole] & ~_U(1), np.r_[first[useful], bare], np.r_[last[useful], bare]
+
+    def largest(self) -> np.ndarray:
+        """The symbol of each text as a whole (odd, unlike the others); 0 for a text without a window."""
+        size = np.diff(self.offsets)
+        out = np.zeros(len(size), np.uint64)
+        some = np.flatnonzero(size >= self.width)
+        if len(some):
+            power, inverse = tb.powers(2, len(self.symbols) + 1)
+            sums = np.r_[_U(0), np.cumsum(self.symbols * power[: len(self.symbols)])]
+            a, b = self.offsets[some], self.offsets[some + 1]
+            out[some] = tb.mix((sums[b] - sums[a]) * inverse[a] + size[some].astype(np.uint64)) | _U(1)
+        return out
 
 
 class Level:
@@ -165,27 +182,33 @@ def _reveal(width: int):
             for lo, _, raw, at in tb.chunks(batch.column("text")):
                 doc = _Parsed(raw, at, width)
                 key, _, last = doc.keys()
+                whole = doc.largest()
+                own = np.flatnonzero(whole)
                 if len(key):
-                    row = doc.row[last]
-                    both = np.unique(np.rec.fromarrays([key, row]))
+                    both = np.unique(np.rec.fromarrays([np.r_[key, whole[own]], np.r_[doc.row[last], own]]))
                     yield _flat(ids[lo + both.f1], both.f0)
 
     return run
 
 
-_REGION = "doc_id long, text_key long, first int, words array<bigint>"
+_REGION = "doc_id long, text_key long, first int, words array<bigint>, covered int"
 
 
 def _regions(width: int):
-    """Runs of words that lie in windows all of whose keys are shared."""
+    """Runs of words that lie in windows all of whose keys are shared; of a text that a smaller document has as a whole the number of words (`covered`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
-            shared = batch.column("shared")
+            shared, copies = batch.column("shared"), batch.column("copies")
             for lo, hi, raw, at in tb.chunks(batch.column("text")):
                 doc = _Parsed(raw, at, width)
                 key, first, last = doc.keys()
+                whole = doc.largest().view(np.int64)
+                copied = np.array([len(copies[lo + k]) > 0 and bool(np.isin(whole[k], copies[lo + k].values.to_numpy(zero_copy_only=False))) for k in range(hi - lo)], bool)
+                k = np.flatnonzero(copied)
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + k]), pa.array(keys[lo + k]), pa.array(np.zeros(len(k), np.int32)), pa.nulls(len(k), pa.list_(pa.int64())), pa.array(np.diff(doc.offsets)[k].astype(np.int32))], ["doc_id", "text_key", "first", "words", "covered"])
                 if not len(key):
                     continue
                 row = doc.row[last]
@@ -194,7 +217,7 @@ def _regions(width: int):
                 cut = np.searchsorted(row[order], np.arange(hi - lo + 1))
                 for k in range(hi - lo):
                     mine = order[cut[k] : cut[k + 1]]
-                    if len(mine):
+                    if len(mine) and not copied[k]:
                         ok[mine] = np.isin(key[mine], shared[lo + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 n = len(doc.symbols)
                 good = np.bincount(first[ok], minlength=n + 2)[: n + 2] - np.bincount(last[ok] + 1, minlength=n + 2)[: n + 2]
@@ -211,7 +234,7 @@ def _regions(width: int):
                 of = doc.row[a]
                 place = np.arange(int((b - a).sum())) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
                 words = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(b - a)], pa.int32()), pa.array(doc.symbols[place].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + of]), pa.array(keys[lo + of]), pa.array((a - doc.offsets[of]).astype(np.int32)), words], ["doc_id", "text_key", "first", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + of]), pa.array(keys[lo + of]), pa.array((a - doc.offsets[of]).astype(np.int32)), words, pa.nulls(len(a), pa.int32())], ["doc_id", "text_key", "first", "words", "covered"])
 
     return run
 
@@ -255,7 +278,7 @@ def covered(regions: DataFrame, width: int) -> DataFrame:
         level = settle(level.mapInArrow(tb.bounded(_grow(words, turn)), _LEVEL), f"round-{turn}")
         each = level.select(*ids, F.explode(F.arrays_zip("names", "said", "starts", "ends")).alias("s")).select(*ids, "s.names", "s.said", "s.starts", "s.ends")
         symbols = settle(each.groupBy("names", "said").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), f"symbols-{turn}")
-        held = settle(join_small(each, symbols, ["names", "said"], "inner"), f"held-{turn}")
+        held = settle(each.join(symbols, ["names", "said"]), f"held-{turn}")
         own = held.where((F.col("least") < F.col("doc_id")) & (F.col("ends") - F.col("starts") >= width)).select(*ids, F.col("starts").alias("start"), F.col("ends").alias("end"))
         found = own if found is None else found.unionByName(own)
         if turn + 1 < len(ROUND_WORDS):
@@ -264,8 +287,11 @@ def covered(regions: DataFrame, width: int) -> DataFrame:
     return found
 
 
-def _windows(width: int):
-    """Hashes of the windows of a region that lie in none of the given spans."""
+_WINDOW = "doc_id long, text_key long, start int, h1 long, h2 int"
+
+
+def _windows(width: int, repeated=None, blocks: int = 0):  # noqa: ANN001
+    """Hashes of the windows of a region that lie in none of the given spans; with a filter (broadcast) only of those that it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,14 +304,36 @@ def _windows(width: int):
                     for x, y in zip(np.maximum(a, 0).tolist(), (b - width + 1).tolist(), strict=True):
                         if y > x:
                             open_[x:y] = False
+                one = tb.windows(symbols, width, 1)
                 at = np.flatnonzero(open_)
+                if repeated is not None and len(at):
+                    at = at[bloom.test(repeated.value, bloom.block_of(one[at], blocks), tb.mix(one[at]))]
                 if len(at):
-                    one, two = tb.windows(symbols, width, 1)[at], tb.windows(tb.mix(symbols ^ _U(0x5DEECE66D)), width, 2)[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), keys[i])), pa.array((at + firsts[i]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "text_key", "start", "h1", "h2"])
+                    two = tb.windows(tb.mix(symbols ^ _U(0x5DEECE66D)), width, 2)[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(np.full(len(at), keys[i])), pa.array((at + firsts[i]).astype(np.int32)), pa.array(one[at].view(np.int64)), pa.array((two >> _U(32)).astype(np.uint32).view(np.int32))], ["doc_id", "text_key", "start", "h1", "h2"])
 
     return run
 
 
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h1 and its second hash for the filter."""
+    for batch in batches:
+        h = batch.column("h1").to_numpy().view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("h1"), pa.array(tb.mix(h).view(np.int64))], ["h1", "h2"])
+
+
+def repeated_windows(regions: DataFrame, symbols: DataFrame, width: int, most_bytes: int = bloom.MOST_BYTES) -> DataFrame:
+    """doc_id, text_key, start, end: windows in none of the spans of `symbols` that a smaller document has too."""
+    open_ = settle(regions.join(_by_text(symbols), ["doc_id", "text_key"], "left"), "open-regions")
+    each = open_.mapInArrow(tb.bounded(_windows(width)), _WINDOW)
+    first = settle(each.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-windows")
+    blocks = first.count() // bloom.BLOCK_KEYS + 1
+    merged = settle(bloom.filter_of(first.select("h1").distinct().mapInArrow(_second, "h1 long, h2 long"), blocks), "repeated-filter")
+    if bloom.fits(merged, blocks, most_bytes):
+        each = open_.mapInArrow(tb.bounded(_windows(width, regions.sparkSession.sparkContext.broadcast(bloom.packed(merged, blocks)), blocks)), _WINDOW)
+    return each.join(first, ["h1", "h2"]).where("doc_id > a").select("doc_id", "text_key", "start", (F.col("start") + width).alias("end"))
+
+
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans = batch.column("spans")
@@ -326,13 +374,12 @@ def remove_repeated_passages(documents: DataFrame, width: int = 50) -> DataFrame
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     keys = settle(known.select("doc_id", "text").mapInArrow(tb.bounded(_reveal(width)), "doc_id long, h1 long"), "symbols")
-    common = settle(keys.groupBy("h1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1"), "shared-symbols")
-    shared = settle(join_small(keys, common, ["h1"], "inner").groupBy("doc_id").agg(F.collect_set("h1").alias("shared")), "symbols-by-document")
-    regions = settle(known.join(shared, "doc_id").mapInArrow(tb.bounded(_regions(width)), _REGION), "regions")
-    symbols = settle(covered(regions, width), "repeated-symbols")
-    open_ = regions.join(_by_text(symbols), ["doc_id", "text_key"], "left")
-    windows = settle(open_.mapInArrow(tb.bounded(_windows(width)), "doc_id long, text_key long, start int, h1 long, h2 long"), "windows")
-    first = settle(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "first-windows")
-    late = join_small(windows, first, ["h1", "h2"], "inner").where("doc_id > a").select("doc_id", "text_key", "start", (F.col("start") + width).alias("end"))
-    gone = settle(_by_text(symbols.unionByName(late)), "repeated-spans")
+    common = settle(keys.groupBy("h1").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "shared-symbols")
+    late = F.when((F.col("h1").bitwiseAND(1) == 1) & (F.col("a") < F.col("doc_id")), F.col("h1"))
+    shared = settle(keys.join(common, "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("shared"), F.collect_set(late).alias("copies")), "symbols-by-document")
+    found = settle(known.join(shared, "doc_id").mapInArrow(tb.bounded(_regions(width)), _REGION), "regions")
+    regions = found.where("words IS NOT NULL").drop("covered")
+    whole = found.where("covered IS NOT NULL").select("doc_id", "text_key", F.lit(0).alias("start"), F.col("covered").alias("end"))
+    symbols = settle(covered(regions, width).unionByName(whole), "repeated-symbols")
+    gone = settle(_by_text(symbols.unionByName(repeated_windows(regions, symbols, width))), "repeated-spans")
     return docs.join(gone, ["doc_id", "text_key"], "left").mapInArrow(tb.bounded(_clean), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
