@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
 Numbers, names and units become typed placeholders (`<num>`, `<name>`, `<unit>`), the rest is lower-cased and loses its
-punctuation; a run of one placeholder is one word, so a name of two words stands for a name of one.  Windows of `width` canonical words of every text are hash-joined with the windows of the benchmark items
-(an item with fewer words is one window of its own).  A hit is then checked word by word, and the values in its slots
+punctuation; a run of one placeholder is one word, so a name of two words stands for a name of one.  Windows of `width`
+canonical words of every text are hash-joined with the windows of the benchmark items (an item with fewer words is one
+window of its own).  A hit is then checked word by word, and the values in its slots
 must agree over all hits of an item on one alignment: one benchmark value stands for one value of the text and the other
 way round, as in a question whose numbers or names were changed throughout.  A text is contaminated by an item if the
 consistent hits cover at least `share` of the item's windows: on one alignment or, where words were put in or left out, on
@@ -13,8 +14,11 @@ Windows with more placeholders than words (of the given text) say too little for
 values, and count beside the others.  An item is also found by its other windows alone, so a copy with new values is too.
 
 A number is a word that starts with a digit (after one of $ € £ # ( + -); a unit is a word of UNITS after a number; a
-name is a capitalised word after a space and a word that ends no sentence.  Null or blank texts and items match nothing.
-Rows with one id share their hits; a null id has none.  n_windows are those of the best alignment or, if no single one is enough, of the best chain.
+name is a capitalised word after a space and a word that ends no sentence, so a name that opens a sentence or the text is
+an ordinary word and has to agree.  Null or blank texts and items match nothing.  Very long texts are worked on whole, as
+one row each; only those with a hit are written with their words.
+Rows with one id share their hits; a null id has none.  n_windows are those of the best alignment or, if no single one is
+enough, of the best chain.
 """
 
 from __future__ import annotations
