@@ -33,7 +33,7 @@ N_BEST = 4
 #: Units with more bytes are solved one by one.
 LONG_UNIT = 48
 #: Bytes of text encoded together: its distinct units are solved once.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 19
 _U = np.uint64
 _NONE = np.int64(-(1 << 60))
 _BASE = _U(0x9E3779B97F4A7C15)
