@@ -33,7 +33,7 @@ N_BEST = 4
 #: Units with more bytes are solved one by one.
 LONG_UNIT = 48
 #: Bytes of text encoded together: its distinct units are solved once.
-ENCODE_BYTES = 1 << 19
+ENCODE_BYTES = 1 << 20
 _U = np.uint64
 _NONE = np.int64(-(1 << 60))
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -345,12 +345,12 @@ def segment_chunk(pieces: Pieces, raw: np.ndarray, at: np.ndarray, n_best: int)
     return whole, ends, scores, np.concatenate(parts), np.r_[0, np.cumsum(np.array(sizes, np.int64))]
 
 
-def _encode(path: str, n_best: int, with_ids: bool):
+def _encode(path: str, n_best: int, with_ids: bool, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.load(path)
         for batch in batches:
             null = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            for lo, hi, raw, at in tb.chunks(batch.column("text"), ENCODE_BYTES):
+            for lo, hi, raw, at in tb.chunks(batch.column("text"), chunk_bytes):
                 ids, cut, scores, every, every_cut = segment_chunk(pieces, raw, at, n_best)
                 back = pieces.decode(ids)
                 size = pieces.size[ids]
@@ -377,11 +377,14 @@ def _encode(path: str, n_best: int, with_ids: bool):
     return run
 
 
-def encode(documents: DataFrame, path: str | None = None, n_best: int = N_BEST, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, scores (of the n best segmentations), decoded_sha256, round_trip; with_ids: ids, decoded text and segmentations (ids of each of the n best, in the order of scores)."""
+def encode(documents: DataFrame, path: str | None = None, n_best: int = N_BEST, with_ids: bool = True, chunk_bytes: int = ENCODE_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, scores (of the n best segmentations), decoded_sha256, round_trip; with_ids: ids, decoded text and segmentations (ids of each of the n best, in the order of scores).
+
+    Smaller chunks take less memory and more time; the result is the same.
+    """
     docs = pick(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, scores array<bigint>, decoded_sha256 string, round_trip boolean"
-    return docs.mapInArrow(tb.bounded(_encode(path or model_path(), n_best, with_ids)), schema + (", ids array<int>, decoded string, segmentations array<array<int>>" if with_ids else ""))
+    return docs.mapInArrow(tb.bounded(_encode(path or model_path(), n_best, with_ids, chunk_bytes)), schema + (", ids array<int>, decoded string, segmentations array<array<int>>" if with_ids else ""))
 
 
 def _decode(path: str):
