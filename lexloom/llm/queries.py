@@ -198,3 +198,31 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.html_extract import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.lexical_search import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+_LETTERS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+ORACLES["op12_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, {_LETTERS} AS ws FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_LETTERS} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)),
+size AS (SELECT count(*) AS n, sum(len(ws))::BIGINT AS l FROM d WHERE len(ws) > 0),
+post AS (SELECT doc_id, term, 75 + (25 * any_value(dl) * n) // l AS m, count(*) AS tf FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM d), size GROUP BY doc_id, term, n, l),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM post, size GROUP BY term, n),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM (SELECT item_id, unnest(ws) AS term FROM i) JOIN w USING (term) JOIN post USING (term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
