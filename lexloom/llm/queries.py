@@ -226,3 +226,10 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexloom.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexloom.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
