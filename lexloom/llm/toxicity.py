@@ -92,7 +92,7 @@ def _spread(x: np.ndarray, m: int, found: Callable[[int, np.ndarray], None]) ->
 
 
 def evidence(sym: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of the weights of the subsequences from each start, then of the segment from each start."""
+    """Sum of the weights of the subsequences of the segment from each start; 0 between sentences."""
     out = np.zeros(len(sym) + WIDTH, np.float64)
     padded = np.r_[sym, np.zeros(SPAN, sym.dtype)].astype(_U)
     for a in range(0, len(sym), BLOCK):
@@ -105,7 +105,7 @@ def evidence(sym: np.ndarray, table: np.ndarray) -> np.ndarray:
             reach = LENGTH - 1 + skipped
             out[a : a + m] += GAP**skipped * sums[skipped] * (x[reach : reach + m] > 0) * (x[:m] > 0)
     total = np.r_[0.0, np.cumsum(out)]
-    return total[WIDTH : WIDTH + len(sym)] - total[: len(sym)]
+    return (total[WIDTH : WIDTH + len(sym)] - total[: len(sym)]) * (sym > 0)
 
 
 def segment_features(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
