@@ -41,6 +41,7 @@ from lexloom.llm.shared import pick
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
 LENGTH, SPAN, GAP, WIDTH, BITS = 5, 8, 0.7, 6, 18
 LANDMARKS, ROUNDS, CLEAN_SEGMENTS, COST, TOP, ALONE = 384, 3, 4, 10.0, 3, 0.2
+PAD = max(WIDTH, SPAN)  # zeros between two sentences: no subsequence or segment reaches over them
 PIECE, OVERLAP, CHUNK_BYTES, BLOCK = 1 << 18, 64, 1 << 18, 1 << 15
 _U = np.uint64
 _EDGE = 1  # the boundary symbol; 0 is padding between sentences
@@ -56,7 +57,7 @@ def _kinds() -> np.ndarray:
 
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts (each sentence between two boundaries, WIDTH zeros between sentences) and the offset of each text's."""
+    """Symbols of all texts (each sentence between two boundaries, PAD zeros between sentences) and the offset of each text's."""
     low = [t.lower() for t in texts]
     code = np.frombuffer(("\n" + "\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = _kinds()[code]
@@ -66,7 +67,7 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(solid | np.r_[True, solid[:-1]])  # one item for each run of separators
     ends = np.maximum.reduceat(ends, first)
     solid = solid[first]
-    size = np.where(solid, 1, np.where(ends, WIDTH + 2, 1))
+    size = np.where(solid, 1, np.where(ends, PAD + 2, 1))
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint32)
     out[at] = np.where(solid, code[held[first]] + 2, _EDGE)

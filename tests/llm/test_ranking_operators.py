@@ -137,7 +137,7 @@ def test_bit_planes_count_exactly():
 def test_subsequence_kernel_against_enumeration():
     texts = ["an idxiot. of th id-iot\nend", "", "the moron", "i d i o t", "ÉTÉ"]
     sym, at = toxicity.symbols(texts)
-    pad = "~" * toxicity.WIDTH
+    pad = "~" * toxicity.PAD
     assert len(at) == len(texts) and "".join("_" if c == 1 else "~" if c == 0 else chr(c - 2) for c in sym[at[0] : at[1]]) == f"_{pad}_an_idxiot_{pad}_of_th_idiot_{pad}_end"
     segments = toxicity._segments(sym, np.arange(len(sym)))
     f = toxicity.segment_features(segments)
