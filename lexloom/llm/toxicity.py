@@ -8,7 +8,8 @@ starts of subsequences.  The decisions of a text's TOP most suspicious segments,
 its score by a logistic curve: one strong insult is enough, so are several that could each be a chance resemblance.
 
 Learning: labels are of whole texts, so not all segments of a toxic text are toxic.  Those around its runs of symbols that
-few clean texts have (log odds over the sample) are taken, again with an inserted symbol, and half of them spaced; clean texts give segments at random.  LANDMARKS segments are chosen, each the farthest in the kernel from those
+few clean texts have (log odds over the sample) are taken, SEGMENTS of a text, again with an inserted symbol, and half of
+them spaced; clean texts give segments at random.  LANDMARKS segments are chosen, each the farthest in the kernel from those
 before it; a segment's kernel values with them, times the inverse root of their own kernel matrix, are its Nyström
 features, on which a linear machine with squared hinge loss is fitted.  ROUNDS times the machine scores all sentences of the
 clean texts, and their most suspicious segments join the clean ones.  The curve is fitted on the sample's texts, toxic ones also as if their
@@ -26,6 +27,7 @@ learned from; null ids and labels are neither.  Without texts of both labels eve
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -38,9 +40,9 @@ from pyspark.sql import functions as F
 from lexloom.llm import textblocks as tb
 from lexloom.llm.shared import pick
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 800, 1600, 10_000
 LENGTH, SPAN, GAP, WIDTH, BITS = 5, 8, 0.7, 6, 18
-LANDMARKS, ROUNDS, CLEAN_SEGMENTS, COST, TOP, ALONE = 384, 3, 4, 10.0, 3, 0.2
+LANDMARKS, ROUNDS, SEGMENTS, COST, TOP, ALONE = 384, 3, 3, 10.0, 3, 0.2
 PAD = max(WIDTH, SPAN)  # zeros between two sentences: no subsequence or segment reaches over them
 PIECE, OVERLAP, CHUNK_BYTES, BLOCK = 1 << 18, 64, 1 << 18, 1 << 15
 _U = np.uint64
@@ -80,54 +82,64 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _spread(x: np.ndarray, m: int, found: Callable[[int, np.ndarray], None]) -> None:
     """Call found(skipped, bucket) for every choice of places: bucket of the subsequence from each of the first m starts (last axis)."""
     part = [x * c for c in _ODD]
+    _longer(part, m, 1, 0, part[0][..., :m], found)
 
-    def deeper(k: int, last: int, h: np.ndarray) -> None:
-        for at in range(last + 1, SPAN - (LENGTH - 1 - k)):
-            here = h + part[k][..., at : at + m]
-            if k == LENGTH - 1:
-                found(at + 1 - LENGTH, (here >> _U(64 - BITS)).view(np.int64))
-            else:
-                deeper(k + 1, at, here)
 
-    deeper(1, 0, part[0][..., :m])
+def _longer(part: list[np.ndarray], m: int, k: int, last: int, h: np.ndarray, found: Callable[[int, np.ndarray], None]) -> None:
+    """h: hash of the first k symbols, the last of them at place `last`."""
+    for at in range(last + 1, SPAN - (LENGTH - 1 - k)):
+        here = h + part[k][..., at : at + m]
+        if k == LENGTH - 1:
+            found(at + 1 - LENGTH, (here >> _U(64 - BITS)).view(np.int64))
+        else:
+            _longer(part, m, k + 1, at, here, found)
 
 
 def evidence(sym: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sum of the weights of the subsequences of the segment from each start; 0 between sentences."""
-    out = np.zeros(len(sym) + WIDTH, np.float64)
-    padded = np.r_[sym, np.zeros(SPAN, sym.dtype)].astype(_U)
+    """Sum of the weights of the subsequences of the segment from each start; 0 between sentences.  Scratch is that of a block."""
+    value = np.zeros(len(sym), np.float32)
     for a in range(0, len(sym), BLOCK):
-        x = padded[a : a + BLOCK + SPAN - 1]
         m = min(BLOCK, len(sym) - a)
-        x = x[: m + SPAN - 1]
-        sums = np.zeros((SPAN - LENGTH + 1, m), np.float32)
-        _spread(x, m, lambda skipped, bucket, sums=sums: np.add(sums[skipped], table.take(bucket, mode="clip"), out=sums[skipped]))
+        x = np.zeros(m + WIDTH + SPAN - 1, _U)
+        part = sym[a : a + len(x)]
+        x[: len(part)] = part
+        starts = m + WIDTH
+        sums = np.zeros((SPAN - LENGTH + 1, starts), np.float32)
+        _spread(x, starts, lambda skipped, bucket, sums=sums: np.add(sums[skipped], table.take(bucket, mode="clip"), out=sums[skipped]))
+        total = np.zeros(starts + 1)
         for skipped in range(len(sums)):
             reach = LENGTH - 1 + skipped
-            out[a : a + m] += GAP**skipped * sums[skipped] * (x[reach : reach + m] > 0) * (x[:m] > 0)
-    total = np.r_[0.0, np.cumsum(out)]
-    return (total[WIDTH : WIDTH + len(sym)] - total[: len(sym)]) * (sym > 0)
+            total[1:] += GAP**skipped * sums[skipped] * (x[reach : reach + starts] > 0)
+        total[1:] *= x[:starts] > 0
+        np.cumsum(total, out=total)
+        value[a : a + m] = (total[WIDTH : WIDTH + m] - total[:m]) * (x[:m] > 0)
+    return value
 
 
 def segment_features(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and weights of the subsequences of segments (rows of WIDTH + SPAN - 1 symbols)."""
     x = segments.astype(_U)
-    buckets, weights = [], []
+    ways = math.comb(SPAN - 1, LENGTH - 1)
+    buckets, weights = np.empty((len(x), ways * WIDTH), np.int32), np.empty((len(x), ways * WIDTH), np.float32)
+    at = iter(range(0, ways * WIDTH, WIDTH))
 
     def found(skipped: int, bucket: np.ndarray) -> None:
-        reach = LENGTH - 1 + skipped
-        buckets.append(bucket.astype(np.int32))
-        weights.append((GAP**skipped * (x[:, reach : reach + WIDTH] > 0) * (x[:, :WIDTH] > 0)).astype(np.float32))
+        reach, here = LENGTH - 1 + skipped, next(at)
+        buckets[:, here : here + WIDTH] = bucket
+        weights[:, here : here + WIDTH] = GAP**skipped * ((x[:, reach : reach + WIDTH] > 0) & (x[:, :WIDTH] > 0))
 
     _spread(x, WIDTH, found)
-    return np.concatenate(buckets, axis=1), np.concatenate(weights, axis=1)
+    return buckets, weights
 
 
 def kernel(features: tuple[np.ndarray, np.ndarray], landmark: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Kernel values of all segments with one."""
     dense = np.zeros(1 << BITS, np.float32)
     np.add.at(dense, landmark[0], landmark[1])
-    return (dense[features[0]] * features[1]).sum(axis=1, dtype=np.float64)
+    out = np.empty(len(features[0]))
+    for k in range(0, len(out), 1024):
+        out[k : k + 1024] = np.einsum("ij,ij->i", dense.take(features[0][k : k + 1024]), features[1][k : k + 1024])
+    return out
 
 
 def _landmarks(features: tuple[np.ndarray, np.ndarray], norms: np.ndarray, n: int) -> list[int]:
@@ -144,22 +156,27 @@ def _landmarks(features: tuple[np.ndarray, np.ndarray], norms: np.ndarray, n: in
         chosen.append(nxt)
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights (the last one is the bias) that minimise |w|^2 / 2 + sum of cost * max(0, 1 - y f)^2, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    ridge = np.eye(x.shape[1])
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: float) -> np.ndarray:
+    """Weights (the last one is the bias) that minimise |w|^2 / 2 + cost * sum of max(0, 1 - y f)^2, by Newton steps."""
+    ridge = np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
-    loss = lambda w: w @ ridge @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w = np.zeros(len(ridge))
+    blocks = [slice(k, k + 2048) for k in range(0, len(x), 2048)]
+    lost = lambda w: np.maximum(0, 1 - y * (x @ w[:-1].astype(x.dtype) + w[-1]))
+    loss = lambda w: w @ ridge @ w / 2 + cost * (lost(w) ** 2).sum()
     for _ in range(30):
-        inside = y * (x @ w) < 1
-        a, c = x[inside], cost[inside]
-        step = np.linalg.solve(ridge + 2 * (a * c[:, None]).T @ a, 2 * (a * c[:, None]).T @ y[inside]) - w
+        inside = lost(w) > 0
+        curve, pull = ridge.copy(), np.zeros(len(w))
+        for k in blocks:
+            part = np.c_[x[k][inside[k]].astype(float), np.ones(inside[k].sum())]
+            curve += 2 * cost * part.T @ part
+            pull += 2 * cost * part.T @ y[k][inside[k]]
+        step = np.linalg.solve(curve, pull) - w
         scale, now = 1.0, loss(w)
         while scale > 1e-4 and loss(w + scale * step) > now:
             scale /= 2
         w = w + scale * step
-        if np.abs(scale * step).max() < 1e-6:
+        if np.abs(scale * step).max() < 1e-5:
             break
     return w
 
@@ -227,10 +244,14 @@ def _sentences(sym: np.ndarray, begin: int, end: int) -> np.ndarray:
     return begin + np.flatnonzero((sym[begin:end] > 0) & np.r_[True, sym[begin : end - 1] == 0])
 
 
-def _telling_runs(sym: np.ndarray, texts: list[tuple[int, int]], toxic: np.ndarray) -> np.ndarray:
-    """Starts of the runs of LENGTH symbols in toxic texts that few clean texts have; the most telling one of each toxic text at least."""
-    run = sum(np.r_[sym[k:], np.zeros(k, sym.dtype)].astype(_U) * _ODD[k] for k in range(LENGTH))
-    kinds = {t: np.unique(np.concatenate([np.unique(run[a:b]) for (a, b), y in zip(texts, toxic, strict=True) if y == t]), return_counts=True) for t in (True, False)}
+def _telling_runs(sym: np.ndarray, texts: list[tuple[int, int]], toxic: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Starts of runs of LENGTH symbols in toxic texts that few clean texts have: up to SEGMENTS of each toxic text, by chance, and the most telling one at least."""
+
+    def runs(a: int, b: int) -> np.ndarray:
+        x = np.r_[sym[a : b + LENGTH - 1], np.zeros(max(0, b + LENGTH - 1 - len(sym)), sym.dtype)].astype(_U)
+        return sum(x[k : k + b - a] * _ODD[k] for k in range(LENGTH))
+
+    kinds = {t: np.unique(np.concatenate([np.unique(runs(a, b)) for (a, b), y in zip(texts, toxic, strict=True) if y == t]), return_counts=True) for t in (True, False)}
     names, count = kinds[True]
     other = np.minimum(np.searchsorted(kinds[False][0], names), len(kinds[False][0]) - 1)
     clean = np.where(kinds[False][0][other] == names, kinds[False][1][other], 0)
@@ -239,8 +260,9 @@ def _telling_runs(sym: np.ndarray, texts: list[tuple[int, int]], toxic: np.ndarr
     out: list[int] = []
     for (a, b), y in zip(texts, toxic, strict=True):
         if y:
-            value = odds[np.searchsorted(names, run[a:b])]
-            out += [a + p for p in _peaks(value, max(usual, 0.3 * float(value.max())))] or [a + int(value.argmax())]
+            value = odds[np.searchsorted(names, runs(a, b))]
+            found = _peaks(value, max(usual, 0.3 * float(value.max()))) or [int(value.argmax())]
+            out += [a + p for p in rng.permutation(found)[:SEGMENTS].tolist()]
     return np.array(out)
 
 
@@ -273,21 +295,27 @@ def _disturbed(segments: np.ndarray, rng: np.random.Generator, spaced: bool) ->
 
 def _norms(features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Root of each segment's kernel with itself."""
-    order = np.argsort(features[0], axis=1)
-    bucket, weight = np.take_along_axis(features[0], order, 1), np.take_along_axis(features[1], order, 1)
-    new = np.c_[np.ones(len(bucket), bool), bucket[:, 1:] != bucket[:, :-1]].ravel()
-    sums = np.add.reduceat(weight.ravel().astype(float), np.flatnonzero(new))
-    return np.sqrt(np.bincount(np.repeat(np.arange(len(bucket)), bucket.shape[1])[new], sums**2, len(bucket)))
+    out = []
+    for k in range(0, len(features[0]), 1024):
+        bucket, weight = features[0][k : k + 1024], features[1][k : k + 1024]
+        order = np.argsort(bucket, axis=1)
+        bucket, weight = np.take_along_axis(bucket, order, 1), np.take_along_axis(weight, order, 1)
+        new = np.c_[np.ones(len(bucket), bool), bucket[:, 1:] != bucket[:, :-1]].ravel()
+        sums = np.add.reduceat(weight.ravel().astype(float), np.flatnonzero(new))
+        out.append(np.bincount(np.repeat(np.arange(len(bucket)), bucket.shape[1])[new], sums**2, len(bucket)))
+    return np.sqrt(np.concatenate(out))
 
 
 def _nystroem_machine(features: tuple[np.ndarray, np.ndarray], label: np.ndarray, norms: np.ndarray, chosen: np.ndarray) -> Model:
     """Squared-hinge machine on the Nyström features of the chosen landmarks, folded into bucket weights."""
-    values = np.stack([kernel(features, (features[0][c], features[1][c])) / norms[c] for c in chosen], axis=1)
+    values = np.empty((len(label), len(chosen)), np.float32)
+    for j, c in enumerate(chosen.tolist()):
+        values[:, j] = kernel(features, (features[0][c], features[1][c])) / norms[c]
     own = values[chosen] / norms[chosen][:, None]
     e, v = np.linalg.eigh((own + own.T) / 2)
     some = e > 1e-6 * e.max()
     root = v[:, some] / np.sqrt(e[some])
-    w = squared_hinge(values @ root, label, np.full(len(label), COST))
+    w = squared_hinge(values @ root.astype(np.float32), label, COST)
     table = np.zeros(1 << BITS, np.float64)
     for a, c in zip(root @ w[:-1], chosen, strict=True):
         np.add.at(table, features[0][c], a / norms[c] * features[1][c])
@@ -299,11 +327,13 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
     if not y.any() or y.all():
         return Model(None, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(11)
-    sym, at = symbols(texts)
+    parts = [symbols(texts[k : k + 100]) for k in range(0, len(texts), 100)]
+    sizes = np.cumsum([0] + [len(p) for p, _ in parts])
+    sym, at = np.concatenate([p for p, _ in parts]), np.concatenate([o + size for (_, o), size in zip(parts, sizes[:-1], strict=True)])
     spans = list(zip(at.tolist(), [*at[1:].tolist(), len(sym)], strict=True))
     start = lambda p: p - int(np.argmin(np.r_[sym[max(p - 2, 0) : p][::-1] > _EDGE, False]))  # noqa: E731  (two symbols earlier, inside the word)
-    good = np.array([start(p) for p in _telling_runs(sym, spans, y)])
-    bad = np.concatenate([rng.choice(np.r_[a, a + np.flatnonzero(sym[a:b])], CLEAN_SEGMENTS) for (a, b), t in zip(spans, y, strict=True) if not t])
+    good = np.array([start(p) for p in _telling_runs(sym, spans, y, rng)])
+    bad = np.concatenate([rng.choice(np.r_[a, a + np.flatnonzero(sym[a:b])], SEGMENTS) for (a, b), t in zip(spans, y, strict=True) if not t])
     mined = np.zeros(0, np.int64)
     positive = _segments(sym, good)
     positive = np.concatenate([positive, _disturbed(positive, rng, False), _disturbed(positive[::2], rng, True)])
@@ -321,9 +351,9 @@ def fit(texts: list[str], toxic: list[bool]) -> Model:
         for (a, b), t in zip(spans, y, strict=True):
             if not t:
                 peaks = [a + p for p in _peaks(value[a:b], -model.bias - 0.5)]
-                worst += sorted(peaks, key=lambda p: -value[p])[:CLEAN_SEGMENTS]
+                worst += sorted(peaks, key=lambda p: -value[p])[:SEGMENTS]
         mined = np.unique(np.r_[mined, worst].astype(np.int64))
-    found = model.decisions(sym, at)
+    found = np.concatenate([model.decisions(*p) for p in parts])
     alone = found[y]
     alone[:, 1:] = np.median(found[~y][:, 1:], axis=0)  # the same toxic texts with their strongest segment only
     model.curve = logistic(np.concatenate([found, alone]), np.r_[y, np.ones(len(alone))], np.r_[np.ones(len(y)), np.full(len(alone), ALONE)])

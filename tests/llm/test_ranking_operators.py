@@ -173,7 +173,7 @@ def test_folded_weights_equal_the_machine_on_landmarks():
     values = np.stack([toxicity.kernel(f, (f[0][c], f[1][c])) / norms[c] for c in chosen], axis=1)
     e, v = np.linalg.eigh(values[chosen] / norms[chosen][:, None])
     root = v[:, e > 1e-6 * e.max()] / np.sqrt(e[e > 1e-6 * e.max()])
-    w = toxicity.squared_hinge(values @ root, label, np.full(len(label), toxicity.COST))
+    w = toxicity.squared_hinge(values @ root, label, toxicity.COST)
     assert np.allclose((model.table[f[0]] * f[1]).sum(axis=1) + model.bias, values @ root @ w[:-1] + w[-1], atol=1e-2)
 
 
