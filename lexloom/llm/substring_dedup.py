@@ -18,8 +18,8 @@ hashes of what they stand for, so equal passages get equal symbols except near t
    the smallest document of each is found.  A Bloom filter of the repeated ones (sent to every executor while it is small)
    keeps the others where they are.  A window in a larger document loses its words.
 
-Words are told apart by 64-bit hashes, symbols of regions by 128 bits and windows by 96 bits made of these, whole texts and
-the symbols of step 1 by 63.  Null or empty text: no words, nothing
+Words are told apart by 64-bit hashes, symbols of regions by 128 bits, windows by 96 bits and whole texts by 126 bits (a
+cryptographic digest) made of these; the symbols of step 1, which delete nothing by themselves, by 63.  Null or empty text: no words, nothing
 removed.  A null id never matches and is returned unchanged.  Repeated rows with one id count as one document; each row is
 cleaned by itself.  Texts of any length are worked on whole; their regions travel as rows of REGION_WORDS words at most.
 """
@@ -107,15 +107,12 @@ class _Parsed:
         return np.r_[names[useful], whole] & ~_U(1), np.r_[first[useful], bare], np.r_[last[useful], bare]
 
     def largest(self) -> np.ndarray:
-        """The symbol of each text as a whole (odd, unlike the others); 0 for a text without a window."""
+        """Two symbols of each text as a whole, halves of a BLAKE2 digest of its word sequence (odd, unlike the others); 0 for a text without a window."""
         size = np.diff(self.offsets)
-        out = np.zeros(len(size), np.uint64)
-        some = np.flatnonzero(size >= self.width)
-        if len(some):
-            power, inverse = tb.powers(2, len(self.symbols) + 1)
-            sums = np.r_[_U(0), np.cumsum(self.symbols * power[: len(self.symbols)])]
-            a, b = self.offsets[some], self.offsets[some + 1]
-            out[some] = tb.mix((sums[b] - sums[a]) * inverse[a] + size[some].astype(np.uint64)) | _U(1)
+        out = np.zeros((2, len(size)), np.uint64)
+        for k in np.flatnonzero(size >= self.width).tolist():
+            said = hashlib.blake2b(self.symbols[self.offsets[k] : self.offsets[k + 1]].tobytes(), digest_size=16).digest()
+            out[:, k] = np.frombuffer(said, np.uint64) | _U(1)
         return out
 
 
@@ -183,9 +180,9 @@ def _reveal(width: int):
                 doc = _Parsed(raw, at, width)
                 key, _, last = doc.keys()
                 whole = doc.largest()
-                own = np.flatnonzero(whole)
+                own = np.flatnonzero(whole[0])
                 if len(key):
-                    both = np.unique(np.rec.fromarrays([np.r_[key, whole[own]], np.r_[doc.row[last], own]]))
+                    both = np.unique(np.rec.fromarrays([np.r_[key, whole[0, own], whole[1, own]], np.r_[doc.row[last], own, own]]))
                     yield _flat(ids[lo + both.f1], both.f0)
 
     return run
@@ -205,7 +202,7 @@ def _regions(width: int):
                 doc = _Parsed(raw, at, width)
                 key, first, last = doc.keys()
                 whole = doc.largest().view(np.int64)
-                copied = np.array([len(copies[lo + k]) > 0 and bool(np.isin(whole[k], copies[lo + k].values.to_numpy(zero_copy_only=False))) for k in range(hi - lo)], bool)
+                copied = np.array([len(copies[lo + k]) > 0 and bool(np.isin(whole[:, k], copies[lo + k].values.to_numpy(zero_copy_only=False)).all()) for k in range(hi - lo)], bool)
                 k = np.flatnonzero(copied)
                 if len(k):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[lo + k]), pa.array(keys[lo + k]), pa.array(np.zeros(len(k), np.int32)), pa.nulls(len(k), pa.list_(pa.int64())), pa.array(np.diff(doc.offsets)[k].astype(np.int32))], ["doc_id", "text_key", "first", "words", "covered"])

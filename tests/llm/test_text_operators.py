@@ -246,3 +246,26 @@ def test_bloom_filters_hold_what_two_tasks_saw(spark):
     for r in late:
         groups[tuple(tuple(x) for x in r["late"])].add(r["doc_id"])
     assert len(groups) == 1
+
+
+def test_substring_dedup_of_structured_texts(spark):
+    """Texts that share no window but on which polynomial hashes modulo 2^64 agree."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    text = lambda flip: " ".join(f"{'ab'[b ^ flip]}q f{i}" for i, b in enumerate(bits))
+    rows = [(0, text(0)), (1, text(1)), (2, text(1)), (3, " ".join("ab"[b] for b in bits)), (4, " ".join("ab"[1 - b] for b in bits))]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen, want = set(), {}
+    for i, t in rows:
+        ws = t.split(" ")
+        windows = [" ".join(ws[k : k + 50]) for k in range(len(ws) - 49)]
+        gone = {p for k, w in enumerate(windows) if w in seen for p in range(k, k + 50)}
+        want[i] = len(gone)
+        seen |= set(windows)
+    assert got == want and want[1] == 0 and want[2] == 4096
+
+
+def test_contamination_of_a_repetitive_text(spark):
+    docs = spark.createDataFrame([(1, "la " * 20_000), (2, "la lo " * 6000), (3, "la " * 9 + "lo")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, "la " * 200), (6, "la lo " * 60)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in contamination(docs, items).collect()}
+    assert got == {1: [5], 2: [6], 3: []}
