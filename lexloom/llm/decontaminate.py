@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from lexloom.llm.shared import join_small, pick, settle, small_enough
 
 WIDTH, SHARE = 8, 0.5
+#: Benchmark windows that may be broadcast (some 300 bytes each).
+WINDOW_ROWS = 100_000
 #: Words that count as units after a number.
 UNITS = "km kg cm mm mg ml km/h mph lb lbs oz mi ft yd in m g l s min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees meter meters metre metres mile miles liter liters litre litres gram grams".split()
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$"
@@ -123,18 +125,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
         found = own if found is None else found.union(own)
     found = settle(found, "hits")
 
-    hits = found.join(windows, ["h", "w", "exact"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "w", "exact", "item_id", "length", "bpos", "kinds", "bwords", "bvals")).alias("hits"))
     some = join_small(texts, found.select("doc_id").distinct(), ["doc_id"], "left_semi")
     words = settle(some.select("doc_id", canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw")), "texts-with-hits")
-    both = _tokens(words).join(hits, "doc_id")
-
-    def slots(x: Column) -> Column:
-        zipped = F.arrays_zip(x["kinds"].alias("kind"), x["bvals"].alias("b"), F.slice(F.col("vals"), x["pos"] + 1, x["w"]).alias("d"))
-        used = F.filter(zipped, lambda z: z["kind"].startswith("<") & ~x["exact"])
-        return F.transform(used, lambda z: F.struct(z["b"].alias("b"), z["d"].alias("d")))
-
-    true = F.filter("hits", lambda x: F.slice(F.when(x["exact"], F.col("low")).otherwise(F.col("canon")), x["pos"] + 1, x["w"]) == x["bwords"])
-    checked = both.select("doc_id", F.explode(F.transform(true, lambda x: F.struct(x["item_id"].alias("item_id"), x["length"].alias("length"), x["bpos"].alias("bpos"), x["exact"].alias("exact"), (x["pos"] - x["bpos"]).alias("line"), slots(x).alias("slots")))).alias("x"))
+    places = found.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "w", "exact", "h")).alias("places"))  # positions of the text, never positions x windows
+    here = lambda c, x: F.slice(c, x["pos"] + 1, x["w"])
+    cells = lambda x: F.struct(x["pos"].alias("pos"), x["w"].alias("w"), x["exact"].alias("exact"), x["h"].alias("h"), here(F.when(x["exact"], F.col("low")).otherwise(F.col("canon")), x).alias("words"), F.when(~x["exact"], here(F.col("vals"), x)).alias("dvals"))
+    each = settle(_tokens(words).join(places, "doc_id").select("doc_id", F.explode(F.transform("places", cells)).alias("x")).select("doc_id", "x.*"), "windows-with-hits")
+    hits = each.join(F.broadcast(windows) if small_enough(windows, WINDOW_ROWS) else windows, ["h", "w", "exact"]).where("words = bwords")
+    used = F.filter(F.arrays_zip(F.col("kinds").alias("kind"), F.col("bvals").alias("b"), F.col("dvals").alias("d")), lambda z: z["kind"].startswith("<") & ~F.col("exact"))
+    slots = F.transform(used, lambda z: F.struct(z["b"].alias("b"), z["d"].alias("d")))
+    checked = hits.select("doc_id", F.struct("item_id", "length", "bpos", "exact", (F.col("pos") - F.col("bpos")).alias("line"), slots.alias("slots")).alias("x"))
     pairs = F.array_distinct(F.flatten(F.collect_list("x.slots")))
     lines = checked.groupBy("doc_id", "x.item_id", "x.line").agg(F.max("x.length").alias("length"), F.collect_set(F.struct("x.bpos", "x.exact")).alias("hits"), pairs.alias("pairs"))
     lines = settle(lines.where(_agree(F.col("pairs"))).withColumn("n", F.size("hits")), "alignments")
