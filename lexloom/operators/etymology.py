@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import let
 from lexloom.operators import roots
 from lexloom.operators.stages import settle
-from lexloom.sources.markup import first_text, inside, shred, with_class, with_tag
+from lexloom.sources.markup import below, first_text, inside, shred, with_class, with_tag
 
 HAN = "[一-鿿]"
 QUOTES = '["“”]'
@@ -93,7 +93,7 @@ def tree_components(pages: DataFrame) -> DataFrame:
     """word, level1, level2 (arrays of components), own (text of the page's root section): one row an etymology block with a tree, in order.  pages: page, html."""
     df = settle(shred(pages.select("page", "html"), "html"), "trees")
     blocks = df.select("page", "nodes", F.explode(with_class(F.col("nodes"), "etymology")).alias("b"))
-    blocks = blocks.select("page", F.col("b.i").alias("at"), F.filter("nodes", lambda n: F.array_contains(n["up"], F.col("b.i"))).alias("own"))
+    blocks = blocks.select("page", F.col("b.i").alias("at"), below(F.col("nodes"), F.col("b")).alias("own"))
     own = F.col("own")
     tree = F.filter(own, lambda n: F.exists(n["cls"], lambda c: c.contains("treePart")))
     level = lambda k: F.filter(tree, lambda n: F.exists(n["cls"], lambda c: c.contains(f"etymology_{k}")))
@@ -102,14 +102,14 @@ def tree_components(pages: DataFrame) -> DataFrame:
         """Roots, then affixes, of each part in turn; the word itself is none."""
 
         def of(part: Column) -> Column:
-            inner = F.filter(with_tag(own, "span"), lambda n: F.array_contains(n["up"], part["i"]))
+            inner = with_tag(below(own, part), "span")
             told = lambda name: F.filter(F.transform(with_class(inner, name), lambda n: F.trim(n["text"])), lambda t: t != "")
             return F.concat(F.filter(told("rootWord"), lambda t: F.lower(t) != word), told("affixWord"))
 
         return F.flatten(F.transform(parts, of))
 
-    head = F.filter(with_class(own, "rootWord"), lambda n: F.exists(level(0), lambda p: F.array_contains(n["up"], p["i"])))
-    sections = F.filter(with_class(own, "wordSection"), lambda s: F.exists(with_class(own, "title"), lambda t: F.array_contains(t["up"], s["i"]) & t["text"].contains("词根词缀")))
+    head = inside(with_class(own, "rootWord"), level(0))
+    sections = F.filter(with_class(own, "wordSection"), lambda s: F.exists(with_class(below(own, s), "title"), lambda t: t["text"].contains("词根词缀")))
     section = F.slice(sections, 1, 1)
     blocks = blocks.withColumn("word", F.lower(F.trim(first_text(head)))).withColumn("section", first_text(inside(with_class(own, "sectionCont"), section)))
     word = F.col("word")

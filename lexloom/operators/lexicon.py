@@ -178,10 +178,11 @@ def missing_targets(edges: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def propagate_families(entries: DataFrame) -> DataFrame:
-    """word, ord, family: a word without a family takes that of the first owner that lists it.  family: array of words."""
-    owners = entries.where("size(family) > 0").select("family", "ord", F.explode("family").alias("member"))
-    first = owners.groupBy(F.lower("member").alias("k")).agg(F.min_by("family", "ord").alias("given"))
-    return entries.join(first, F.lower("word") == first["k"], "left").select("word", "ord", F.when(F.size("family") > 0, F.col("family")).otherwise(F.col("given")).alias("family"))
+    """The entries; a word without a family takes that of the first owner (by `ord`) that lists it.  entries: word, ord, family (array of structs with `word`) and any more."""
+    owners = entries.where("size(family) > 0").select(F.col("family").alias("__given"), F.col("ord").alias("__ord"), F.explode("family.word").alias("__member"))
+    first = owners.groupBy(F.lower("__member").alias("__k")).agg(F.min_by("__given", "__ord").alias("__given"))
+    family = F.when(F.size("family") > 0, F.col("family")).otherwise(F.coalesce("__given", "family"))
+    return entries.join(first, F.lower("word") == F.col("__k"), "left").withColumn("family", family).select(*entries.columns)
 
 
 def stripped_parents(words: DataFrame, keys: DataFrame) -> DataFrame:

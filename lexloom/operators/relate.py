@@ -12,7 +12,10 @@ from lexloom.operators import lexicon
 from lexloom.operators.stages import settle
 
 EDGE = "struct<type:string,target:string,label:string,direction:string,navigable:boolean,display:string,source:string,pos_scope:array<string>,primary:boolean>"
-COLUMNS = ["word", "pos", "translation", "exchange", "entry_kind", "display_word", "linked_word", "relations"]
+OWN = ["pos", "translation", "exchange"]
+#: What an entry may have beside these; the build carries along those that the given entries have.
+WIDE = ["phonetic", "phonetic_us", "parts", "details", "verb_forms", "family", "phrasal_verbs"]
+RELATED = ["entry_kind", "display_word", "linked_word", "relations"]
 ROOT_LABEL = "原形"
 
 
@@ -25,18 +28,38 @@ def edge(kind: str, target: Column, label: Column, display: str = "exchange", so
     )
 
 
-def narrowed(labels: Column, pos: Column, translation: Column, exchange: Column) -> dict[str, Column]:
-    """pos, translation and exchange with only what the comma-joined labels allow; unknown labels change nothing.
+def carried(entries: DataFrame) -> list[str]:
+    return [*OWN, *[c for c in WIDE if c in entries.columns]]
 
-    A line of the translation is judged by its first part of speech; lines without one go.
+
+def narrowed(labels: Column, entry: dict[str, Column]) -> dict[str, Column]:
+    """The entry's columns with only what the comma-joined labels allow; unknown labels change nothing.
+
+    A line of the translation is judged by its first part of speech; lines without one go.  Parts and details go by their own
+    part of speech, those left without meanings too, and details lose entries without text.  Sound, verb forms, family and
+    phrasal verbs stay as they are.
     """
     allowed = allowed_pos(labels)
     known = F.size(allowed) > 0
     slots = F.transform(F.split(labels, ","), lambda x: F.element_at(literal_map({v: k for k, v in SLOT_LABELS.items()}), x))
-    kept_pos = F.array_join(F.filter(F.split(pos, "/"), lambda p: F.array_contains(allowed, F.substring_index(p, ":", 1))), "/")
-    lines = F.array_join(F.filter(F.split(translation, "\n"), lambda x: F.array_contains(allowed, F.regexp_extract(x, r"^([a-z]+)\.\s*.+$", 1))), "\n")
-    forms = F.when(F.exists(slots, lambda s: s.isNull()), exchange).otherwise(serialise(F.filter(slot_forms(exchange), lambda p: F.array_contains(slots, p["slot"]))))
-    return {"pos": F.when(known, kept_pos).otherwise(pos), "translation": F.when(known, lines).otherwise(translation), "exchange": F.when(known, forms).otherwise(exchange)}
+    pos, translation, exchange = (entry[c] for c in OWN)
+    cut = {
+        "pos": F.array_join(F.filter(F.split(pos, "/"), lambda p: F.array_contains(allowed, F.substring_index(p, ":", 1))), "/"),
+        "translation": F.array_join(F.filter(F.split(translation, "\n"), lambda x: F.array_contains(allowed, F.regexp_extract(x, r"^([a-z]+)\.\s*.+$", 1))), "\n"),
+        "exchange": F.when(F.exists(slots, lambda s: s.isNull()), exchange).otherwise(serialise(F.filter(slot_forms(exchange), lambda p: F.array_contains(slots, p["slot"])))),
+    }
+    of = lambda p: F.array_contains(allowed, F.regexp_replace(F.coalesce(p["pos"], F.lit("")), r"\.+$", ""))
+    if "parts" in entry:
+        cut["parts"] = F.filter(entry["parts"], lambda p: of(p) & (F.size(p["meanings"]) > 0))
+    if "details" in entry:
+        told = F.filter(entry["details"], lambda p: of(p) & (F.size(p["details"]) > 0))
+        cut["details"] = F.transform(told, lambda p: F.struct(p["pos"].alias("pos"), F.filter(p["details"], lambda d: F.coalesce(d["text"], F.lit("")) != "").alias("details")))
+    return {name: F.when(known, cut[name]).otherwise(column) if name in cut else column for name, column in entry.items()}
+
+
+def _without_phrases(columns: dict[str, Column]) -> dict[str, Column]:
+    """An inflection carries no phrasal verbs (an alias does)."""
+    return {name: F.slice(c, 1, 0) if name == "phrasal_verbs" else c for name, c in columns.items()}
 
 
 def _words(entries: DataFrame, key: str, name: str) -> DataFrame:
@@ -63,7 +86,8 @@ def standalone_relations(entries: DataFrame, edges: DataFrame, parents: DataFram
 
 def link_entries(links: DataFrame, entries: DataFrame, parents: DataFrame) -> DataFrame:
     """An entry for each resolved link whose word has none and whose target has one: an inflection of its parents, or an alias.  links: word, target (the first of equal lower-case words by `ord`)."""
-    known = entries.select(F.lower("word").alias("key"), F.struct("word", "pos", "translation", "exchange").alias("target_entry"))
+    wide = carried(entries)
+    known = entries.select(F.lower("word").alias("key"), F.struct("word", *wide).alias("target_entry"))
     first = links.groupBy(F.lower("word").alias("form")).agg(F.min_by(F.struct("word", "target"), "ord").alias("l"))
     first = first.join(known.select(F.col("key").alias("form")), "form", "left_anti").select("form", "l.word", F.lower("l.target").alias("key")).join(known, "key")
     listed = lexicon.ranked_parents(parents).join(_words(entries, "base", "base_word"), "base", "left")
@@ -83,16 +107,19 @@ def link_entries(links: DataFrame, entries: DataFrame, parents: DataFrame) -> Da
     each = F.transform("parents", lambda p: edge("origin", p["word"], p["label"], primary=p["place"] == 1))
     one = F.array(edge("origin", F.col("parent"), F.coalesce("label", F.lit(ROOT_LABEL)), primary=F.lit(True)))
     relations = F.when(F.col("count") > 1, each).when(F.col("parent").isNotNull(), one).otherwise(F.slice(one, 1, 0))
-    cut = narrowed(F.coalesce("label", F.lit("")), F.col("source.pos"), F.col("source.translation"), F.col("source.exchange"))
-    return df.select("word", *[c.alias(n) for n, c in cut.items()], F.when(F.col("parent").isNotNull(), "inflection").otherwise("alias").alias("entry_kind"), F.col("shown").alias("display_word"), F.col("target_entry.word").alias("linked_word"), relations.alias("relations"))
+    cut = narrowed(F.coalesce("label", F.lit("")), {c: F.col("source")[c] for c in wide})
+    bare = _without_phrases(cut)
+    shown_columns = [F.when(F.col("parent").isNotNull(), bare[n]).otherwise(c).alias(n) if n == "phrasal_verbs" else c.alias(n) for n, c in cut.items()]
+    return df.select("word", *shown_columns, F.when(F.col("parent").isNotNull(), "inflection").otherwise("alias").alias("entry_kind"), F.col("shown").alias("display_word"), F.col("target_entry.word").alias("linked_word"), relations.alias("relations"))
 
 
 def materialised(standalone: DataFrame, known: DataFrame) -> DataFrame:
     """An inflection entry, cut from its owner, for each outgoing inflection without an entry; the first owner (by `ord`) wins."""
-    each = standalone.select("ord", "word", "pos", "translation", "exchange", F.posexplode("relations").alias("i", "r")).where("r.type = 'inflection' AND r.direction = 'outgoing'")
+    wide = carried(standalone)
+    each = standalone.select("ord", "word", *wide, F.posexplode("relations").alias("i", "r")).where("r.type = 'inflection' AND r.direction = 'outgoing'")
     each = each.withColumn("form", F.lower("r.target")).join(known.select(F.lower("word").alias("form")).distinct(), "form", "left_anti")
-    first = each.groupBy("form").agg(F.min_by(F.struct("word", "pos", "translation", "exchange", "r.target", "r.label"), F.struct("ord", "i")).alias("o")).select("o.*")
-    cut = narrowed(F.col("label"), F.col("pos"), F.col("translation"), F.col("exchange"))
+    first = each.groupBy("form").agg(F.min_by(F.struct("word", *wide, "r.target", "r.label"), F.struct("ord", "i")).alias("o")).select("o.*")
+    cut = _without_phrases(narrowed(F.col("label"), {c: F.col(c) for c in wide}))
     origin = F.array(edge("origin", F.col("word"), F.col("label"), primary=F.lit(True)))
     return first.select(F.col("target").alias("word"), *[c.alias(n) for n, c in cut.items()], F.lit("inflection").alias("entry_kind"), F.col("word").alias("display_word"), F.col("word").alias("linked_word"), origin.alias("relations"))
 
@@ -108,24 +135,21 @@ def materialised_minimal(entries: DataFrame) -> DataFrame:
     return first.select(F.col("target").alias("word"), F.lit("inflection").alias("entry_kind"), F.coalesce("phonetic", empty).alias("phonetic"), F.coalesce("phonetic_us", empty).alias("phonetic_us"), told.alias("translation"), "pos", empty.alias("exchange"), F.col("word").alias("linked_word"), F.array(edge("origin", F.col("word"), F.lit(ROOT_LABEL), primary=F.lit(True))).alias("relations"))
 
 
-def without_phrasal_verbs(entries: DataFrame) -> DataFrame:
-    """Derived entries carry no phrasal verbs."""
-    return entries.withColumn("phrasal_verbs", F.slice("phrasal_verbs", 1, 0))
-
-
 def final_entries(entries: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """All entries with kind, display word and relations.  entries: word, pos, translation, exchange, ord; links: word, target, ord."""
+    """All entries with kind, display word and relations.  entries: word, pos, translation, exchange, ord and any of WIDE; links: word, target, ord."""
+    wide = carried(entries)
     rows = settle(lexicon.inflection_rows(entries), "inflections")
     edges, parents = lexicon.edges_of(rows), settle(lexicon.parents_of(rows), "parents")
     told = standalone_relations(entries, edges, parents)
     none = F.array().cast(f"array<{EDGE}>")
-    own = entries.join(told, F.lower("word") == F.col("owner"), "left").select("ord", "word", "pos", "translation", "exchange", F.lit("standalone").alias("entry_kind"), F.col("word").alias("display_word"), F.lit(None).cast("string").alias("linked_word"), F.coalesce("relations", none).alias("relations"))
+    own = entries.join(told, F.lower("word") == F.col("owner"), "left").select("ord", "word", *wide, F.lit("standalone").alias("entry_kind"), F.col("word").alias("display_word"), F.lit(None).cast("string").alias("linked_word"), F.coalesce("relations", none).alias("relations"))
     own = settle(own, "standalone")
-    known, out = own.select("word"), own.select(*COLUMNS)
+    columns = ["word", *wide, *RELATED]
+    known, out = own.select("word"), own.select(*columns)
     if links is not None:
         linked = settle(link_entries(links, entries, parents), "link-entries")
-        known, out = known.unionByName(linked.select("word")), out.unionByName(linked.select(*COLUMNS))
-    return out.unionByName(materialised(own, known).select(*COLUMNS))
+        known, out = known.unionByName(linked.select("word")), out.unionByName(linked.select(*columns))
+    return out.unionByName(materialised(own, known).select(*columns))
 
 
 def dangling(entries: DataFrame) -> DataFrame:

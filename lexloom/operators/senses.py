@@ -12,7 +12,7 @@ from lexloom.functions.text import display, let
 from lexloom.operators.fragments import meaning_items
 from lexloom.operators.stages import settle
 from lexloom.operators.views import distinct_by, share_by_pos
-from lexloom.sources.markup import first_text, inside, outside, shred, texts, with_class, with_tag
+from lexloom.sources.markup import below, first_text, inside, outside, shred, texts, with_class, with_tag
 
 # Verb form names of the markup with their slots and labels.
 FORM_SLOTS = {"thirdps": "3", "past": "p", "pastpart": "d", "ptpp": "d", "prespart": "i"}
@@ -33,25 +33,21 @@ def core_senses(nodes: Column, fall_back: bool = True) -> Column:
     return F.when(F.size(core) > 0, core).otherwise(every) if fall_back else core
 
 
-def _below(nodes: Column, node: Column) -> Column:
-    return F.filter(nodes, lambda n: F.array_contains(n["up"], node["i"]))
-
-
 def qualifier(nodes: Column, sense: Column) -> Column:
-    own = _below(nodes, sense)
+    own = below(nodes, sense)
     said = F.transform(inside(with_tag(own, "chn"), with_class(own, "dis-g")), lambda n: display(n["text"]))
     return F.array_join(F.array_distinct(F.filter(said, lambda x: x != "")), ",")
 
 
 def countability(nodes: Column, sense: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(F.array_join(texts(with_class(_below(nodes, sense), "grammar")), " ")), F.lit("[a-z]+"), 0)
+    words = F.regexp_extract_all(F.lower(F.array_join(texts(with_class(below(nodes, sense), "grammar")), " ")), F.lit("[a-z]+"), 0)
     yes, no = F.array_contains(words, "countable"), F.array_contains(words, "uncountable")
     return F.when(yes & no, "both").when(yes, "countable").when(no, "uncountable")
 
 
 def sense_text(nodes: Column, sense: Column) -> Column:
     """First Chinese text of the definition; old-fashioned senses say so at the end."""
-    own = _below(nodes, sense)
+    own = below(nodes, sense)
     text = display(first_text(inside(with_tag(own, "chn"), with_tag(own, "deft"))))
     labels = F.lower(F.array_join(texts(inside(with_class(own, "lb"), with_class(own, "labels"))), " "))
     return F.when((text != "") & labels.rlike("old-fashioned|老式用法"), F.concat(text, F.lit(" [老式用法]"))).otherwise(text)
@@ -60,7 +56,7 @@ def sense_text(nodes: Column, sense: Column) -> Column:
 def reference_text(nodes: Column) -> Column:
     """`X 的过去式` and the like, for an entry whose only content is a cross-reference; empty if there is none."""
     xref = F.try_element_at(with_class(nodes, "xrefs"), F.lit(1))
-    word = first_text(with_class(_below(nodes, xref), "xh"))
+    word = first_text(with_class(below(nodes, xref), "xh"))
     kind = F.element_at(literal_map(REFERENCES), F.element_at(xref["attrs"], "xt"))
     return F.coalesce(F.when(word != "", F.concat(word, F.lit(" 的"), kind)), F.lit(""))
 
@@ -71,16 +67,16 @@ def exchange(nodes: Column) -> Column:
     rows = F.filter(inside(with_tag(nodes, "tr"), table), lambda r: F.element_at(r["attrs"], "form").isin(*FORM_SLOTS))
 
     def told(r: Column) -> Column:
-        own = _below(nodes, r)
+        own = below(nodes, r)
         cell = F.try_element_at(with_tag(own, "td"), F.lit(1))
-        prefix = first_text(with_class(_below(nodes, cell), "vf_prefix"))
+        prefix = first_text(with_class(below(nodes, cell), "vf_prefix"))
         return F.struct(F.element_at(literal_map(FORM_SLOTS), F.element_at(r["attrs"], "form")).alias("slot"), F.trim(F.when(cell["text"].startswith(prefix), F.substring(cell["text"], F.length(prefix) + 1, F.length(cell["text"]))).otherwise(cell["text"])).alias("form"))
 
     verbs = F.filter(F.transform(rows, told), lambda x: ~((x["slot"] == "3") & x["form"].endswith("ing")))
     low = F.transform(verbs, lambda x: F.lower(x["form"]))
 
     def block(b: Column) -> Column:
-        forms = F.filter(texts(with_class(_below(nodes, b), "inflected_form")), lambda t: t != "")
+        forms = F.filter(texts(with_class(below(nodes, b), "inflected_form")), lambda t: t != "")
         kept = F.filter(forms, lambda t: F.lower(b["text"]).contains("plural") | ~F.array_contains(low, F.lower(t)))
         return F.transform(kept, lambda t: F.struct(F.lit("s").alias("slot"), t.alias("form")))
 
@@ -90,12 +86,12 @@ def exchange(nodes: Column) -> Column:
 
 def verb_forms(nodes: Column) -> Column:
     """Array of (form, label, subject, word, phonetic) of the verb table; equal form, label, subject and word once."""
-    rows = F.filter(inside(with_tag(nodes, "tr"), with_class(nodes, "verb_forms_table")), lambda r: F.exists(nodes, lambda n: (n["tag"] == "td") & F.array_contains(n["up"], r["i"])))
+    rows = F.filter(inside(with_tag(nodes, "tr"), with_class(nodes, "verb_forms_table")), lambda r: F.exists(below(nodes, r), lambda n: n["tag"] == "td"))
 
     def told(r: Column) -> Column:
-        own, form = _below(nodes, r), F.element_at(r["attrs"], "form")
+        own, form = below(nodes, r), F.element_at(r["attrs"], "form")
         cell = F.try_element_at(with_tag(own, "td"), F.lit(1))
-        prefix = first_text(with_class(_below(nodes, cell), "vf_prefix"))
+        prefix = first_text(with_class(below(nodes, cell), "vf_prefix"))
         word = F.when((prefix != "") & cell["text"].startswith(prefix), F.substring(cell["text"], F.length(prefix) + 1, F.length(cell["text"]))).otherwise(cell["text"])
         label = F.coalesce(F.element_at(literal_map(FORM_LABELS), form), display(r["text"]))
         return F.struct(form.alias("form"), label.alias("label"), F.nullif(display(prefix), F.lit("")).alias("subject"), display(word).alias("word"), F.nullif(F.replace(first_text(with_class(own, "phon")), F.lit("/"), F.lit("")), F.lit("")).alias("phonetic"))
@@ -111,7 +107,7 @@ def _family_boxes(nodes: Column) -> Column:
     """Marked boxes, else the innermost elements that say Word Family."""
     marked = F.filter(nodes, lambda n: F.arrays_overlap(n["cls"], F.array(F.lit("wordfamily"), F.lit("word_family"))) | (F.element_at(n["attrs"], "unbox") == "wordfamily"))
     says = F.filter(nodes, lambda n: n["text"].rlike(r"(?i)\bword family\b"))
-    inner = let(says, lambda all_: F.filter(all_, lambda n: ~F.exists(all_, lambda m: F.array_contains(m["up"], n["i"]))))
+    inner = let(says, lambda all_: F.filter(all_, lambda n: ~F.exists(all_, lambda m: (m["i"] > n["i"]) & (m["i"] <= n["last"]))))
     return F.filter(F.when(F.size(marked) > 0, marked).otherwise(inner), lambda n: F.lower(display(n["text"])).contains("word family"))
 
 
@@ -122,7 +118,7 @@ def word_family(nodes: Column) -> Column:
     """
 
     def listed(p: Column) -> Column:
-        own = _below(nodes, p)
+        own = below(nodes, p)
         said = F.try_element_at(with_class(own, "wfp"), F.lit(1))
         return F.struct(display(first_text(with_class(own, "wfw"))).alias("word"), family_pos(display(F.coalesce(F.nullif(F.element_at(said["attrs"], "wfp"), F.lit("")), said["text"], F.lit("")))).alias("pos"))
 
@@ -134,7 +130,7 @@ def word_family(nodes: Column) -> Column:
         return F.struct(word.alias("word"), F.when(near.isin(*set(FAMILY_POS.values())), near).otherwise(family_pos(F.coalesce(found, F.lit("")))).alias("pos"))
 
     def of(box: Column) -> Column:
-        own = _below(nodes, box)
+        own = below(nodes, box)
         items = F.filter(F.transform(with_class(own, "p"), listed), lambda x: (x["word"] != "") & (x["pos"] != ""))
         link = lambda n: F.arrays_overlap(n["cls"], F.array(F.lit("w"), F.lit("xh"), F.lit("headword"))) | ((n["tag"] == "a") & F.coalesce(F.element_at(n["attrs"], "href").rlike("entry://|/definition/"), F.lit(False)))
         links = F.filter(F.transform(F.filter(own, link), linked), lambda x: (x["word"] != "") & (F.lower(x["word"]) != "word family") & (x["pos"] != ""))
@@ -169,7 +165,7 @@ def audio(nodes: Column) -> Column:
 
 def idioms(nodes: Column) -> Column:
     groups = inside(with_class(nodes, "idm-g"), with_class(nodes, "idioms"))
-    said = F.transform(groups, lambda g: F.regexp_replace(first_text(with_class(_below(nodes, g), "idm")), r"\s*\|\s*", " | "))
+    said = F.transform(groups, lambda g: F.regexp_replace(first_text(with_class(below(nodes, g), "idm")), r"\s*\|\s*", " | "))
     return F.array_distinct(F.filter(said, lambda x: x != ""))
 
 
@@ -187,7 +183,7 @@ def english_definitions(entries: DataFrame, entry_class: str = "entry") -> DataF
     """key, definition: English definitions of the core senses, a line for each part of speech.  entries: key, nodes."""
     roots = _roots(entries, entry_class)
     own = F.col("own")
-    said = F.filter(F.transform(core_senses(own, False), lambda s: display(first_text(with_class(_below(own, s), "def")))), lambda x: x != "")
+    said = F.filter(F.transform(core_senses(own, False), lambda s: display(first_text(with_class(below(own, s), "def")))), lambda x: x != "")
     return _lines_by_pos(roots.select("key", "pos", "at", said.alias("said")), ", ", lambda x: x).withColumnRenamed("line", "definition")
 
 
@@ -215,7 +211,7 @@ def wide_rows(lookup: DataFrame, entry_class: str = "entry") -> DataFrame:
     entries = settle(shred(lookup.select("key", "body", "ord"), "body"), "shredded")
     nodes, roots = F.col("nodes"), _roots(entries, entry_class)
     own = F.col("own")
-    first = F.filter(F.transform(core_senses(own, False), lambda s: F.trim(F.get(F.split(display(first_text(inside(with_tag(_below(own, s), "chn"), with_tag(_below(own, s), "deft")))), "[,;，；]"), F.lit(0)))), lambda x: x != "")
+    first = F.filter(F.transform(core_senses(own, False), lambda s: F.trim(F.get(F.split(display(first_text(inside(with_tag(below(own, s), "chn"), with_tag(below(own, s), "deft")))), "[,;，；]"), F.lit(0)))), lambda x: x != "")
     told = settle(roots.select("key", "pos", "at", first.alias("said")), "first-meanings")
     shares = told.select("key", "pos", "at", F.explode("said").alias("x"))
     pos = share_by_pos(shares.select("key", F.col("pos").alias("p"), "at"), "key", "p", "at")
@@ -240,7 +236,7 @@ def wide_rows(lookup: DataFrame, entry_class: str = "entry") -> DataFrame:
 def _roots(entries: DataFrame, entry_class: str) -> DataFrame:
     """key, nodes, root, own (nodes below the root), pos, at: entry roots with a valid part of speech."""
     roots = entries.select("key", "nodes", F.explode(with_class(F.col("nodes"), entry_class)).alias("root"))
-    roots = roots.withColumn("own", F.filter("nodes", lambda n: F.array_contains(n["up"], F.col("root.i")))).withColumn("pos", normal_pos(first_text(with_class(F.col("own"), "pos"))))
+    roots = roots.withColumn("own", below(F.col("nodes"), F.col("root"))).withColumn("pos", normal_pos(first_text(with_class(F.col("own"), "pos"))))
     return roots.where(valid_pos(F.col("pos"))).withColumn("at", F.col("root.i"))
 
 

@@ -1,6 +1,7 @@
 """Markup shredded once into a column of nodes; selectors are filters over it.
 
-A node has its number, tag, classes, attributes, whole text and the numbers of its ancestors.  `li`, `p`, `td`, `th`, `tr`
+A node has its number, the number of the last node below it, tag, classes, attributes, whole text and the numbers of its
+ancestors.  Nodes are numbered as they open, so what is below a node are the numbers from its own to its last: a slice.  `li`, `p`, `td`, `th`, `tr`
 and `option` end an open element of their kind; void elements have no content.
 """
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODES = "array<struct<i:int,tag:string,cls:array<string>,attrs:map<string,string>,text:string,up:array<int>>>"
+NODES = "array<struct<i:int,last:int,tag:string,cls:array<string>,attrs:map<string,string>,text:string,up:array<int>>>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
 
@@ -28,7 +29,9 @@ class _Shredder(HTMLParser):
         while self.open and tag in ENDS and self.nodes[self.open[-1]]["tag"] in ENDS[tag]:
             self.open.pop()
         have = {k: v or "" for k, v in attrs}
-        self.nodes.append({"i": len(self.nodes), "tag": tag, "cls": have.get("class", "").split(), "attrs": list(have.items()), "text": [], "up": list(self.open)})
+        for i in self.open:
+            self.nodes[i]["last"] = len(self.nodes)
+        self.nodes.append({"i": len(self.nodes), "last": len(self.nodes), "tag": tag, "cls": have.get("class", "").split(), "attrs": list(have.items()), "text": [], "up": list(self.open)})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -51,7 +54,7 @@ def nodes_of(body: str | None) -> list[dict]:
 
 
 def _shred(body: str):
-    kind = pa.list_(pa.struct([("i", pa.int32()), ("tag", pa.string()), ("cls", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("up", pa.list_(pa.int32()))]))
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("cls", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("up", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +80,22 @@ def with_tag(nodes: Column, name: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"] == name)
 
 
+def below(nodes: Column, node: Column) -> Column:
+    """The nodes below one; `nodes` are all of a page or all below some node, without a gap."""
+    return F.slice(nodes, node["i"] - F.get(nodes, F.lit(0))["i"] + 2, node["last"] - node["i"])
+
+
+def _in(node: Column, outer: Column) -> Column:
+    return F.exists(outer, lambda o: (node["i"] > o["i"]) & (node["i"] <= o["last"]))
+
+
 def inside(nodes: Column, outer: Column) -> Column:
     """Nodes below any of the outer nodes."""
-    return F.filter(nodes, lambda n: F.exists(outer, lambda o: F.array_contains(n["up"], o["i"])))
+    return F.filter(nodes, lambda n: _in(n, outer))
 
 
 def outside(nodes: Column, outer: Column) -> Column:
-    return F.filter(nodes, lambda n: ~F.exists(outer, lambda o: F.array_contains(n["up"], o["i"])))
+    return F.filter(nodes, lambda n: ~_in(n, outer))
 
 
 def first_text(nodes: Column) -> Column:
