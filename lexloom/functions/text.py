@@ -51,24 +51,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _bracketed(text: Column, delimiters: str) -> Column:
-    """Places (from 1) of the delimiters at bracket depth 0.  An unmatched closing bracket counts for nothing."""
-    first = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("cuts"))
+    """Pieces between the delimiters at bracket depth 0.  An unmatched closing bracket counts for nothing.
 
-    def step(s: Column, c: Column) -> Column:
-        depth = F.when(c.isin("(", "（"), s["depth"] + 1).when(c.isin(")", "）"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
-        cut = F.lit(delimiters).contains(c) & (s["depth"] == 0)
-        return F.struct((s["i"] + 1).alias("i"), depth.alias("depth"), F.when(cut, F.concat(s["cuts"], F.array(s["i"] + 1))).otherwise(s["cuts"]).alias("cuts"))
+    Walks over brackets, delimiters and the stretches between them, not over single characters.
+    """
+    first = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("done"))
 
-    return F.aggregate(F.split(text, ""), first, step, lambda s: s["cuts"])
+    def step(s: Column, t: Column) -> Column:
+        depth = F.when(t.isin("(", "（"), s["depth"] + 1).when(t.isin(")", "）"), F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        cut = t.isin(*delimiters) & (s["depth"] == 0)
+        ended = F.struct(depth.alias("depth"), F.lit("").alias("open"), F.concat(s["done"], F.array(s["open"])).alias("done"))
+        return F.when(cut, ended).otherwise(F.struct(depth.alias("depth"), F.concat(s["open"], t).alias("open"), s["done"].alias("done")))
+
+    marks = "()（）" + delimiters
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s)[{marks}]|[^{marks}]+"), 0)
+    return F.aggregate(stretches, first, step, lambda s: F.concat(s["done"], F.array(s["open"])))
 
 
 def split_outside_brackets(text: Column, delimiters: str = ",;，；") -> Column:
     """Pieces between delimiters at bracket depth 0, trimmed, empty ones dropped.  Only a text with brackets is walked through."""
 
-    def cut(t: Column) -> Column:
-        pieces = lambda cuts: F.zip_with(F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.length(t) + 1)), lambda a, b: F.substring(t, a + 1, b - a - 1))
-        return F.when(t.rlike("[()（）]"), let(_bracketed(t, delimiters), pieces)).otherwise(F.split(t, f"[{delimiters}]"))
-
+    cut = lambda t: F.when(t.rlike("[()（）]"), _bracketed(t, delimiters)).otherwise(F.split(t, f"[{delimiters}]"))
     return F.filter(F.transform(let(F.coalesce(text, F.lit("")), cut), _ends), lambda p: p != "")
 
 

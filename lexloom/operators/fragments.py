@@ -35,6 +35,21 @@ def unique_fragments(text: Column) -> Column:
     return let(keyed, merged)
 
 
+def fragment_rows(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, place, text, key: what unique_fragments gives, a row each; `place` is that of the piece among all pieces of its line.
+
+    For tables of lines: pieces are exploded once and aggregated by (line, key), so a line costs time in proportion to its
+    pieces.  Both `keys` have to tell the lines apart; null or empty lines have no row.  Rows move once, by `keys`.
+    """
+    pieces = lines.select(*keys, F.posexplode(F.transform(split_outside_brackets(F.col(text)), display)).alias("place", "text"))
+    keyed = pieces.withColumn("key", meaning_key(F.col("text"))).where("key <> ''").withColumn("long", F.col("text").rlike("[（(]") & (F.coalesce(F.array_max(bracket_han(F.col("text"))), F.lit(0)) > MOST_HAN))
+    first = keyed.repartition(*keys).groupBy(*keys, "key").agg(F.min("place").alias("place"), F.min_by("text", "place").alias("text"), F.count("*").alias("n"), F.max("long").alias("long"))
+    some = without_long_brackets(F.col("text"))
+    shown = F.when(F.col("n") > 1, F.trim(without_brackets(F.col("text")))).when(some == "", F.col("text")).otherwise(some)
+    told = first.withColumn("text", F.when(F.col("long"), shown).otherwise(F.col("text")))
+    return told.select(*keys, "place", "text", F.when(F.col("long"), meaning_key(F.col("text"))).otherwise(F.col("key")).alias("key"))
+
+
 def one_value(values: Column) -> Column:
     """The only distinct non-null value, else null."""
     distinct = F.array_distinct(F.array_compact(values))

@@ -239,18 +239,26 @@ frag AS (SELECT {keys}, key, j, CASE WHEN NOT long THEN x WHEN n > 1 THEN trim(r
   list_reduce(list_prepend(x, list_filter(regexp_extract_all(x, '[（(][^）)]*[）)]'), lambda y: length(regexp_replace(y, '[^一-鿿]', '', 'g')) > 7)), lambda t, y: replace(t, y, '')), ''), x) END AS x FROM uni)"""
 
 
+HAN_NOTES = ("（一二三四五六七）", "（一二三四五六七八）")
+
+
 @query(
-    f"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN replace(replace(line, 'th', '(th'), 'er', 'er)') ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+    f"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN replace(replace(line, 'th', '(th'), 'er', 'er)') WHEN i % 5 = 2 THEN replace(line, ',', '{HAN_NOTES[1]},') || ',走' || '{HAN_NOTES[1]}' WHEN i % 5 = 3 THEN line || '，' || replace(line, ',', '{HAN_NOTES[0]},')
+  WHEN i % 5 = 4 THEN line || ';' || line || '{HAN_NOTES[1]}' ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
 {fragments_sql("l", "doc_id, i")}
 SELECT doc_id, i::INT AS i, count(*)::INT AS n, md5(string_agg(x, '|' ORDER BY j)) AS fragments FROM frag GROUP BY doc_id, i"""
 )
 def meaning_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of all lines of the documents; in every third line pieces are bracketed, unbalanced and nested as they come."""
+    """Fragments of all lines of the documents; pieces are bracketed, unbalanced and nested as they come, noted with seven or eight Han characters, or met twice, with and without a note."""
     lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    short, long_ = map(F.lit, HAN_NOTES)
+    line, noted = F.col("line"), lambda note: F.replace("line", F.lit(","), F.concat(note, F.lit(",")))
     marked = F.replace(F.replace("line", F.lit("th"), F.lit("(th")), F.lit("er"), F.lit("er)"))
-    lines = lines.select("doc_id", "i", F.when(F.col("i") % 3 == 1, marked).otherwise(F.col("line")).alias("line"))
-    df = lines.select("doc_id", "i", fragments.unique_fragments(F.col("line")).alias("f")).where(F.size("f") > 0)
-    return df.select("doc_id", "i", F.size("f").alias("n"), F.md5(F.array_join("f.text", "|").cast("binary")).alias("fragments"))
+    made = F.when(F.col("i") % 3 == 1, marked).when(F.col("i") % 5 == 2, F.concat(noted(long_), F.lit(",走"), long_)).when(F.col("i") % 5 == 3, F.concat(line, F.lit("，"), noted(short))).when(F.col("i") % 5 == 4, F.concat(line, F.lit(";"), line, long_)).otherwise(line)
+    rows = fragments.fragment_rows(lines.select("doc_id", "i", made.alias("line")), ["doc_id", "i"], "line")
+    told = F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    df = rows.groupBy("doc_id", "i").agg(told.alias("f"))
+    return df.select("doc_id", "i", F.size("f").alias("n"), F.md5(F.array_join("f", "|").cast("binary")).alias("fragments"))
 
 
 @query(

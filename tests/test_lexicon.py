@@ -188,3 +188,20 @@ def test_cleared_stages(spark, monkeypatch):
     path = stages.settle(spark.range(2), "none").inputFiles()[0].replace("file:", "")
     stages.clear_stages(spark)
     assert not os.path.exists(path) and os.path.exists(kept)
+
+
+def test_fragment_rows_equal_the_array_form(spark):
+    import random
+
+    from lexloom.operators.fragments import fragment_rows
+
+    rng = random.Random(3)
+    bits = ["走", "跑步", "(路)", "（一二三四五六七八）", "（一二三四五六七）", ",", "，", ";", "；", " ", "(", ")", "a", ",走", "（x,y）", "［z］"]
+    lines = [(i, i % 3, "".join(rng.choices(bits, k=rng.randint(0, 14)))) for i in range(400)] + [(900, 0, None), (901, 0, "走,走（一二三四五六七八）"), (902, 0, "走（一二三四五六七八）"), (903, 0, "（一二三四五六七八）走,跑")]
+    df = spark.createDataFrame(lines, "a int, b int, line string").repartition(3)
+    want = {(r["a"], x["key"], x["text"]) for r in df.select("a", unique_fragments(F.col("line")).alias("f")).collect() for x in r["f"] or []}
+    rows = fragment_rows(df, ["a", "b"], "line").collect()
+    assert {(r["a"], r["key"], r["text"]) for r in rows} == want and len(rows) == len(want)
+    assert [r["text"] for r in rows if r["a"] == 901] == ["走"] and [r["text"] for r in rows if r["a"] == 902] == ["走"]
+    plan = fragment_rows(df, ["a", "b"], "line").groupBy("a", "b").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(a") == 1
