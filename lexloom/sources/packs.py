@@ -84,7 +84,7 @@ def read_root_glossary(spark: SparkSession, path: str, column: str = "词根词
 FILE_ROWS = 100_000
 
 
-def _sharded(df: DataFrame, rule: str) -> DataFrame:
+def sharded(df: DataFrame, rule: str) -> DataFrame:
     """With the shard, ranges of (shard, word) together and in order: a large shard is spread over tasks."""
     return df.where("word <> ''").withColumn("shard", shard(F.col("word"), rule)).repartitionByRange("shard", "word").sortWithinPartitions("shard", "word")
 
@@ -92,7 +92,7 @@ def _sharded(df: DataFrame, rule: str) -> DataFrame:
 def write_shards(df: DataFrame, path: str, rule: str = "first_char") -> None:
     """Rows with a word, in order, as JSON lines under shard=...; a rule of quality.shard chooses the shard.  Nothing is written of an empty table."""
     if not df.isEmpty():
-        _sharded(df, rule).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").json(path)
+        sharded(df, rule).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").json(path)
 
 
 def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def write_shard_objects(df: DataFrame, path: str, rule: str = "first_char") -> N
     """Files that hold one JSON object each, {word: entry, ...} in order of words, under shard=.../part=...; an entry is the row without nulls.  Nothing is written of an empty table."""
     if df.isEmpty():
         return
-    rows = _sharded(df, rule).select("shard", "word", F.to_json(F.struct(*df.columns)).alias("entry"))
+    rows = sharded(df, rule).select("shard", "word", F.to_json(F.struct(*df.columns)).alias("entry"))
     rows.mapInArrow(_objects, "shard string, part int, value string").write.mode("overwrite").partitionBy("shard", "part").text(path)
 
 
@@ -142,6 +142,11 @@ def write_manifest(spark: SparkSession, path: str, shards: str, pack_type: str,
     return spark.read.json(path)
 
 
+def read_pack_rows(spark: SparkSession, shards: str, schema: str = EMPTY) -> DataFrame:
+    """The rows of shard files; `shard` comes from the folders."""
+    return spark.read.schema(f"{schema}, shard string").json(shards)
+
+
 def lookup_packs(spark: SparkSession, root: str, kinds: dict[str, str]) -> dict[str, DataFrame]:
     """The packs of a folder by name: a missing one is an empty table.  kinds: folder -> type, such as main, secondary, supplement."""
     return {name: read_pack(spark, f"{root}/{name}", kind) for name, kind in kinds.items()}
@@ -152,7 +157,7 @@ def read_pack(spark: SparkSession, path: str, pack_type: str, schema: str = EMPT
     try:
         told = spark.read.json(f"{path}/manifest").where(F.col("packType") == pack_type)
         if not told.isEmpty():
-            return spark.read.schema(f"{schema}, shard string").json(f"{path}/shards")
+            return read_pack_rows(spark, f"{path}/shards", schema)
     except AnalysisException:
         pass
     return spark.createDataFrame([], f"{schema}, shard string")

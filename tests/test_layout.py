@@ -58,3 +58,33 @@ def test_partial_updates_equal_a_rebuild(spark):
             if part not in written[table]:
                 assert Path(path).stat().st_mtime_ns == at
     assert len(written["entries"]) <= 4
+
+
+def test_pack_lookups_open_asked_shards_only(spark):
+    from lexloom.sources import packs, releases
+
+    root = scratch_path(spark, "packs")
+    rows = spark.createDataFrame([(f"{c}{i}", "", f"t{i}", "", "") for c in "abcdefgh" for i in range(5)], packs.EMPTY)
+    releases.release(rows, f"{root}/main", "words", {}, {})
+    pack = packs.lookup_packs(spark, root, {"main": "words"})
+    asked = spark.createDataFrame([(1, "a1"), (2, " C3 "), (3, "zz"), (4, None), (5, "")], "query_id long, text string")
+    df = releases.lookup_in_packs(asked, pack)
+    got = {r["query_id"]: (r["pack"], r["translation"]) for r in df.collect()}
+    assert got == {1: ("main", "t1"), 2: ("main", "t3"), 3: (None, None), 4: (None, None), 5: (None, None)}
+    plan = releases.only_asked(pack["main"], asked.select(F.lower(F.substring(F.trim("text"), 1, 1)).alias("shard")))
+    assert "PartitionFilters: [shard" in _plan(plan) and sorted({r["word"][0] for r in plan.collect()}) == ["a", "c"]
+
+
+def test_refused_release_leaves_nothing(spark):
+    import pytest
+
+    from lexloom.sources import packs, releases
+
+    root = scratch_path(spark, "refused")
+    rows = spark.createDataFrame([("a", "", "t", "", ""), ("b", "", "t", "", ""), ("", "", "t", "", "")], packs.EMPTY)
+    with pytest.raises(releases.Refused) as refused:
+        releases.release(rows, root, "words", {"bad": F.count_if(F.col("word") == "b")}, {"bad": 0})
+    assert refused.value.failed == ["bad"] and refused.value.metrics == {"entryCount": 2, "bad": 1}
+    assert not list(Path(root).rglob("*.json")) and packs.read_pack(spark, root, "words").isEmpty()
+    told = releases.release(rows.limit(0), root, "words", {}, {}).first()
+    assert told["entryCount"] == 0
