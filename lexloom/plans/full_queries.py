@@ -71,7 +71,16 @@ def full_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+RESULT = f"""{FULL},
+sound AS (SELECT *, array_to_string(list_filter(['uk:' || phonetic, 'us:' || phonetic_us], lambda y: length(y) > 3), '|') AS phonetics, array_to_string(list_filter(string_split(family, '|'), lambda y: NOT starts_with(y, word || ':')), '|') AS related FROM own),
+told AS (SELECT word, string_agg(label || ':' || forms, '|' ORDER BY list_position(['复数', '第三人称单数', '过去式', '比较级'], label)) AS exchanges FROM (
+  SELECT word, label, string_agg(form, ',' ORDER BY i) AS forms FROM (SELECT word, label, form, i FROM edge UNION ALL SELECT word, '第三人称单数', word || 'ing', 9 FROM w WHERE k % 4 = 1 UNION ALL SELECT word, '复数', 'more x', 0 FROM w WHERE k % 4 = 2) GROUP BY word, label) GROUP BY word),
+result AS (SELECT sound.word, phonetics, parts || CASE WHEN phrasal_verbs = '' THEN '' ELSE '| :|' || phrasal_verbs END AS parts, coalesce(exchanges, '') AS exchanges, related FROM sound LEFT JOIN told USING (word)
+UNION ALL SELECT part.form, phonetics, CASE WHEN two THEN string_split(sound.parts, '|')[h] ELSE sound.parts END, label || ':' || sound.word, related FROM part JOIN sound USING (word)
+UNION ALL SELECT x.word, phonetics, parts, '', related FROM x JOIN sound ON sound.word = linked)"""
+
+
+@query(f"WITH {RESULT} SELECT * FROM result")
 def full_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a lookup of each final entry's word shows, from markup to result."""
     entries = settle(build(raw_rows(spark, sf_dir)), "final-entries").withColumn("ord", F.xxhash64("word"))
