@@ -140,6 +140,12 @@ def ranked_parents(parents: DataFrame) -> DataFrame:
     return parents.withColumns({"place": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("form"))}).withColumn("primary", F.col("place") == 1)
 
 
+def listed_parents(ranked: DataFrame) -> DataFrame:
+    """form, parents (array of place, base, label in order), label (theirs, comma-joined) of every form.  ranked: form, base, label, place."""
+    listed = ranked.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("place", "base", "label"))).alias("parents"))
+    return listed.withColumn("label", F.array_join("parents.label", ","))
+
+
 def accepted_parents(entries: DataFrame, parents: DataFrame) -> DataFrame:
     """form, base, label, slot: first parents whose form is an irregular form of an entry and no protected homograph."""
     first = ranked_parents(parents).where("primary").select("form", "base", "label")

@@ -90,21 +90,21 @@ def link_entries(links: DataFrame, entries: DataFrame, parents: DataFrame) -> Da
     known = entries.select(F.lower("word").alias("key"), F.struct("word", *wide).alias("target_entry"))
     first = links.groupBy(F.lower("word").alias("form")).agg(F.min_by(F.struct("word", "target"), "ord").alias("l"))
     first = first.join(known.select(F.col("key").alias("form")), "form", "left_anti").select("form", "l.word", F.lower("l.target").alias("key")).join(known, "key")
-    listed = lexicon.ranked_parents(parents).join(_words(entries, "base", "base_word"), "base", "left")
-    listed = listed.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("base_word", "base").alias("word"), "label", F.col("base_word").isNotNull().alias("own")))).alias("parents"))
-    df = first.join(listed, "form", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<struct<place:int,word:string,label:string,own:boolean>>")))
+    named = lexicon.ranked_parents(parents).join(_words(entries, "base", "base_word"), "base", "left").withColumns({"own": F.col("base_word").isNotNull(), "shown": F.coalesce("base_word", "base")})
+    listed = lexicon.listed_parents(named.select("form", "place", F.struct(F.col("shown").alias("word"), "own").alias("base"), "label")).withColumnRenamed("label", "labels")
+    df = first.join(listed, "form", "left").withColumn("parents", F.coalesce("parents", F.array().cast("array<struct<place:int,base:struct<word:string,own:boolean>,label:string>>")))
     alone = df.where(F.size("parents") == 0).select(F.col("form").alias("word"))
     stems = lexicon.plural_parents(alone, entries).join(known.select(F.col("key").alias("parent"), F.col("target_entry").alias("plural_of")), "parent").select(F.col("word").alias("form"), "plural_of")
     df = df.join(stems, "form", "left")
     blocked = F.array_contains(surface_plurals(slot_forms(F.col("target_entry.exchange")), F.col("target_entry.pos"))["blocked"], F.col("form"))
     df = df.withColumn("blocked", F.coalesce(blocked, F.lit(False))).withColumn("count", F.size("parents"))
     head = F.when(F.col("count") > 0, F.col("parents")[0])
-    parent = F.when(~F.col("blocked"), F.coalesce(head["word"], F.col("plural_of.word")))
+    parent = F.when(~F.col("blocked"), F.coalesce(head["base"]["word"], F.col("plural_of.word")))
     surface = (F.col("form") == F.concat(F.lower("target_entry.word"), F.lit("s"))) & ~has_pos(F.col("target_entry.pos"), "n", "v")
-    shown = F.when(F.col("blocked"), F.col("word")).when(parent.isNull() & surface, F.col("word")).when(head.isNotNull() & head["own"], head["word"]).otherwise(F.coalesce("plural_of.word", "target_entry.word"))
-    labels = F.when(F.col("count") > 1, F.array_join(F.transform("parents", lambda p: p["label"]), ",")).otherwise(F.coalesce(head["label"], F.lit(PLURAL)))
+    shown = F.when(F.col("blocked"), F.col("word")).when(parent.isNull() & surface, F.col("word")).when(head.isNotNull() & head["base"]["own"], head["base"]["word"]).otherwise(F.coalesce("plural_of.word", "target_entry.word"))
+    labels = F.when(F.col("count") > 1, F.col("labels")).otherwise(F.coalesce(head["label"], F.lit(PLURAL)))
     df = df.withColumns({"parent": parent, "shown": shown}).withColumn("label", F.when(F.col("parent").isNotNull(), labels)).withColumn("source", F.coalesce("plural_of", "target_entry"))
-    each = F.transform("parents", lambda p: edge("origin", p["word"], p["label"], primary=p["place"] == 1))
+    each = F.transform("parents", lambda p: edge("origin", p["base"]["word"], p["label"], primary=p["place"] == 1))
     one = F.array(edge("origin", F.col("parent"), F.coalesce("label", F.lit(ROOT_LABEL)), primary=F.lit(True)))
     relations = F.when(F.col("count") > 1, each).when(F.col("parent").isNotNull(), one).otherwise(F.slice(one, 1, 0))
     cut = narrowed(F.coalesce("label", F.lit("")), {c: F.col("source")[c] for c in wide})

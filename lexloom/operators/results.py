@@ -129,13 +129,3 @@ def phrase_parts(phrases: Column) -> Column:
     """(name, meanings) of phrasal verbs; `phrv.` is shown as `v.`."""
     one = lambda p: F.transform(parse_parts(p["translation"]), lambda x: F.when(x["pos"] == DEFAULT_POS, x["meaning"]).otherwise(F.concat(F.when(x["pos"] == "phrv.", "v.").otherwise(x["pos"]), F.lit(" "), x["meaning"])))
     return F.transform(phrases, lambda p: F.struct(p["name"].alias("pos"), one(p).alias("meanings")))
-
-
-def primary_results(views: DataFrame) -> DataFrame:
-    """query_id, result (word, phonetics, parts, phrases).  views: query_id, query_word, is_fallback, entry_kind, translation, phonetic, phonetic_us, scopes, phrasal_verbs."""
-    parts = parse_parts(F.col("translation"))
-    shown = F.when(F.col("is_fallback"), scoped_parts(parts, F.col("scopes"))).otherwise(parts)
-    phrases = F.when(~F.col("is_fallback") & (F.col("entry_kind") == "standalone"), phrase_parts(F.col("phrasal_verbs")))
-    sound = lambda kind, c: F.struct(F.lit(kind).alias("type"), F.col(c).alias("value"))
-    phonetics = F.filter(F.array(sound("uk", "phonetic"), sound("us", "phonetic_us")), lambda p: F.coalesce(p["value"], F.lit("")) != "")
-    return views.select("query_id", F.struct(F.col("query_word").alias("word"), phonetics.alias("phonetics"), shown.alias("parts"), phrases.alias("phrases")).alias("result"))

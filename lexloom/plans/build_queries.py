@@ -206,9 +206,8 @@ def occupied_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PARENTS} SELECT form, string_agg(label, ',' ORDER BY place) AS label, arg_min(base, place) AS display_word, count(*) AS n FROM ranked GROUP BY form")
 def parent_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = lexicon.ranked_parents(lexicon.parents_of(lexicon.inflection_rows(derived_entries(spark, sf_dir))))
-    listed = parents.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("place", "label", "base"))).alias("p"))
-    return listed.select("form", F.array_join("p.label", ",").alias("label"), F.col("p.base")[0].alias("display_word"), F.size("p").cast("long").alias("n"))
+    listed = lexicon.listed_parents(lexicon.ranked_parents(lexicon.parents_of(lexicon.inflection_rows(derived_entries(spark, sf_dir)))))
+    return listed.select("form", "label", F.col("parents")[0]["base"].alias("display_word"), F.size("parents").cast("long").alias("n"))
 
 
 @query(

@@ -51,7 +51,6 @@ def pack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of a manifest, and its files after one declaration was given another name, one another size and one another digest."""
     path = stages.scratch_path(spark, "checks")
     packs.write_shards(flat(spark, sf_dir).coalesce(1), f"{path}/shards", "letter")
-    spark.range(1).count()
     manifest = packs.write_manifest(spark, f"{path}/manifest", f"{path}/shards", "words", {"entryCount": 1, "danglingNavigableTargets": 0})
     ok = quality.check_manifest(manifest, "words").select("rule", F.col("ok").cast("long").alias("n"))
     wrong = quality.check_manifest(manifest, "other").where("rule = 'type'").select(F.lit("wrong type").alias("rule"), F.col("ok").cast("long").alias("n"))
