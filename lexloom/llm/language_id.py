@@ -219,8 +219,8 @@ def train(labelled: DataFrame, docs_per_language: int = SAMPLE_DOCS, chars: int
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, 1.3 * docs_per_language / n)).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20))
-    sample = rows.withColumn("drawn", drawn).where(F.col("drawn") < share * (1 << 20)).select("drawn", "doc_id", "lang", "text").collect()
-    sample.sort(key=lambda r: (r["drawn"], r["doc_id"], r["text"]))
+    sample = rows.withColumn("drawn", drawn).where(F.col("drawn") < share * (1 << 20)).select("drawn", "doc_id", "lang", "text")
+    sample = sample.orderBy("drawn", "doc_id", "text").limit(2 * docs_per_language * len(counts)).collect()  # bounded also where one id has many rows
     used: dict[str, int] = {}
     texts, languages = [], []
     for r in sample:
