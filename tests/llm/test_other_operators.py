@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -254,6 +255,41 @@ def test_chat(spark):
     assert digests(read_back(format_conversations(df.limit(0)))).collect() == []
 
 
+def _windows(turns, budget=BUDGET, history=2):
+    """(start, stop, repeated turns before start, system turn repeated) of every window, turn by turn."""
+    cost = [len(re.split(r"[\x20\x09-\x0D]+", x)) + 4 for _, x in turns]
+    system, spans, used = int(turns[0][0] == "system"), [[0, 0, 0, 0]], 0
+    for i, c in enumerate(cost):
+        if i > system and used + c > budget:
+            h = max(h for h in range(history + 1) if i - h >= system and sum(cost[i - h : i]) * 4 <= budget)
+            spans.append([i, i, h, system])
+            used = (cost[0] if system else 0) + sum(cost[i - h : i])
+        used += c
+        spans[-1][1] = i + 1
+    return spans
+
+
+def test_chat_windows_of_long_conversations(spark):
+    rng = random.Random(11)
+    rows = [(c, t, rng.choice(["user", "assistant"]) if t else first, " ".join(["<|w\\"] * rng.choice([0, 1, 3, 9, 40, 70, 300])))
+            for c, first, n in ((1, "system", 300), (2, "user", 300), (None, "assistant", 9000), (3, "system", 1), (4, "system", 2)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    began = time.perf_counter()
+    got = {}
+    for w in sorted(format_conversations(df).collect(), key=lambda w: w["window"]):
+        got.setdefault(w["conv_id"], []).append(w)
+    assert time.perf_counter() - began < 60
+    written = lambda r, x: f"<|im_start|>{r}\n" + x.replace("\\", "\\\\").replace("<|", "<\\|")
+    for c in (1, 2, None, 3, 4):
+        turns = [(r, x) for k, _, r, x in rows if k == c]
+        spans = _windows(turns)
+        assert [w["window"] for w in got[c]] == list(range(len(spans)))
+        for w, (start, stop, h, s) in zip(got[c], spans):
+            shown = turns[:s] + turns[start - h : stop]
+            assert w["text"] == "".join(written(*t) + "<|im_end|>\n" for t in shown) and w["context_turns"] == s + h
+            assert ["".join(w["text"][x["start"] : x["start"] + x["length"]]) for x in w["loss"]] == [written(r, x)[len(f"<|im_start|>{r}\n") :] for r, x in turns[start:stop] if r == "assistant"]
+
+
 def test_very_long_unit(spark, pieces):
     began = time.perf_counter()
     for unit in (b"a" * 20_000, b" " + b"abcdefgh" * 2500):
