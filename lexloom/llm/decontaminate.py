@@ -31,8 +31,12 @@ from lexloom.llm.shared import join_small, pick, settle, small_enough
 WIDTH, SHARE = 8, 0.5
 #: Benchmark windows that may be broadcast (some 300 bytes each).
 WINDOW_ROWS = 100_000
-#: Words that count as units after a number.
-UNITS = "km kg cm mm mg ml km/h mph lb lbs oz mi ft yd in m g l s min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees meter meters metre metres mile miles liter liters litre litres gram grams".split()
+#: Words that count as units after a number, in English, French and Spanish.  German ones are capitalised, so they become names.
+UNITS = """km kg cm mm mg ml km/h mph lb lbs oz mi ft yd in m g l s min h hr hrs
+hour hours minute minutes second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees
+meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres mile miles liter liters litre litres gram grams kilogram kilograms kilo kilos
+heure heures seconde secondes jour jours semaine semaines mois an ans année années degré degrés mètre mètres kilomètre kilomètres centimètre centimètres mille milles gramme grammes kilogramme kilogrammes
+hora horas minuto minutos segundo segundos día días semana semanas mes meses año años dólar dólares centavo centavos grado grados metro metros kilómetro kilómetros centímetro centímetros milla millas litro litros gramo gramos kilogramo kilogramos""".split()
 PUNCTUATION = ".,;:!?\"'()[]{}*#%&$"
 SPACES = r"[\x20\x09-\x0D]+"
 NAME = r"(?<=[^.!?:\s] )\p{Lu}[^\s.!?:,;\"()]*"
@@ -89,7 +93,7 @@ def _chains(lines: DataFrame, most: int) -> DataFrame:
     return df.select("doc_id", "item_id", F.aggregate("near", start, add, lambda state: state["hits"]).alias("hits"))
 
 
-def _hashes(words: Column, width: int) -> Column:
+def _hashes(words: Column, width: Column) -> Column:
     """Hashes of all windows, by start."""
     return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width))))
 
@@ -112,17 +116,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     wanted = settle(wanted, "benchmark-hashes")
     near = F.broadcast(wanted) if small_enough(wanted) else wanted
 
-    kinds = [tuple(r) for r in wanted.select("w", "exact").distinct().collect()]  # at most 2 * `width` values
-    found = None
-    for w, exact in sorted(kinds) or [(width, False)]:
-        own = texts.select("doc_id", canonical(F.col("text")).alias("canon"), *([_words(F.col("text")).alias("raw")] if exact else []))  # columns of their own: used in lambdas below
-        if exact:
-            own = _tokens(own).select("doc_id", F.col("low").alias("words"))
-        else:
-            own = own.select("doc_id", F.filter("canon", lambda x, i: ~(x.startswith("<") & (i > 0) & (x == F.get("canon", i - 1)))).alias("words"))
-        own = own.select("doc_id", F.posexplode(_hashes(F.col("words"), w)).alias("pos", "h"))
-        own = own.join(near.where((F.col("w") == w) & (F.col("exact") == exact)).select("h"), "h").select("doc_id", "pos", "h", F.lit(w).alias("w"), F.lit(exact).alias("exact"))
-        found = own if found is None else found.union(own)
+    kinds = [(r["w"], r["exact"]) for r in wanted.select("w", "exact").distinct().collect()]  # at most 2 * `width` values
+    kinds = sorted(kinds) or [(width, False)]
+    own = texts.select("doc_id", canonical(F.col("text")).alias("canon"), _words(F.col("text")).alias("raw"))  # each text is read and made canonical once, for all kinds of windows
+    if any(exact for _, exact in kinds):
+        own = _tokens(own).select("doc_id", F.col("canon").alias("words"), "low")
+    else:
+        own = own.select("doc_id", F.filter("canon", lambda x, i: ~(x.startswith("<") & (i > 0) & (x == F.get("canon", i - 1)))).alias("words"), F.lit(None).cast("array<string>").alias("low"))
+    kind = F.explode(F.array(*[F.struct(F.lit(w).alias("w"), F.lit(exact).alias("exact")) for w, exact in kinds])).alias("kind")
+    own = own.select("doc_id", "words", "low", kind).select("doc_id", F.when(F.col("kind.exact"), F.col("low")).otherwise(F.col("words")).alias("words"), "kind.w", "kind.exact")
+    own = own.select("doc_id", "w", "exact", F.posexplode(_hashes(F.col("words"), F.col("w"))).alias("pos", "h"))
+    found = own.join(near, ["h", "w", "exact"]).select("doc_id", "pos", "h", "w", "exact")
     found = settle(found, "hits")
 
     some = join_small(texts, found.select("doc_id").distinct(), ["doc_id"], "left_semi")

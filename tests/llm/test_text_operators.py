@@ -269,3 +269,30 @@ def test_contamination_of_a_repetitive_text(spark):
     items = spark.createDataFrame([(5, "la " * 200), (6, "la lo " * 60)], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in contamination(docs, items).collect()}
     assert got == {1: [5], 2: [6], 3: []}
+
+
+#: Sentences of four languages with slots: n a number, u a number with a unit, p a name.
+TEMPLATES = [
+    ("A train leaves {p} at {n} and needs {u} to reach {q}. When does the train from {p} arrive there?", ("minutes", "hours")),
+    ("{n} farmers share {u} of milk. How much of it does each one get if {p} takes a third of all before the others come?", ("liters", "gallons")),
+    ("Every week {p} saves {u} and gives {n} of them to {q}. After how many weeks can the new bicycle be bought?", ("dollars", "euros")),
+    ("Un train quitte {p} à {n} et met {u} pour arriver à {q}. À quelle distance se trouvent alors les deux villes?", ("heures", "kilomètres")),
+    ("Le jardin de {p} mesure {u} de long, et {q} plante {n} arbres de chaque côté. Combien en faut-il pour la rue?", ("mètres", "mètres")),
+    ("Un tren sale de {p} a las {n} y tarda {u} en llegar a {q}. ¿Qué distancia hay entre las dos ciudades del norte?", ("horas", "minutos")),
+    ("El padre de {p} tiene {u} y su hija {n} menos, mientras que {q} acaba de cumplir la mitad. ¿Cuántos tienen los tres juntos?", ("años", "meses")),
+    ("Ein Zug verlässt {p} um {n} und braucht {u} bis nach {q}. Wie schnell fährt der Zug im Mittel auf dieser langen Strecke?", ("Stunden", "Minuten")),
+    ("In der Klasse von {p} sind {n} Kinder, die zusammen {u} gelaufen sind, davon {q} allein den dritten Teil. Wie weit kam jedes?", ("Kilometer", "Meilen")),
+]
+
+
+def test_contamination_recall_of_changed_questions(spark):
+    """Numbers, units and names of each question are changed throughout: at least 0.9 are found; values that don't stand for one another are no copy."""
+    rng, names = random.Random(3), ["Paris", "Anna", "Tom", "Lyon", "Maria", "Berlin", "Juan", "Otto", "Vigo", "Claire"]
+    fill = lambda text, units, k: (lambda p, q: text.format(p=p, q=q, n=rng.randrange(2, 90), u=f"{rng.randrange(100, 900)} {units[k]}"))(*rng.sample(names, 2))
+    items = [(i, fill(t, u, 0)) for i, (t, u) in enumerate(TEMPLATES)]
+    rows = [(100 * i + j, f"some words before it, then: {fill(t, u, j % 2)} And words that follow, among them {j}.") for i, (t, u) in enumerate(TEMPLATES) for j in range(20)]
+    mixed = [(5000 + i, t.replace("{p}", "{q}", 1).format(p="Rome", q="Oslo", n=7, u=f"8 {u[0]}").replace("Rome", "Oslo")) for i, (t, u) in enumerate(TEMPLATES[:1])]  # two names become one
+    got = {r["doc_id"]: list(r["items"]) for r in contamination(documents(spark, rows + mixed), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = sum(got[d] == [d // 100] for d, _ in rows)
+    assert found >= 0.9 * len(rows), (found, len(rows), [x for d, x in rows if got[d] != [d // 100]][:5])
+    assert all(set(got[d]) <= {d // 100} for d, _ in rows) and got[5000] == []
