@@ -209,13 +209,13 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT conv_id AS text_id, count(*) AS n, bool_and(turn % 5 <> 4) AND count(*) FILTER (text IS NULL) = 0 AS ok, string_agg(text, chr(10) ORDER BY turn, text) FILTER (length(text) % 7 <> 0) AS text, count(*) FILTER (length(text) % 7 <> 0) AS have FROM conversations GROUP BY conv_id)
+    """WITH l AS (SELECT conv_id AS text_id, count(*) AS n, bool_and((conv_id * 31 + turn) % 23 <> 4) AND count(*) FILTER (text IS NULL) = 0 AS ok, string_agg(text, chr(10) ORDER BY turn, text) FILTER (length(text) % 29 <> 0) AS text, count(*) FILTER (length(text) % 29 <> 0) AS have FROM conversations GROUP BY conv_id)
 SELECT text_id, text FROM l WHERE ok AND have = n"""
 )
 def segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as pieces of a conversation; every fifth failed, and pieces whose length divides by seven are missing."""
+    """Turns as pieces of a conversation; one in 23 failed, and pieces whose length divides by 29 are missing."""
     turns = table(spark, sf_dir, "conversations")
-    pieces = turns.where("length(text) % 7 <> 0").select(F.col("conv_id").alias("text_id"), F.col("turn").alias("i"), "text", (F.col("turn") % 5 != 4).alias("ok"))
+    pieces = turns.where("length(text) % 29 <> 0").select(F.col("conv_id").alias("text_id"), F.col("turn").alias("i"), "text", ((F.col("conv_id") * 31 + F.col("turn")) % 23 != 4).alias("ok"))
     return views.reassemble(pieces, turns.groupBy(F.col("conv_id").alias("text_id")).agg(F.count("*").alias("n")))
 
 
