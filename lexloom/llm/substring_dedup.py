@@ -5,9 +5,10 @@ neighbours, a pair being joined when a bit of its first symbol says "left" and a
 hashes of what they stand for, so equal passages get equal symbols except near their ends.
 
 1. In each text symbols are grown to GROWN_WORDS words.  For each the words on which its existence depends are tracked (its
-   context): wherever the same words stand, the same symbol stands.  Symbols (and, for the few windows of `width` words that
-   hold no context, the window itself) are grouped over all documents, and with them the largest symbol of each text, its
-   whole word sequence: a text whose largest symbol a smaller document has too is covered by it.  Of the other texts a window
+   context): wherever the same words stand, the same symbol stands.  The passes then go on without a bound until each text is
+   one symbol, its largest, named by the runs and pairs that it is made of.  Symbols (and, for the few windows of `width`
+   words that hold no context, the window itself) are grouped over all documents, and with them the largest symbols: a text
+   whose largest symbol a smaller document has too is covered by it.  Of the other texts a window
    is left only if all its symbols are shared; the words of such windows are the regions in which repeats can be, and from
    here on only regions move.
 2. Rounds of recompression rename the regions, each to symbols about four times as long (ROUND_WORDS).  After each round the
@@ -18,9 +19,9 @@ hashes of what they stand for, so equal passages get equal symbols except near t
    the smallest document of each is found.  A Bloom filter of the repeated ones (sent to every executor while it is small)
    keeps the others where they are.  A window in a larger document loses its words.
 
-Words are told apart by 64-bit hashes, symbols of regions by 128 bits, windows by 96 bits and whole texts by 126 bits (a
-cryptographic digest) made of these; the symbols of step 1, which delete nothing by themselves, by 63.  Null or empty text: no words, nothing
-removed.  A null id never matches and is returned unchanged.  Repeated rows with one id count as one document; each row is
+Words are told apart by 64-bit hashes, symbols of regions by 128 bits, windows by 96 bits and largest symbols by 126 bits (two
+names, mixed anew at each run and pair, so that no structure of a text cancels out) made of these; the symbols of step 1, which
+delete nothing by themselves, by 63.  Null or empty text: no words, nothing removed.  A null id never matches and is returned unchanged.  Repeated rows with one id count as one document; each row is
 cleaned by itself.  Texts of any length are worked on whole; their regions travel as rows of REGION_WORDS words at most.
 """
 
@@ -45,13 +46,14 @@ _FAR = 1 << 40
 _U = np.uint64
 
 
-def recompress(symbols: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Final symbols of the concatenated documents with start and end of the words each depends on."""
+def recompress(symbols: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Final symbols of the concatenated documents with start and end of the words each depends on, a second name of each, and its document."""
     n = len(symbols)
     head = np.flatnonzero(np.r_[True, (symbols[1:] != symbols[:-1]) | (row[1:] != row[:-1])]) if n else np.zeros(0, int)
     count = np.diff(np.r_[head, n])
     names, of, start, end = symbols[head], row[head], head, head + count
-    names = np.where(count > 1, tb.mix(names + count.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), names)
+    twins = tb.mix(names ^ _U(0x5DEECE66D))
+    names, twins = _run_names(names, twins, count)
     follows = np.r_[of[1:] == of[:-1], False] if len(of) else np.zeros(0, bool)
     low = np.where(np.r_[False, follows[:-1]], start - 1, -_FAR)  # a run is known once both neighbours differ
     high = np.where(follows, end + 1, _FAR)
@@ -60,7 +62,7 @@ def recompress(symbols: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
             break
         follows = np.r_[of[1:] == of[:-1], False]
         free = end - start < GROWN_WORDS
-        left = (tb.mix(names + _U(turn * 0x1234567 + 1)) & _U(1)).astype(bool)
+        left = _bits(names, turn)
         first = follows & free & left & np.r_[free[1:] & ~left[1:], False]
         second = np.r_[False, first[:-1]]
         alone = free & ~first & ~second
@@ -69,10 +71,46 @@ def recompress(symbols: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
         new_low = np.where(alone & ~left, np.minimum(low, before), low)
         i = np.flatnonzero(first)
         new_low[i], new_high[i] = np.minimum(low[i], low[i + 1]), np.maximum(high[i], high[i + 1])
-        names, end = names.copy(), end.copy()
-        names[i], end[i] = tb.mix(names[i] * _U(3) + tb.mix(names[i + 1] + _U(77))), end[i + 1]
-        names, of, start, end, low, high = names[~second], of[~second], start[~second], end[~second], new_low[~second], new_high[~second]
-    return names, low, high
+        end = end.copy()
+        end[i] = end[i + 1]
+        names, twins = _pair_names(names, twins, i)
+        names, twins, of, start, end, low, high = names[~second], twins[~second], of[~second], start[~second], end[~second], new_low[~second], new_high[~second]
+    return names, low, high, twins, of
+
+
+def _bits(names: np.ndarray, turn: int) -> np.ndarray:
+    """Whether a symbol is a left one in this pass."""
+    return (tb.mix(names + _U(turn * 0x1234567 + 1)) & _U(1)).astype(bool)
+
+
+def _run_names(names: np.ndarray, twins: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    times = count.astype(np.uint64)
+    return np.where(count > 1, tb.mix(names + times * _U(0x9E3779B97F4A7C15)), names), np.where(count > 1, tb.mix(twins + times * _U(0xD6E8FEB86659FD93)), twins)
+
+
+def _pair_names(names: np.ndarray, twins: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names after the symbols at `i` are joined with those that follow them."""
+    names, twins = names.copy(), twins.copy()
+    names[i], twins[i] = tb.mix(names[i] * _U(3) + tb.mix(names[i + 1] + _U(77))), tb.mix(twins[i] * _U(5) + tb.mix(twins[i + 1] + _U(99)))
+    return names, twins
+
+
+def tops(names: np.ndarray, twins: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, name and second name of the one symbol that each document ends as: the passes go on without a bound on length."""
+    turn = ROUNDS
+    while True:
+        head = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, int)
+        names, twins = _run_names(names[head], twins[head], np.diff(np.r_[head, len(of)]))
+        of = of[head]
+        follows = np.r_[of[1:] == of[:-1], False] if len(of) else np.zeros(0, bool)
+        if not follows.any():
+            return of, names, twins
+        left = _bits(names, turn)
+        first = follows & left & np.r_[~left[1:], False]
+        names, twins = _pair_names(names, twins, np.flatnonzero(first))
+        stay = ~np.r_[False, first[:-1]]
+        names, twins, of = names[stay], twins[stay], of[stay]
+        turn += 1
 
 
 class _Parsed:
@@ -87,6 +125,7 @@ class _Parsed:
             self.symbols[i] = tb.digest(raw[self.starts[i] : self.ends[i]].tobytes())
         n = len(self.symbols)
         self.row = np.repeat(np.arange(len(at) - 1), np.diff(self.offsets))
+        self.parsed = recompress(self.symbols, self.row)
         self.real = np.zeros(n, bool)  # a window starts here
         if n >= width:
             self.real[: n - width + 1] = self.row[: n - width + 1] == self.row[width - 1 :]
@@ -94,7 +133,7 @@ class _Parsed:
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Key, and the first and last start of the windows that hold it."""
         n, width = len(self.symbols), self.width
-        names, low, high = recompress(self.symbols, self.row)
+        names, low, high = self.parsed[:3]
         fits = high - low <= width
         names, low, high = names[fits], low[fits], high[fits]
         first, last = np.maximum(high - width, 0), low
@@ -107,12 +146,13 @@ class _Parsed:
         return np.r_[names[useful], whole] & ~_U(1), np.r_[first[useful], bare], np.r_[last[useful], bare]
 
     def largest(self) -> np.ndarray:
-        """Two symbols of each text as a whole, halves of a BLAKE2 digest of its word sequence (odd, unlike the others); 0 for a text without a window."""
+        """Both names of the symbol that each text ends as (odd, unlike the other keys); 0 for a text without a window."""
+        names, _, _, twins, of = self.parsed
         size = np.diff(self.offsets)
+        on = size[of] >= self.width
+        row, name, twin = tops(names[on], twins[on], of[on])
         out = np.zeros((2, len(size)), np.uint64)
-        for k in np.flatnonzero(size >= self.width).tolist():
-            said = hashlib.blake2b(self.symbols[self.offsets[k] : self.offsets[k + 1]].tobytes(), digest_size=16).digest()
-            out[:, k] = np.frombuffer(said, np.uint64) | _U(1)
+        out[:, row] = np.stack([name, twin]) | _U(1)
         return out
 
 

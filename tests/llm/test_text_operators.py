@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,6 +265,21 @@ def test_substring_dedup_of_structured_texts(spark):
     assert got == want and want[1] == 0 and want[2] == 4096
 
 
+def test_every_text_ends_as_one_symbol():
+    """The passes end for runs, alternations and long texts alike; equal texts, and only they, end as the same symbol."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 3, n) for n in rng.integers(1, 900, 150)] + [np.zeros(n, int) for n in (1, 2, 50, 51, 20_000)]
+    texts += [np.tile([1, 2], n) for n in (1, 25, 26, 9000)] + [rng.integers(0, 1 << 40, 5000), np.array([bin(i).count("1") % 2 for i in range(4096)])]
+    texts += [1 - texts[-1]] + [t.copy() for t in texts[::3]]
+    rng.shuffle(order := np.arange(len(texts)))
+    texts = [texts[i] for i in order]
+    names, _, _, twins, of = substring_dedup.recompress(np.concatenate(texts).astype(np.uint64), np.repeat(np.arange(len(texts)), [len(t) for t in texts]))
+    row, name, twin = substring_dedup.tops(names, twins, of)
+    assert row.tolist() == list(range(len(texts)))
+    different = len({t.tobytes() for t in texts})
+    assert len(set(zip(name.tolist(), twin.tolist(), strict=True))) == len(set(name.tolist())) == different < len(texts)
+
+
 def test_contamination_of_a_repetitive_text(spark):
     docs = spark.createDataFrame([(1, "la " * 20_000), (2, "la lo " * 6000), (3, "la " * 9 + "lo")], "doc_id long, text string")
     items = spark.createDataFrame([(5, "la " * 200), (6, "la lo " * 60)], "item_id long, text string")
