@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,8 +80,12 @@ def file_name(path: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_extract(path, "shard=([^/]*)/[^/]*$", 1), "$", "-"), F.element_at(F.split(path, "/"), -1))
 
 
-def check_manifest(manifest: DataFrame, pack_type: str) -> DataFrame:
-    """rule, ok for a one-row manifest: required strings, type, date, positive counts, files."""
+#: Counts of a manifest that have to be there and not negative.
+QUALITY_FIELDS = ["danglingNavigableTargets", "syntheticRelationCount", "wordFamilyMissingCount", "verbFormMissingCount"]
+
+
+def check_manifest(manifest: DataFrame, pack_type: str, keys: Sequence[str] = (), subdir: str = "shards") -> DataFrame:
+    """keys, rule, ok for each manifest (`keys` tell several apart): required strings, type, date, positive counts, files; layout and all quality counts where it has them."""
     text = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
     tests = {
         "strings": text("schemaVersion") & text("dataVersion") & text("pipelineVersion"),
@@ -90,8 +96,12 @@ def check_manifest(manifest: DataFrame, pack_type: str) -> DataFrame:
         "names": F.forall("files", lambda f: f["name"].rlike(r"^[^/\\]+\.json$")) & (F.size(F.array_distinct(F.transform("files", lambda f: f["name"]))) == F.size("files")),
         "dangling": F.col("danglingNavigableTargets") == 0,
     }
+    if "layout" in manifest.columns:
+        tests["layout"] = (F.col("layout.shardSubdir") == subdir) & (F.col("layout.shardExtension") == ".json")
+    if set(QUALITY_FIELDS) <= set(manifest.columns):
+        tests["metrics"] = F.forall(F.array(*QUALITY_FIELDS), lambda n: F.coalesce(n >= 0, F.lit(False)))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in tests.items()])).alias("r")
-    return manifest.select(each).select("r.*")
+    return manifest.select(*keys, each).select(*keys, "r.*")
 
 
 def check_files(manifest: DataFrame, listing: DataFrame) -> DataFrame:

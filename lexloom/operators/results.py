@@ -72,27 +72,57 @@ def without_variants(words: Column) -> Column:
     return F.filter(words, lambda w: ~F.coalesce(F.array_contains(low, F.element_at(literal_map(dict(SPELLING_PAIRS)), F.lower(F.trim(w)))), F.lit(False)))
 
 
-WORD = "struct<ukphone:string,usphone:string,phone:string,ukspeech:string,usspeech:string,prototype:string,wfs:array<struct<wf:struct<name:string,value:string>>>,trs:array<struct<pos:string,tran:string,tr:array<struct<l:struct<i:array<string>>,tran:string>>>>>"
+WORD = "struct<ukphone:string,usphone:string,phone:string,ukspeech:string,usspeech:string,prototype:string,wfs:array<struct<wf:struct<name:string,value:string>>>,trs:array<struct<pos:string,tran:string,tr:array<struct<l:struct<i:string>,tran:string>>>>>"
+BASE_FORM = "原形"
 
 
-def provider_rows(answers: DataFrame) -> DataFrame:
-    """query_id, phonetic, pos, meaning, i: meanings of stored JSON answers in order, each once for a part of speech.  answers: query_id, body.
-
-    `ec.word` or `ce.word` may be an object or an array (its first element counts); without meanings there `ee` is used.
-    """
+def _provider_answers(answers: DataFrame) -> DataFrame:
+    """query_id, w (the word's object), e (that of the monolingual part), rows (array of pos, meaning, each once, in order)."""
     get = lambda path: F.get_json_object("body", path)
-    word = F.coalesce(get("$.ec.word[0]"), get("$.ec.word"), get("$.ce.word[0]"), get("$.ce.word"))
-    df = answers.select("query_id", F.from_json(word, WORD).alias("w"), F.from_json(get("$.ee.word"), WORD).alias("e"))
+    whole = lambda path: F.when(get(path).startswith("{"), get(path))
+    word = F.coalesce(get("$.ec.word[0]"), whole("$.ec.word"), get("$.ce.word[0]"), whole("$.ce.word"))
+    df = answers.select("query_id", F.from_json(word, WORD).alias("w"), F.from_json(whole("$.ee.word"), WORD).alias("e"))
     told = lambda t, x: F.struct(F.trim(F.coalesce(t["pos"], F.lit(""))).alias("pos"), F.trim(F.coalesce(x, F.lit(""))).alias("meaning"))
     none = F.array().cast("array<struct<pos:string,meaning:string>>")
-    nested = lambda t: F.concat(F.array(told(t, t["tran"])), F.transform(F.coalesce(t["tr"], F.array().cast("array<struct<l:struct<i:array<string>>,tran:string>>")), lambda n: told(t, F.array_join(n["l"]["i"], ""))))
-    plain = lambda t: F.transform(F.coalesce(t["tr"], F.array().cast("array<struct<l:struct<i:array<string>>,tran:string>>")), lambda n: told(t, n["tran"]))
+    inner = lambda t: F.coalesce(t["tr"], F.array().cast("array<struct<l:struct<i:string>,tran:string>>"))
+    text = lambda i: F.coalesce(F.array_join(F.from_json(i, "array<string>"), ""), i)  # noqa: E731  (one text or a list of pieces)
+    nested = lambda t: F.concat(F.array(told(t, t["tran"])), F.transform(inner(t), lambda n: told(t, text(n["l"]["i"]))))
+    plain = lambda t: F.transform(inner(t), lambda n: told(t, n["tran"]))
     said = lambda a: F.filter(F.coalesce(a, none), lambda x: x["meaning"] != "")
     df = df.withColumns({"own": said(F.flatten(F.transform("w.trs", nested))), "other": said(F.flatten(F.transform("e.trs", plain)))})
+    rows = F.transform(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("other")), lambda x: F.struct(F.when(x["pos"] == "", DEFAULT_POS).otherwise(x["pos"]).alias("pos"), x["meaning"].alias("meaning")))
+    return df.select("query_id", "w", "e", F.array_distinct(rows).alias("rows"))
+
+
+def provider_rows(answers: DataFrame) -> DataFrame:
+    """query_id, phonetic, pos, meaning, i: meanings of stored JSON answers in order, each once for a part of speech.  answers: query_id, body.
+
+    `ec.word` or `ce.word` may be an object or an array (its first element counts); without meanings there `ee` is used.
+    """
+    df = _provider_answers(answers)
     phones = F.array(*[bare_phonetic(F.col(c)) for c in ("w.ukphone", "w.usphone", "w.phone", "e.phone", "w.usspeech", "w.ukspeech")])
     phone = F.coalesce(F.try_element_at(F.filter(phones, lambda p: p != ""), F.lit(1)), F.lit(""))
-    rows = F.array_distinct(F.transform(F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("other")), lambda x: F.struct(F.when(x["pos"] == "", DEFAULT_POS).otherwise(x["pos"]).alias("pos"), x["meaning"].alias("meaning"))))
-    return df.select("query_id", phone.alias("phonetic"), F.posexplode(rows).alias("i", "r")).select("query_id", "phonetic", "r.pos", "r.meaning", "i")
+    return df.select("query_id", phone.alias("phonetic"), F.posexplode("rows").alias("i", "r")).select("query_id", "phonetic", "r.pos", "r.meaning", "i")
+
+
+def provider_results(answers: DataFrame) -> DataFrame:
+    """query_id, phonetics (array of type, value), parts (array of part, meanings), exchanges (array of name, word); an answer without a meaning has no row.
+
+    Sounds: the British and the American one, else the plain one (of the monolingual part where the word has none), else
+    what is spoken, as it stands.  Parts of speech come in order of first sight; word forms need a name and a form, the base
+    form comes last.  answers: query_id, body.
+    """
+    df = _provider_answers(answers).where(F.size("rows") > 0)
+    sound = lambda kind, value: F.array(F.struct(F.lit(kind).alias("type"), F.coalesce(value, F.lit("")).alias("value")))
+    heard = lambda sounds: F.filter(sounds, lambda p: p["value"] != "")
+    own = heard(F.concat(sound("uk", bare_phonetic(F.col("w.ukphone"))), sound("us", bare_phonetic(F.col("w.usphone")))))
+    phone = F.coalesce(F.nullif("w.phone", F.lit("")), F.col("e.phone"))
+    rest = heard(F.concat(sound("uk", bare_phonetic(phone)), sound("us", F.col("w.usspeech")), sound("uk", F.col("w.ukspeech"))))
+    parts = F.transform(F.array_distinct(F.transform("rows", lambda r: r["pos"])), lambda p: F.struct(p.alias("part"), F.transform(F.filter("rows", lambda r: r["pos"] == p), lambda r: r["meaning"]).alias("meanings")))
+    pair = lambda name, word: F.struct(F.trim(F.coalesce(name, F.lit(""))).alias("name"), word.alias("word"))
+    forms = F.coalesce(F.transform("w.wfs", lambda x: pair(x["wf"]["name"], F.trim(F.coalesce(x["wf"]["value"], F.lit(""))))), F.array().cast("array<struct<name:string,word:string>>"))
+    forms = F.concat(forms, F.array(pair(F.lit(BASE_FORM), F.coalesce("w.prototype", F.lit("")))))
+    return df.select("query_id", F.when(F.size(own) > 0, own).otherwise(F.slice(rest, 1, 1)).alias("phonetics"), parts.alias("parts"), F.filter(forms, lambda x: (x["name"] != "") & (x["word"] != "")).alias("exchanges"))
 
 
 def source_label(word: Column, label: Column) -> Column:
