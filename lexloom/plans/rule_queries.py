@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.operators import etymology, quality, results, roots
+from lexloom.operators import etymology, fragments, quality, results, roots
 from lexloom.plans.registry import query
 from lexloom.plans.root_queries import C, numbered, text
 
@@ -135,3 +135,14 @@ def manifest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.check_manifest(manifests, "words", ["k"]).where("NOT ok OR rule = 'type'")
     # a shard count of -2 is no count of files either: the first rule broken counts
     return rules.groupBy("k").agg(F.coalesce(F.min(F.when(~F.col("ok"), F.col("rule"))), F.lit("")).alias("broken"))
+
+
+@query(f"WITH {C} SELECT k, '甲' || z || ',乙/ ' || CASE k % 3 WHEN 0 THEN '(口)丙' || z WHEN 1 THEN '存在' ELSE '(口)存在' END || '/countable' AS items FROM c")
+def followup_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a later sense adds: with a qualifier a fragment that says more than 存在, if it has one."""
+    k, z = F.col("k"), F.col("z")
+    record = lambda told, qualifier, count: F.struct(told.alias("text"), qualifier.alias("qualifier"), F.lit(count).cast("string").alias("countability"))
+    later = F.when(k % 3 == 2, "存在").otherwise(text("存在,丙", z))
+    records = F.array(record(text("甲", z, ",乙"), F.lit(""), None), record(later, F.when(k % 3 == 1, "").otherwise("口"), "countable"))
+    df = fragments.meaning_items(numbered(spark, sf_dir).select("k", records.alias("records")), "records")
+    return df.select("k", F.array_join(F.transform("items", lambda x: F.concat(x["text"], F.lit("/"), F.coalesce(x["countability"], F.lit("")))), " ").alias("items"))

@@ -10,7 +10,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["lexicon_words", "lookup_dedupe", "alias_targets", "first_wins_dedupe", "exchange_parse", "plural_infer", "plural_slots", "root_longest", "source_merge", "component_display", "lookup_cascade", "query_routes", "merge_parts", "pos_share", "text_repair", "punctuation", "text_segments", "segment_reassembly", "shard_counts", "list_coverage", "json_flatten", "html_nodes", "language_codes", "link_circles", "meaning_fragments", "meaning_items", "sense_entries", "wide_entries", "word_families", "roots_lines", "entry_rules", "schema_contract", "golden_rows", "tree_roots", "section_roots", "pack_objects", "pack_checks", "stage_upsert", "raw_entries", "source_readers", "provider_answers", "spelling_variants", "root_shapes", "node_meanings", "refined_roots", "source_senses", "manifest_rules"]
+QUICK = ["lexicon_words", "lookup_dedupe", "alias_targets", "first_wins_dedupe", "exchange_parse", "plural_infer", "plural_slots", "root_longest", "source_merge", "component_display", "lookup_cascade", "query_routes", "merge_parts", "pos_share", "text_repair", "punctuation", "text_segments", "segment_reassembly", "shard_counts", "list_coverage", "json_flatten", "html_nodes", "language_codes", "link_circles", "meaning_fragments", "meaning_items", "sense_entries", "wide_entries", "word_families", "roots_lines", "entry_rules", "schema_contract", "golden_rows", "tree_roots", "section_roots", "pack_objects", "pack_checks", "stage_upsert", "raw_entries", "source_readers", "provider_answers", "spelling_variants", "root_shapes", "node_meanings", "refined_roots", "source_senses", "manifest_rules", "followup_senses"]
 
 
 def plain(v):
