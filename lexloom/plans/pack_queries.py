@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import quality, stages
@@ -43,22 +43,28 @@ def pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have["main"].select("shard", "word", "translation").unionByName(told)
 
 
+def _shard_of(name: Column) -> Column:
+    return F.regexp_extract(name, "^(.*?)-part", 1)
+
+
 @query(
     f"""WITH {FLAT} SELECT unnest(['strings', 'type', 'date', 'counts', 'files', 'names', 'dangling', 'wrong type', 'missing file', 'wrong size', 'wrong digest', 'good files']) AS rule,
 unnest([1, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, (SELECT count(DISTINCT CASE WHEN n % 7 = 0 THEN '_' ELSE lower(left(word, 1)) END) FROM f) - 3]) AS n"""
 )
 def pack_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules of a manifest, and its files after one declaration was given another name, one another size and one another digest."""
+    """Rules of a manifest, and its files after one declaration in each of three shards was given another name, another size or another digest: a shard is good if all its files are, however many it has."""
     path = stages.scratch_path(spark, "checks")
     packs.write_shards(flat(spark, sf_dir).coalesce(1), f"{path}/shards", "letter")
     manifest = packs.write_manifest(spark, f"{path}/manifest", f"{path}/shards", "words", {"entryCount": 1, "danglingNavigableTargets": 0})
     ok = quality.check_manifest(manifest, "words").select("rule", F.col("ok").cast("long").alias("n"))
     wrong = quality.check_manifest(manifest, "other").where("rule = 'type'").select(F.lit("wrong type").alias("rule"), F.col("ok").cast("long").alias("n"))
-    spoilt = manifest.withColumn("files", F.transform("files", lambda f, i: F.struct(F.when(i == 0, "gone.json").otherwise(f["name"]).alias("name"), F.when(i == 1, "0").otherwise(f["sha256"]).alias("sha256"), F.when(i == 2, F.lit(1)).otherwise(f["size"]).alias("size"))))
+    named = manifest.select(F.explode("files.name").alias("name")).groupBy(_shard_of(F.col("name")).alias("shard")).agg(F.min("name").alias("name"))
+    gone, cut, other = [r["name"] for r in named.orderBy("shard").limit(3).collect()]
+    spoilt = manifest.withColumn("files", F.transform("files", lambda f: F.struct(F.when(f["name"] == gone, F.concat(_shard_of(f["name"]), F.lit("-part-gone.json"))).otherwise(f["name"]).alias("name"), F.when(f["name"] == other, "0").otherwise(f["sha256"]).alias("sha256"), F.when(f["name"] == cut, F.lit(1)).otherwise(f["size"]).alias("size"))))
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{path}/shards")
     files = quality.check_files(spoilt, listing)
-    shards = F.regexp_extract("name", "^(.*?)-part", 1)
-    told = files.agg(F.count_if(~F.col("exists")).alias("missing file"), F.count_if(F.col("exists") & ~F.col("size_ok")).alias("wrong size"), F.count_if(F.col("exists") & ~F.col("sha_ok")).alias("wrong digest"), F.count_distinct(F.when(F.col("exists") & F.col("size_ok") & F.col("sha_ok"), shards)).alias("good files"))
+    by_shard = files.groupBy(_shard_of(F.col("name")).alias("shard")).agg(F.count_if(~F.col("exists")).alias("gone"), F.count_if(F.col("exists") & ~F.col("size_ok")).alias("cut"), F.count_if(F.col("exists") & ~F.col("sha_ok")).alias("other"), F.bool_and(F.col("exists") & F.col("size_ok") & F.col("sha_ok")).alias("good"))
+    told = by_shard.agg(F.sum("gone").alias("missing file"), F.sum("cut").alias("wrong size"), F.sum("other").alias("wrong digest"), F.count_if("good").alias("good files"))
     rows = told.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(f"`{c}`").alias("n")) for c in told.columns])).alias("r")).select("r.*")
     return ok.unionByName(wrong).unionByName(rows)
 
