@@ -69,8 +69,9 @@ rows_ AS (SELECT w, list_position(['原形', '复数', '第三人称单数', '
   UNION ALL SELECT w, 9, '原形:' || w || 'er' FROM view_ WHERE shown = w AND x UNION ALL SELECT w, 1, bl || ':' || bt FROM view_ WHERE shown <> w),
 told AS (SELECT w, t, min(r) AS r FROM rows_ GROUP BY w, t), exch AS (SELECT w, string_agg(t, '|' ORDER BY r) AS exchanges FROM told GROUP BY w),
 own AS (SELECT w, 0 AS g, i, m.p || ':' || m.t AS t FROM (SELECT w, n, unnest([{{p: 'n.', t: 'a' || n}}, {{p: 'v.', t: 'b'}}, {{p: '释义', t: 'plain'}}]) AS m, unnest([1, 2, 3]) AS i FROM view_ WHERE shown = w AND NOT (ex AND base IS NOT NULL))
-  UNION ALL SELECT w, 0, 1, 'n.:a' || lex.n FROM view_ JOIN lex ON lex.word = shown WHERE shown <> w
-  UNION ALL SELECT w, 1, CASE label WHEN '复数' THEN 0 ELSE 1 END, '[' || t || ' 的' || label || ']:' || CASE label WHEN '复数' THEN 'a' || lex.n ELSE 'b' END FROM view_ JOIN org USING (w) JOIN lex ON lex.word = t WHERE ex AND i < 3
+  UNION ALL SELECT v.w, 0, 1, 'n.:a' || s.n FROM view_ v JOIN view_ s ON s.w = v.shown WHERE v.shown <> v.w AND NOT s.ex
+  UNION ALL SELECT w, 0, i, m.p || ':' || m.t FROM (SELECT v.w, unnest([{{p: 'n.', t: 'a' || s.n}}, {{p: 'v.', t: 'b'}}, {{p: '释义', t: 'plain'}}]) AS m, unnest([1, 2, 3]) AS i FROM view_ v JOIN view_ s ON s.w = v.shown WHERE v.shown <> v.w AND s.ex AND s.base IS NULL)
+  UNION ALL SELECT v.w, 1, CASE label WHEN '复数' THEN 0 ELSE 1 END, '[' || t || ' 的' || label || ']:' || CASE label WHEN '复数' THEN 'a' || lex.n ELSE 'b' END FROM view_ v JOIN view_ s ON s.w = v.shown JOIN org ON org.w = s.w JOIN lex ON lex.word = t WHERE s.ex AND i < 3
   UNION ALL SELECT w, 2, 1, ' :' FROM view_ WHERE shown = w AND base IS NULL AND n % 5 = 0 UNION ALL SELECT w, 2, 2, w || ' up:v. go,plain' FROM view_ WHERE shown = w AND base IS NULL AND n % 5 = 0),
 part AS (SELECT w, string_agg(t, '|' ORDER BY g, i) AS parts FROM own GROUP BY w),
 fam AS (SELECT word AS ow, o, unnest([left(word, 4), left(word, 4) || 's', left(word, 4) || 'ed']) AS m FROM lex WHERE length(word) = 5),

@@ -27,3 +27,10 @@ def agrees(spark, name, where):
 def test_pack_checks_with_several_files_a_shard(spark, monkeypatch):
     monkeypatch.setattr(packs, "FILE_ROWS", 5)
     agrees(spark, "pack_checks", DATA)
+
+
+def test_primary_result_of_a_fallback_whose_shown_entry_expands(spark, tmp_path):
+    """`ares` is shown as `are`, which a cross-reference to the entry `areer` expands: its own parts, whatever the plural's scope."""
+    duckdb.connect().execute(f"COPY (SELECT 1::BIGINT AS doc_id, 'are are ares areer' AS text, 'en' AS lang) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    got = agrees(spark, "primary_result", tmp_path)
+    assert any("释义:plain" in str(r) for r in got if "ares" in r)
