@@ -208,7 +208,7 @@ def wide_rows(lookup: DataFrame, entry_class: str = "entry") -> DataFrame:
 
     Only words with a core sense are kept.  lookup: key, body (markup), ord.  A phrasal verb is named with the first meaning of its own body, a link followed once.
     """
-    entries = settle(shred(lookup.select("key", "body", "ord"), "body"), "shredded")
+    entries = settle(shred(lookup.select("key", "body", "ord").repartition("key"), "body"), "shredded")  # by key: a source of one file, or one row group, would be read by one task
     nodes, roots = F.col("nodes"), _roots(entries, entry_class)
     own = F.col("own")
     first = F.filter(F.transform(core_senses(own, False), lambda s: F.trim(F.get(F.split(display(first_text(inside(with_tag(below(own, s), "chn"), with_tag(below(own, s), "deft")))), "[,;，；]"), F.lit(0)))), lambda x: x != "")
@@ -263,7 +263,7 @@ def normalise_entries(lookup: DataFrame, entry_class: str = "entry") -> DataFram
 
     lookup: key, body, ord.  The exchange string has comparatives and superlatives in their own slots.
     """
-    entries = settle(shred(lookup.select("key", "body", "ord"), "body"), "shredded")
+    entries = settle(shred(lookup.select("key", "body", "ord").repartition("key"), "body"), "shredded")  # by key: a source of one file, or one row group, would be read by one task
     told = settle(meanings(entries.select("key", "nodes"), entry_class), "meanings")
     texts_ = F.transform("items", lambda x: F.when(F.col("pos") == "adj", with_de(x["text"])).otherwise(x["text"]))
     each = F.struct("at", pos_label(F.col("pos")).alias("label"), "pos", texts_.alias("texts"), "items")

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import let
+
 NODES = "array<struct<i:int,last:int,tag:string,cls:array<string>,attrs:map<string,string>,text:string,up:array<int>>>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
@@ -24,33 +26,42 @@ class _Shredder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
+        self.said: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.open and tag in ENDS and self.nodes[self.open[-1]]["tag"] in ENDS[tag]:
-            self.open.pop()
+            self._end(len(self.open) - 1)
         have = {k: v or "" for k, v in attrs}
-        for i in self.open:
-            self.nodes[i]["last"] = len(self.nodes)
-        self.nodes.append({"i": len(self.nodes), "last": len(self.nodes), "tag": tag, "cls": have.get("class", "").split(), "attrs": list(have.items()), "text": [], "up": list(self.open)})
+        self.nodes.append({"i": len(self.nodes), "last": len(self.nodes), "tag": tag, "cls": have.get("class", "").split(), "attrs": list(have.items()), "text": "" if tag in VOID else len(self.said), "up": list(self.open)})
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         for at in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[at]]["tag"] == tag:
-                del self.open[at:]
+                self._end(at)
                 return
 
+    def _end(self, at: int) -> None:
+        """Elements open from `at` on end: their text are the stretches since they opened."""
+        for i in self.open[at:]:
+            node = self.nodes[i]
+            node["last"], node["text"] = len(self.nodes) - 1, " ".join("".join(self.said[node["text"] :]).split())
+        del self.open[at:]
+
+    def close(self) -> None:
+        super().close()
+        self._end(0)
+
     def handle_data(self, data: str) -> None:
-        for i in self.open:
-            self.nodes[i]["text"].append(data)
+        self.said.append(data)
 
 
 def nodes_of(body: str | None) -> list[dict]:
     shredder = _Shredder()
     shredder.feed(body or "")
     shredder.close()
-    return [{**n, "text": " ".join("".join(n["text"]).split())} for n in shredder.nodes]
+    return shredder.nodes
 
 
 def _shred(body: str):
@@ -91,11 +102,11 @@ def _in(node: Column, outer: Column) -> Column:
 
 def inside(nodes: Column, outer: Column) -> Column:
     """Nodes below any of the outer nodes."""
-    return F.filter(nodes, lambda n: _in(n, outer))
+    return let(outer, lambda o: F.filter(nodes, lambda n: _in(n, o)))
 
 
 def outside(nodes: Column, outer: Column) -> Column:
-    return F.filter(nodes, lambda n: ~_in(n, outer))
+    return let(outer, lambda o: F.filter(nodes, lambda n: ~_in(n, o)))
 
 
 def first_text(nodes: Column) -> Column:

@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lexloom.operators import senses
 from lexloom.sources import packs
+from lexloom.sources.markup import shred
 
 from tests.test_entry import DATA, plain
 
@@ -34,3 +36,17 @@ def test_primary_result_of_a_fallback_whose_shown_entry_expands(spark, tmp_path)
     duckdb.connect().execute(f"COPY (SELECT 1::BIGINT AS doc_id, 'are are ares areer' AS text, 'en' AS lang) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
     got = agrees(spark, "primary_result", tmp_path)
     assert any("释义:plain" in str(r) for r in got if "ares" in r)
+
+
+def test_markup_of_one_partition_is_shredded_by_several_tasks(spark, monkeypatch):
+    plans = []
+
+    def recorded(df, body):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return shred(df, body)
+
+    monkeypatch.setattr(senses, "shred", recorded)
+    lookup = spark.createDataFrame([("a", '<div class="entry"></div>', 1)], "key string, body string, ord long").coalesce(1)
+    senses.normalise_entries(lookup)
+    senses.wide_rows(lookup)
+    assert len(plans) == 2 and all("RepartitionByExpression [key" in p for p in plans)
