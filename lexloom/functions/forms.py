@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.fixed import IRREGULAR_COMPARATIVES, IRREGULAR_PLURALS, IRREGULAR_SUPERLATIVES, PLURAL, SLOT_LABELS, SLOTS, THIRD
 from lexloom.functions.pos import has_pos, literal_map
-from lexloom.functions.text import display
+from lexloom.functions.text import display, let
 
 
 def slot_forms(exchange: Column) -> Column:
@@ -35,7 +35,7 @@ def _in_slot(slot: str):
 
 def serialise(pairs: Column) -> Column:
     """Back to a string, slots in display order."""
-    ordered = F.flatten(F.array(*[F.filter(pairs, _in_slot(s)) for s in SLOTS]))
+    ordered = let(pairs, lambda x: F.flatten(F.array(*[F.filter(x, _in_slot(s)) for s in SLOTS])))
     return F.array_join(F.transform(ordered, lambda p: F.concat(p["slot"], F.lit(":"), p["form"])), "/")
 
 
@@ -100,7 +100,7 @@ def moved_grades(pairs: Column, pos_summary: Column, word: Column) -> Column:
         return F.when(p["slot"] == "s", new).otherwise(p["slot"])
 
     placed = F.transform(pairs, lambda p: F.struct(p["slot"].alias("old"), slot(p).alias("slot"), p["form"].alias("form")))
-    ordered = F.concat(F.filter(placed, lambda p: p["slot"] == p["old"]), F.filter(placed, lambda p: p["slot"] != p["old"]))
+    ordered = let(placed, lambda x: F.concat(F.filter(x, lambda p: p["slot"] == p["old"]), F.filter(x, lambda p: p["slot"] != p["old"])))
     return F.array_distinct(F.transform(ordered, lambda p: F.struct(p["slot"].alias("slot"), p["form"].alias("form"))))
 
 
@@ -152,5 +152,5 @@ def moved_grades_at_lookup(pairs: Column, pos_summary: Column) -> Column:
     graded = F.coalesce(pos_summary, F.lit("")).rlike("adj:|adv:")
     slot = lambda p: F.when((p["slot"] == "s") & graded, F.when(F.lower(p["form"]).endswith("est"), "sup").when(F.lower(p["form"]).endswith("er"), "c").otherwise("s")).otherwise(p["slot"])
     placed = F.transform(pairs, lambda p: F.struct(p["slot"].alias("old"), slot(p).alias("slot"), p["form"].alias("form")))
-    ordered = F.concat(F.filter(placed, lambda p: p["slot"] == p["old"]), F.filter(placed, lambda p: p["slot"] != p["old"]))
+    ordered = let(placed, lambda x: F.concat(F.filter(x, lambda p: p["slot"] == p["old"]), F.filter(x, lambda p: p["slot"] != p["old"])))
     return F.array_distinct(F.transform(ordered, lambda p: F.struct(p["slot"].alias("slot"), p["form"].alias("form"))))

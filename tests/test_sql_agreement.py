@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lexloom.functions.forms import moved_grades, serialise, slot_forms
 from lexloom.operators import senses
 from lexloom.sources import packs
 from lexloom.sources.markup import shred
@@ -50,3 +51,9 @@ def test_markup_of_one_partition_is_shredded_by_several_tasks(spark, monkeypatch
     senses.normalise_entries(lookup)
     senses.wide_rows(lookup)
     assert len(plans) == 2 and all("RepartitionByExpression [key" in p for p in plans)
+
+
+def test_serialise_computes_its_pairs_once(spark):
+    df = spark.createDataFrame([("s:as/p:aed", "adj:100", "a")], "x string, pos string, word string")
+    plan = df.select(serialise(moved_grades(slot_forms(df["x"]), df["pos"], df["word"])).alias("y"))._jdf.queryExecution().analyzed().toString().replace(" ", "")
+    assert plan.count("filter(split(") == 1
