@@ -57,3 +57,11 @@ def test_serialise_computes_its_pairs_once(spark):
     df = spark.createDataFrame([("s:as/p:aed", "adj:100", "a")], "x string, pos string, word string")
     plan = df.select(serialise(moved_grades(slot_forms(df["x"]), df["pos"], df["word"])).alias("y"))._jdf.queryExecution().analyzed().toString().replace(" ", "")
     assert plan.count("filter(split(") == 1
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the given tables are not here")
+def test_plural_predicate_asks_each_word_once(spark):
+    """A condition on words is not pushed below the counting, to every occurrence of a word."""
+    agrees(spark, "plural_predicate", DATA)
+    plan = entry.queries()["plural_predicate"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "documents" not in plan
