@@ -33,15 +33,23 @@ def link_target(body: Column) -> Column:
     return F.trim(F.regexp_replace(body, f"^{LINK}", ""))
 
 
-def build_lookup(raw: DataFrame) -> DataFrame:
-    """One body a key: the first that is no link, else the last link."""
+def _bodies(raw: DataFrame) -> DataFrame:
+    """key, own, link: the first body that is no link and the last link, with their ord."""
     link = is_link(F.col("body"))
-    both = raw.groupBy("key").agg(
+    return raw.groupBy("key").agg(
         F.min_by(F.when(~link, F.struct("body", "ord")), F.when(~link, F.col("ord"))).alias("own"),
         F.max_by(F.when(link, F.struct("body", "ord")), F.when(link, F.col("ord"))).alias("link"),
     )
+
+
+def _chosen(bodies: DataFrame) -> DataFrame:
     chosen = F.coalesce("own", "link")
-    return both.select("key", chosen["body"].alias("body"), chosen["ord"].alias("ord"), F.col("own").isNull().alias("is_link"))
+    return bodies.select("key", chosen["body"].alias("body"), chosen["ord"].alias("ord"), F.col("own").isNull().alias("is_link"))
+
+
+def build_lookup(raw: DataFrame) -> DataFrame:
+    """One body a key: the first that is no link, else the last link."""
+    return _chosen(_bodies(raw))
 
 
 def alias_targets(raw: DataFrame) -> DataFrame:
@@ -72,9 +80,10 @@ def resolve_chains(lookup: DataFrame) -> DataFrame:
 
 def resolve_links(raw: DataFrame) -> DataFrame:
     """word, target: chains resolved; a key's last link, if it leads straight to an entry, comes before the chain's end."""
-    lookup = settle(build_lookup(raw), "lookup")
+    bodies = settle(_bodies(raw), "lookup")
+    lookup = _chosen(bodies)
     own = lookup.where(~F.col("is_link")).select(F.col("key").alias("target"))
-    direct = alias_targets(raw).where("key <> target").join(own, "target", "left_semi")
+    direct = bodies.where("link IS NOT NULL").select("key", link_target(F.col("link.body")).alias("target")).where("key <> target").join(own, "target", "left_semi")
     chain_ends = resolve_chains(lookup)
     both = chain_ends.join(direct.withColumnRenamed("target", "direct"), "key", "full_outer")
     return both.select(F.col("key").alias("word"), F.coalesce("direct", "target").alias("target"))
