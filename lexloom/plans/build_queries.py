@@ -20,9 +20,13 @@ def lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_list(table(spark, sf_dir, "documents"))
 
 
-def derived_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def listed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(lex(spark, sf_dir).select("word", (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"), "n"), "words")
+
+
+def derived_entries(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
     """Entries made of the word list: part of speech by frequency, forms that are in the list themselves."""
-    words = settle(lex(spark, sf_dir).select("word", (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"), "n"), "words")
+    words = listed_words(spark, sf_dir) if words is None else words
     wanted = words.select(F.col("word").alias("base"), F.posexplode(F.array(*[F.struct(F.lit(s).alias("slot"), F.concat("word", F.lit(e)).alias("form")) for s, e in SUFFIXES])).alias("i", "x"))
     known = wanted.select("base", "i", "x.slot", "x.form").join(words.select(F.col("word").alias("form")), "form")
     forms = known.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("i", F.concat("slot", F.lit(":"), "form").alias("t")))).alias("f"))
@@ -261,9 +265,9 @@ def final_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole build; a third kind of words (their number of occurrences divides by five) has a link from the word with an x."""
     from lexloom.operators.relate import final_entries as build
 
-    words = lex(spark, sf_dir)
-    entries = derived_entries(spark, sf_dir).withColumn("translation", F.concat(F.lit("n. a\nv. b\nadj. "), "word"))
-    links = words.where("n % 5 = 0").select(F.concat("word", F.lit("x")).alias("word"), F.col("word").alias("target"), (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("ord"))
+    words = listed_words(spark, sf_dir)  # counted once: the entries and the links, which are read several times, are made of them
+    entries = derived_entries(spark, sf_dir, words).withColumn("translation", F.concat(F.lit("n. a\nv. b\nadj. "), "word"))
+    links = words.where("n % 5 = 0").select(F.concat("word", F.lit("x")).alias("word"), F.col("word").alias("target"), "ord")
     return build(entries, links)
 
 
