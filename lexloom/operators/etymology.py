@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import let
 from lexloom.operators import roots
-from lexloom.operators.stages import settle
+from lexloom.operators.stages import settle, spread
 from lexloom.sources.markup import below, first_text, inside, shred, with_class, with_tag
 
 HAN = "[一-鿿]"
@@ -91,14 +91,13 @@ def read_etymology(pages: DataFrame) -> DataFrame:
 
 def tree_components(pages: DataFrame) -> DataFrame:
     """word, level1, level2 (arrays of components), own (text of the page's root section): one row an etymology block with a tree, in order.  pages: page, html."""
-    df = settle(shred(pages.select("page", "html"), "html"), "trees")
+    df = settle(shred(spread(pages.select("page", "html"), "page"), "html"), "trees")
     blocks = df.select("page", "nodes", F.explode(with_class(F.col("nodes"), "etymology")).alias("b"))
-    blocks = blocks.select("page", F.col("b.i").alias("at"), below(F.col("nodes"), F.col("b")).alias("own"))
-    own = F.col("own")
-    tree = F.filter(own, lambda n: F.exists(n["cls"], lambda c: c.contains("treePart")))
-    level = lambda k: F.filter(tree, lambda n: F.exists(n["cls"], lambda c: c.contains(f"etymology_{k}")))
 
-    def components(word: Column, parts: Column) -> Column:
+    def level(own: Column, k: int) -> Column:
+        return F.filter(own, lambda n: F.exists(n["cls"], lambda c: c.contains("treePart")) & F.exists(n["cls"], lambda c: c.contains(f"etymology_{k}")))
+
+    def components(own: Column, word: Column, parts: Column) -> Column:
         """Roots, then affixes, of each part in turn; the word itself is none."""
 
         def of(part: Column) -> Column:
@@ -108,13 +107,15 @@ def tree_components(pages: DataFrame) -> DataFrame:
 
         return F.flatten(F.transform(parts, of))
 
-    head = inside(with_class(own, "rootWord"), level(0))
-    sections = F.filter(with_class(own, "wordSection"), lambda s: F.exists(with_class(below(own, s), "title"), lambda t: t["text"].contains("词根词缀")))
-    section = F.slice(sections, 1, 1)
-    blocks = blocks.withColumn("word", F.lower(F.trim(first_text(head)))).withColumn("section", first_text(inside(with_class(own, "sectionCont"), section)))
-    word = F.col("word")
-    blocks = blocks.withColumns({"level1": components(word, level(1)), "level2": components(word, level(2))})
-    return blocks.where("word <> '' AND length(word) <= 60 AND size(level1) > 0").select("page", "at", "word", "level1", "level2", "section")
+    def read(own: Column) -> Column:
+        sections = F.filter(with_class(own, "wordSection"), lambda s: F.exists(with_class(below(own, s), "title"), lambda t: t["text"].contains("词根词缀")))
+        section = first_text(inside(with_class(own, "sectionCont"), F.slice(sections, 1, 1)))
+        told = lambda word: F.struct(word.alias("word"), components(own, word, level(own, 1)).alias("level1"), components(own, word, level(own, 2)).alias("level2"), section.alias("section"))
+        return let(F.lower(F.trim(first_text(inside(with_class(own, "rootWord"), level(own, 0))))), told)
+
+    # a condition on columns would be pushed below them and compute them again: each block is read once, as a value
+    kept = F.filter(F.array(let(below(F.col("nodes"), F.col("b")), read)), lambda x: (x["word"] != "") & (F.length(x["word"]) <= 60) & (F.size(x["level1"]) > 0))
+    return blocks.select("page", F.col("b.i").alias("at"), F.explode_outer(kept).alias("x")).where("x IS NOT NULL").select("page", "at", "x.*")
 
 
 def choose_components(level1: Column, level2: Column, resolved: Column) -> Column:

@@ -35,6 +35,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows by key, in as many tasks as a shuffle has: a source of one file, or one row group, is read by one task.
+
+    For rows that cost more to work on than to move: their number is told, or small ones would be put together again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def clear_stages(spark: SparkSession) -> None:
     """Delete all tables that this application has settled.  For the end of a job: results that were not written anywhere else are gone."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lexloom/{spark.sparkContext.applicationId}")
