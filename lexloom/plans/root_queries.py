@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.operators import etymology
+from lexloom.operators.stages import settle, spread
 from lexloom.plans.registry import query, table
 
 LETTERS = ("0123456789", "abcdefghij")
@@ -13,8 +14,9 @@ C = "c AS (SELECT c_custkey AS k, translate(c_custkey::VARCHAR, '0123456789', 'a
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k and z, the number in letters."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.translate(F.col("c_custkey").cast("string"), *LETTERS).alias("z"))
+    """k and z, the number in letters; a stage table, as conditions on what is made of them would be asked before the rows are spread."""
+    keys = settle(spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"), "customers")
+    return keys.select(F.col("c_custkey").alias("k"), F.translate(F.col("c_custkey").cast("string"), *LETTERS).alias("z"))
 
 
 def text(*parts: str | Column) -> Column:
