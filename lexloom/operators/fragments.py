@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import bracket_han, display, let, meaning_key, qualified, split_outside_brackets, without_brackets, without_long_brackets
+from lexloom.functions.text import bracket_han, display, displayed_pieces, let, meaning_key, qualified, shown_key, split_outside_brackets, without_brackets, without_long_brackets
 
 MOST_HAN = 7
 
@@ -41,8 +41,10 @@ def fragment_rows(lines: DataFrame, keys: list[str], text: str) -> DataFrame:
     For tables of lines: pieces are exploded once and aggregated by (line, key), so a line costs time in proportion to its
     pieces.  Both `keys` have to tell the lines apart; null or empty lines have no row.  Rows move once, by `keys`.
     """
-    pieces = lines.select(*keys, F.posexplode(F.transform(split_outside_brackets(F.col(text)), display)).alias("place", "text"))
-    keyed = pieces.withColumn("key", meaning_key(F.col("text"))).where("key <> ''").withColumn("long", F.col("text").rlike("[（(]") & (F.coalesce(F.array_max(bracket_han(F.col("text"))), F.lit(0)) > MOST_HAN))
+    both = F.transform(displayed_pieces(F.col(text)), lambda p: F.struct(p.alias("text"), shown_key(without_brackets(p)).alias("key")))
+    # outer, and keys beside their texts: what is exploded would be computed again to see whether it is empty, and a key to be compared
+    pieces = lines.select(*keys, F.posexplode_outer(both).alias("place", "p")).select(*keys, "place", "p.text", "p.key")
+    keyed = pieces.where("key <> ''").withColumn("long", F.col("text").rlike("[（(]") & (F.coalesce(F.array_max(bracket_han(F.col("text"))), F.lit(0)) > MOST_HAN))
     first = keyed.repartition(*keys).groupBy(*keys, "key").agg(F.min("place").alias("place"), F.min_by("text", "place").alias("text"), F.count("*").alias("n"), F.max("long").alias("long"))
     some = without_long_brackets(F.col("text"))
     shown = F.when(F.col("n") > 1, F.trim(without_brackets(F.col("text")))).when(some == "", F.col("text")).otherwise(some)

@@ -6,7 +6,7 @@ from lexloom.functions.forms import is_regular, moved_grades, plural_of, plural_
 from lexloom.functions.pos import normal_pos, pos_label, valid_pos
 from lexloom.functions.text import display, meaning_key, qualified, repair_lines, segments, split_outside_brackets
 from lexloom.operators import lexicon, roots, senses, views
-from lexloom.operators.fragments import meaning_items, unique_fragments
+from lexloom.operators.fragments import fragment_rows, meaning_items, unique_fragments
 from lexloom.operators.quality import check_files, check_manifest, shard
 from lexloom.sources.packs import read_pack, write_manifest, write_shards
 
@@ -205,3 +205,16 @@ def test_fragment_rows_equal_the_array_form(spark):
     assert [r["text"] for r in rows if r["a"] == 901] == ["走"] and [r["text"] for r in rows if r["a"] == 902] == ["走"]
     plan = fragment_rows(df, ["a", "b"], "line").groupBy("a", "b").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(a") == 1
+
+
+def test_fragment_rows_reads_each_line_once(spark):
+    lines = ["a(b,c),d；e)f;;g（h，i), a", "x (一二三四五六七八),x;　y\t z ", "(((,),)),q,", "", "p，(q", "😀(,)😀,k"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    rows = fragment_rows(df, ["i"], "line")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1 and plan.count("posexplode") == 1
+    told = {r["i"]: [tuple(f) for f in r["f"]] for r in df.select("i", unique_fragments(F.col("line")).alias("f")).collect()}
+    got = {i: [] for i in told}
+    for r in sorted(rows.collect(), key=lambda r: (r["i"], r["place"])):
+        got[r["i"]].append((r["text"], r["key"]))
+    assert got == told and got[0] == [("a(b,c)", "a"), ("d", "d"), ("e)f", "e)f"), ("g(h,i)", "g")] and got[5] == [("😀(,)😀", "😀😀"), ("k", "k")]
